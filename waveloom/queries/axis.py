@@ -174,10 +174,10 @@ def x_extent(spark, sf_dir):
 
 
 @query("x_interp", f"""WITH {S}, {P}, N AS (SELECT channel_id, count(*) AS n FROM P GROUP BY channel_id),
-  Q AS (SELECT P.channel_id, n, sample_idx, sample_idx + (sample_idx % 4) * 0.25::DOUBLE AS at FROM P JOIN N ON P.channel_id = N.channel_id)
-  SELECT Q.channel_id, at, round(CASE WHEN least(at - a.sample_idx, 1) > 0 THEN a.x + least(at - a.sample_idx, 1) * (b.x - a.x) ELSE a.x END, 5) AS x
-  FROM Q JOIN P a ON a.channel_id = Q.channel_id AND a.sample_idx = least(floor(at)::BIGINT, n - 1)
-    JOIN P b ON b.channel_id = Q.channel_id AND b.sample_idx = least(floor(at)::BIGINT + 1, n - 1)""")
+  Q AS (SELECT P.channel_id, n, sample_idx, sample_idx + (sample_idx % 4) * 0.25::DOUBLE AS p FROM P JOIN N ON P.channel_id = N.channel_id)
+  SELECT Q.channel_id, p AS "at", round(CASE WHEN least(p - a.sample_idx, 1) > 0 THEN a.x + least(p - a.sample_idx, 1) * (b.x - a.x) ELSE a.x END, 5) AS x
+  FROM Q JOIN P a ON a.channel_id = Q.channel_id AND a.sample_idx = least(floor(p)::BIGINT, n - 1)
+    JOIN P b ON b.channel_id = Q.channel_id AND b.sample_idx = least(floor(p)::BIGINT + 1, n - 1)""")
 def x_interp(spark, sf_dir):
     s = event_store(spark, sf_dir)
     pts = time_points(s.samples)
