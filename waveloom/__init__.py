@@ -13,6 +13,13 @@ canonical tables are
 Every operator is a function from DataFrames to a DataFrame.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from .session import builder, configure, shared_dir
 
 __all__ = ["builder", "configure", "shared_dir"]
+
+# Functions that run in Python workers travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

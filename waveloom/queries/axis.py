@@ -175,7 +175,7 @@ def x_extent(spark, sf_dir):
 
 @query("x_interp", f"""WITH {S}, {P}, N AS (SELECT channel_id, count(*) AS n FROM P GROUP BY channel_id),
   Q AS (SELECT P.channel_id, n, sample_idx, sample_idx + (sample_idx % 4) * 0.25::DOUBLE AS p FROM P JOIN N ON P.channel_id = N.channel_id)
-  SELECT Q.channel_id, p AS "at", round(CASE WHEN least(p - a.sample_idx, 1) > 0 THEN a.x + least(p - a.sample_idx, 1) * (b.x - a.x) ELSE a.x END, 5) AS x
+  SELECT Q.channel_id, p AS "at", {rnd_sql('''CASE WHEN least(p - a.sample_idx, 1) > 0 THEN a.x + least(p - a.sample_idx, 1) * (b.x - a.x) ELSE a.x END''')} AS x
   FROM Q JOIN P a ON a.channel_id = Q.channel_id AND a.sample_idx = least(floor(p)::BIGINT, n - 1)
     JOIN P b ON b.channel_id = Q.channel_id AND b.sample_idx = least(floor(p)::BIGINT + 1, n - 1)""")
 def x_interp(spark, sf_dir):
@@ -183,7 +183,7 @@ def x_interp(spark, sf_dir):
     pts = time_points(s.samples)
     at = F.col("sample_idx") + (F.col("sample_idx") % 4) * F.lit(0.25)
     want = pts.join(bounded(s.channels.select("channel_id", F.col("length").alias("n")), s.n_channels), "channel_id")
-    return ax.interpolate_x(want.select("channel_id", "n", at.alias("at")), pts).select("channel_id", "at", F.round("x", 5).alias("x"))
+    return ax.interpolate_x(want.select("channel_id", "n", at.alias("at")), pts).select("channel_id", "at", rnd("x").alias("x"))
 
 
 @query("floor_pow2", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(power(2, floor(log2(greatest(1, floor(l_extendedprice)))) ) AS BIGINT) AS p

@@ -1 +1,84 @@
+"""The file source, run over files that Spark encodes from the whole line-item channels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import catalog as cat
+from ..session import new_path
+from ..sources import segments as sg
+from ..sources.encode import FILE_SAMPLES, SEGMENT_SAMPLES, write_files
+from .base import L, LC, lineitem_store
+
 QUERIES: dict = {}
+_SCANS: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = (fn, sql)
+        return fn
+    return add
+
+
+def scanned(spark, sf_dir):
+    """Segment table of the encoded files, stored once."""
+    store = lineitem_store(spark, sf_dir)
+    if store.path not in _SCANS:
+        folder = new_path(spark, "files")
+        write_files(store.samples, folder, ["v", "k"]).write.mode("overwrite").parquet(new_path(spark, "written"))
+        path = new_path(spark, "segments")
+        sg.scan_segments(spark, folder).write.parquet(path)
+        _SCANS[store.path] = path
+    return spark.read.parquet(_SCANS[store.path])
+
+
+def file_name(col="file"):
+    return F.element_at(F.split(F.col(col), "/"), -1)
+
+
+@query("segments", f"""WITH {L}, {LC}, F AS (SELECT channel_id, length, b, least({FILE_SAMPLES}, length - b * {FILE_SAMPLES}) AS cnt
+    FROM LC, (SELECT unnest(range(0, 100000)) AS b) t WHERE b * {FILE_SAMPLES} < length),
+  G AS (SELECT channel_id || '-' || lpad(b::VARCHAR, 9, '0') || '.tdms' AS name, b, k, least({SEGMENT_SAMPLES}, cnt - k * {SEGMENT_SAMPLES}) AS m
+    FROM F, (SELECT unnest(range(0, {FILE_SAMPLES // SEGMENT_SAMPLES})) AS k) t WHERE k * {SEGMENT_SAMPLES} < cnt)
+  SELECT name, k AS seg_no, 14 + CASE WHEN (b + k) % 2 = 1 THEN 32 ELSE 0 END + CASE WHEN k % 5 = 3 THEN 64 ELSE 0 END AS toc, m * 16 AS data_bytes, 'ok' AS status FROM G""")
+def segments(spark, sf_dir):
+    return sg.segments(scanned(spark, sf_dir)).select(
+        file_name().alias("name"), "seg_no", "toc", (F.col("next_pos") - F.col("data_pos")).alias("data_bytes"), "status")
+
+
+@query("channels", f"""WITH {L}, {LC}, F AS (SELECT channel_id, b, least({FILE_SAMPLES}, length - b * {FILE_SAMPLES}) AS length
+    FROM LC, (SELECT unnest(range(0, 100000)) AS b) t WHERE b * {FILE_SAMPLES} < length)
+  SELECT channel_id || '-' || lpad(b::VARCHAR, 9, '0') || '.tdms' AS name, channel_id || '/' || c AS label, CASE c WHEN 'v' THEN 'float' ELSE 'int' END AS kind, length,
+    'u' || c AS unit, 0.5::DOUBLE AS wf_increment, (b * {FILE_SAMPLES})::DOUBLE AS wf_start_offset FROM F, (SELECT unnest(['v', 'k']) AS c) t""")
+def channels(spark, sf_dir):
+    return sg.channel_catalog(scanned(spark, sf_dir)).select(
+        file_name("file_id").alias("name"), "label", "kind", "length", "unit", "wf_increment", "wf_start_offset")
+
+
+def _placed(df, col):
+    """Channel name and sample index in the whole channel (the file's first sample is in its name)."""
+    name = file_name()
+    block = F.regexp_extract(name, r"-(\d+)\.tdms$", 1).cast("bigint")
+    return df.select(F.regexp_extract(name, r"^(.*)-\d+\.tdms$", 1).alias("channel_id"),
+                     (block * FILE_SAMPLES + F.col("sample_idx")).alias("sample_idx"), F.col("v").alias(col))
+
+
+@query("file_scan_float", f"WITH {L} SELECT channel_id, sample_idx, v FROM L")
+def file_scan_float(spark, sf_dir):
+    return _placed(sg.read_samples(sg.value_runs(scanned(spark, sf_dir)), "float"), "v")
+
+
+@query("file_scan_int", f"WITH {L} SELECT channel_id, sample_idx, k FROM L WHERE sample_idx % {FILE_SAMPLES} >= 1000 AND sample_idx % {FILE_SAMPLES} < 9000")
+def file_scan_int(spark, sf_dir):
+    """Samples [1000, 9000) of each file."""
+    return _placed(sg.read_samples(sg.value_runs(scanned(spark, sf_dir)), "int", start=1000, stop=9000), "k")
+
+
+@query("file_properties", f"""WITH {L}, {LC}, F AS (SELECT channel_id, b FROM LC, (SELECT unnest(range(0, 100000)) AS b) t WHERE b * {FILE_SAMPLES} < length)
+  SELECT channel_id || '-' || lpad(b::VARCHAR, 9, '0') || '.tdms' AS file, '/''' || channel_id || '''' AS object, 'block' AS name, b::VARCHAR AS value FROM F
+  UNION ALL SELECT channel_id || '-' || lpad(b::VARCHAR, 9, '0') || '.tdms', '/', 'first', (b * {FILE_SAMPLES})::VARCHAR FROM F""")
+def file_properties(spark, sf_dir):
+    """Properties of the files and groups."""
+    objects = sg.object_catalog(scanned(spark, sf_dir)).filter("path NOT LIKE '%/%/%'").withColumn("object_id", F.struct(file_name().alias("file"), F.col("path").alias("object")))
+    return cat.property_list(objects).select("object_id.file", "object_id.object", "name", "value")

@@ -143,12 +143,12 @@ def linear_scale(spark, sf_dir):
     return lay.linear_scale(s.samples.select("channel_id", "sample_idx", "v"), cat, s.n_channels).withColumn("v", rnd("v"))
 
 
-@query("interval_merge", f"""WITH {S}, T AS (SELECT channel_id, t_us // 1000000 - 1704067200 AS r0, t_us // 1000000 - 1704067200 + (v * 25)::BIGINT AS r1 FROM S),
+@query("interval_merge", f"""WITH {S}, T AS (SELECT channel_id, t_us // 1000000 - 1704067200 AS r0, t_us // 1000000 - 1704067200 + floor(v * 25)::BIGINT AS r1 FROM S),
   O AS (SELECT *, max(r1) OVER (PARTITION BY channel_id ORDER BY r0, r1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM T),
   I AS (SELECT *, sum((seen IS NULL OR r0 > seen)::INT) OVER (PARTITION BY channel_id ORDER BY r0, r1) AS island FROM O)
   SELECT channel_id, min(r0) AS r0, max(r1) AS r1 FROM I GROUP BY channel_id, island""")
 def interval_merge(spark, sf_dir):
     """Events as busy intervals (whole seconds), merged per channel."""
     r0 = F.call_function("div", F.col("t_us"), F.lit(1_000_000)) - 1704067200
-    spans = event_store(spark, sf_dir).samples.select("channel_id", r0.cast("bigint").alias("r0"), (r0 + F.round(F.col("v") * 25).cast("bigint")).alias("r1"))
+    spans = event_store(spark, sf_dir).samples.select("channel_id", r0.cast("bigint").alias("r0"), (r0 + F.floor(F.col("v") * 25)).alias("r1"))
     return rw.interval_merge(spans, "channel_id")

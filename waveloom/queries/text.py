@@ -32,7 +32,7 @@ def epoch1904_ns(spark, sf_dir):
     m = F.col("event_id") % 50
     sec = F.when(m == 7, F.lit(1 << 40)).when(m == 8, F.lit(-10**10)).otherwise(
         F.call_function("div", epoch_us("ts"), F.lit(1_000_000)) + val.EPOCH_1904_S)
-    frac = (F.col("event_id").cast("decimal(12,0)") * F.lit(18446744073709551 * 977).cast("decimal(20,0)")) % F.lit("18446744073709551616").cast("decimal(20,0)")
+    frac = (F.col("event_id").cast("decimal(12,0)") * F.lit(str(18446744073709551 * 977)).cast("decimal(20,0)")) % F.lit("18446744073709551616").cast("decimal(20,0)")
     return table(spark, sf_dir, "events").select("event_id", val.epoch1904_ns(sec, frac).alias("ns"))
 
 
