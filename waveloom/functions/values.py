@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 INF = float("inf")
 NS_PER_S = 1_000_000_000
@@ -120,7 +121,7 @@ def decode_extended(raw: np.ndarray) -> np.ndarray:
     return np.where(invalid, np.nan, value)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def extended_to_double(raw: pd.Series) -> pd.Series:
     """Vectorised decoder for a BINARY(16) column of 80-bit extended floats."""
     if raw.empty:

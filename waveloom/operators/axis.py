@@ -49,16 +49,21 @@ def view_range(axes: DataFrame, xa: float, xb: float) -> DataFrame:
 
     axes: channel_id, x0, dx, s, e. A bound that is not finite gives the whole range.
     """
-    fa, fb = (F.lit(float(xa)) - F.col("x0")) / F.col("dx"), (F.lit(float(xb)) - F.col("x0")) / F.col("dx")
-    known = finite(fa) & finite(fb)
+    out = axes.selectExpr("*", f"({float(xa)!r}D - x0) / dx AS _fa", f"({float(xb)!r}D - x0) / dx AS _fb") \
+        if _plain(xa) and _plain(xb) else axes.selectExpr("*", "double('NaN') AS _fa", "double('NaN') AS _fb")
+    known = "abs(_fa) < double('Infinity') AND abs(_fb) < double('Infinity')"
 
-    def inside(i: Column) -> Column:
-        return F.greatest(F.col("s"), F.least(F.col("e"), i))
+    def whole(x: str) -> str:
+        return f"bigint(greatest(least({x}, {_FAR}D), -{_FAR}D))"
 
-    empty = F.col("e") <= F.col("s")
-    i0 = F.when(empty | ~known, F.col("s")).otherwise(inside(_whole(F.floor(_clamped(fa))) - 1))
-    i1 = F.when(empty, F.col("s")).when(~known, F.col("e")).otherwise(inside(_whole(F.ceil(_clamped(fb))) + 2))
-    return axes.withColumn("i0", i0).withColumn("i1", i1)
+    return out.selectExpr(
+        *axes.columns,
+        f"CASE WHEN e <= s OR NOT ({known}) THEN s ELSE greatest(s, least(e, {whole('floor(greatest(least(_fa, 9e18D), -9e18D))')} - 1)) END AS i0",
+        f"CASE WHEN e <= s THEN s WHEN NOT ({known}) THEN e ELSE greatest(s, least(e, {whole('ceil(greatest(least(_fb, 9e18D), -9e18D))')} + 2)) END AS i1")
+
+
+def _plain(x: float) -> bool:
+    return x == x and abs(x) != INF
 
 
 def _clamped(x: Column) -> Column:

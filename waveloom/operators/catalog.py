@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import EPOCH_1904_S, NS_PER_S, finite
-from ..session import bounded
+from ..session import bounded, settle
+from .scan import running
 
 # Type codes of the measurement-file format and their kinds.
 INT_CODES = [1, 2, 3, 4, 5, 6, 7, 8]
@@ -20,6 +21,7 @@ EPOCH_1904_NS = -EPOCH_1904_S * NS_PER_S
 RELATIVE_BEFORE_NS = EPOCH_1904_NS + 366 * 86_400 * NS_PER_S
 MAX_SPREAD_NS = 365 * 86_400 * NS_PER_S
 
+START_BLOCK_NS = 3_600 * NS_PER_S  # block of the running weight over start times
 INCREMENT_NAMED = 5
 WARNINGS_SHOWN = 20
 
@@ -118,13 +120,13 @@ def time_reference(channels: DataFrame) -> DataFrame:
     wf_start_ns. Equal starts are summed first, so the running weight sees distinct starts only.
     """
     timed = channels.filter(F.col("wf_start_ns").isNotNull())
-    starts = timed.groupBy("file_id", "wf_start_ns").agg(
-        F.sum(F.greatest(F.lit(1), F.col("length"))).alias("w"))
+    starts = settle(timed.groupBy("file_id", "wf_start_ns").agg(
+        F.sum(F.greatest(F.lit(1), F.col("length"))).alias("w")))
     ends = starts.groupBy("file_id").agg(
         F.min("wf_start_ns").alias("lo"), F.max("wf_start_ns").alias("hi"), F.sum("w").alias("all_w"))
-    run = Window.partitionBy("file_id").orderBy("wf_start_ns").rowsBetween(Window.unboundedPreceding, 0)
-    wide = starts.join(ends.filter(F.col("hi") - F.col("lo") > MAX_SPREAD_NS), "file_id")
-    median = wide.withColumn("acc", F.sum("w").over(run)).filter(F.col("acc") * 2 >= F.col("all_w")).groupBy(
+    wide = ends.filter(F.col("hi") - F.col("lo") > MAX_SPREAD_NS)
+    acc = running(starts, ["file_id"], "wf_start_ns", F.col("w"), "sum", "acc", block=START_BLOCK_NS)
+    median = acc.join(wide, "file_id").filter(F.col("acc") * 2 >= F.col("all_w")).groupBy(
         "file_id").agg(F.min("wf_start_ns").alias("med"))
     near = starts.join(median, "file_id").filter(F.abs(F.col("wf_start_ns") - F.col("med")) <= MAX_SPREAD_NS).groupBy(
         "file_id").agg(F.min("wf_start_ns").alias("near_lo"), F.first("med").alias("med"))

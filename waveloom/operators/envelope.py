@@ -43,14 +43,8 @@ def envelope(samples: DataFrame, ranges: DataFrame, n_channels: int | None = Non
 
 def finish_envelope(buckets: DataFrame) -> DataFrame:
     """Clipped bounds, center and missing flag of counted buckets (bucket, i0, i1, b, n, total, mn, mx)."""
-    return (
-        buckets
-        .withColumn("lo", F.greatest(F.col("i0"), F.col("bucket") * F.col("b")))
-        .withColumn("hi", F.least(F.col("i1"), (F.col("bucket") + 1) * F.col("b")))
-        .withColumn("center", (F.col("lo") + F.col("hi")) / F.lit(2.0))
-        .withColumn("missing", F.col("n") < F.col("total"))
-        .select("channel_id", "bucket", "lo", "hi", "center", "n", "total", "mn", "mx", "missing")
-    )
+    return buckets.selectExpr("*", "greatest(i0, bucket * b) AS lo", "least(i1, (bucket + 1) * b) AS hi").selectExpr(
+        "channel_id", "bucket", "lo", "hi", "(lo + hi) / 2D AS center", "n", "total", "mn", "mx", "n < total AS missing")
 
 
 def envelope_points(env: DataFrame, *keep: str) -> DataFrame:

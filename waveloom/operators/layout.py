@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded
-from .scan import previous, running
+from ..session import bounded, settle
+from .envelope import bucket_of
+from .scan import BLOCK, running
 
 # ToC bits of a segment.
 TOC_META, TOC_NEW_LIST, TOC_RAW = 1 << 1, 1 << 2, 1 << 3
@@ -27,23 +28,28 @@ def run_compress(parts: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> Data
     parity of the distance to the last segment whose role is known decides.
     """
     ks = list(keys)
-    d = previous(parts, ks, "seg_no", F.struct("layout", "pos"), "_prev")
-    d = d.withColumn("_new", ~F.col("_prev.layout").eqNullSafe(F.col("layout")))
-    d = d.withColumn("_step", F.col("pos") - F.col("_prev.pos"))
-    d = previous(d, ks, "seg_no", F.col("_step"), "_step_before")
-    changed = ~F.col("_new") & ~F.col("_step").eqNullSafe(F.col("_step_before"))
-    d = d.withColumn("_changed", changed)
+    blk = bucket_of("seg_no", BLOCK)
+    # Each block also sees the two segments before it, so all comparisons stay inside one block.
+    halo = F.when(F.col("seg_no") % BLOCK >= BLOCK - 2, F.array(blk, blk + 1)).otherwise(F.array(blk))
+    w = Window.partitionBy(*ks, "_blk").orderBy("seg_no")
+    d = parts.select(*ks, "seg_no", "pos", "layout", "cnt", F.explode(halo).alias("_blk"))
+    d = d.withColumn("_new", ~F.lag("layout").over(w).eqNullSafe(F.col("layout")))
+    d = d.withColumn("_step", F.col("pos") - F.lag("pos").over(w))
+    d = d.withColumn("_changed", ~F.col("_new") & ~F.col("_step").eqNullSafe(F.lag("_step").over(w)))
+    d = settle(d.filter(blk == F.col("_blk")).drop("_blk", "_step"))
     # The last segment with a known role: 1 if it opened a run (new layout), 0 if it continued one.
     anchor = F.when(~F.col("_changed"), F.col("seg_no") * 2 + F.col("_new").cast("int"))
     d = running(d, ks, "seg_no", anchor, "max", "_anchor")
     away = F.col("seg_no") - F.shiftright("_anchor", 1)
     opens = F.when(F.col("_changed"), (away + F.col("_anchor").bitwiseAND(F.lit(1))) % 2 == 1).otherwise(F.col("_new"))
-    d = running(d.withColumn("_open", opens.cast("int")), ks, "seg_no", F.col("_open"), "sum", "run")
+    d = settle(d.select(*ks, "seg_no", "pos", "layout", "cnt", opens.cast("int").alias("_open")))
+    d = running(d, ks, "seg_no", F.col("_open"), "sum", "run")
     runs = d.groupBy(*ks, "run").agg(
         F.min("seg_no").alias("seg_no"), F.count(F.lit(1)).alias("n_segs"), F.sum("cnt").alias("cnt"),
         F.min("pos").alias("pos"), F.max("pos").alias("_last"), F.first("layout").alias("layout"))
     stride = F.when(F.col("n_segs") > 1, F.call_function("div", F.col("_last") - F.col("pos"), F.col("n_segs") - 1))
-    return running(runs.withColumn("stride", stride).drop("_last"), ks, "run", F.col("cnt"), "sum", "start", inclusive=False)
+    runs = settle(runs.withColumn("stride", stride).drop("_last"))
+    return running(runs, ks, "run", F.col("cnt"), "sum", "start", inclusive=False)
 
 
 def coverage_check(parts: DataFrame, channels: DataFrame) -> DataFrame:

@@ -6,19 +6,18 @@ channel has at most TOP_BUCKETS buckets.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import bounded
-from .envelope import bucket_of, clip, finish_envelope
+from .envelope import bucket_of, finish_envelope
 from .stats import STATE, merge_once, merge_states, raw_states, with_pivot
 
 BASE = 256
 # Size ratio between levels, and the bucket count at which a level is the top.
 FACTOR = 8
 TOP_BUCKETS = 64
+MAX_LEVELS = 15  # enough for 2^56 samples
 
 
 def level0(samples: DataFrame, channels: DataFrame, base: int = BASE, n_channels: int | None = None) -> DataFrame:
@@ -41,12 +40,10 @@ def n_levels(length: int, base: int) -> int:
     return count
 
 
-def level_count(length: Column, base: int, most: int) -> Column:
-    """`n_levels` as an expression (most: largest level count of the store)."""
-    out = F.lit(1)
-    for k in range(1, most):
-        out = out + (F.ceil(length / F.lit(float(base * FACTOR ** (k - 1)))) > TOP_BUCKETS).cast("int")
-    return out
+def level_count(length: str, base: int) -> str:
+    """`n_levels` as a SQL expression: one more for each level that has more than TOP_BUCKETS buckets."""
+    limits = ", ".join(f"{TOP_BUCKETS * base * FACTOR ** k}L" for k in range(MAX_LEVELS))
+    return f"size(filter(array({limits}), x -> x < {length})) + 1"
 
 
 def build_rollup(spark: SparkSession, samples: DataFrame, channels: DataFrame, path: str, base: int = BASE,
@@ -54,17 +51,17 @@ def build_rollup(spark: SparkSession, samples: DataFrame, channels: DataFrame, p
     """Write the rollup to `path`, partitioned by level; each level reads the one below from disk."""
     if base < 2 or base & (base - 1):
         raise ValueError("base must be a power of two")
-    longest = channels.agg(F.max("length")).first()[0] or 0
-    most = n_levels(longest, base)
-    sizes = channels.select("channel_id", level_count(F.col("length"), base, most).alias("levels"))
+    sizes = channels.select("channel_id", F.expr(level_count("length", base)).alias("levels"))
+    most = n_levels(channels.agg(F.max("length")).first()[0] or 0, base)
     states = level0(samples, channels, base, n_channels)
     for level in range(most):
         if level:
-            below = spark.read.parquet(f"{path}/level={level - 1}")
+            below = spark.read.parquet(f"{path}/part={level - 1}").drop("level")
             tall = bounded(sizes.filter(F.col("levels") > level).select("channel_id"), n_channels)
             states = next_level(below.join(tall, "channel_id", "left_semi"))
-        states.sortWithinPartitions("channel_id", "bucket").write.parquet(f"{path}/level={level}")
-    return spark.read.parquet(path)
+        # The level is a stored column, so its filters reach the row groups together with the bucket range.
+        states.withColumn("level", F.lit(level)).sortWithinPartitions("channel_id", "bucket").write.parquet(f"{path}/part={level}")
+    return spark.read.parquet(path).drop("part")
 
 
 def rollup_base(channels: DataFrame, budget: int, base: int = BASE) -> int:
@@ -80,12 +77,9 @@ def bucket_mean(buckets: DataFrame) -> DataFrame:
     return buckets.withColumn("mean", F.when(F.col("n") > 0, F.col("pv") + F.col("dl")))
 
 
-def _up(j: Column, k: int) -> Column:
-    return F.ceil(j / F.lit(float(FACTOR ** k)))
-
-
-def _down(j: Column, k: int) -> Column:
-    return F.floor(j / F.lit(float(FACTOR ** k)))
+def _within(level: int, spans: list[tuple[int, int]]) -> str:
+    """Pushable filter: this level and a bucket inside one of the (inclusive) spans."""
+    return f"(level = {level} AND ({' OR '.join(f'bucket BETWEEN {lo} AND {hi}' for lo, hi in spans)}))"
 
 
 def range_states(samples: DataFrame, buckets: DataFrame, channels: DataFrame, ranges: DataFrame, base: int = BASE,
@@ -97,50 +91,39 @@ def range_states(samples: DataFrame, buckets: DataFrame, channels: DataFrame, ra
     level 0, each level contributes the buckets that the level above cannot cover whole; the walk
     stops at the top level or where the level above has no whole bucket inside. At most
     2 * (FACTOR - 1) buckets per level, TOP_BUCKETS at the top and 2 * (base - 1) samples per range.
+
+    One row of bounds over all ranges becomes literal filters of the two scans.
     """
     keys = [c for c in ranges.columns if c not in ("i0", "i1")]
-    sizes = channels.select("channel_id", "length", "pivot")
-    longest = channels.agg(F.max("length")).first()[0] or 0
-    most = n_levels(longest, base)
-    r = ranges.join(bounded(sizes, n_channels), "channel_id")
-    r = r.withColumn("i0", F.greatest("i0", F.lit(0))).withColumn("i1", F.least("i1", "length"))
-    r = r.withColumn("j0", F.ceil(F.col("i0") / F.lit(float(base)))).withColumn("j1", F.floor(F.col("i1") / F.lit(float(base))))
-    r = r.filter(F.col("i1") > F.col("i0")).withColumn("levels", level_count(F.col("length"), base, most))
-    whole = F.col("j1") > F.col("j0")
-    lo0, lo1, hi0, hi1 = r.agg(F.min("i0"), F.max("i0"), F.min("i1"), F.max("i1")).first()
-    if lo0 is None:
-        lo0 = lo1 = hi0 = hi1 = 0
-    parts = []
+    r = ranges.join(bounded(channels.select("channel_id", "length", "pivot"), n_channels), "channel_id").selectExpr(
+        *keys, "length", "pivot", "greatest(i0, 0L) AS i0", "least(i1, length) AS i1").filter("i1 > i0")
+    r = r.selectExpr("*", f"ceil(i0 / {base}D) AS j0", f"floor(i1 / {base}D) AS j1", f"{level_count('length', base)} AS levels")
+    row = r.selectExpr("min(i0)", "max(i0)", "min(i1)", "max(i1)", "max(levels)").first()
+    lo0, lo1, hi0, hi1, most = (0 if x is None else x for x in row)
+    r = bounded(r, n_channels)
 
     # Raw edges: the samples before the first and after the last whole bucket (all of a short range).
-    near = (F.col("sample_idx").between(lo0, lo1 + 2 * base) | F.col("sample_idx").between(hi0 - 2 * base, hi1))
-    edge = samples.select("channel_id", "sample_idx", "v").filter(near)
-    edge = edge.join(bounded(r, n_channels), "channel_id").filter(
-        (F.col("sample_idx") >= F.col("i0")) & (F.col("sample_idx") < F.col("i1"))
-        & (~whole | (F.col("sample_idx") < F.col("j0") * base) | (F.col("sample_idx") >= F.col("j1") * base)))
-    side = F.when(whole & (F.col("sample_idx") >= F.col("j1") * base), F.lit(1)).otherwise(F.lit(0))
-    edges = raw_states(edge.withColumn("side", side), [*keys, "side"])
-    parts.append(edges.select(*keys, F.lit(0).alias("slot"),
-                              F.when(F.col("side") == 0, F.lit(-1)).otherwise(F.lit(1 << 62)).cast("bigint").alias("start"), *STATE))
-
+    near = f"sample_idx BETWEEN {lo0} AND {lo1 + 2 * base} OR sample_idx BETWEEN {hi0 - 2 * base} AND {hi1}"
+    edge = samples.select("channel_id", "sample_idx", "v").filter(near).join(r, "channel_id").filter(
+        f"sample_idx >= i0 AND sample_idx < i1 AND (j1 <= j0 OR sample_idx < j0 * {base} OR sample_idx >= j1 * {base})")
+    edge = edge.selectExpr("*", f"CASE WHEN j1 > j0 AND sample_idx >= j1 * {base} THEN j1 * {base} ELSE i0 END AS start")
+    edges = raw_states(edge, [*keys, "start"])
+
+    # Stored buckets: near each end of the range, at most TOP_BUCKETS away on every level.
+    spans = []
     for k in range(most):
-        a, b = _up(F.col("j0"), k), _down(F.col("j1"), k)
-        ua, ub = _up(F.col("j0"), k + 1), _down(F.col("j1"), k + 1)
-        here = (F.col("levels") > k) & (a < b)
-        above = (F.col("levels") > k + 1) & (ua < ub)
-        first, last = -(-lo0 // (base * FACTOR ** k)), hi1 // (base * FACTOR ** k)
-        first_end = -(-lo1 // (base * FACTOR ** k)) + TOP_BUCKETS
-        last_start = hi0 // (base * FACTOR ** k) - TOP_BUCKETS
-        window = (F.col("bucket").between(first, first_end) | F.col("bucket").between(last_start, last))
-        stored = buckets.filter((F.col("level") == k) & window).withColumnRenamed("bucket", "_at")
-        at = F.col("_at")
-        pick = here & (at >= a) & (at < b) & ~(above & (at >= ua * FACTOR) & (at < ub * FACTOR))
-        got = stored.join(bounded(r.drop("pivot"), n_channels), "channel_id").filter(pick)
-        parts.append(got.select(*keys, F.lit(k).alias("slot"), (at * (base * FACTOR ** k)).alias("start"), *STATE))
-
-    pieces = reduce(DataFrame.unionByName, parts)
+        unit = base * FACTOR ** k
+        spans.append(_within(k, [(lo0 // unit, -(-lo1 // unit) + TOP_BUCKETS), (hi0 // unit - TOP_BUCKETS, hi1 // unit)]))
+    stored = buckets.filter(" OR ".join(spans) or "false").withColumnRenamed("bucket", "_at")
+    got = stored.join(r.drop("pivot"), "channel_id").selectExpr("*", f"power({FACTOR}D, level) AS _unit")
+    got = got.filter("_at >= ceil(j0 / _unit) AND _at < floor(j1 / _unit)").filter(f"""NOT (level + 1 < levels
+        AND ceil(j0 / (_unit * {FACTOR})) < floor(j1 / (_unit * {FACTOR}))
+        AND _at >= ceil(j0 / (_unit * {FACTOR})) * {FACTOR} AND _at < floor(j1 / (_unit * {FACTOR})) * {FACTOR})""")
+    got = got.withColumn("start", F.expr(f"bigint(_at * _unit * {base})"))
+
     # At most 2 + levels * 2 * (FACTOR - 1) + TOP_BUCKETS states per range.
-    return merge_once(pieces, keys, "start")
+    cols = [*keys, "start", *STATE]
+    return merge_once(edges.select(cols).unionByName(got.select(cols)), keys, "start")
 
 
 def rollup_envelope(samples: DataFrame, buckets: DataFrame, channels: DataFrame, ranges: DataFrame,
@@ -150,44 +133,27 @@ def rollup_envelope(samples: DataFrame, buckets: DataFrame, channels: DataFrame,
     Whole buckets are regrouped stored buckets; the clipped first and last bucket are exact range
     states. Same columns as `envelope`.
     """
-    longest = channels.agg(F.max("length")).first()[0] or 0
-    most = n_levels(longest, base)
+    sizes = ", ".join(f"{base * FACTOR ** k}L" for k in range(1, MAX_LEVELS))
     plan = ranges.select("channel_id", "i0", "i1", "b").join(
         bounded(channels.select("channel_id", "length"), n_channels), "channel_id")
-    plan = plan.withColumn("levels", level_count(F.col("length"), base, most))
-    level = F.lit(0)
-    for k in range(1, most):
-        level = level + ((F.col("levels") > k) & (F.lit(base * FACTOR ** k) <= F.col("b"))).cast("int")
-    plan = plan.withColumn("level", level.cast("int"))
-    plan = plan.withColumn("size", F.lit(float(base)) * F.pow(F.lit(float(FACTOR)), "level")).withColumn(
-        "size", F.col("size").cast("bigint"))
-    plan = plan.withColumn("a", F.least("i1", F.ceil(F.col("i0") / F.col("b")) * F.col("b"))).withColumn(
-        "z", F.greatest("a", F.floor(F.col("i1") / F.col("b")) * F.col("b")))
-
-    lo, hi = plan.agg(F.min("a"), F.max("z")).first()
-    used = [row[0] for row in plan.select("level").distinct().collect()]  # at most `most` rows
-    bodies = []
-    for k in used:
-        size = base * FACTOR ** k
-        stored = buckets.filter((F.col("level") == k) & F.col("bucket").between((lo or 0) // size, (hi or 0) // size))
-        mine = plan.filter(F.col("level") == k).drop("level", "length", "levels")
-        got = stored.join(bounded(mine, n_channels), "channel_id").filter(
-            (F.col("bucket") * F.col("size") >= F.col("a")) & (F.col("bucket") * F.col("size") < F.col("z")))
-        bodies.append(got.groupBy(
-            "channel_id", bucket_of(F.col("bucket") * F.col("size"), "b").alias("bucket"), "i0", "i1", "b").agg(
-            F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("mn").alias("mn"), F.max("mx").alias("mx")))
-
-    first = plan.filter(F.col("a") > F.col("i0")).select(
-        "channel_id", bucket_of("i0", "b").alias("bucket"), "b", F.col("i0").alias("w0"), F.col("i1").alias("w1"),
-        "i0", F.col("a").alias("i1"))
-    final = plan.filter(F.col("i1") > F.col("z")).select(
-        "channel_id", bucket_of("z", "b").alias("bucket"), "b", F.col("i0").alias("w0"), F.col("i1").alias("w1"),
-        F.col("z").alias("i0"), "i1")
-    ends = first.unionByName(final)
+    plan = plan.selectExpr("channel_id", "i0", "i1", "b", "least(i1, ceil(i0 / double(b)) * b) AS a",
+                           f"least({level_count('length', base)} - 1, size(filter(array({sizes}), x -> x <= b))) AS level")
+    plan = plan.selectExpr("*", "greatest(a, floor(i1 / double(b)) * b) AS z", f"bigint(power({FACTOR}D, level) * {base}) AS size")
+
+    bounds = plan.groupBy("level").agg(F.min("a"), F.max("z")).collect()  # one row per level in use
+    used = [_within(k, [(lo // (base * FACTOR ** k), hi // (base * FACTOR ** k))]) for k, lo, hi in bounds]
+    body = buckets.filter(" OR ".join(used) or "false").join(bounded(plan, n_channels), ["channel_id", "level"])
+    body = body.filter("bucket * size >= a AND bucket * size < z").selectExpr(
+        "channel_id", "(bucket * size) DIV b AS bucket", "i0", "i1", "b", "n", "total", "mn", "mx")
+    body = body.groupBy("channel_id", "bucket", "i0", "i1", "b").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+
+    ends = plan.selectExpr("channel_id", "b", "i0 AS w0", "i1 AS w1", """inline(array(
+        named_struct('i0', i0, 'i1', a), named_struct('i0', z, 'i1', i1)))""").filter("i1 > i0")
+    ends = ends.withColumn("bucket", F.expr("i0 DIV b"))
     states = range_states(samples, buckets, channels, ends, base, None if n_channels is None else 2 * n_channels)
-    clipped = states.select("channel_id", "bucket", F.col("w0").alias("i0"), F.col("w1").alias("i1"), "b",
-                            "n", "total", "mn", "mx")
-    return finish_envelope(reduce(DataFrame.unionByName, [clipped, *bodies]))
+    clipped = states.selectExpr("channel_id", "bucket", "w0 AS i0", "w1 AS i1", "b", "n", "total", "mn", "mx")
+    return finish_envelope(clipped.unionByName(body.select(clipped.columns)))
 
 
 def covered_prefix(buckets: DataFrame, channels: DataFrame, base: int = BASE) -> DataFrame:
@@ -217,5 +183,5 @@ def overrun(samples: DataFrame, channels: DataFrame, n_channels: int | None = No
         (F.col("sample_idx") >= F.col("length")) | (F.col("sample_idx") < 0)).drop("length")
 
 
-__all__ = ["BASE", "FACTOR", "TOP_BUCKETS", "build_rollup", "bucket_mean", "clip", "covered_prefix", "level0",
+__all__ = ["BASE", "FACTOR", "TOP_BUCKETS", "build_rollup", "bucket_mean", "covered_prefix", "level0",
            "merge_states", "n_levels", "next_level", "overrun", "range_states", "rollup_base", "rollup_envelope"]

@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .scan import running
 
 MAX_CELLS = 2_000_000
@@ -24,10 +25,11 @@ def interval_merge(intervals: DataFrame, key: str, block: int = 1 << 16) -> Data
 
     Equal starts are combined first, so a block of starts never holds more rows than its width.
     """
-    starts = intervals.groupBy(key, "r0").agg(F.max("r1").alias("r1"))
+    starts = settle(intervals.groupBy(key, "r0").agg(F.max("r1").alias("r1")))
     seen = running(starts, [key], "r0", F.col("r1"), "max", "_seen", inclusive=False, block=block)
     opens = F.col("_seen").isNull() | (F.col("r0") > F.col("_seen"))
-    marked = running(seen.withColumn("_open", opens.cast("int")), [key], "r0", F.col("_open"), "sum", "island", block=block)
+    seen = settle(seen.select(key, "r0", "r1", opens.cast("int").alias("_open")))
+    marked = running(seen, [key], "r0", F.col("_open"), "sum", "island", block=block)
     return marked.groupBy(key, "island").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).drop("island")
 
 

@@ -1,4 +1,4 @@
-"""Running aggregates and lag over long ordered groups, without one task per group.
+"""Running aggregates over long ordered groups, without one task per group.
 
 The group is cut into blocks of the integer order column. A window runs inside each block; the
 block totals (a table smaller by the block size) carry the state across blocks. A hot group thus
@@ -17,7 +17,10 @@ BLOCK = 1 << 16
 
 def running(df: DataFrame, keys: list[str], order: str, value: Column, how: str, out: str,
             inclusive: bool = True, block: int = BLOCK) -> DataFrame:
-    """Add the running sum or max of `value` in `order` (unique integers within a key)."""
+    """Add the running sum or max of `value` in `order` (unique integers within a key).
+
+    df is read twice (totals and rows): settle it first unless it is a plain scan.
+    """
     agg = {"sum": F.sum, "max": F.max}[how]
     rows = df.withColumn("_blk", bucket_of(order, block)).withColumn("_val", value)
     totals = rows.groupBy(*keys, "_blk").agg(agg("_val").alias("_tot"))
@@ -30,12 +33,3 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, how: str,
     both = (F.coalesce("_local", zero) + F.coalesce("_carry", zero)) if how == "sum" else F.greatest("_local", "_carry")
     return joined.withColumn(out, both).drop("_blk", "_val", "_local", "_carry")
 
-
-def previous(df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int = BLOCK) -> DataFrame:
-    """Add the value of the previous row in `order` (unique integers within a key)."""
-    rows = df.withColumn("_blk", bucket_of(order, block)).withColumn("_val", F.struct(value.alias("v")))
-    ends = rows.groupBy(*keys, "_blk").agg(F.max(F.struct(F.col(order).alias("o"), F.col("_val").alias("p"))).alias("_end"))
-    carry = ends.select(*keys, "_blk", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_blk")).alias("_before"))
-    local = Window.partitionBy(*keys, "_blk").orderBy(order)
-    joined = rows.withColumn("_local", F.lag("_val").over(local)).join(carry, [*keys, "_blk"])
-    return joined.withColumn(out, F.coalesce("_local", "_before.p")["v"]).drop("_blk", "_val", "_local", "_before")

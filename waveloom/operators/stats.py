@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import INF, finite, present
 from ..session import bounded
 
 STATE = ["n", "total", "mn", "mx", "pv", "dl", "m2"]
@@ -23,27 +22,19 @@ def state_columns(v: str = "v", ref: str = "pivot", order: str = "sample_idx") -
 
     All buffers are primitive, so Spark aggregates map-side in generated code.
     """
-    ok, x = finite(v), present(v)
-    d = x - F.coalesce(F.col(ref), F.lit(0.0))
-    return [
-        F.count(x).alias("n"),
-        F.count(F.lit(1)).alias("total"),
-        F.min(x).alias("mn"),
-        F.max(x).alias("mx"),
-        F.min_by(F.when(ok, F.col(v)), F.when(ok, F.col(order))).alias("pv"),
-        F.avg(d).alias("_avg"),
-        F.var_pop(d).alias("_var"),
-        F.first(ref, ignorenulls=True).alias("_ref"),
-    ]
-
-
-def close_state(df: DataFrame, keys: list) -> DataFrame:
+    x = f"CASE WHEN NOT isnan({v}) THEN {v} END"
+    d = f"({x}) - coalesce({ref}, 0D)"
+    return [F.expr(e) for e in (
+        f"count({x}) AS n", "count(1) AS total", f"min({x}) AS mn", f"max({x}) AS mx",
+        f"min_by({v}, {order}) FILTER (WHERE abs({v}) < double('Infinity')) AS pv",
+        f"avg({d}) AS _avg", f"var_pop({d}) AS _var", f"first({ref}, true) AS _ref")]
+
+
+def close_state(df: DataFrame, keys: list[str]) -> DataFrame:
     """Turn the aggregates of `state_columns` into the stored state."""
-    pv = F.coalesce("pv", F.lit(0.0))
-    return df.select(
-        *keys, "n", "total", "mn", "mx", pv.alias("pv"),
-        (F.col("_avg") - (pv - F.coalesce("_ref", F.lit(0.0)))).alias("dl"),
-        F.coalesce(F.col("_var") * F.col("n"), F.lit(0.0)).alias("m2"))
+    return df.selectExpr(
+        *keys, "n", "total", "mn", "mx", "coalesce(pv, 0D) AS pv",
+        "_avg - (coalesce(pv, 0D) - coalesce(_ref, 0D)) AS dl", "coalesce(_var * n, 0D) AS m2")
 
 
 def with_pivot(samples: DataFrame, channels: DataFrame, n_channels: int | None) -> DataFrame:
@@ -56,32 +47,20 @@ def raw_states(samples: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
     return close_state(samples.groupBy(*keys).agg(*state_columns(v)), keys)
 
 
-def merged_array(states: Column) -> Column:
-    """Merge a short, ordered array of non-empty states relative to the first pivot."""
-    ref = states[0]["pv"]
-    zero = F.lit(0.0)
-
-    def rel(s):
-        return (s["pv"] - ref) + s["dl"]
-
-    n = F.aggregate(states, zero, lambda a, s: a + s["n"])
-    em = F.aggregate(states, zero, lambda a, s: a + s["n"] * rel(s)) / n
-    m2 = F.aggregate(states, zero, lambda a, s: a + s["m2"] + s["n"] * (rel(s) - em) * (rel(s) - em))
-    some = F.size(states) > 0
-    return F.struct(F.when(some, ref).alias("pv"), F.when(some, em).alias("dl"),
-                    F.when(some, m2).otherwise(zero).alias("m2"))
-
-
 def merge_once(states: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Merge the states of each key. Only for groups of bounded size (see `merge_states`)."""
-    part = F.struct(F.col(order).alias("o"), F.col("n").cast("double").alias("n"), "pv", "dl", "m2")
-    out = states.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("mn").alias("mn"), F.max("mx").alias("mx"),
-        F.array_sort(F.collect_list(F.when(F.col("n") > 0, part))).alias("_parts"))
-    m = merged_array(F.col("_parts"))
-    return out.withColumn("_m", m).select(
-        *keys, "n", "total", "mn", "mx", F.coalesce("_m.pv", F.lit(0.0)).alias("pv"),
-        F.col("_m.dl").alias("dl"), F.coalesce("_m.m2", F.lit(0.0)).alias("m2"))
+    """Merge the states of each key relative to the pivot of the first non-empty one.
+
+    Only for groups of bounded size (see `merge_states`): the states of a group become one array.
+    """
+    part = f"named_struct('o', {order}, 'n', double(n), 'pv', pv, 'dl', dl, 'm2', m2)"
+    out = states.groupBy(*keys).agg(*[F.expr(e) for e in (
+        "sum(n) AS n", "sum(total) AS total", "min(mn) AS mn", "max(mx) AS mx",
+        f"array_sort(collect_list({part}) FILTER (WHERE n > 0)) AS _s")])
+    mean = "(s.pv - _s[0].pv) + s.dl"  # of a state, relative to the first pivot
+    out = out.selectExpr("*", f"aggregate(_s, 0D, (a, s) -> a + s.n * ({mean})) / nullif(double(n), 0D) AS _em")
+    spread = f"aggregate(_s, 0D, (a, s) -> a + s.m2 + s.n * power(({mean}) - _em, 2))"
+    return out.selectExpr(*keys, "n", "total", "mn", "mx", "coalesce(try_element_at(_s, 1).pv, 0D) AS pv", "_em AS dl",
+                          f"CASE WHEN n > 0 THEN {spread} ELSE 0D END AS m2")
 
 
 def merge_states(states: DataFrame, keys: list[str], order: str, span: int) -> DataFrame:
@@ -102,17 +81,11 @@ def with_statistics(states: DataFrame) -> DataFrame:
 
     Undefined results (no samples; n < 2 for std) are NULL.
     """
-    some = F.col("n") > 0
-    mean = F.when(some, F.col("pv") + F.col("dl"))
-    has_inf = (F.col("mn") == -INF) | (F.col("mx") == INF) | (F.col("mn") == INF) | (F.col("mx") == -INF)
-    power = mean * mean + F.col("m2") / F.col("n")
-    return (
-        states.withColumn("mean", mean)
-        .withColumn("std", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))))
-        .withColumn("rms", F.when(some, F.when(has_inf, F.lit(INF)).otherwise(F.sqrt(power))))
-        .withColumn("p2p", F.col("mx") - F.col("mn"))
-        .withColumn("n_nan", F.col("total") - F.col("n"))
-    )
+    has_inf = "abs(mn) = double('Infinity') OR abs(mx) = double('Infinity')"
+    return states.selectExpr("*", "CASE WHEN n > 0 THEN pv + dl END AS mean").selectExpr(
+        "*", "CASE WHEN n > 1 THEN sqrt(m2 / (n - 1)) END AS std",
+        f"CASE WHEN n > 0 THEN CASE WHEN {has_inf} THEN double('Infinity') ELSE sqrt(mean * mean + m2 / n) END END AS rms",
+        "mx - mn AS p2p", "total - n AS n_nan")
 
 
 def range_stats(samples: DataFrame, channels: DataFrame, i0: int | None = None, i1: int | None = None,

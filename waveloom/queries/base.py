@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.catalog import with_reference
 from ..operators.axis import linear_axis
 from ..operators.rollup import build_rollup
+from ..session import settle
 from ..sources.store import ChannelStore
 from ..sources.tables import event_channels, event_store, lineitem_store
 
@@ -47,11 +48,16 @@ def ranges_of(channels: DataFrame) -> DataFrame:
                            (F.col("length") - F.floor(F.col("length") / 7)).alias("i1"))
 
 
+_AXES: dict = {}
+
+
 def axes_of(store: ChannelStore) -> DataFrame:
-    """Waveform axes of the event channels: channel_id, length, x0, dx, s, e."""
-    cat = with_reference(event_channels(store).withColumn("file_id", F.lit(0)), 1)
-    return linear_axis(cat).select("channel_id", "length", "x0", "dx", F.lit(0).cast("bigint").alias("s"),
-                                   F.col("length").alias("e"))
+    """Waveform axes of the event channels, stored with the catalog: channel_id, length, x0, dx, s, e."""
+    if store.path not in _AXES:
+        cat = with_reference(event_channels(store).withColumn("file_id", F.lit(0)), 1)
+        _AXES[store.path] = settle(linear_axis(cat).select(
+            "channel_id", "length", "x0", "dx", F.lit(0).cast("bigint").alias("s"), F.col("length").alias("e")), "axes")
+    return _AXES[store.path]
 
 
 def _rollup(spark: SparkSession, store: ChannelStore, base: int) -> DataFrame:

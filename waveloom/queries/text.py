@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import text as tx
 from ..functions import values as val
@@ -46,7 +47,7 @@ def text_decode(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", val.decode_text(raw).alias("d")).select("doc_id", "d.text", "d.is_utf8")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _to_extended(v: pd.Series) -> pd.Series:
     """Doubles as 80-bit extended floats in 16 bytes: the input of the decoder."""
     m, e = np.frexp(np.abs(v.to_numpy()))

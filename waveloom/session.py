@@ -61,3 +61,15 @@ def bounded(df: DataFrame, rows: int | None) -> DataFrame:
     if rows is not None and rows <= MAX_BROADCAST_ROWS:
         return F.broadcast(df)
     return df
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write df to the shared folder and read it back.
+
+    Cuts the lineage where a result is used more than once, so its input is not computed again
+    and the loss of an executor does not repeat it.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
