@@ -122,9 +122,15 @@ def decode_extended(raw: np.ndarray) -> np.ndarray:
 
 
 @F.pandas_udf(DoubleType())
-def extended_to_double(raw: pd.Series) -> pd.Series:
-    """Vectorised decoder for a BINARY(16) column of 80-bit extended floats."""
+def _extended_udf(raw: pd.Series) -> pd.Series:
     if raw.empty:
         return pd.Series([], dtype="float64")
     block = np.frombuffer(b"".join(bytes(b) for b in raw), dtype=np.uint8).reshape(-1, 16)
     return pd.Series(decode_extended(block))
+
+
+def extended_to_double(raw: str | Column) -> Column:
+    """Decoder for a BINARY(16) column of 80-bit extended floats; bad values are NaN (Arrow hands them back as NULL)."""
+    raw = _col(raw)
+    value = _extended_udf(F.coalesce(raw, F.unhex(F.lit("00" * 16))))
+    return F.when(raw.isNotNull(), F.coalesce(value, F.lit(float("nan"))))

@@ -171,7 +171,7 @@ def _layout(entries: list[dict], toc: int, nbytes: int) -> list[dict]:
             tail = rest // width
         elif rest and item:
             tail = min(e["npc"], left // item)
-            left -= tail * item
+            left = left - size if tail == e["npc"] else 0  # bytes after a cut value belong to no object
         base = {"path": e["path"], "type_code": e["code"], "item": item, "npc": e["npc"], "rel": rel, "blob": e["blob"],
                 "daqmx": e["daqmx"]}
         if rows:  # one strided run over all rows
