@@ -15,7 +15,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     session = (
         builder("tests").master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g")
+        .config("spark.sql.maxMetadataStringLength", "10000").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

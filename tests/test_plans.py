@@ -59,10 +59,19 @@ def test_no_window_without_partition(spark, sf_dir):
 
 
 def test_hot_channel_is_spread(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _hot_channel(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _hot_channel(spark):
     rows = spark.range(0, 50_000).selectExpr("IF(id % 10 < 9, 'hot', 'cold') AS channel_id", "hash(id) AS k", "id")
     out = with_sample_index(spark, rows, "channel_id", ["k", "id"])
-    per = out.filter("channel_id = 'hot'").groupBy(F.spark_partition_id()).count().collect()
-    assert len(per) > 1
+    staged = spark.read.parquet(*[f for f in out.inputFiles() if "/staged-" in f])
+    files = staged.filter("channel_id = 'hot'").groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 6 and max(r["count"] for r in files) < 15_000
     want = rows.selectExpr("id", "row_number() OVER (PARTITION BY channel_id ORDER BY k, id) - 1 AS sample_idx")
     assert out.select("id", F.col("sample_idx").cast("int")).exceptAll(want).count() == 0
     assert out.count() == 50_000
@@ -177,7 +186,8 @@ def test_statistics_text(spark, sf_dir, tmp_path):
     s = event_store(spark, sf_dir)
     cat = s.channels.withColumn("label", F.col("channel_id")).withColumn("unit", F.lit("V"))
     table = readout.stats_table(s.samples, None, cat, axes_of(s), (-1e9, 1e9), [], n_channels=s.n_channels)
-    table = table.selectExpr("*", "double(null) AS c1", "double(null) AS c2", "double(null) AS c2_c1")
+    number = spark.createDataFrame([(r[0], i) for i, r in enumerate(sorted(cat.select("channel_id").collect()))], "channel_id string, channel_no int")
+    table = table.selectExpr("*", "double(null) AS c1", "double(null) AS c2", "double(null) AS c2_c1").join(number, "channel_id")
     text = readout.stats_text(table)
     assert text.columns == readout.STATS_COLUMNS
     export.write_tsv(text, str(tmp_path / "tsv"))

@@ -241,9 +241,11 @@ def points_extent(points: DataFrame) -> DataFrame:
     return points.agg(F.min(x).alias("x_min"), F.max(x).alias("x_max"))
 
 
-def interpolate_x(requests: DataFrame, points: DataFrame) -> DataFrame:
+def interpolate_x(requests: DataFrame, points: DataFrame, n_requests: int | None = None) -> DataFrame:
     """x at a fractional index: linear between neighbours, clamped at the ends.
 
+    A known, small number of requests (the bucket centers of a plot) is broadcast to the points.
+
     requests: channel_id, at (fractional index), n (length of the X channel). A whole index takes
     the stored value itself, even next to NaN or Inf.
     """
@@ -252,6 +254,9 @@ def interpolate_x(requests: DataFrame, points: DataFrame) -> DataFrame:
     want = want.withColumn("_f", F.greatest(F.least(F.col("at") - F.col("_i"), F.lit(1.0)), F.lit(0.0)))
     left = points.select("channel_id", F.col("sample_idx").alias("_i"), F.col("x").alias("_xi"))
     right = points.select("channel_id", F.col("sample_idx").alias("_j"), F.col("x").alias("_xj"))
+    if n_requests is not None:
+        left = left.join(bounded(want.select("channel_id", "_i").distinct(), n_requests), ["channel_id", "_i"], "left_semi")
+        right = right.join(bounded(want.select("channel_id", "_j").distinct(), n_requests), ["channel_id", "_j"], "left_semi")
     both = want.join(left, ["channel_id", "_i"], "left").join(right, ["channel_id", "_j"], "left")
     x = F.when(F.col("_f") > 0, F.col("_xi") + F.col("_f") * (F.col("_xj") - F.col("_xi"))).otherwise(F.col("_xi"))
     return both.withColumn("x", x).drop("_i", "_j", "_f", "_xi", "_xj")

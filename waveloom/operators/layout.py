@@ -99,11 +99,17 @@ def probe_points(rows: DataFrame, channels: DataFrame) -> DataFrame:
     return ends.unionByName(spread).distinct()
 
 
-def reconcile_probe(rows: DataFrame, reference: DataFrame, points: DataFrame) -> DataFrame:
-    """Bit-exact comparison of v at the probe points: per channel the probes and the differences."""
-    a = rows.select("channel_id", "sample_idx", F.col("v").alias("_a"))
-    b = reference.select("channel_id", "sample_idx", F.col("v").alias("_b"))
-    both = points.join(a, ["channel_id", "sample_idx"], "left").join(b, ["channel_id", "sample_idx"], "left")
+def reconcile_probe(rows: DataFrame, reference: DataFrame, points: DataFrame, n_channels: int | None = None) -> DataFrame:
+    """Bit-exact comparison of v at the probe points: per channel the probes and the differences.
+
+    A channel has at most SPREAD_PROBES + 2 * MAX_PROBED_KINDS probes: they are broadcast to both tables.
+    """
+    most = None if n_channels is None else n_channels * (SPREAD_PROBES + 2 * MAX_PROBED_KINDS)
+    points = settle(points)
+    keys = ["channel_id", "sample_idx"]
+    a = rows.select(*keys, F.col("v").alias("_a")).join(bounded(points, most), keys, "left_semi")
+    b = reference.select(*keys, F.col("v").alias("_b")).join(bounded(points, most), keys, "left_semi")
+    both = points.join(a, keys, "left").join(b, keys, "left")
     return both.groupBy("channel_id").agg(
         F.count(F.lit(1)).alias("n_probes"), F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_diff"))
 

@@ -104,10 +104,11 @@ def cursor_row(axes: DataFrame, x: float, start: int) -> DataFrame:
     return nearest_linear(first, [x]).select("channel_id", "sample_idx", (F.col("sample_idx") - start).alias("row"))
 
 
-def stats_text(table: DataFrame, order: str = "channel_id") -> DataFrame:
-    """The statistics table as exact text columns under the exported header."""
-    from pyspark.sql import Window
-    number = F.row_number().over(Window.orderBy(order)) - 1  # one row per channel of the selection
+def stats_text(table: DataFrame, number: str = "channel_no") -> DataFrame:
+    """The statistics table as exact text columns under the exported header.
+
+    number: column with the position of the channel in the selection.
+    """
     cells = [F.format_string("%02d", number), F.col("label"), F.col("unit"), F.col("n").cast("string"), F.col("n_nan").cast("string")]
     cells += [F.coalesce(format_float(c), F.lit("")) for c in ("mn", "mx", "p2p", "mean", "std", "rms", "c1", "c2", "c2_c1")]
     return table.select(*[c.alias(h) for c, h in zip(cells, STATS_COLUMNS)])

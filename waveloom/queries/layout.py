@@ -104,7 +104,7 @@ def reconcile_probe(spark, sf_dir):
     s = lineitem_store(spark, sf_dir)
     points = lay.probe_points(s.samples.select("channel_id", "sample_idx", F.col("l_linenumber").alias("sig")), s.channels)
     other = s.samples.withColumn("v", F.when(F.col("k") % 3 == 0, F.col("v") + 1).otherwise(F.col("v")))
-    return lay.reconcile_probe(s.samples, other, points)
+    return lay.reconcile_probe(s.samples, other, points, s.n_channels)
 
 
 @query("mixed_layout", """SELECT o_custkey AS file_id, bool_or((toc & 160) <> 0) AS mixed FROM (SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN 46 WHEN '2-HIGH' THEN 142

@@ -8,7 +8,7 @@ from ..functions.values import present
 from ..operators import envelope as env
 from ..operators import rollup as roll
 from ..operators import stats as st
-from ..session import new_path
+from ..session import bounded, new_path
 from ..sources.tables import event_channels
 from ..streaming.rollup import read_rollup, start_rollup
 from .base import (C, L, LC, LG, S, SG, event_store, gappy, lineitem_rollup, lineitem_store, moments, rnd, rnd_sql, ranges_of, rng,
@@ -200,7 +200,7 @@ _PART = "(channel_id <> 'NO' OR sample_idx // 16 <> (length // 16) // 2) AND (ch
 def covered_prefix(spark, sf_dir):
     """One channel lost a bucket in its middle, one still misses its last samples."""
     s = lineitem_store(spark, sf_dir)
-    here = s.samples.join(F.broadcast(s.channels.select("channel_id", "length")), "channel_id").filter(_PART.replace("//", "DIV"))
+    here = s.samples.join(bounded(s.channels.select("channel_id", "length"), s.n_channels), "channel_id").filter(_PART.replace("//", "DIV"))
     return roll.covered_prefix(roll.level0(here.drop("length"), s.channels, BASE, s.n_channels), s.channels, BASE)
 
 
@@ -232,7 +232,7 @@ def int_relative(spark, sf_dir):
     s = lineitem_store(spark, sf_dir)
     zero = s.samples.filter("sample_idx = 0").select("channel_id", F.col("k").alias("k0"))
     u = F.lit("18446744073709000000").cast("decimal(20,0)")
-    return s.samples.join(F.broadcast(zero) if s.n_channels < 100_000 else zero, "channel_id").select(
+    return s.samples.join(bounded(zero, s.n_channels), "channel_id").select(
         "channel_id", "sample_idx", rel("k", "k0").alias("rel"),
         unsigned_relative(F.col("k").cast("decimal(20,0)") + u, F.col("k0").cast("decimal(20,0)") + u).alias("rel_unsigned"))
 
@@ -248,7 +248,6 @@ def time_relative(spark, sf_dir):
     t = s.samples.select("channel_id", "sample_idx", ns.alias("ns"))
     first = t.filter("sample_idx < 1024 AND ns IS NOT NULL").groupBy("channel_id").agg(F.min_by("ns", "sample_idx").alias("z"))
     zero = s.channels.select("channel_id").join(first, "channel_id", "left").select("channel_id", F.coalesce("z", F.lit(0)).alias("z"))
-    from ..session import bounded
     return t.join(bounded(zero, s.n_channels), "channel_id").select("channel_id", "sample_idx", rel("ns", "z").alias("s"))
 
 

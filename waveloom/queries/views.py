@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import present
 from ..operators import rows as rw
+from ..operators.catalog import unit_text
 from ..plans import export, plot, readout
 from .axis import XA, XB
 from .base import A, C, L, LC, S, SG, axes_of, event_rollup, event_store, gappy, lineitem_store, moments, rnd, rnd_sql
@@ -60,13 +61,15 @@ _CURSOR_ROWS = f"""CU AS (SELECT unnest([1, 2]) AS cursor_no, unnest([{STAT_CURS
   W AS (SELECT SG.channel_id, v FROM SG JOIN A ON SG.channel_id = A.channel_id
     WHERE x0 + sample_idx * dx BETWEEN {min(STAT_CURSORS)} AND {max(STAT_CURSORS)}), {moments('W', 'channel_id')},
   PV AS (SELECT channel_id, max(v) FILTER (WHERE cursor_no = 1) AS c1, max(v) FILTER (WHERE cursor_no = 2) AS c2 FROM CV GROUP BY channel_id)
-  SELECT A.channel_id, 'events/' || A.channel_id AS label, 'ms' AS unit, coalesce(n, 0) AS n, coalesce(total - n, 0) AS n_nan, mn, mx,
+  SELECT A.channel_id, 'events/' || A.channel_id AS label, CASE A.channel_id WHEN 'click' THEN '|z| [ms]' WHEN 'view' THEN 's since first sample' ELSE 'ms' END AS unit, coalesce(n, 0) AS n, coalesce(total - n, 0) AS n_nan, mn, mx,
     {rnd_sql('mx - mn')} AS p2p, {rnd_sql('mean')} AS mean, {_STD} AS std, {rnd_sql('sqrt(mean * mean + m2 / n)')} AS rms,
     c1, c2, {rnd_sql('c2 - c1')} AS c2_c1
   FROM A LEFT JOIN M ON A.channel_id = M.channel_id LEFT JOIN PV ON A.channel_id = PV.channel_id""")
 def stats_table(spark, sf_dir):
     s = event_store(spark, sf_dir)
-    cat = s.channels.withColumn("label", F.concat(F.lit("events/"), "channel_id")).withColumn("unit", F.lit("ms"))
+    kind = F.when(F.col("channel_id") == "click", "complex").when(F.col("channel_id") == "view", "time").otherwise("float")
+    cat = s.channels.withColumn("label", F.concat(F.lit("events/"), "channel_id")).withColumn("kind", kind).withColumn("unit", F.lit("ms"))
+    cat = cat.withColumn("unit", unit_text())
     # The cursor shows the stored value, the statistics skip the missing ones.
     out = readout.stats_table(gappy(s.samples), event_rollup(spark, sf_dir, BASE), cat, axes_of(s), (XA, XB), STAT_CURSORS, BASE, s.n_channels)
     raw = readout.cursor_delta(readout.cursor_pairs(readout.cursor_values(s.samples, axes_of(s), STAT_CURSORS, n_channels=s.n_channels)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded, new_path
+from ..session import bounded, new_path, settle
 
 _POS_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -31,10 +31,8 @@ def with_sample_index(spark: SparkSession, df: DataFrame, channel: str, order: l
         .write.parquet(staged)
     )
     rows = spark.read.parquet(staged).withColumn("_part", F.shiftright("_at", _POS_BITS))
-    runs = (
-        rows.groupBy(channel, "_part")
-        .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    )
+    runs = settle(rows.groupBy(channel, "_part").agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_cnt")), "runs")
     before = Window.partitionBy(channel).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select(
         channel, "_part",

@@ -18,13 +18,14 @@ from ..operators.stats import close_state, merge_once, state_columns
 
 
 def batch_states(batch: DataFrame, base: int = BASE) -> DataFrame:
-    """Partial level-0 states of one batch, with the first sample index of each partial."""
+    """Partial level-0 states of one batch; start = index of the pivot (last place if there is none)."""
     rows = batch.select("channel_id", "sample_idx", "v")
     ok = finite("v")
     pivots = rows.groupBy("channel_id").agg(
         F.min_by(F.when(ok, F.col("v")), F.when(ok, F.col("sample_idx"))).alias("pivot"))
     rows = rows.join(pivots, "channel_id").withColumn("bucket", bucket_of("sample_idx", base))
-    agg = rows.groupBy("channel_id", "bucket").agg(F.min("sample_idx").alias("start"), *state_columns())
+    start = F.coalesce(F.min(F.when(ok, F.col("sample_idx"))), F.lit(1 << 62))
+    agg = rows.groupBy("channel_id", "bucket").agg(start.alias("start"), *state_columns())
     return close_state(agg, ["channel_id", "bucket", "start"])
 
 
