@@ -52,25 +52,19 @@ def run_compress(parts: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> Data
     return running(runs, ks, "run", F.col("cnt"), "sum", "start", inclusive=False)
 
 
-def coverage_check(parts: DataFrame, channels: DataFrame) -> DataFrame:
+def coverage_check(parts: DataFrame, channels: DataFrame, n_channels: int | None = None) -> DataFrame:
     """Do the parts cover each channel exactly once? channel_id, length, covers.
 
     parts: channel_id, start, cnt. Every start adds one and every end removes one; the parts are
     an exact cover if all counts are positive and only position 0 (+1) and the length (-1) remain.
     """
-    edges = parts.select("channel_id", F.inline(F.array(
-        F.struct(F.col("start").alias("p"), F.lit(1).alias("d")),
-        F.struct((F.col("start") + F.col("cnt")).alias("p"), F.lit(-1).alias("d")))))
-    left = edges.groupBy("channel_id", "p").agg(F.sum("d").alias("d")).filter("d <> 0")
-    rest = left.join(channels.select("channel_id", "length"), "channel_id").groupBy("channel_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if((F.col("p") == 0) & (F.col("d") == 1)).alias("_first"),
-        F.count_if((F.col("p") == F.col("length")) & (F.col("d") == -1)).alias("_last"))
-    bad = parts.groupBy("channel_id").agg(F.bool_or(F.col("cnt") <= 0).alias("_bad"))
-    all_ = channels.select("channel_id", "length").join(rest, "channel_id", "left").join(bad, "channel_id", "left")
-    good = (F.col("_n") == 2) & (F.col("_first") == 1) & (F.col("_last") == 1) & ~F.col("_bad")
-    empty = (F.col("length") == 0) & F.col("_bad").isNull()
-    return all_.select("channel_id", "length", F.coalesce(good | empty, empty, F.lit(False)).alias("covers"))
+    edges = parts.selectExpr("channel_id", "cnt <= 0 AS bad", """inline(array(
+        named_struct('p', start, 'd', 1), named_struct('p', start + cnt, 'd', -1)))""")
+    left = edges.groupBy("channel_id", "p").agg(F.sum("d").alias("d"), F.bool_or("bad").alias("bad")).filter("d <> 0 OR bad")
+    rest = left.join(bounded(channels.select("channel_id", "length"), n_channels), "channel_id").groupBy("channel_id").agg(
+        F.expr("count_if(d <> 0) = 2 AND count_if(p = 0 AND d = 1) = 1 AND count_if(p = length AND d = -1) = 1 AND NOT bool_or(bad)").alias("_exact"))
+    out = channels.select("channel_id", "length").join(bounded(rest, n_channels), "channel_id", "left")
+    return out.select("channel_id", "length", F.coalesce("_exact", F.col("length") == 0).alias("covers"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], group: str) -> DataFrame:

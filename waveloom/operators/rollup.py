@@ -156,24 +156,24 @@ def rollup_envelope(samples: DataFrame, buckets: DataFrame, channels: DataFrame,
     return finish_envelope(clipped.unionByName(body.select(clipped.columns)))
 
 
-def covered_prefix(buckets: DataFrame, channels: DataFrame, base: int = BASE) -> DataFrame:
+def covered_prefix(buckets: DataFrame, channels: DataFrame, base: int = BASE, n_channels: int | None = None) -> DataFrame:
     """Samples of each channel covered by complete leading level-0 buckets.
 
-    The final partial bucket counts only when it closes the declared length. Row numbers over all
-    buckets of a channel are avoided: the first hole is the smallest bucket b that is not complete,
-    or whose successor is absent.
+    The final partial bucket counts only when it closes the declared length. No window over the
+    buckets of a channel: the prefix ends at the smallest bucket that is not complete although it
+    is the first one or follows a complete one.
     """
-    full = F.least(F.lit(base), F.col("length") - F.col("bucket") * base)
     level = buckets.filter("level = 0") if "level" in buckets.columns else buckets
-    done = level.select("channel_id", "bucket", "total").join(channels.select("channel_id", "length"), "channel_id")
-    done = done.filter(F.col("total") >= full).select("channel_id", "bucket")
-    after = done.select("channel_id", (F.col("bucket") + 1).alias("bucket"))
-    starts = channels.select("channel_id", F.lit(0).cast("bigint").alias("bucket"))
-    holes = after.unionByName(starts).join(done, ["channel_id", "bucket"], "left_anti")
-    gap = holes.groupBy("channel_id").agg(F.min("bucket").alias("gap"))
-    covered = F.least(F.col("gap") * base, F.col("length"))
-    return channels.select("channel_id", "length").join(gap, "channel_id").select(
-        "channel_id", "length", covered.alias("covered"), (covered == F.col("length")).alias("complete"))
+    sizes = bounded(channels.select("channel_id", "length"), n_channels)
+    done = level.select("channel_id", "bucket", "total").join(sizes, "channel_id").filter(
+        f"total >= least({base}, length - bucket * {base})")
+    marks = done.selectExpr("channel_id", """inline(array(
+        named_struct('b', bucket, 'done', 1, 'next', 0), named_struct('b', bucket + 1, 'done', 0, 'next', 1)))""")
+    marks = marks.unionByName(channels.selectExpr("channel_id", "0L AS b", "0 AS done", "1 AS next"))
+    ends = marks.groupBy("channel_id", "b").agg(F.max("done").alias("done"), F.max("next").alias("next")).filter("done = 0 AND next = 1")
+    gap = ends.groupBy("channel_id").agg(F.min("b").alias("gap"))
+    return channels.select("channel_id", "length").join(bounded(gap, n_channels), "channel_id").selectExpr(
+        "channel_id", "length", f"least(gap * {base}, length) AS covered", f"least(gap * {base}, length) = length AS complete")
 
 
 def overrun(samples: DataFrame, channels: DataFrame, n_channels: int | None = None) -> DataFrame:

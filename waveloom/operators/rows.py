@@ -60,13 +60,28 @@ def box_select(samples: DataFrame, columns: list, boxes: list[tuple[int, int, in
     cell = F.when(inside, F.col("v").cast("string") if text is None else text)
     names = [columns[c] for c in used]
     picked = samples.filter(rows & ch.isin(names)).select(idx.alias("row_no"), "channel_id", cell.alias("cell"))
-    return picked.groupBy("row_no").pivot("channel_id", names).agg(F.first("cell"))
+    return side_by_side(picked, "row_no", names, "cell")
+
+
+WIDE_BY_CONDITION = 64  # up to this many columns one conditional aggregate each needs only one shuffle
+
+
+def side_by_side(rows: DataFrame, key: str, channel_ids: list, cell: str) -> DataFrame:
+    """One row per key and one column per channel (NULL where a channel has no cell).
+
+    A pivot groups by (key, channel) and then by key; for a short list of channels conditional
+    aggregates give the same table with a single shuffle.
+    """
+    if len(channel_ids) > WIDE_BY_CONDITION:
+        return rows.groupBy(key).pivot("channel_id", channel_ids).agg(F.first(cell))
+    return rows.groupBy(key).agg(*[
+        F.first(F.when(F.col("channel_id") == c, F.col(cell)), ignorenulls=True).alias(str(c)) for c in channel_ids])
 
 
 def values_page(samples: DataFrame, channel_ids: list, i0: int, i1: int, value: str = "v") -> DataFrame:
     """Page [i0, i1) of many channels side by side; shorter channels give NULL cells."""
     page = sample_window(samples, channel_ids, i0, i1)
-    return page.groupBy("sample_idx").pivot("channel_id", channel_ids).agg(F.first(value))
+    return side_by_side(page.select("sample_idx", "channel_id", value), "sample_idx", channel_ids, value)
 
 
 def page_info(channels: DataFrame, start: int, count: int | None, row_limit: int) -> DataFrame:

@@ -101,7 +101,7 @@ def range_stats(samples: DataFrame, channels: DataFrame, i0: int | None = None,
 
 def all_channels(states: DataFrame, channels: DataFrame, n_channels: int | None = None) -> DataFrame:
     """Add the empty state for channels without samples in the range."""
-    return channels.select("channel_id").join(states, "channel_id", "left").fillna(
+    return channels.select("channel_id").join(bounded(states, n_channels), "channel_id", "left").fillna(
         {"n": 0, "total": 0, "m2": 0.0, "pv": 0.0})
 
 

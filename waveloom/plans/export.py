@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import format_float, iso_ns
 from ..operators.axis import inner_range, x_of
 from ..operators.envelope import clip
+from ..operators.rows import side_by_side
 from ..operators.scan import running
 
 
@@ -30,16 +31,14 @@ def export_wide(rows: DataFrame, channel_ids: list, text: Column | None = None,
                 timed: list | None = None) -> DataFrame:
     """Wide export table: row_no and, per channel, index, x [, UTC time], value as exact text.
 
-    channel_ids is the fixed list of the selection, so the pivot needs no extra pass. Shorter
-    channels leave blank cells.
+    channel_ids is the fixed list of the selection. Shorter channels leave blank cells.
     """
     cell = [F.col("sample_idx").cast("string").alias("i"), format_float("x").alias("x")]
     if time_ref is not None:
         stamp = iso_ns(F.lit(time_ref[0]), F.lit(time_ref[1]), "x")
         cell.append(F.when(F.col("channel_id").isin(timed or []), stamp).otherwise("").alias("t"))
     cell.append((format_float("v") if text is None else text).alias("v"))
-    wide = rows.select("row_no", "channel_id", F.struct(*cell).alias("cell")).groupBy("row_no").pivot(
-        "channel_id", channel_ids).agg(F.first("cell"))
+    wide = side_by_side(rows.select("row_no", "channel_id", F.struct(*cell).alias("cell")), "row_no", channel_ids, "cell")
     fields = ["i", "x", "t", "v"] if time_ref is not None else ["i", "x", "v"]
     return wide.select("row_no", *[F.coalesce(F.col(f"`{c}`.{f}"), F.lit("")).alias(f"{c}_{f}")
                                    for c in channel_ids for f in fields])

@@ -54,7 +54,7 @@ _AXES: dict = {}
 def axes_of(store: ChannelStore) -> DataFrame:
     """Waveform axes of the event channels, stored with the catalog: channel_id, length, x0, dx, s, e."""
     if store.path not in _AXES:
-        cat = with_reference(event_channels(store).withColumn("file_id", F.lit(0)), 1)
+        cat = with_reference(event_channels(store), 1)
         _AXES[store.path] = settle(linear_axis(cat).select(
             "channel_id", "length", "x0", "dx", F.lit(0).cast("bigint").alias("s"), F.col("length").alias("e")), "axes")
     return _AXES[store.path]

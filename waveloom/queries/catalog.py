@@ -194,7 +194,7 @@ def path_collision(spark, sf_dir):
     channel_id || ' x = t/Time [s]' AS by_channel, channel_id <> 'view' AS timed FROM C, T""")
 def x_header(spark, sf_dir):
     s = event_store(spark, sf_dir)
-    ch = cat.with_reference(event_channels(s).withColumn("file_id", F.lit(0)), 1).withColumn("label", F.col("channel_id"))
+    ch = cat.with_reference(event_channels(s), 1).withColumn("label", F.col("channel_id"))
     ch = ch.withColumn("wf_increment", F.when(F.col("channel_id") != "view", F.col("wf_increment")))
     return ch.select("channel_id", cat.x_header("index").alias("by_index"), cat.x_header("waveform", reference=iso_reference("t_ref")).alias("by_time"),
                      cat.x_header("channel", "t/Time", "s").alias("by_channel"), cat.timed_for_export("waveform").alias("timed"))

@@ -201,7 +201,7 @@ def covered_prefix(spark, sf_dir):
     """One channel lost a bucket in its middle, one still misses its last samples."""
     s = lineitem_store(spark, sf_dir)
     here = s.samples.join(bounded(s.channels.select("channel_id", "length"), s.n_channels), "channel_id").filter(_PART.replace("//", "DIV"))
-    return roll.covered_prefix(roll.level0(here.drop("length"), s.channels, BASE, s.n_channels), s.channels, BASE)
+    return roll.covered_prefix(roll.level0(here.drop("length"), s.channels, BASE, s.n_channels), s.channels, BASE, s.n_channels)
 
 
 @query("overrun", f"""WITH {L}, {LC} SELECT L.channel_id, sample_idx, v FROM L JOIN LC ON L.channel_id = LC.channel_id

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bounded, settle
 from .store import ChannelStore, create_store
 
+_CATALOGS: dict[str, DataFrame] = {}
 _STORES: dict[tuple[str, str, str], ChannelStore] = {}
 
 
@@ -54,14 +56,14 @@ def lineitem_store(spark: SparkSession, sf_dir: str) -> ChannelStore:
 
 
 def event_channels(store: ChannelStore) -> DataFrame:
-    """Catalog of the event channels with waveform properties.
+    """Stored catalog of the event channels with waveform properties.
 
     The start time is the first event; x = start - reference + 2.5 s + 0.5 s per sample.
     """
     starts = store.samples.filter("sample_idx = 0").select(
         "channel_id", (F.col("t_us") * 1000).alias("wf_start_ns"))
-    return (
-        store.channels.join(starts, "channel_id")
-        .withColumn("wf_increment", F.lit(0.5))
-        .withColumn("wf_start_offset", F.lit(2.5))
-    )
+    if store.path not in _CATALOGS:
+        rows = store.channels.join(bounded(starts, store.n_channels), "channel_id")
+        _CATALOGS[store.path] = settle(rows.withColumn("file_id", F.lit("events")).withColumn("wf_increment", F.lit(0.5))
+                                       .withColumn("wf_start_offset", F.lit(2.5)), "catalog")
+    return _CATALOGS[store.path]

@@ -15,15 +15,17 @@ from ..functions.values import finite
 from ..operators.envelope import bucket_of
 from ..operators.rollup import BASE, covered_prefix
 from ..operators.stats import close_state, merge_once, state_columns
+from ..session import bounded
 
 
-def batch_states(batch: DataFrame, base: int = BASE) -> DataFrame:
+def batch_states(batch: DataFrame, base: int = BASE, pivots: DataFrame | None = None, n_channels: int | None = None) -> DataFrame:
     """Partial level-0 states of one batch; start = index of the pivot (last place if there is none)."""
     rows = batch.select("channel_id", "sample_idx", "v")
     ok = finite("v")
-    pivots = rows.groupBy("channel_id").agg(
-        F.min_by(F.when(ok, F.col("v")), F.when(ok, F.col("sample_idx"))).alias("pivot"))
-    rows = rows.join(pivots, "channel_id").withColumn("bucket", bucket_of("sample_idx", base))
+    if pivots is None:
+        pivots = rows.groupBy("channel_id").agg(
+            F.min_by(F.when(ok, F.col("v")), F.when(ok, F.col("sample_idx"))).alias("pivot"))
+    rows = rows.join(bounded(pivots, n_channels), "channel_id", "left").withColumn("bucket", bucket_of("sample_idx", base))
     start = F.coalesce(F.min(F.when(ok, F.col("sample_idx"))), F.lit(1 << 62))
     agg = rows.groupBy("channel_id", "bucket").agg(start.alias("start"), *state_columns())
     return close_state(agg, ["channel_id", "bucket", "start"])
@@ -33,17 +35,21 @@ def start_rollup(samples: DataFrame, declared: DataFrame | None, path: str, chec
                  **trigger) -> StreamingQuery:
     """Append partial states to `path`/batch_id=N; samples beyond the declared length go to `path`_overrun.
 
-    declared: channel_id, length (None: lengths are open).
+    declared: channel_id, length and optionally pivot (None: lengths are open). A known pivot saves
+    a pass over each batch.
     """
+    n = None if declared is None else declared.count()
+    pivots = declared.select("channel_id", "pivot") if declared is not None and "pivot" in declared.columns else None
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         kept = batch
         if declared is not None:
-            marked = batch.join(declared.select("channel_id", "length"), "channel_id", "left")
+            marked = batch.join(bounded(declared.select("channel_id", "length"), n), "channel_id", "left")
             over = F.coalesce(F.col("sample_idx") >= F.col("length"), F.lit(False)) | (F.col("sample_idx") < 0)
             marked.filter(over).drop("length").write.mode("overwrite").parquet(f"{path}_overrun/batch_id={batch_id}")
             kept = marked.filter(~over).drop("length")
-        batch_states(kept, base).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch_states(kept, base, pivots, n).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
         batch.unpersist()
 
     return (
