@@ -149,6 +149,19 @@ def test_large_chunks_are_cut_into_pieces(spark, tmp_path, monkeypatch):
     same(channel(spark, tmp_path / "d", B, "int"), np.concatenate([b, b]).astype(np.int64))
 
 
+def test_equal_segments_become_few_runs(spark, tmp_path):
+    a, b = values("f8", 400), values("i2", 400)
+    segs = [encode_segment({A: a[k:k + 10], B: b[k:k + 10]}, meta=k == 0, interleaved=k >= 300) for k in range(0, 400, 10)]
+    write(tmp_path / "d", "f.tdms", segs)
+    runs = sg.value_runs(sg.scan_segments(spark, str(tmp_path / "d"))).persist()
+    merged = sg.merge_runs(runs).persist()
+    assert runs.count() == 80 and merged.count() <= 6
+    for path, kind, want in ((A, "float", a), (B, "int", b.astype(np.int64))):
+        for start, stop in ((0, None), (5, 17), (95, 311), (399, 500)):
+            got = [r["v"] for r in sg.read_samples(merged, kind, [path], start, stop).orderBy("sample_idx").collect()]
+            same(got, want[start:stop])
+
+
 def test_catalog(spark, tmp_path):
     props = {"/": {"title": "t"}, "/'g'": {"rack": "A1"},
              A: {"wf_increment": 0.001, "wf_start_offset": 1.5, "wf_start_time": (EPOCH_1904_S + 100, 0), "unit_string": "", "Unit": "V"},

@@ -40,26 +40,22 @@ def with_x(samples: DataFrame, axes: DataFrame, n_channels: int | None = None) -
     return samples.join(bounded(axes, n_channels), "channel_id").withColumn("x", x_of("sample_idx"))
 
 
-def _whole(x: Column) -> Column:
-    return F.greatest(F.least(x, F.lit(_FAR)), F.lit(-_FAR)).cast("bigint")
-
-
 def view_range(axes: DataFrame, xa: float, xb: float) -> DataFrame:
     """Sample range [i0, i1) that covers x in [xa, xb] plus one sample each side.
 
     axes: channel_id, x0, dx, s, e. A bound that is not finite gives the whole range.
     """
-    out = axes.selectExpr("*", f"({float(xa)!r}D - x0) / dx AS _fa", f"({float(xb)!r}D - x0) / dx AS _fb") \
-        if _plain(xa) and _plain(xb) else axes.selectExpr("*", "double('NaN') AS _fa", "double('NaN') AS _fb")
+    out = _fractions(axes, xa, xb)
     known = "abs(_fa) < double('Infinity') AND abs(_fb) < double('Infinity')"
-
-    def whole(x: str) -> str:
-        return f"bigint(greatest(least({x}, {_FAR}D), -{_FAR}D))"
-
     return out.selectExpr(
         *axes.columns,
-        f"CASE WHEN e <= s OR NOT ({known}) THEN s ELSE greatest(s, least(e, {whole('floor(greatest(least(_fa, 9e18D), -9e18D))')} - 1)) END AS i0",
-        f"CASE WHEN e <= s THEN s WHEN NOT ({known}) THEN e ELSE greatest(s, least(e, {whole('ceil(greatest(least(_fb, 9e18D), -9e18D))')} + 2)) END AS i1")
+        f"CASE WHEN e <= s OR NOT ({known}) THEN s ELSE greatest(s, least(e, floor({_near('_fa')}) - 1)) END AS i0",
+        f"CASE WHEN e <= s THEN s WHEN NOT ({known}) THEN e ELSE greatest(s, least(e, ceil({_near('_fb')}) + 2)) END AS i1")
+
+
+def _near(f: str) -> str:
+    """A fractional index limited to what a BIGINT can hold."""
+    return f"greatest(least({f}, {_FAR}D), -{_FAR}D)"
 
 
 def _plain(x: float) -> bool:
@@ -76,28 +72,29 @@ def inner_range(axes: DataFrame, xa: float, xb: float) -> DataFrame:
     The quotient only gives a first guess. The edge is then searched among the neighbours that
     rounding can reach, with the x formula itself (x never decreases with i).
     """
-    a, b = F.lit(float(xa)), F.lit(float(xb))
-    fa, fb = (a - F.col("x0")) / F.col("dx"), (b - F.col("x0")) / F.col("dx")
-    known = finite(fa) & finite(fb)
-
-    def reach(x: Column, f: Column) -> Column:
-        ulp = F.greatest(F.abs(F.col("x0")), F.abs(x)) * F.lit(2.3e-16) / F.col("dx") + F.abs(f) * F.lit(2.3e-16)
-        return F.least(F.ceil(F.least(ulp, F.lit(1.0e6)) * 4) + 2, F.lit(1_000_000)).cast("bigint")
-
-    def bounded_guess(f: Column) -> Column:
-        return F.greatest(F.col("s"), F.least(F.col("e"), _whole(F.floor(_clamped(f)))))
-
-    def first_where(f: Column, x: Column, holds) -> Column:
-        guess, r = bounded_guess(f), reach(x, f)
-        lo, hi = F.greatest(F.col("s"), guess - r), F.least(F.col("e"), guess + r + 1)
-        hits = F.filter(F.sequence(lo, hi), lambda i: (i >= F.col("e")) | holds(F.col("x0") + i.cast("double") * F.col("dx")))
-        return F.coalesce(F.array_min(hits), F.col("e"))
-
-    empty = F.col("e") <= F.col("s")
-    i0 = F.when(empty | ~known, F.col("s")).otherwise(first_where(fa, a, lambda x: x >= a))
-    i1 = F.when(empty, F.col("s")).when(~known, F.col("e")).otherwise(first_where(fb, b, lambda x: x > b))
-    out = axes.withColumn("i0", i0).withColumn("_i1", i1)
-    return out.withColumn("i1", F.greatest("i0", "_i1")).drop("_i1")
+    out = _fractions(axes, xa, xb)
+
+    def first_where(f: str, x: float, op: str) -> str:
+        ulps = f"greatest(abs(x0), {abs(float(x))!r}D) * 2.3e-16D / dx + abs({f}) * 2.3e-16D"
+        reach = f"bigint(least(ceil(least({ulps}, 1e6D) * 4) + 2, 1000000))"
+        guess = f"greatest(s, least(e, floor({_near(f)})))"
+        near = f"sequence(greatest(s, {guess} - {reach}), least(e, {guess} + {reach} + 1))"
+        return f"coalesce(array_min(filter({near}, i -> i >= e OR x0 + double(i) * dx {op} {float(x)!r}D)), e)"
+
+    known = "abs(_fa) < double('Infinity') AND abs(_fb) < double('Infinity')"
+    if not (_plain(xa) and _plain(xb)):
+        return out.selectExpr(*axes.columns, "s AS i0", "greatest(s, e) AS i1")
+    out = out.selectExpr(
+        *axes.columns, f"CASE WHEN e <= s OR NOT ({known}) THEN s ELSE {first_where('_fa', xa, '>=')} END AS i0",
+        f"CASE WHEN e <= s THEN s WHEN NOT ({known}) THEN e ELSE {first_where('_fb', xb, '>')} END AS _i1")
+    return out.selectExpr(*axes.columns, "i0", "greatest(i0, _i1) AS i1")
+
+
+def _fractions(axes: DataFrame, xa: float, xb: float) -> DataFrame:
+    """Add the fractional indexes _fa and _fb of a range (NaN if a bound is not finite)."""
+    if _plain(xa) and _plain(xb):
+        return axes.selectExpr("*", f"({float(xa)!r}D - x0) / dx AS _fa", f"({float(xb)!r}D - x0) / dx AS _fb")
+    return axes.selectExpr("*", "double('NaN') AS _fa", "double('NaN') AS _fb")
 
 
 def xy_align(samples: DataFrame, pairs: DataFrame, n_pairs: int | None = None) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import EPOCH_1904_S, NS_PER_S, finite
 from ..session import bounded, settle
-from .scan import running
+from .scan import first_rows, running
 
 # Type codes of the measurement-file format and their kinds.
 INT_CODES = [1, 2, 3, 4, 5, 6, 7, 8]
@@ -94,7 +94,7 @@ def check_increment(channels: DataFrame) -> DataFrame:
 def increment_warnings(channels: DataFrame) -> DataFrame:
     """Warnings per file: the first five channels by name, then one count of the others."""
     bad = channels.filter("bad")
-    first = _first_rows(bad, "file_id", "channel_no", INCREMENT_NAMED)
+    first = first_rows(bad, "file_id", "channel_no", INCREMENT_NAMED)
     named = first.select(
         "file_id", F.col("channel_no").alias("seq"),
         F.concat(F.col("label"), F.lit(": invalid wf_increment "), F.col("dx_text"), F.lit(" ignored (1 sample = 1 s)")).alias("message"))
@@ -104,14 +104,6 @@ def increment_warnings(channels: DataFrame) -> DataFrame:
     return named.unionByName(rest)
 
 
-def _first_rows(df: DataFrame, group: str, order: str, k: int, spread: int = 64) -> DataFrame:
-    """First k rows per group in two rounds: per slice of a hot group, then over the slices."""
-    slices = Window.partitionBy(group, F.pmod(F.xxhash64(order), F.lit(spread))).orderBy(order)
-    near = df.withColumn("_rn", F.row_number().over(slices)).filter(F.col("_rn") <= k)
-    return near.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(
-        F.col("_rn") <= k).drop("_rn")
-
-
 def time_reference(channels: DataFrame) -> DataFrame:
     """Reference time per file: file_id, t_ref.
 
@@ -214,7 +206,7 @@ def range_clamp(channels: DataFrame, start: int, count: int | None) -> DataFrame
 def warn_dedupe(messages: DataFrame, limit: int = WARNINGS_SHOWN) -> DataFrame:
     """Distinct messages per file by first occurrence, at most `limit`, then one count row."""
     first = messages.groupBy("file_id", "message").agg(F.min("seq").alias("seq"))
-    shown = _first_rows(first, "file_id", "seq", limit)
+    shown = first_rows(first, "file_id", "seq", limit)
     more = first.groupBy("file_id").agg((F.count(F.lit(1)) - limit).alias("more"), (F.max("seq") + 1).alias("seq"))
     tail = more.filter("more > 0").select(
         "file_id", F.format_string("... and %d more warnings", "more").alias("message"), "seq")

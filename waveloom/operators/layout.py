@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import bounded, settle
 from .envelope import bucket_of
-from .scan import BLOCK, running
+from .scan import BLOCK, first_rows, running
 
 # ToC bits of a segment.
 TOC_META, TOC_NEW_LIST, TOC_RAW = 1 << 1, 1 << 2, 1 << 3
@@ -83,8 +83,7 @@ def probe_points(rows: DataFrame, channels: DataFrame) -> DataFrame:
     rows: channel_id, sample_idx, sig. Result: channel_id, sample_idx.
     """
     kinds = rows.groupBy("channel_id", "sig").agg(F.min("sample_idx").alias("a"), F.max("sample_idx").alias("b"))
-    rank = F.row_number().over(Window.partitionBy("channel_id").orderBy("a"))
-    ends = kinds.withColumn("_rk", rank).filter(F.col("_rk") <= MAX_PROBED_KINDS).select(
+    ends = first_rows(kinds, "channel_id", "a", MAX_PROBED_KINDS).select(
         "channel_id", F.explode(F.array("a", "b")).alias("sample_idx"))
     k = F.least(F.col("length"), F.lit(SPREAD_PROBES))
     at = F.transform(F.sequence(F.lit(0), (k - 1).cast("int")),

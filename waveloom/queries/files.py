@@ -29,8 +29,8 @@ def scanned(spark, sf_dir):
         write_files(store.samples, folder, ["v", "k"]).write.mode("overwrite").parquet(new_path(spark, "written"))
         path = new_path(spark, "segments")
         sg.scan_segments(spark, folder).write.parquet(path)
-        _SCANS[store.path] = path
-    return spark.read.parquet(_SCANS[store.path])
+        _SCANS[store.path] = (folder, path)
+    return spark.read.parquet(_SCANS[store.path][1])
 
 
 def file_name(col="file"):
@@ -56,6 +56,17 @@ def channels(spark, sf_dir):
         file_name("file_id").alias("name"), "label", "kind", "length", "unit", "wf_increment", "wf_start_offset")
 
 
+@query("index_check", f"""WITH {L}, {LC}, F AS (SELECT channel_id, b, least({FILE_SAMPLES}, length - b * {FILE_SAMPLES}) AS cnt
+    FROM LC, (SELECT unnest(range(0, 100000)) AS b) t WHERE b * {FILE_SAMPLES} < length)
+  SELECT channel_id || '-' || lpad(b::VARCHAR, 9, '0') || '.tdms' AS name, true AS matches, (cnt + {SEGMENT_SAMPLES - 1}) // {SEGMENT_SAMPLES} AS n_rows, 0::BIGINT AS n_diff FROM F""")
+def index_check(spark, sf_dir):
+    """Every segment header of every file against its sidecar index."""
+    scan = scanned(spark, sf_dir)
+    folder = _SCANS[lineitem_store(spark, sf_dir).path][0]
+    got = sg.index_check(scan, sg.scan_segments(spark, folder, "*.tdms_index", index=True))
+    return got.select(file_name().alias("name"), "matches", "n_rows", "n_diff")
+
+
 def _placed(df, col):
     """Channel name and sample index in the whole channel (the file's first sample is in its name)."""
     name = file_name()
@@ -66,7 +77,7 @@ def _placed(df, col):
 
 @query("file_scan_float", f"WITH {L} SELECT channel_id, sample_idx, v FROM L")
 def file_scan_float(spark, sf_dir):
-    return _placed(sg.read_samples(sg.value_runs(scanned(spark, sf_dir)), "float"), "v")
+    return _placed(sg.read_samples(sg.merge_runs(sg.value_runs(scanned(spark, sf_dir))), "float"), "v")
 
 
 @query("file_scan_int", f"WITH {L} SELECT channel_id, sample_idx, k FROM L WHERE sample_idx % {FILE_SAMPLES} >= 1000 AND sample_idx % {FILE_SAMPLES} < 9000")

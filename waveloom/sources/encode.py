@@ -96,7 +96,7 @@ def encode_segment(channels: dict, *, chunks: int = 1, interleaved: bool = False
 
 
 def write_files(samples: DataFrame, folder: str, columns: list[str]) -> DataFrame:
-    """Write one file per channel and block of FILE_SAMPLES samples; returns file name, first sample and count.
+    """Write one file (and its index) per channel and block of FILE_SAMPLES samples; returns file name, first sample and count.
 
     The layout alternates: contiguous, interleaved, big-endian, several chunks. A task writes its
     file under a temporary name and renames it, so a repeated task leaves the same file.
@@ -112,17 +112,19 @@ def write_files(samples: DataFrame, folder: str, columns: list[str]) -> DataFram
         group = "/'" + channel.replace("'", "''") + "'"
         props = {"/": {"first": first}, group: {"block": block},
                  **{f"{group}/'{c}'": {"wf_increment": 0.5, "wf_start_offset": float(first), "unit_string": "u" + c} for c in columns}}
-        out = b""
+        out = index = b""
         for k, lo in enumerate(range(0, len(pdf), SEGMENT_SAMPLES)):
             part = pdf.iloc[lo:lo + SEGMENT_SAMPLES]
             chunks = 4 if k % 3 == 2 and len(part) % 4 == 0 else 1
             values = {f"{group}/'{c}'": part[c].to_numpy() for c in columns}
             seg = encode_segment(values, chunks=chunks, interleaved=(block + k) % 2 == 1, big=k % 5 == 3, props=props if k == 0 else None)
             out += b"".join(seg)
+            index += b"TDSh" + seg[0][4:] + seg[1]
         name = f"{channel}-{block:09d}.tdms"
-        with fs.open_output_stream(f"{root}/{name}.part") as f:
-            f.write(out)
-        fs.move(f"{root}/{name}.part", f"{root}/{name}")
+        for target, data in ((name, out), (f"{name}_index", index)):
+            with fs.open_output_stream(f"{root}/{target}.part") as f:
+                f.write(data)
+            fs.move(f"{root}/{target}.part", f"{root}/{target}")
         return pd.DataFrame({"name": [name], "first": [first], "cnt": [len(pdf)]})
 
     rows = samples.select("channel_id", "sample_idx", *columns).withColumn("block", bucket_of("sample_idx", FILE_SAMPLES))

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..functions.values import EPOCH_1904_S, NS_MAX_S, NS_MIN_S, NS_PER_S, decode_extended
 from ..operators import catalog as cat
-from ..operators.layout import TOC_BIG_ENDIAN, TOC_DAQMX, TOC_INTERLEAVED, TOC_META, TOC_NEW_LIST, TOC_RAW, file_snapshot
+from ..operators.layout import (TOC_BIG_ENDIAN, TOC_DAQMX, TOC_INTERLEAVED, TOC_META, TOC_NEW_LIST, TOC_RAW, file_snapshot,
+                                run_compress)
 from ..operators.scan import running
 
 # Fixed values of the file format.
@@ -38,6 +39,7 @@ EXT_CODES = (0x0B, 0x1B)
 STRING_CODE, TIME_CODE = 0x20, 0x44
 
 PIECE_VALUES = 1 << 18  # values decoded by one piece
+BATCH_ROWS = 1 << 16
 ONE_READ_BYTES = 8 << 20  # spread chunks within this span are read at once
 
 SEGMENT_SCHEMA = """file string, size bigint, seg_no bigint, pos bigint, toc int, data_pos bigint, next_pos bigint,
@@ -341,7 +343,24 @@ def value_runs(scan: DataFrame) -> DataFrame:
     return running(runs, ["file", "path"], "_order", F.col("cnt"), "sum", "start", inclusive=False).drop("_order", "part")
 
 
-def _decoded(raw: bytes, code: int, big: bool, stride: int, item: int, n: int) -> np.ndarray:
+def merge_runs(runs: DataFrame) -> DataFrame:
+    """Join the runs of consecutive single-chunk segments of one layout at a constant distance.
+
+    A file written as thousands of equal segments becomes a few strided runs per channel.
+    """
+    numbered = running(runs.withColumn("_one", F.lit(1)), ["file", "path"], "start", F.col("_one"), "sum", "_no", inclusive=False)
+    # A run of several chunks stays alone: its position is part of its layout.
+    alone = F.when(F.col("n_chunks") > 1, F.col("base"))
+    lay = F.struct("type_code", "big", "item", "blob", F.col("stride").alias("step"), "npc", "chunk", "n_chunks", alone.alias("alone"))
+    parts = numbered.select("file", "path", F.col("_no").alias("seg_no"), F.col("base").alias("pos"), lay.alias("layout"), "cnt")
+    many = F.col("n_segs") > 1
+    return run_compress(parts, ("file", "path")).select(
+        "file", "path", "layout.type_code", "layout.item", "layout.blob", F.col("layout.step").alias("stride"), "layout.big",
+        F.col("pos").alias("base"), "layout.npc", F.when(many, F.col("stride")).otherwise(F.col("layout.chunk")).alias("chunk"),
+        F.when(many, F.col("n_segs")).otherwise(F.col("layout.n_chunks")).alias("n_chunks"), "cnt", "start")
+
+
+def _decoded(raw: bytes, stride: int, item: int, n: int) -> np.ndarray:
     """n values of `item` bytes at distance `stride` as rows of bytes."""
     block = np.frombuffer(raw, np.uint8)
     if stride == item:
@@ -398,7 +417,7 @@ def _piece_rows(f, p: dict) -> np.ndarray:
     first, last = a // npc, (b - 1) // npc
     if first == last or chunk == 0:
         lo = p["base"] + first * chunk + (a - first * npc) * stride
-        return _decoded(f.read_at((b - a - 1) * stride + item, lo), p["type_code"], p["big"], stride, item, b - a)
+        return _decoded(f.read_at((b - a - 1) * stride + item, lo), stride, item, b - a)
     lo = p["base"] + first * chunk
     span = (last - first) * chunk + npc * stride
     if span <= ONE_READ_BYTES:
@@ -417,8 +436,13 @@ def _piece_rows(f, p: dict) -> np.ndarray:
 def _piece_reader(kind: str, ddl: str):
     schema = _arrow_schema(ddl)
 
+    def joined(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], schema=schema)
+
     def read(batches):
         uri = f = None
+        held: list = []  # small pieces are sent together
+        rows = 0
         for batch in batches:
             for p in batch.to_pylist():
                 if p["file"] != uri:
@@ -431,9 +455,13 @@ def _piece_reader(kind: str, ddl: str):
                 else:
                     values = _values(_piece_rows(f, p), p["type_code"], p["big"], kind)
                 idx = pa.array(p["start"] + np.arange(p["a"], p["b"], dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(p["file"], n), pa.repeat(p["path"], n), idx,
-                     values.cast(schema.field(3).type)], schema=schema)
+                held.append((pa.repeat(p["file"], n), pa.repeat(p["path"], n), idx, values.cast(schema.field(3).type)))
+                rows += n
+                if rows >= BATCH_ROWS:
+                    yield joined(held)
+                    held, rows = [], 0
+        if held:
+            yield joined(held)
         if f is not None:
             f.close()
     return read
@@ -470,4 +498,4 @@ def read_samples(runs: DataFrame, kind: str = "float", paths: list[str] | None =
 
 
 __all__ = ["scan_segments", "segments", "ignored_tails", "index_check", "object_catalog", "channel_catalog", "value_runs",
-           "read_samples"]
+           "merge_runs", "read_samples"]
