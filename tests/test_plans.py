@@ -206,3 +206,20 @@ def test_coverage_of_parts(spark):
 
 def test_brute_catalog_helper(spark):
     assert catalog(spark, {"a": np.array([np.nan, 2.0])}).first()["pivot"] == 2.0
+
+
+def test_partition_counts_grow_with_the_data(spark):
+    from waveloom.session import ROWS_PER_PART, range_parts, task_count
+    assert task_count(spark, 1, 64) == 1 and task_count(spark, 5, 64) == 5
+    assert task_count(spark, 10**6, 64) == -(-10**6 // 64)
+    df = spark.range(10)
+    assert "rangepartitioning(id#" in plan(range_parts(df, 10, "id")) and ", 8)" in plan(range_parts(df, 10, "id"))
+    assert ", 100)" in plan(range_parts(df, 100 * ROWS_PER_PART, "id"))
+
+
+def test_first_rows_of_a_hot_group(spark):
+    from waveloom.operators.scan import first_rows
+    df = spark.range(0, 5000).selectExpr("IF(id % 10 = 0, 'b', 'a') AS g", "hash(id) AS o", "id")
+    got = first_rows(df, "g", "o", 7).select("g", "o", "id")
+    want = df.selectExpr("*", "row_number() OVER (PARTITION BY g ORDER BY o) AS rn").filter("rn <= 7").select("g", "o", "id")
+    assert got.count() == 14 and got.exceptAll(want).count() == 0

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # A catalog side is broadcast only when it is known to have at most this many rows.
 MAX_BROADCAST_ROWS = 200_000
 
+ROWS_PER_PART = 8_000_000  # of a range partitioning
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -63,6 +65,25 @@ def bounded(df: DataFrame, rows: int | None) -> DataFrame:
     return df
 
 
+def range_parts(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """Range-partition and sort by columns, with at most about ROWS_PER_PART rows per partition.
+
+    Small data keeps the session's shuffle partitions, which adaptive execution may coalesce.
+    """
+    need = -(-rows // ROWS_PER_PART)
+    if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartitionByRange(need, *by).sortWithinPartitions(*by)
+    return df.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def task_count(spark: SparkSession, items: int, per_task: int) -> int:
+    """Tasks for work whose rows are small but costly (files to open, pieces to decode).
+
+    An explicit number, because adaptive execution would coalesce such rows into a few tasks.
+    """
+    return max(1, min(items, max(spark.sparkContext.defaultParallelism, -(-items // per_task))))
+
+
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """Write df to the shared folder and read it back.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded, new_path, settle
+from ..session import bounded, new_path, range_parts, settle
 
 _POS_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -25,8 +25,7 @@ def with_sample_index(spark: SparkSession, df: DataFrame, channel: str, order: l
     """
     staged = new_path(spark, "staged")
     (
-        df.repartitionByRange(channel, *order)
-        .sortWithinPartitions(channel, *order)
+        range_parts(df, df.count(), channel, *order)
         .withColumn("_at", F.monotonically_increasing_id())
         .write.parquet(staged)
     )

@@ -25,6 +25,7 @@ from ..operators import catalog as cat
 from ..operators.layout import (TOC_BIG_ENDIAN, TOC_DAQMX, TOC_INTERLEAVED, TOC_META, TOC_NEW_LIST, TOC_RAW, file_snapshot,
                                 run_compress)
 from ..operators.scan import running
+from ..session import task_count
 
 # Fixed values of the file format.
 LEAD_IN = 28
@@ -40,6 +41,9 @@ STRING_CODE, TIME_CODE = 0x20, 0x44
 
 PIECE_VALUES = 1 << 18  # values decoded by one piece
 BATCH_ROWS = 1 << 16
+FILES_PER_TASK = 64
+PIECES_PER_TASK = 4096
+VALUES_PER_TASK = 1 << 24
 ONE_READ_BYTES = 8 << 20  # spread chunks within this span are read at once
 
 SEGMENT_SCHEMA = """file string, size bigint, seg_no bigint, pos bigint, toc int, data_pos bigint, next_pos bigint,
@@ -257,7 +261,7 @@ def scan_segments(spark: SparkSession, path: str, pattern: str = "*.tdms", index
     (ignored bytes). `index` walks sidecar index files instead of data files.
     """
     files = file_snapshot(spark, path, pattern).select("path", "size")
-    return files.repartition("path").mapInArrow(_header_reader(index), SEGMENT_SCHEMA)
+    return files.repartition(task_count(spark, files.count(), FILES_PER_TASK)).mapInArrow(_header_reader(index), SEGMENT_SCHEMA)
 
 
 def segments(scan: DataFrame) -> DataFrame:
@@ -488,12 +492,15 @@ def read_samples(runs: DataFrame, kind: str = "float", paths: list[str] | None =
     lo = F.greatest(F.lit(max(0, start)).cast("bigint") - F.col("start"), F.lit(0))
     hi = F.col("cnt") if stop is None else F.least(F.lit(stop).cast("bigint") - F.col("start"), F.col("cnt"))
     wanted = wanted.withColumn("_lo", lo).withColumn("_hi", hi).filter("_hi > _lo")
+    pieces, values = wanted.selectExpr(f"sum(ceil((_hi - _lo) / {PIECE_VALUES}))", "sum(_hi - _lo)").first()
+    spark = runs.sparkSession
+    tasks = max(task_count(spark, pieces or 0, PIECES_PER_TASK), -(-(values or 0) // VALUES_PER_TASK))
     pieces = wanted.withColumn("a", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1, F.lit(PIECE_VALUES).cast("bigint"))))
     pieces = pieces.withColumn("b", F.least(F.col("a") + PIECE_VALUES, F.col("_hi"))).select(
         "file", "path", "type_code", "big", "base", "item", "stride", "npc", "chunk", "blob", "start", "a", "b")
     ddl = f"file string, path string, sample_idx bigint, v {SAMPLE_TYPES[kind]}"
     # Range partitioning keeps neighbouring bytes in one task and splits a large file over many.
-    return pieces.repartitionByRange("file", "base", "a").sortWithinPartitions("file", "base", "a").mapInArrow(
+    return pieces.repartitionByRange(tasks, "file", "base", "a").sortWithinPartitions("file", "base", "a").mapInArrow(
         _piece_reader(kind, ddl), ddl)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import finite
-from ..session import new_path
+from ..session import new_path, range_parts
 from .indexing import with_sample_index
 
 
@@ -60,11 +60,7 @@ def create_store(spark: SparkSession, rows: DataFrame, order: list[str], name: s
 def store_samples(spark: SparkSession, samples: DataFrame, name: str) -> ChannelStore:
     """Store samples that already carry sample_idx, clustered by a range partitioning."""
     path = new_path(spark, name)
-    (
-        samples.repartitionByRange("channel_id", "sample_idx")
-        .sortWithinPartitions("channel_id", "sample_idx")
-        .write.parquet(f"{path}/samples")
-    )
+    range_parts(samples, samples.count(), "channel_id", "sample_idx").write.parquet(f"{path}/samples")
     store = ChannelStore(spark, path)
     measure_channels(store.samples).write.parquet(f"{path}/channels")
     return store
