@@ -149,3 +149,28 @@ def test_curves_of_other_length_are_left_out(spark):
     got = plot.xy_plot(s, pairs, 2)
     assert got.select("channel_id").distinct().collect()[0][0] == "y" and got.count() == 10
     assert ax.xy_filter(got.withColumn("x", F.col("x")), 2.0, 4.0).count() == 3
+
+
+def test_one_view_mixes_raw_envelope_and_rollup(spark):
+    from signals import brute_envelope, catalog, signal
+    from waveloom.functions.values import present
+    from waveloom.operators.rollup import build_rollup
+    from waveloom.session import new_path
+    chans = {"raw": signal("normal", 30), "mid": signal("nan", 150), "long": signal("nan", 9000)}
+    samples, cat = frame(spark, chans).persist(), catalog(spark, chans)
+    buckets = build_rollup(spark, samples, cat, new_path(spark, "view"), 16, 3)
+    axes = spark.createDataFrame([(c, 0.0, 0.5, 0, len(v)) for c, v in chans.items()], SCHEMA)
+    px, xa, xb = 16, 1.25, 4321.0
+    modes = {r["channel_id"]: (r["mode"], r["b"]) for r in plot.plot_plan(axes, xa, xb, px, 16).collect()}
+    assert modes == {"raw": ("raw", 1), "mid": ("envelope", 8), "long": ("rollup", 512)}
+    pts = plot.plot_view(samples, buckets, cat, axes, xa, xb, px, 16, 3).withColumn("y", present("y")).collect()
+    for c, v in chans.items():
+        got = sorted((r["x"], r["ord"], r["y"]) for r in pts if r["channel_id"] == c)
+        i0, i1 = 1, min(len(v), int(np.ceil(xb / 0.5)) + 2)
+        if modes[c][0] == "raw":
+            want = [(i * 0.5, 0, v[i]) for i in range(i0, i1)]
+        else:
+            want = []
+            for _k, _lo, _hi, center, mn, mx, miss in brute_envelope(v, i0, i1, modes[c][1]):
+                want += [(center * 0.5, 0, mn), (center * 0.5, 1, mx)] + ([(center * 0.5, 2, None)] if miss else [])
+        assert [tuple(w) for w in got] == sorted(want, key=lambda t: t[:2]), c

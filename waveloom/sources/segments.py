@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import EPOCH_1904_S, NS_MAX_S, NS_MIN_S, NS_PER_S, decode_extended
+from ..functions.values import EPOCH_1904_S, NS_MAX_S, NS_MIN_S, NS_PER_S, decode_extended, epoch1904_ns
 from ..operators import catalog as cat
 from ..operators.layout import (TOC_BIG_ENDIAN, TOC_DAQMX, TOC_INTERLEAVED, TOC_META, TOC_NEW_LIST, TOC_RAW, file_snapshot,
                                 run_compress)
@@ -380,15 +380,8 @@ def _values(rows: np.ndarray, code: int, big: bool, kind: str) -> pa.Array:
     if code == TIME_CODE:
         dt = np.dtype([("f", "<u8"), ("s", "<i8")]) if not big else np.dtype([("s", ">i8"), ("f", ">u8")])
         t = rows.view(dt)[:, 0]
-        sec, frac = t["s"].astype(np.int64), t["f"].astype(np.uint64)
-        inside = (sec >= NS_MIN_S) & (sec <= NS_MAX_S)
-        # frac * 1e9 / 2^64 in two 32-bit halves, rounded to nearest.
-        high, low = frac >> np.uint64(32), frac & np.uint64(0xFFFFFFFF)
-        billion = np.uint64(NS_PER_S)
-        carried = high * billion + ((low * billion) >> np.uint64(32))
-        ns = ((carried + np.uint64(1 << 31)) >> np.uint64(32)).astype(np.int64)
-        out = np.where(inside, sec - EPOCH_1904_S, 0) * NS_PER_S + ns
-        return pa.array(out, mask=~inside)
+        frac = pa.array(t["f"].astype(np.uint64)).cast(pa.decimal128(20, 0))
+        return pa.StructArray.from_arrays([pa.array(t["s"].astype(np.int64)), frac], ["sec", "frac"])
     v = rows.view(np.dtype(NUMPY_OF[code]).newbyteorder(order))[:, 0]
     v = v.astype(v.dtype.newbyteorder("="))
     if kind == "float":
@@ -498,10 +491,12 @@ def read_samples(runs: DataFrame, kind: str = "float", paths: list[str] | None =
     pieces = wanted.withColumn("a", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1, F.lit(PIECE_VALUES).cast("bigint"))))
     pieces = pieces.withColumn("b", F.least(F.col("a") + PIECE_VALUES, F.col("_hi"))).select(
         "file", "path", "type_code", "big", "base", "item", "stride", "npc", "chunk", "blob", "start", "a", "b")
-    ddl = f"file string, path string, sample_idx bigint, v {SAMPLE_TYPES[kind]}"
+    stored = "struct<sec: bigint, frac: decimal(20,0)>" if kind == "time" else SAMPLE_TYPES[kind]
+    ddl = f"file string, path string, sample_idx bigint, v {stored}"
     # Range partitioning keeps neighbouring bytes in one task and splits a large file over many.
-    return pieces.repartitionByRange(tasks, "file", "base", "a").sortWithinPartitions("file", "base", "a").mapInArrow(
+    out = pieces.repartitionByRange(tasks, "file", "base", "a").sortWithinPartitions("file", "base", "a").mapInArrow(
         _piece_reader(kind, ddl), ddl)
+    return out.withColumn("v", epoch1904_ns("v.sec", "v.frac")) if kind == "time" else out
 
 
 __all__ = ["scan_segments", "segments", "ignored_tails", "index_check", "object_catalog", "channel_catalog", "value_runs",
