@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import iso_reference
 from ..operators import catalog as cat
-from ..operators.axis import linear_axis
 from ..sources.tables import epoch_us, event_channels, table
 from .base import C, L, LC, S, event_store, lineitem_store
 

@@ -8,7 +8,7 @@ from ..operators import layout as lay
 from ..operators import rows as rw
 from ..session import new_path
 from ..sources.tables import table
-from .base import C, L, LC, S, event_store, lineitem_store, rnd, rnd_sql
+from .base import L, LC, S, event_store, lineitem_store, rnd, rnd_sql
 
 QUERIES: dict = {}
 

@@ -9,7 +9,6 @@ from ..operators import envelope as env
 from ..operators import rollup as roll
 from ..operators import stats as st
 from ..session import bounded, new_path
-from ..sources.tables import event_channels
 from ..streaming.rollup import read_rollup, start_rollup
 from .base import (C, L, LC, LG, S, SG, event_store, gappy, lineitem_rollup, lineitem_store, moments, rnd, rnd_sql, ranges_of, rng,
                    spiky)

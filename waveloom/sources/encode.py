@@ -11,7 +11,6 @@ import struct
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.envelope import bucket_of
 from ..operators.layout import TOC_BIG_ENDIAN, TOC_INTERLEAVED, TOC_META, TOC_NEW_LIST, TOC_RAW
