@@ -1,10 +1,14 @@
 """One query per operator over its whole table, and the SQL of those that SQL can express."""
 
-from . import mixing, sharding
+from . import decontam, licenses, mixing, sharding
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
+    "op2_license_scan": licenses.op2,
+    "op4_decontamination": decontam.op4,
     "op5_balanced_shards": sharding.op5,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_license_scan": licenses.OP2_SQL,
+}
