@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from waveloom.llm import mixing, sharding
-from waveloom.session import settle
+from waveloom.llm.base import settle
 
 STAGES = [
     ("mix sources", mixing.mix_stage),

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import new_path
 
 WORD_BREAK = "[^\\x20\\x09-\\x0D]+"
 
 
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write df to the shared folder and read it back, so that its input is not computed again.
+
+    zstd frees its buffers with each file; the direct buffers of snappy wait for a garbage collection of the heap.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*cols) if cols else df

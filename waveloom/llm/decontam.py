@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle
-from .base import WORD_BREAK, table
+from .base import settle, table, WORD_BREAK
 from .textbytes import Words, blocks, mixed, plain_words, text_bytes
 
 CHUNK = 1 << 20

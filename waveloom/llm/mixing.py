@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
-from .base import WORD_BREAK, table, whole_row
+from .base import settle, table, whole_row, WORD_BREAK
 
 BLOCK_WORDS = 16      # words of a block
 MAX_EPOCHS = 3        # a source is used at most so many times

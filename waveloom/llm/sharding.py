@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
-from .base import ranked, table, whole_row
+from .base import ranked, settle, table, whole_row
 
 N_SHARDS = 24
 ROUNDS = 6
