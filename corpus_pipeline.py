@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waveloom.llm import mixing, sharding
+from waveloom.llm import decontam, langid, mixing, ngramjoin, sharding
 from waveloom.llm.base import settle
 
 STAGES = [
-    ("mix sources", mixing.mix_stage),
-    ("shards", sharding.shard_stage),
+    ("language ID", langid.language_stage),
+    ("n-gram Jaccard join", ngramjoin.dedup_stage),
+    ("decontamination", decontam.decontaminate_stage),
+    ("source mix", mixing.mix_stage),
+    ("sharding", sharding.shard_stage),
 ]
 
 # A trained network, spaced hashes and label propagation have no SQL form; tests/llm checks the stages by brute force.

@@ -1,12 +1,13 @@
 """One query per operator over its whole table, and the SQL of those that SQL can express."""
 
-from . import decontam, licenses, mixing, ngramjoin, sharding
+from . import decontam, langid, licenses, mixing, ngramjoin, sharding
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
     "op2_license_scan": licenses.op2,
     "op4_decontamination": decontam.op4,
     "op5_balanced_shards": sharding.op5,
+    "op8_language_id": langid.op8,
     "op9_ngram_join": ngramjoin.op9,
 }
 
