@@ -1,6 +1,6 @@
 """One query per operator over its whole table, and the SQL of those that SQL can express."""
 
-from . import decontam, langid, licenses, mixing, ngramjoin, sharding
+from . import balltree, decontam, langid, licenses, mixing, ngramjoin, sharding
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
@@ -9,8 +9,10 @@ QUERIES = {
     "op5_balanced_shards": sharding.op5,
     "op8_language_id": langid.op8,
     "op9_ngram_join": ngramjoin.op9,
+    "op10_exact_top_k": balltree.op10,
 }
 
 SQL: dict[str, str] = {
     "op2_license_scan": licenses.OP2_SQL,
+    "op10_exact_top_k": balltree.OP10_SQL,
 }
