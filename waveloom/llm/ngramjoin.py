@@ -16,10 +16,12 @@ from .base import components, settle, table
 from .textbytes import Words, blocks, grams, mixed, spaced_words, text_bytes
 
 CHUNK = 1 << 20
-CELL_BITS, SLICE_BITS = 20, 8
-N_ORDERS = 3
+CELL_BITS, SLICE_BITS = 22, 8
+N_ORDERS = 2
 FEW = 8      # texts of a token that are compared as pairs
 BLOCK = 128  # texts of a block of a crowded token
+LEAD = 4     # crowded tokens of a text in whose buckets its prefix is compared with the others'
+FILTER_BITS = 24
 PERCENT = 90
 SHINGLE = 3
 
@@ -37,7 +39,7 @@ def _sets(text: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def cell_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """Distinct shingles of all texts counted in 2^20 hash cells: a table of fixed size, whatever the data."""
+    """Distinct shingles of all texts counted in 2^22 hash cells: a table of fixed size, whatever the data."""
     cells, per = 1 << CELL_BITS, 1 << (CELL_BITS - SLICE_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +70,7 @@ def cell_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
     schema = "slice int, part int, n binary"
     sums = docs.select(text).mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
     out = np.zeros(cells, np.int64)
-    for r in sums.collect():  # 256 rows of 4,096 counts
+    for r in sums.collect():  # 256 rows of 16,384 counts
         out[r.slice * per:(r.slice + 1) * per] = np.frombuffer(zlib.decompress(bytes(r.n)), np.int64)
     return out
 
@@ -81,10 +83,13 @@ def commonness(counts: np.ndarray) -> np.ndarray:
 
 
 def _order(s: np.ndarray, classes: np.ndarray, k: int, length: int) -> np.ndarray:
-    """The first ``length`` shingles in order k: by class, then by the k-th scrambling, then by hash."""
+    """Keys of the first ``length`` shingles in order k: the class, then 56 bits of the k-th scrambling.
+
+    Two shingles with one key (about once in 10^17 pairs) make a false candidate at most; sets are compared by full hashes.
+    """
     key = mixed(s + np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 & ((1 << 64) - 1))) >> np.uint64(8)
     key |= classes[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
-    return s[np.argsort(key, kind="stable")[:length]]
+    return np.sort(key)[:length] if length < len(s) else np.sort(key)
 
 
 def prefixes(docs: DataFrame, classes: np.ndarray, percent: int, size: int, orders: int, text: str, id_col: str) -> DataFrame:
@@ -109,17 +114,30 @@ def prefixes(docs: DataFrame, classes: np.ndarray, percent: int, size: int, orde
     return docs.select(id_col, text).mapInArrow(make, schema)
 
 
+def _marks(ids: DataFrame) -> np.ndarray:
+    """Bits of the hashed doc_ids: a filter of fixed size (2 MB) that lets some unwanted ids pass."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    words = ids.select(F.shiftright(h, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")).alias("bit"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
 def _text_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str, id_col: str) -> DataFrame:
-    """node, s (the sorted shingle hashes as bytes) of the wanted(doc_id, node)."""
+    """node, s (the sorted shingle hashes as bytes) of the wanted(doc_id, node); only sets are shuffled, no texts."""
+    bits = _marks(wanted)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.tobytes() for s in _sets(b.column(1), size)]
+            h = b.column(0).to_numpy()
+            rows = np.flatnonzero((bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))
+            sets = [s.tobytes() for s in _sets(b.column(1).take(pa.array(rows)), size)]
             node = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in sets]
-            ok = np.array(node, np.int64) == b.column(0).to_numpy() if sets else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "s"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "s"])
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).join(wanted, "doc_id").select("node", "t")
-    return texts.mapInArrow(make, "node long, s binary").dropDuplicates(["node"])
+    hashed = docs.select(F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS)).alias("h"), F.col(text).alias("t"))
+    return hashed.mapInArrow(make, "node long, s binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,28 +191,92 @@ def _linked_in_block(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarra
     return out
 
 
-def linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the texts of each crowded token. crowd(t, node, label, blocks).
+def _packed(crowd: DataFrame, columns: list[str], percent: int) -> DataFrame:
+    """Pairs of bounded blocks (x, y; y is null for a block with itself) in which the texts of each token meet.
 
-    The texts of a token are dealt to blocks of about BLOCK; blocks of one token are compared with each other. What is shipped and
-    held is bounded by two blocks, and only links that connect different labels come out.
+    crowd(t, node, n, ...): linked texts have near sizes, so each goes into its size class and the next one.
     """
-    dealt = crowd.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
-    packed = settle(dealt.groupBy("t", "block", "blocks").agg(F.collect_list(F.struct("node", "label", "s")).alias("x")), "ngram-blocks")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
+    near = crowd.withColumn("near", size_class).withColumn("near", F.explode(F.array(F.col("near"), F.col("near") + 1)))
+    sizes = near.groupBy("t", "near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    dealt = near.join(sizes, ["t", "near"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    packed = settle(dealt.groupBy("t", "near", "block", "blocks").agg(F.collect_list(F.struct(*columns)).alias("x")), "ngram-blocks")
     single = packed.select("x", F.lit(None).cast(packed.schema["x"].dataType).alias("y"))
-    many = packed.where("blocks > 1").select("t", "block", "x")
-    cross = many.join(many.select("t", F.col("block").alias("other"), F.col("x").alias("y")), "t").where("block < other").select("x", "y")
+    many = packed.where("blocks > 1").select("t", "near", "block", "x")
+    cross = many.join(many.select("t", "near", F.col("block").alias("other"), F.col("x").alias("y")), ["t", "near"])
+    return single.union(cross.where("block < other").select("x", "y"))
+
+
+def _rows_of(b: pa.RecordBatch) -> Iterator[list[dict]]:
+    for x, y in zip(b.column(0), b.column(1)):
+        yield [v for side in (x, y) if side.is_valid for v in side.values.to_pylist()]
+
+
+def linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the texts of each crowded token. crowd(t, node, n, label).
 
+    What is shipped and held is bounded by two blocks of sets, and only links that connect different labels come out.
+    """
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x, y in zip(b.column(0), b.column(1)):
-                rows = [v for side in (x, y) if side.is_valid for v in side.values.to_pylist()]
+            for rows in _rows_of(b):
                 out += _linked_in_block(np.array([v["node"] for v in rows]), np.array([v["label"] for v in rows]),
                                         [np.frombuffer(v["s"], np.uint64) for v in rows], percent)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], ["a", "b"])
 
-    return single.union(cross).mapInArrow(compare, "a long, b long").distinct()
+    return _packed(crowd.join(sets, "node"), ["node", "label", "s"], percent).mapInArrow(compare, "a long, b long").distinct()
+
+
+def near_in_blocks(crowd: DataFrame, percent: int) -> DataFrame:
+    """The rows of crowd(t, node, n, label, p0) that may link to another label's text of their token.
+
+    Position filter: up to the smaller of two prefixes' last keys, every key that only one of them has is a difference of the
+    sets, and linked sets may only have n + m - 2 * least overlap of these.
+    """
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for rows in _rows_of(b):
+                label, n = (np.array([v[c] for v in rows]) for c in ("label", "n"))
+                keys = [np.array(v["p0"], np.int64).view(np.uint64) for v in rows]
+                last = np.array([k[-1] for k in keys])
+                upto = np.stack([np.searchsorted(k, last, "right") for k in keys])
+                _, column, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+                row = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
+                use = times[column] > 1
+                row, column = row[use], (np.cumsum(times > 1) - 1)[column[use]]
+                m = np.zeros((len(rows), int((times > 1).sum())), np.float32)
+                m[row, column] = 1
+                both = n[:, None] + n[None, :]
+                allowed = both - 2 * -(-percent * both // (100 + percent))
+                ok = (upto + upto.T - 2 * (m @ m.T) <= allowed) & (label[:, None] != label[None, :])
+                out += [rows[i] for i in np.flatnonzero(ok.any(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([v[c] for v in out], kind) for c, kind in zip(names, kinds)], names)
+
+    names, kinds = ["t", "node", "n", "label"], [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    return _packed(crowd, [*names, "p0"], percent).mapInArrow(select, "t long, node long, n int, label long").distinct()
+
+
+def apart_in_blocks(crowd: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a crowded token that have no leading token in common (those that have one meet there with their sets)."""
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = [], []
+            for rows in _rows_of(b):
+                node, label, n = (np.array([v[c] for v in rows]) for c in ("node", "label", "n"))
+                flat = np.concatenate([np.array(v["lead"], np.int64) for v in rows])
+                row = np.repeat(np.arange(len(rows)), [len(v["lead"]) for v in rows])
+                tokens, column = np.unique(flat, return_inverse=True)
+                m = np.zeros((len(rows), len(tokens)), np.float32)
+                m[row, column] = 1
+                near = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+                x, y = np.nonzero(np.triu((m @ m.T == 0) & near & (label[:, None] != label[None, :]), 1))
+                left.append(np.minimum(node[x], node[y]))
+                right.append(np.maximum(node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) if v else pa.array([], pa.int64()) for v in (left, right)], ["a", "b"])
+
+    return _packed(crowd, ["node", "label", "n", "lead"], percent).mapInArrow(pair, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders: int = N_ORDERS, text: str = "text",
@@ -209,57 +291,70 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     Tokens are ordered ``orders`` times: common shingles (by cell counts over all texts) last, the rest by another scrambling in
     each order. Linked sets share a token of their prefixes under every order. Tokens of the first order are joined. First each
     token's texts are compared with one of them only, so a large group of near copies costs one pair per member. Then the texts
-    of a token that are still in different components are compared: as pairs up to FEW texts, in bounded blocks beyond.
+    of a token that are still in different components are compared: as pairs up to FEW texts; beyond, in bounded blocks of the
+    buckets of a text's LEAD first crowded tokens (prefixes first, whole sets where these leave a link possible), and as pairs
+    where no such token is shared.
     """
     classes = commonness(cell_counts(docs, text, size))
     pre = settle(prefixes(docs, classes, percent, size, orders, text, id_col), "ngram-prefixes")
-    cols = [f"p{k}" for k in range(orders)]
-    nodes = settle(pre.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in cols]), "ngram-nodes")
+    cols = [f"p{k}" for k in range(1, orders)]
+    whole = pre.where("node is not null")
+    nodes = settle(whole.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "ngram-nodes")
 
-    # Texts of one token can only link if their sizes are near: neighbouring size classes meet in one bucket each.
-    tokens = nodes.select("node", "n", F.explode("p0").alias("t"))
+    tokens = whole.groupBy("node").agg(F.first("n").alias("n"), F.first("p0").alias("p0")).select("node", "n", F.explode("p0").alias("t"))
     shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).where("c > 1")
     held = settle(tokens.join(shared.select("t", "pivot"), "t"), "ngram-tokens")
-    info = settle(nodes.join(held.select("node").distinct(), "node", "left_semi").select("node", "n", "doc_id", *cols[1:]), "ngram-info")
+    ends = held.select("node").distinct()
+    info = settle(whole.select("node", "p0", *cols).join(ends, "node", "left_semi").dropDuplicates(["node"]).join(nodes, "node"), "ngram-info")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Length filter and the other orders' prefixes."""
-        a = info.select(*[F.col(c).alias(f"{c}_a") for c in ("node", "n", *cols[1:])])
-        b = info.select(*[F.col(c).alias(f"{c}_b") for c in ("node", "n", *cols[1:])])
+        a = info.select(*[F.col(c).alias(f"{c}_a") for c in ("node", "n", *cols)])
+        b = info.select(*[F.col(c).alias(f"{c}_b") for c in ("node", "n", *cols)])
         j = pairs.join(a, pairs.a == a.node_a).join(b, pairs.b == b.node_b)
         j = j.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-        for c in cols[1:]:
+        for c in cols:
             j = j.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
         return settle(j.select("a", "b"), "ngram-pairs")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return settle(_text_sets(docs, info.join(wanted, "node").select("doc_id", "node"), size, text, id_col), "ngram-sets")
+        ids = settle(nodes.join(wanted, "node", "left_semi").select("doc_id", "node"), "ngram-wanted")
+        return settle(_text_sets(docs, ids, size, text, id_col), "ngram-sets")
+
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
     star = likely(held.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    sets = sets_of(star.select(F.col("a").alias("node")).union(star.select("b")).distinct())
+    sets = sets_of(ends_of(star).distinct())
     links = settle(verified(star, sets, percent), "ngram-links")
     labels = components(links, "ngram-labels")
 
     marked = held.drop("pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    marked = marked.withColumn("near", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int"))
-    marked = marked.withColumn("near", F.explode(F.array("near", F.col("near") + 1))).withColumn("t", F.xxhash64("t", "near"))
-    open_tokens = marked.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    rest = settle(marked.join(open_tokens.select("t", "c"), "t").select("t", "c", "node", "label"), "ngram-open")
+    mixed_tokens = marked.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    rest = settle(marked.join(mixed_tokens.select("t", "c"), "t").select("t", "c", "node", "n", "label"), "ngram-open")
     few = rest.where(F.col("c") <= FEW)
-    other = few.select("t", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    pairs = likely(few.join(other, "t").where("node < b and label <> label_b").select(F.col("node").alias("a"), "b").distinct())
-    crowd = rest.where(F.col("c") > FEW).select("t", "node", "label", F.ceil(F.col("c") / BLOCK).alias("blocks"))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
-    sets = sets.unionByName(sets_of(ends.join(sets.select("node"), "node", "left_anti")))
-    more = verified(pairs, sets, percent).union(linked_in_blocks(crowd, sets, percent))
+    other = few.select("t", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
+    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    pairs = few.join(other, "t").where(near & F.expr("node < b and label <> label_b")).select(F.col("node").alias("a"), "b")
+
+    crowd = rest.where(F.col("c") > FEW).select("t", "node", "n", "label")
+    order = F.sort_array(F.collect_list(F.struct(F.xxhash64("t").alias("h"), "t")))
+    lead = crowd.groupBy("node").agg(F.slice(order, 1, LEAD)["t"].alias("lead"))
+    crowd = settle(crowd.join(lead, "node"), "ngram-crowd")
+    leading = crowd.where(F.array_contains("lead", F.col("t"))).select("t", "node", "n", "label").join(info.select("node", "p0"), "node")
+    leading = settle(near_in_blocks(leading, percent), "ngram-near")
+    pairs = likely(pairs.union(apart_in_blocks(crowd, percent)).distinct())
+    wanted = ends_of(pairs).union(leading.select("node")).distinct()
+    sets = sets.unionByName(sets_of(wanted.join(sets.select("node"), "node", "left_anti")))
+    more = verified(pairs, sets, percent).union(linked_in_blocks(leading, sets, percent))
     labels = components(settle(links.union(more), "ngram-links"), "ngram-labels")
 
     best = nodes.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("least"))
     own = nodes.select("node", F.col("doc_id").alias("first_id")).join(labels.join(best, "label"), "node", "left").select(
         "node", F.coalesce("least", "first_id").alias("component_id"))
-    return pre.join(own, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                                               F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return pre.select("doc_id", "n", "node").join(own, "node", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
