@@ -1,10 +1,11 @@
 """One query per operator over its whole table, and the SQL of those that SQL can express."""
 
-from . import balltree, decontam, langid, licenses, mixing, ngramjoin, sharding, warc
+from . import balltree, chat, decontam, langid, licenses, mixing, ngramjoin, sharding, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
     "op2_license_scan": licenses.op2,
+    "op3_chat_trees": chat.op3,
     "op4_decontamination": decontam.op4,
     "op5_balanced_shards": sharding.op5,
     "op6_warc_bundles": warc.op6,
@@ -15,6 +16,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_license_scan": licenses.OP2_SQL,
+    "op3_chat_trees": chat.OP3_SQL,
     "op6_warc_bundles": warc.OP6_SQL,
     "op10_exact_top_k": balltree.OP10_SQL,
 }
