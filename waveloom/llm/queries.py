@@ -1,6 +1,6 @@
 """One query per operator over its whole table, and the SQL of those that SQL can express."""
 
-from . import balltree, chat, decontam, langid, licenses, mixing, ngramjoin, sharding, warc
+from . import balltree, chat, decontam, langid, licenses, mixing, ngramjoin, repeats, sharding, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_decontamination": decontam.op4,
     "op5_balanced_shards": sharding.op5,
     "op6_warc_bundles": warc.op6,
+    "op7_repeat_removal": repeats.op7,
     "op8_language_id": langid.op8,
     "op9_ngram_join": ngramjoin.op9,
     "op10_exact_top_k": balltree.op10,
