@@ -76,10 +76,8 @@ def cell_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def commonness(counts: np.ndarray) -> np.ndarray:
-    """Class of each cell: 0 where the count is what chance gives, then one class for each doubling (common shingles come last)."""
-    mean = counts.mean() if len(counts) else 0.0
-    usual = mean + 8 * np.sqrt(mean) + 8
-    return np.where(counts > usual, 1 + np.log2(np.maximum(counts, 1) / usual), 0).astype(np.uint8)
+    """Class of each cell by its count, 64 classes up to the mean (shingles of the emptiest cells are surely rare and come first)."""
+    return np.minimum(counts * 64 // max(1, int(counts.mean())), 255).astype(np.uint8)
 
 
 def _order(s: np.ndarray, classes: np.ndarray, k: int, length: int) -> np.ndarray:
@@ -191,15 +189,19 @@ def _linked_in_block(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarra
     return out
 
 
-def _packed(crowd: DataFrame, columns: list[str], percent: int) -> DataFrame:
+def _packed(crowd: DataFrame, columns: list[str], percent: int, wide: DataFrame | None = None) -> DataFrame:
     """Pairs of bounded blocks (x, y; y is null for a block with itself) in which the texts of each token meet.
 
-    crowd(t, node, n, ...): linked texts have near sizes, so each goes into its size class and the next one.
+    crowd(t, node, n, ...): linked texts have near sizes, so each goes into its size class and the next one. Long columns come
+    from wide(node, ...) only after the narrow rows are dealt, for tokens and classes with two texts at least.
     """
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
     near = crowd.withColumn("near", size_class).withColumn("near", F.explode(F.array(F.col("near"), F.col("near") + 1)))
-    sizes = near.groupBy("t", "near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    dealt = near.join(sizes, ["t", "near"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = near.groupBy("t", "near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("c"),
+                                          F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1 and lo <> hi")
+    dealt = near.join(sizes.drop("c", "lo", "hi"), ["t", "near"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    if wide is not None:
+        dealt = dealt.join(wide, "node")
     packed = settle(dealt.groupBy("t", "near", "block", "blocks").agg(F.collect_list(F.struct(*columns)).alias("x")), "ngram-blocks")
     single = packed.select("x", F.lit(None).cast(packed.schema["x"].dataType).alias("y"))
     many = packed.where("blocks > 1").select("t", "near", "block", "x")
@@ -225,11 +227,11 @@ def linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFra
                                         [np.frombuffer(v["s"], np.uint64) for v in rows], percent)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], ["a", "b"])
 
-    return _packed(crowd.join(sets, "node"), ["node", "label", "s"], percent).mapInArrow(compare, "a long, b long").distinct()
+    return _packed(crowd, ["node", "label", "s"], percent, sets).mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_in_blocks(crowd: DataFrame, percent: int) -> DataFrame:
-    """The rows of crowd(t, node, n, label, p0) that may link to another label's text of their token.
+def near_in_blocks(crowd: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """The rows of crowd(t, node, n, label), with prefix(node, p0), that may link to another label's text of their token.
 
     Position filter: up to the smaller of two prefixes' last keys, every key that only one of them has is a difference of the
     sets, and linked sets may only have n + m - 2 * least overlap of these.
@@ -255,7 +257,7 @@ def near_in_blocks(crowd: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v[c] for v in out], kind) for c, kind in zip(names, kinds)], names)
 
     names, kinds = ["t", "node", "n", "label"], [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    return _packed(crowd, [*names, "p0"], percent).mapInArrow(select, "t long, node long, n int, label long").distinct()
+    return _packed(crowd, [*names, "p0"], percent, prefix).mapInArrow(select, "t long, node long, n int, label long").distinct()
 
 
 def apart_in_blocks(crowd: DataFrame, percent: int) -> DataFrame:
@@ -288,8 +290,8 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     reach. Equal sets are one node. Null, empty and blank texts have no shingles and link with nothing (component_id = doc_id).
     Rows with a null doc_id count as nodes, and a component of only such rows has a null component_id. Every row gives one row.
 
-    Tokens are ordered ``orders`` times: common shingles (by cell counts over all texts) last, the rest by another scrambling in
-    each order. Linked sets share a token of their prefixes under every order. Tokens of the first order are joined. First each
+    Tokens are ordered ``orders`` times: shingles of cells with small counts over all texts first, by another scrambling within
+    a class in each order. Linked sets share a token of their prefixes under every order. Tokens of the first order are joined. First each
     token's texts are compared with one of them only, so a large group of near copies costs one pair per member. Then the texts
     of a token that are still in different components are compared: as pairs up to FEW texts; beyond, in bounded blocks of the
     buckets of a text's LEAD first crowded tokens (prefixes first, whole sets where these leave a link possible), and as pairs
@@ -341,8 +343,8 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     order = F.sort_array(F.collect_list(F.struct(F.xxhash64("t").alias("h"), "t")))
     lead = crowd.groupBy("node").agg(F.slice(order, 1, LEAD)["t"].alias("lead"))
     crowd = settle(crowd.join(lead, "node"), "ngram-crowd")
-    leading = crowd.where(F.array_contains("lead", F.col("t"))).select("t", "node", "n", "label").join(info.select("node", "p0"), "node")
-    leading = settle(near_in_blocks(leading, percent), "ngram-near")
+    leading = crowd.where(F.array_contains("lead", F.col("t"))).select("t", "node", "n", "label")
+    leading = settle(near_in_blocks(leading, info.select("node", "p0"), percent), "ngram-near")
     pairs = likely(pairs.union(apart_in_blocks(crowd, percent)).distinct())
     wanted = ends_of(pairs).union(leading.select("node")).distinct()
     sets = sets.unionByName(sets_of(wanted.join(sets.select("node"), "node", "left_anti")))
