@@ -37,6 +37,15 @@ def test_ranges_of_linear_axes(spark, xa, xb):
         assert view[c] == want_view, (c, "view")
 
 
+def test_inner_range_far_from_the_first_guess(spark):
+    # The step is far below the resolution of x: millions of samples share one x.
+    axes = spark.createDataFrame([("a", 1e9, 1e-15, 0, 1 << 40)], SCHEMA)
+    x = lambda i: 1e9 + float(i) * 1e-15
+    xa = float(np.nextafter(1e9, 2e9))
+    r = ax.inner_range(axes, xa, xa).first()
+    assert x(r["i0"] - 1) < xa <= x(r["i0"]) and x(r["i1"] - 1) <= xa < x(r["i1"]) and r["i1"] - r["i0"] > 10**6
+
+
 def test_bad_increment_is_one_second(spark):
     rows = spark.createDataFrame([(0.0,), (-1.0,), (float("nan"),), (float("inf"),), (None,), (0.5,)], "dx double")
     assert [r[0] for r in rows.select(ax.safe_step("dx")).collect()] == [1.0] * 5 + [0.5]
@@ -56,9 +65,10 @@ def _points(spark, x):
 
 
 def _nearest_sorted(x, q):
-    k = int(np.searchsorted(x, q))
-    cand = [c for c in (k - 1, k) if 0 <= c < x.size]
-    return min(cand, key=lambda c: abs(x[c] - q))
+    """A sample at the least distance: left of q before right of it, and of equal x the one next to q (at q itself the first)."""
+    near = np.flatnonzero(np.abs(x - q) == np.abs(x - q).min())
+    left = near[x[near] < q]
+    return int(left[-1] if left.size else near[0])
 
 
 def test_nearest_sorted_duplicates_and_ties(spark):
@@ -92,7 +102,8 @@ def test_sorted_range_and_coverage(spark):
     assert [r["covered"] for r in cov] == [True, False, True, False, True]
 
 
-@pytest.mark.parametrize("x,want", [([1.0], True), ([np.nan], False), ([1, 1, 2], True), ([1, 2, 1.5], False), ([1, np.inf], False), ([1, np.nan, 3], False)])
+@pytest.mark.parametrize("x,want", [(np.full(9, 4.5), True), (np.arange(50) // 3, True), (np.append(np.arange(50), 48), False), ([-np.inf, 0, 1], False),
+    ([5, 6, np.nan, np.nan], False), ([-1e300, -1e-300, 0, 1e-300], True)])
 def test_monotonic(spark, x, want):
     assert ax.is_monotonic(_points(spark, x)).first()["monotonic"] is want
 
@@ -140,13 +151,12 @@ def test_raw_view_and_fetch_window(spark):
     assert [r["x"] for r in pts] == list(range(99, 122)) and [r["y"] for r in pts] == list(v[99:122])
     assert plot.plot_view(s, None, cat, axes, 5000.0, 6000.0, 16).count() in (0, 1)
     assert plot.fetch_window(0.0, 100.0, 1000) == (-25.0, 125.0, 1500)
-    assert plot.xy_points_per_curve(1) == 1_000_000 and plot.xy_points_per_curve(10_000) == 2_000
 
 
 def test_curves_of_other_length_are_left_out(spark):
     s = frame(spark, {"x": np.arange(10.0), "y": np.arange(10.0), "z": np.arange(9.0)})
     pairs = spark.createDataFrame([("y", "x", 10, 10), ("z", "x", 9, 10)], "channel_id string, x_channel_id string, y_length bigint, x_length bigint")
-    got = plot.xy_plot(s, pairs, 2)
+    got = plot.xy_plot(s, pairs, 2, 5000)
     assert got.select("channel_id").distinct().collect()[0][0] == "y" and got.count() == 10
     assert ax.xy_filter(got.withColumn("x", F.col("x")), 2.0, 4.0).count() == 3
 
@@ -156,7 +166,7 @@ def test_one_view_mixes_raw_envelope_and_rollup(spark):
     from waveloom.functions.values import present
     from waveloom.operators.rollup import build_rollup
     from waveloom.session import new_path
-    chans = {"raw": signal("normal", 30), "mid": signal("nan", 150), "long": signal("nan", 9000)}
+    chans = {"raw": signal("ramp", 30), "mid": signal("gaps", 150), "long": signal("gaps", 9000)}
     samples, cat = frame(spark, chans).persist(), catalog(spark, chans)
     buckets = build_rollup(spark, samples, cat, new_path(spark, "view"), 16, 3)
     axes = spark.createDataFrame([(c, 0.0, 0.5, 0, len(v)) for c, v in chans.items()], SCHEMA)

@@ -14,7 +14,7 @@ from waveloom.operators import stats as st
 from waveloom.operators.scan import running
 from waveloom.plans import export, readout
 from waveloom.queries.base import axes_of, event_store, lineitem_rollup, lineitem_store, ranges_of
-from waveloom.session import MAX_BROADCAST_ROWS, bounded, new_path, shared_dir
+from waveloom.session import MAX_BROADCAST_BYTES, bounded, row_width, new_path, shared_dir
 from waveloom.sources.indexing import with_sample_index
 from waveloom.streaming.rollup import read_rollup, start_rollup, stream_coverage
 
@@ -80,7 +80,7 @@ def _hot_channel(spark):
 def test_broadcast_needs_a_known_bound(spark):
     small = spark.range(10)
     assert "broadcast" not in full_plan(bounded(small, None)).lower()
-    assert "broadcast" not in full_plan(bounded(small, MAX_BROADCAST_ROWS + 1)).lower()
+    assert "broadcast" not in full_plan(bounded(small, MAX_BROADCAST_BYTES // row_width(small) + 1)).lower()
     assert "broadcast" in small.join(bounded(spark.range(10**8), 10), "id")._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
@@ -136,13 +136,19 @@ def test_intervals_merge_across_blocks(spark):
             want.append(list(r))
     assert got == [tuple(w) for w in want]
     assert rw.merged_rows([(0, 3, 0, 0), (4, 5, 1, 1), (9, 9, 0, 0)]) == [(0, 6), (9, 10)]
-    with pytest.raises(ValueError):
-        rw.box_select(df, ["a", "b"], [(0, 2_000_000, 0, 1)])
+
+
+def test_boxes_of_any_size_and_both_wide_forms(spark, monkeypatch):
+    rows = spark.range(0, 30_000).selectExpr("concat('c', id % 3) AS channel_id", "id div 3 AS sample_idx", "IF(id % 7 = 0, NULL, double(id)) AS v")
+    big = rw.box_select(rows, ["c0", "c1", "c2"], [(0, 5_000_000, 0, 2)])
+    assert big.count() == 10_000
+    monkeypatch.setattr(rw, "WIDE_BY_CONDITION", 0)
+    assert rw.box_select(rows, ["c0", "c1", "c2"], [(0, 5_000_000, 0, 2)]).select(big.columns).exceptAll(big).count() == 0
 
 
 @pytest.mark.parametrize("files", [1, 5])
 def test_stream_equals_batch(spark, tmp_path, files):
-    v = signal("nan", 2000)
+    v = signal("gaps", 2000)
     samples = frame(spark, {"a": v, "b": v[:1500]})
     samples.repartition(files).write.parquet(str(tmp_path / "in"))
     declared = spark.createDataFrame([("a", 2000, 0.0), ("b", 1400, 0.0)], "channel_id string, length bigint, pivot double")
@@ -158,7 +164,7 @@ def test_stream_equals_batch(spark, tmp_path, files):
 
 
 def test_export_reads_back(spark, tmp_path):
-    v = signal("normal", 40)
+    v = signal("ramp", 40)
     chans = {"a": v, "b": v[:25]}
     axes = spark.createDataFrame([("a", 0.0, 0.1, 0, 40), ("b", 0.0, 0.1, 0, 25)], "channel_id string, x0 double, dx double, s bigint, e bigint")
     rows = export.export_rows(frame(spark, chans), axes, 0.3, 99.0)

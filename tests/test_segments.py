@@ -101,24 +101,88 @@ def test_raw_only_same_index_and_late_channels(spark, tmp_path):
     same(channel(spark, tmp_path / "d", B, "int"), np.concatenate([b[0], b[1], b[2]]).astype(np.int64))
 
 
-@pytest.mark.parametrize("mode", ["mid_chunk", "mid_object", "chunk_edge", "interleaved", "flag"])
-def test_truncated_files(spark, tmp_path, mode):
-    npc = 90
-    first = {A: values("f8", npc, 1), B: values("i4", npc, 2), C: values("i2", npc, 3)}
-    last = {A: values("f8", 4 * npc, 4), B: values("i4", 4 * npc, 5), C: values("i2", 4 * npc, 6)}
-    segs = [encode_segment(first), encode_segment(last, chunks=4, interleaved=mode == "interleaved", unfinished=mode == "flag")]
-    chunk = npc * 14
-    keep = {"mid_chunk": 3 * chunk + 8 * 37 + 3, "mid_object": 3 * chunk + 8 * npc + 4 * 11 + 1, "chunk_edge": 2 * chunk,
-            "interleaved": 2 * chunk + 14 * 17 + 5, "flag": 3 * chunk + 8 * 50}[mode]
-    n = {"mid_chunk": (307, 270, 270), "mid_object": (360, 281, 270), "chunk_edge": (180,) * 3, "interleaved": (197,) * 3, "flag": (320, 270, 270)}[mode]
-    write(tmp_path / "d", "f.tdms", segs, cut=len(segs[1][2]) - keep)
-    for path, kind, count in zip((A, B, C), ("float", "int", "int"), n):
-        same(channel(spark, tmp_path / "d", path, kind), np.concatenate([first[path], last[path][:count]]))
-    status = [r["status"] for r in sg.segments(sg.scan_segments(spark, str(tmp_path / "d"))).orderBy("seg_no").collect()]
-    assert status == ["ok", "open" if mode == "flag" else "cut"]
-
-
-TAILS = {"zeros": b"\0" * 65536, "garbage": bytes(range(1, 251)) * 4, "short": b"\0" * 5, "tag": b"TDSm" + b"\xff" * 1000}
+def _complete(kept: int, sizes: list[int], n: int, chunks: int, interleaved: bool) -> list[int]:
+    """Values of each channel that lie wholly inside the first ``kept`` bytes of the data."""
+    if interleaved:
+        return [min(kept // sum(sizes), n * chunks)] * len(sizes)
+    out = [0] * len(sizes)
+    for _ in range(chunks):
+        for k, size in enumerate(sizes):
+            out[k] += min(n, max(0, kept) // size)
+            kept -= n * size
+    return out
+
+
+@pytest.mark.parametrize("interleaved", [False, True])
+def test_every_cut_of_the_last_segment(spark, tmp_path, interleaved):
+    codes, n, chunks = {A: "u2", B: "f4", C: "i8"}, 6, 3
+    first = {p: values(c, 5, 1) for p, c in codes.items()}
+    last = {p: values(c, n * chunks, 2) for p, c in codes.items()}
+    segs = [encode_segment(first), encode_segment(last, chunks=chunks, interleaved=interleaved)]
+    size = len(segs[1][2])
+    cuts = range(1, size, 17)
+    for cut in cuts:
+        write(tmp_path / "d", f"{cut:05d}.tdms", segs, cut=cut)
+    scan = sg.scan_segments(spark, str(tmp_path / "d")).persist()
+    runs = sg.value_runs(scan).persist()
+    rows = [r for kind in ("int", "float") for r in sg.read_samples(runs, kind).orderBy("file", "path", "sample_idx").collect()]
+    for cut in cuts:
+        counts = _complete(size - cut, [np.dtype(c).itemsize for c in codes.values()], n, chunks, interleaved)
+        for (path, code), count in zip(codes.items(), counts):
+            got = [r["v"] for r in rows if r["file"].endswith(f"{cut:05d}.tdms") and r["path"] == path]
+            want = np.concatenate([first[path], last[path][:count]])
+            same(got, want if code == "f4" else want.astype(np.int64))
+    assert {r["status"] for r in sg.segments(scan).filter("seg_no = 1").collect()} == {"cut"}
+
+
+def test_unfinished_segment_runs_to_the_end_of_the_file(spark, tmp_path):
+    v = values("f8", 48)
+    write(tmp_path / "d", "f.tdms", [encode_segment({A: v[:16]}), encode_segment({A: v[16:]}, chunks=4, unfinished=True)], cut=8 * 5)
+    scan = sg.scan_segments(spark, str(tmp_path / "d")).persist()
+    same([r["v"] for r in sg.read_samples(sg.value_runs(scan)).orderBy("sample_idx").collect()], v[:-5])
+    assert [r["status"] for r in sg.segments(scan).orderBy("seg_no").collect()] == ["ok", "open"]
+
+
+@pytest.mark.parametrize("folder", ["run 7", "100%25 load", "a#b"])
+def test_paths_with_odd_characters(spark, tmp_path, folder):
+    v = values("f8", 10)
+    write(tmp_path / folder, "my file.tdms", [encode_segment({A: v})])
+    same(channel(spark, tmp_path / folder, A, "float"), v)
+
+
+def _scale(slope, intercept, **more):
+    return {"NI_Number_Of_Scales": 1, "NI_Scale[0]_Scale_Type": "Linear", "NI_Scale[0]_Linear_Slope": slope, "NI_Scale[0]_Linear_Y_Intercept": intercept, **more}
+
+
+def test_scales_of_channel_group_and_file(spark, tmp_path):
+    paths = ["/'g'/'own'", "/'g'/'done'", "/'g'/'group'", "/'h'/'file'"]
+    raw = {p: np.arange(5, dtype=t) for p, t in zip(paths, ("i2", "f8", "u4", "f4"))}
+    props = {"/": _scale(7.0, -1.0), "/'g'": _scale(0.5, 20.0), paths[0]: _scale(2.0, 100.0), paths[1]: _scale(9.0, 9.0, NI_Scaling_Status="scaled")}
+    write(tmp_path / "d", "f.tdms", [encode_segment(raw, props=props)])
+    scan = sg.scan_segments(spark, str(tmp_path / "d")).persist()
+    rows = sg.scaled_samples(sg.read_numbers(sg.value_runs(scan)), sg.channel_scales(scan)).orderBy("sample_idx").collect()
+    i = np.arange(5.0)
+    for p, want in zip(paths, (2 * i + 100, i, i / 2 + 20, 7 * i - 1)):
+        assert [r["v"] for r in rows if r["path"] == p] == list(want), p
+    odd = {paths[0]: {"NI_Number_Of_Scales": 1, "NI_Scale[0]_Scale_Type": "Polynomial"}}
+    write(tmp_path / "e", "f.tdms", [encode_segment({paths[0]: raw[paths[0]]}, props=odd)])
+    scan = sg.scan_segments(spark, str(tmp_path / "e"))
+    with pytest.raises(ValueError):
+        sg.scaled_samples(sg.read_numbers(sg.value_runs(scan)), sg.channel_scales(scan))
+
+
+def test_a_channel_that_changes_its_type(spark, tmp_path):
+    one, two = values("i2", 5), values("f8", 3)
+    write(tmp_path / "d", "f.tdms", [encode_segment({A: one}), encode_segment({A: two})])
+    scan = sg.scan_segments(spark, str(tmp_path / "d")).persist()
+    assert sg.channel_catalog(scan).first()["n_types"] == 2
+    for kind in ("float", "int"):
+        with pytest.raises(ValueError):
+            sg.read_samples(sg.value_runs(scan), kind)
+    same([r["v"] for r in sg.read_numbers(sg.value_runs(scan)).orderBy("sample_idx").collect()], np.concatenate([one.astype(float), two]))
+
+
+TAILS = {"blank": b" " * 3001, "digits": b"0123456789" * 77, "one": b"\x7f", "text": b"TDS" + b"end of log" * 9}
 
 
 @pytest.mark.parametrize("tail", list(TAILS))
@@ -211,16 +275,19 @@ def test_drift_and_mixed_layout(spark, tmp_path):
 
 
 def test_wrong_clock_and_year_rules(spark):
-    rows = [("f", "u", 100_000, 1_785_000_000), ("f", "i", 100_000, 1_785_000_001), ("f", "slow", 10, 1), ("f", "none", 5, None),
-            ("y", "a", 10, 1_785_000_000), ("y", "b", 1000, 1_785_000_000 + 150 * 86_400)]
+    rows = [("f", "u", 7_000, 1_500_000_000), ("f", "i", 9_000, 1_500_000_001), ("f", "slow", 40, 86_400), ("f", "none", 5, None),
+            ("y", "a", 10, 1_500_000_000), ("y", "b", 1000, 1_500_000_000 + 200 * 86_400)]
     ch = spark.createDataFrame([(f, c, n, None if t is None else t * 10**9) for f, c, n, t in rows], "file_id string, channel_id string, length bigint, wf_start_ns bigint")
     got = {r["channel_id"]: r for r in cat.start_seconds(cat.with_reference(ch).withColumn("wf_start_offset", F.lit(None).cast("double"))).collect()}
-    assert got["u"]["t_ref"] == 1_785_000_000 * 10**9 and got["slow"]["far"] and not got["u"]["far"]
+    assert got["u"]["t_ref"] == 1_500_000_000 * 10**9 and got["slow"]["far"] and not got["u"]["far"]
     assert got["i"]["start_s"] == 1.0 and got["slow"]["start_s"] < -1e9 and got["none"]["start_s"] == 0.0
-    assert got["a"]["t_ref"] == got["b"]["t_ref"] == 1_785_000_000 * 10**9 and not got["b"]["far"]
+    assert got["a"]["t_ref"] == got["b"]["t_ref"] == 1_500_000_000 * 10**9 and not got["b"]["far"]
 
 
-def test_many_bad_increments(spark):
-    ch = spark.createDataFrame([("f", i, f"g/c{i}", "-1.0") for i in range(12)], "file_id string, channel_no bigint, label string, dx_text string")
-    msgs = [r["message"] for r in cat.increment_warnings(cat.check_increment(ch)).orderBy("seq").collect()]
-    assert len(msgs) == 6 and msgs[0] == "g/c0: invalid wf_increment -1.0 ignored (1 sample = 1 s)" and msgs[-1] == "... and 7 more channels with an invalid wf_increment"
+def test_every_bad_increment_has_a_warning(spark):
+    texts = ["-2", "0", "nan", "3d", "1.5f", "0x10", "", " ", "fast"] * 5
+    ch = spark.createDataFrame([("f", i, f"g/c{i}", t) for i, t in enumerate([*texts, "2.5", "1e-3", None])], "file_id string, channel_no bigint, label string, dx_text string")
+    rows = cat.increment_warnings(cat.check_increment(ch)).orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(len(texts))) and all(f"g/c{r['seq']} " in r["message"] for r in rows)
+    many = spark.range(0, 900).selectExpr("'f' AS file_id", "concat('m', id % 300) AS message", "id AS seq")
+    assert cat.warn_dedupe(many).filter("n = 3").count() == 300

@@ -124,7 +124,7 @@ def test_base_doubles_until_the_budget_fits(spark):
 
 @pytest.mark.parametrize("cut", [1, 7, 100, 997])
 def test_batches_do_not_change_the_rollup(spark, cut):
-    v = signal("nan", 1000)
+    v = signal("gaps", 1000)
     samples = frame(spark, {"a": v})
     parts = None
     for lo in range(0, 1000, max(cut, 125)):
@@ -165,3 +165,17 @@ def test_xy_decimation_keeps_extremes(spark):
     want += range(1003 // b * b, 1003)
     assert got == sorted(want)
     assert xy_decimate(pts, spans, 2000).count() == 1003
+
+
+@pytest.mark.parametrize("base", [2, 16, 1 << 20])
+def test_level_count_is_one_closed_form(spark, base):
+    lengths = [0, 1, base * 64, base * 64 + 1, 10**6, 10**12, (1 << 62) + 5, (1 << 63) - 1]
+    rows = spark.createDataFrame([(n,) for n in lengths], "length bigint")
+    got = [r[0] for r in rows.select(F.expr(roll.level_count("length", base))).collect()]
+
+    def want(n):
+        count, buckets = 1, -(-n // base)
+        while buckets > 64:
+            count, buckets = count + 1, -(-buckets // 8)
+        return count
+    assert got == [roll.n_levels(n, base) for n in lengths] == [want(n) for n in lengths]

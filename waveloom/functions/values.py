@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -57,6 +57,11 @@ def time_relative(ns: str | Column, zero_ns: str | Column) -> Column:
     return (_col(ns) - _col(zero_ns)) / F.lit(1e9)
 
 
+def time_zero(samples: DataFrame, ns: str) -> DataFrame:
+    """channel_id, z: the first valid time of each channel over all its samples, 0 without one (partially aggregated)."""
+    return samples.groupBy("channel_id").agg(F.coalesce(F.min_by(ns, F.when(F.col(ns).isNotNull(), F.col("sample_idx"))), F.lit(0)).alias("z"))
+
+
 def magnitude(re: str | Column, im: str | Column) -> Column:
     return F.hypot(_col(re), _col(im))
 
@@ -102,23 +107,31 @@ def decode_text(raw: str | Column) -> Column:
                     valid.alias("is_utf8"))
 
 
+# Classes of 80-bit values.
+_ZERO, _NORMAL, _INFINITE, _INVALID = range(4)
+
+
 def decode_extended(raw: np.ndarray) -> np.ndarray:
     """80-bit extended floats in rows of 16 little-endian bytes to float64.
 
-    NaN for values with non-zero padding or without the explicit integer bit.
+    The value is (-1)^sign * significand * 2^(exponent - bias), the significand a fixed-point number with 63 binary places. It is
+    taken as two exact halves of 32 bits. NaN for not-a-numbers, for numbers without their integer bit and for rows whose last
+    six bytes are not zero.
     """
-    mantissa = np.ascontiguousarray(raw[:, 0:8]).view("<u8")[:, 0]
-    head = np.ascontiguousarray(raw[:, 8:10]).view("<u2")[:, 0].astype(np.int64)
-    exponent, negative = head & 0x7FFF, head >= 0x8000
-    integer_bit = mantissa >= np.uint64(1 << 63)
-    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
-        value = np.ldexp(mantissa.astype(np.float64), np.maximum(exponent, 1) - 16446)
-    top = exponent == 0x7FFF
-    fraction = mantissa & np.uint64((1 << 63) - 1)
-    value = np.where(top, np.where(fraction == 0, np.inf, np.nan), value)
-    value = np.where(negative, -value, value)
-    invalid = (raw[:, 10:16] != 0).any(axis=1) | ((exponent != 0) & ~integer_bit)
-    return np.where(invalid, np.nan, value)
+    words = np.ascontiguousarray(raw).view("<u4").reshape(-1, 4)
+    low, high = words[:, 0], words[:, 1]
+    sign_exponent = (words[:, 2] & 0xFFFF).astype(np.int64)
+    padding = (words[:, 2] >> 16) | words[:, 3]
+    power = sign_exponent % 0x8000
+    leading, rest = high >> 31 == 1, (high << 1 != 0) | (low != 0)
+    kind = np.select([padding != 0, power == 0x7FFF, power == 0, leading],
+                     [_INVALID, np.where(leading & ~rest, _INFINITE, _INVALID), _ZERO, _NORMAL], _INVALID)
+    with np.errstate(over="ignore", under="ignore"):
+        # Rounded once to 53 bits while in range, then scaled; numbers near zero have the power of the smallest normal.
+        significand = high.astype(np.float64) * 2.0 ** 32 + low.astype(np.float64)
+        size = np.ldexp(significand, np.maximum(power, 1) - 16383 - 63)
+    value = np.select([kind == _INFINITE, kind == _INVALID], [np.inf, np.nan], size)
+    return np.copysign(value, np.where(sign_exponent >= 0x8000, -1.0, 1.0))
 
 
 @F.pandas_udf(DoubleType())

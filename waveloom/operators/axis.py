@@ -69,24 +69,22 @@ def _clamped(x: Column) -> Column:
 def inner_range(axes: DataFrame, xa: float, xb: float) -> DataFrame:
     """Samples [i0, i1) with xa <= x0 + i * dx <= xb, exact in the formula of the axis.
 
-    The quotient only gives a first guess. The edge is then searched among the neighbours that
-    rounding can reach, with the x formula itself (x never decreases with i).
+    Bisection with the x formula itself (x never decreases with i): 64 halvings settle any BIGINT range.
     """
     out = _fractions(axes, xa, xb)
-
-    def first_where(f: str, x: float, op: str) -> str:
-        ulps = f"greatest(abs(x0), {abs(float(x))!r}D) * 2.3e-16D / dx + abs({f}) * 2.3e-16D"
-        reach = f"bigint(least(ceil(least({ulps}, 1e6D) * 4) + 2, 1000000))"
-        guess = f"greatest(s, least(e, floor({_near(f)})))"
-        near = f"sequence(greatest(s, {guess} - {reach}), least(e, {guess} + {reach} + 1))"
-        return f"coalesce(array_min(filter({near}, i -> i >= e OR x0 + double(i) * dx {op} {float(x)!r}D)), e)"
-
     known = "abs(_fa) < double('Infinity') AND abs(_fb) < double('Infinity')"
     if not (_plain(xa) and _plain(xb)):
         return out.selectExpr(*axes.columns, "s AS i0", "greatest(s, e) AS i1")
+
+    def first_where(x: float, op: str) -> str:
+        mid = "(a.lo + shiftright(a.hi - a.lo, 1))"
+        return f"""aggregate(sequence(1, 64), named_struct('lo', bigint(s), 'hi', bigint(e)), (a, k) -> CASE WHEN a.lo >= a.hi THEN a
+            WHEN x0 + double({mid}) * dx {op} {float(x)!r}D THEN named_struct('lo', a.lo, 'hi', {mid})
+            ELSE named_struct('lo', {mid} + 1, 'hi', a.hi) END, a -> a.lo)"""
+
     out = out.selectExpr(
-        *axes.columns, f"CASE WHEN e <= s OR NOT ({known}) THEN s ELSE {first_where('_fa', xa, '>=')} END AS i0",
-        f"CASE WHEN e <= s THEN s WHEN NOT ({known}) THEN e ELSE {first_where('_fb', xb, '>')} END AS _i1")
+        *axes.columns, f"CASE WHEN e <= s OR NOT ({known}) THEN s ELSE {first_where(xa, '>=')} END AS i0",
+        f"CASE WHEN e <= s THEN s WHEN NOT ({known}) THEN e ELSE {first_where(xb, '>')} END AS _i1")
     return out.selectExpr(*axes.columns, "i0", "greatest(i0, _i1) AS i1")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import EPOCH_1904_S, NS_PER_S, finite
 from ..session import bounded, settle
-from .scan import first_rows, running
+from .scan import running
 
 # Type codes of the measurement-file format and their kinds.
 INT_CODES = [1, 2, 3, 4, 5, 6, 7, 8]
@@ -22,8 +22,6 @@ RELATIVE_BEFORE_NS = EPOCH_1904_NS + 366 * 86_400 * NS_PER_S
 MAX_SPREAD_NS = 365 * 86_400 * NS_PER_S
 
 START_BLOCK_NS = 3_600 * NS_PER_S  # block of the running weight over start times
-INCREMENT_NAMED = 5
-WARNINGS_SHOWN = 20
 
 
 def kind_of(type_code: str, length: str) -> Column:
@@ -66,9 +64,9 @@ def display_props(props: str, length: str, type_code: str) -> Column:
 
 
 def float_prop(text: str | Column) -> Column:
-    """A property as a finite double, else NULL."""
+    """A property as a finite double, else NULL. Only plain decimal notation counts (a cast alone would take "1.5d")."""
     text = F.col(text) if isinstance(text, str) else text
-    v = text.try_cast("double")
+    v = F.when(text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), text.try_cast("double"))
     return F.when(finite(v), v)
 
 
@@ -92,16 +90,9 @@ def check_increment(channels: DataFrame) -> DataFrame:
 
 
 def increment_warnings(channels: DataFrame) -> DataFrame:
-    """Warnings per file: the first five channels by name, then one count of the others."""
-    bad = channels.filter("bad")
-    first = first_rows(bad, "file_id", "channel_no", INCREMENT_NAMED)
-    named = first.select(
-        "file_id", F.col("channel_no").alias("seq"),
-        F.concat(F.col("label"), F.lit(": invalid wf_increment "), F.col("dx_text"), F.lit(" ignored (1 sample = 1 s)")).alias("message"))
-    rest = bad.groupBy("file_id").agg((F.count(F.lit(1)) - INCREMENT_NAMED).alias("more"), F.max("channel_no").alias("seq"))
-    rest = rest.filter("more > 0").select("file_id", (F.col("seq") + 1).alias("seq"), F.format_string(
-        "... and %d more channels with an invalid wf_increment", "more").alias("message"))
-    return named.unionByName(rest)
+    """Every channel whose increment was refused: file_id, seq (its number), message."""
+    text = F.concat(F.col("label"), F.lit(" has no usable wf_increment ("), F.col("dx_text"), F.lit("): one second per sample"))
+    return channels.filter("bad").select("file_id", F.col("channel_no").alias("seq"), text.alias("message"))
 
 
 def time_reference(channels: DataFrame) -> DataFrame:
@@ -203,14 +194,9 @@ def range_clamp(channels: DataFrame, start: int, count: int | None) -> DataFrame
     return channels.withColumn("s", s).withColumn("e", e)
 
 
-def warn_dedupe(messages: DataFrame, limit: int = WARNINGS_SHOWN) -> DataFrame:
-    """Distinct messages per file by first occurrence, at most `limit`, then one count row."""
-    first = messages.groupBy("file_id", "message").agg(F.min("seq").alias("seq"))
-    shown = first_rows(first, "file_id", "seq", limit)
-    more = first.groupBy("file_id").agg((F.count(F.lit(1)) - limit).alias("more"), (F.max("seq") + 1).alias("seq"))
-    tail = more.filter("more > 0").select(
-        "file_id", F.format_string("... and %d more warnings", "more").alias("message"), "seq")
-    return shown.select("file_id", "message", "seq").unionByName(tail)
+def warn_dedupe(messages: DataFrame) -> DataFrame:
+    """Distinct messages per file with their first place (seq) and count (n)."""
+    return messages.groupBy("file_id", "message").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
 
 
 def path_collision(objects: DataFrame) -> DataFrame:

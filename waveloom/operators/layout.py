@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from ..session import bounded, settle
 from .envelope import bucket_of
-from .scan import BLOCK, first_rows, running
+from .scan import BLOCK, running
 
 # ToC bits of a segment.
 TOC_META, TOC_NEW_LIST, TOC_RAW = 1 << 1, 1 << 2, 1 << 3
 TOC_INTERLEAVED, TOC_BIG_ENDIAN, TOC_DAQMX = 1 << 5, 1 << 6, 1 << 7
 
-SPREAD_PROBES = 16
-MAX_PROBED_KINDS = 128
-
 
 def run_compress(parts: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """Merge consecutive segments of one layout at a constant distance into runs.
@@ -77,34 +74,17 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], group: str) ->
         F.bool_and(same).alias("matches"), F.count(F.lit(1)).alias("n_rows"), F.count_if(~same).alias("n_diff"))
 
 
-def probe_points(rows: DataFrame, channels: DataFrame) -> DataFrame:
-    """Rows to compare: first and last row of each layout kind (the first 128 kinds) and 16 spread rows.
-
-    rows: channel_id, sample_idx, sig. Result: channel_id, sample_idx.
-    """
-    kinds = rows.groupBy("channel_id", "sig").agg(F.min("sample_idx").alias("a"), F.max("sample_idx").alias("b"))
-    ends = first_rows(kinds, "channel_id", "a", MAX_PROBED_KINDS).select(
-        "channel_id", F.explode(F.array("a", "b")).alias("sample_idx"))
-    k = F.least(F.col("length"), F.lit(SPREAD_PROBES))
-    at = F.transform(F.sequence(F.lit(0), (k - 1).cast("int")),
-                     lambda i: F.call_function("div", i * (F.col("length") - 1), F.greatest(k - 1, F.lit(1))))
-    spread = channels.filter("length > 0").select("channel_id", F.explode(at).alias("sample_idx"))
-    return ends.unionByName(spread).distinct()
-
-
-def reconcile_probe(rows: DataFrame, reference: DataFrame, points: DataFrame, n_channels: int | None = None) -> DataFrame:
-    """Bit-exact comparison of v at the probe points: per channel the probes and the differences.
+def reconcile_values(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """Bit-exact comparison of v at every position of two sample tables: per channel the positions and the differences.
 
-    A channel has at most SPREAD_PROBES + 2 * MAX_PROBED_KINDS probes: they are broadcast to both tables.
+    A position that only one side has is a difference.
     """
-    most = None if n_channels is None else n_channels * (SPREAD_PROBES + 2 * MAX_PROBED_KINDS)
-    points = settle(points)
     keys = ["channel_id", "sample_idx"]
-    a = rows.select(*keys, F.col("v").alias("_a")).join(bounded(points, most), keys, "left_semi")
-    b = reference.select(*keys, F.col("v").alias("_b")).join(bounded(points, most), keys, "left_semi")
-    both = points.join(a, keys, "left").join(b, keys, "left")
-    return both.groupBy("channel_id").agg(
-        F.count(F.lit(1)).alias("n_probes"), F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_diff"))
+    a = rows.select(*keys, F.col("v").alias("_a"), F.lit(True).alias("_in_a"))
+    b = reference.select(*keys, F.col("v").alias("_b"), F.lit(True).alias("_in_b"))
+    same = F.col("_in_a").eqNullSafe(F.col("_in_b")) & F.col("_a").eqNullSafe(F.col("_b"))
+    return a.join(b, keys, "full_outer").groupBy("channel_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~same).alias("n_diff"))
 
 
 def mixed_layout(segments: DataFrame) -> DataFrame:
@@ -129,7 +109,7 @@ def file_snapshot(spark: SparkSession, path: str, pattern: str = "*") -> DataFra
 
 
 def source_drift(before: DataFrame, now: DataFrame) -> DataFrame:
-    """Files that were changed, removed or added since the stored snapshot."""
+    """Sources (path, size, modified) that were changed, removed or added since a snapshot."""
     a = before.select("path", F.struct("size", "modified").alias("_a"))
     b = now.select("path", F.struct("size", "modified").alias("_b"))
     state = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed")

@@ -17,7 +17,6 @@ BASE = 256
 # Size ratio between levels, and the bucket count at which a level is the top.
 FACTOR = 8
 TOP_BUCKETS = 64
-MAX_LEVELS = 15  # enough for 2^56 samples
 
 
 def level0(samples: DataFrame, channels: DataFrame, base: int = BASE, n_channels: int | None = None) -> DataFrame:
@@ -32,17 +31,22 @@ def next_level(states: DataFrame) -> DataFrame:
     return merge_once(grouped, ["channel_id", "bucket"], "_child")
 
 
+def level_limits(base: int) -> list[int]:
+    """Lengths beyond which a channel has one level more, up to the largest BIGINT."""
+    out = [TOP_BUCKETS * base]
+    while out[-1] * FACTOR < 1 << 63:
+        out.append(out[-1] * FACTOR)
+    return out
+
+
 def n_levels(length: int, base: int) -> int:
     """Number of levels of a channel of `length` samples."""
-    count, buckets = 1, -(-length // base)
-    while buckets > TOP_BUCKETS:
-        count, buckets = count + 1, -(-buckets // FACTOR)
-    return count
+    return 1 + sum(limit < length for limit in level_limits(base))
 
 
 def level_count(length: str, base: int) -> str:
     """`n_levels` as a SQL expression: one more for each level that has more than TOP_BUCKETS buckets."""
-    limits = ", ".join(f"{TOP_BUCKETS * base * FACTOR ** k}L" for k in range(MAX_LEVELS))
+    limits = ", ".join(f"{n}L" for n in level_limits(base))
     return f"size(filter(array({limits}), x -> x < {length})) + 1"
 
 
@@ -133,7 +137,7 @@ def rollup_envelope(samples: DataFrame, buckets: DataFrame, channels: DataFrame,
     Whole buckets are regrouped stored buckets; the clipped first and last bucket are exact range
     states. Same columns as `envelope`.
     """
-    sizes = ", ".join(f"{base * FACTOR ** k}L" for k in range(1, MAX_LEVELS))
+    sizes = ", ".join(f"{base * FACTOR ** k}L" for k in range(1, len(level_limits(base)) + 1) if base * FACTOR ** k < 1 << 63)
     plan = ranges.select("channel_id", "i0", "i1", "b").join(
         bounded(channels.select("channel_id", "length"), n_channels), "channel_id")
     plan = plan.selectExpr("channel_id", "i0", "i1", "b", "least(i1, ceil(i0 / double(b)) * b) AS a",

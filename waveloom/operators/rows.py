@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .scan import running
 
-MAX_CELLS = 2_000_000
-
 
 def sample_window(samples: DataFrame, channel_ids: list, start: int, stop: int) -> DataFrame:
     """Samples [start, stop) of some channels; both predicates reach the scan."""
@@ -47,13 +45,10 @@ def merged_rows(boxes: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]
 def box_select(samples: DataFrame, columns: list, boxes: list[tuple[int, int, int, int]], text: Column | None = None) -> DataFrame:
     """Cells of the selected boxes as a wide table: row_no and one column per selected channel.
 
-    columns: channel ids in table order. Cells outside every box are NULL. A selection of more than
-    MAX_CELLS cells is refused (as a copy to the clipboard is), not cut.
+    columns: channel ids in table order. Cells outside every box are NULL. The answer is a DataFrame of any size.
     """
     intervals = merged_rows(boxes)
     used = sorted({c for _t, _b, left, right in boxes for c in range(left, right + 1) if c < len(columns)})
-    if sum(b - a for a, b in intervals) * len(used) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells selected")
     idx, ch = F.col("sample_idx"), F.col("channel_id")
     rows = reduce(or_, [(idx >= a) & (idx < b) for a, b in intervals])
     inside = reduce(or_, [idx.between(t, b) & ch.isin(columns[left:right + 1]) for t, b, left, right in boxes])
@@ -70,10 +65,10 @@ def side_by_side(rows: DataFrame, key: str, channel_ids: list, cell: str) -> Dat
     """One row per key and one column per channel (NULL where a channel has no cell).
 
     A pivot groups by (key, channel) and then by key; for a short list of channels conditional
-    aggregates give the same table with a single shuffle.
+    aggregates give the same table with a single shuffle. Both take the first cell that is not NULL.
     """
     if len(channel_ids) > WIDE_BY_CONDITION:
-        return rows.groupBy(key).pivot("channel_id", channel_ids).agg(F.first(cell))
+        return rows.groupBy(key).pivot("channel_id", channel_ids).agg(F.first(cell, ignorenulls=True))
     return rows.groupBy(key).agg(*[
         F.first(F.when(F.col("channel_id") == c, F.col(cell)), ignorenulls=True).alias(str(c)) for c in channel_ids])
 

@@ -34,8 +34,12 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, how: str,
     return joined.withColumn(out, both).drop("_blk", "_val", "_local", "_carry")
 
 
-def first_rows(df: DataFrame, group: str, order: str, k: int, spread: int = 64) -> DataFrame:
-    """First k rows per group in two rounds: per slice of a hot group, then over the slices."""
+def first_rows(df: DataFrame, group: str, order: str, k: int, spread: int | None = None) -> DataFrame:
+    """First k rows per group in two rounds: per slice of a hot group, then over the slices.
+
+    The number of slices follows the row count (about a million rows each).
+    """
+    spread = spread or max(64, -(-df.count() // 1_000_000))
     slices = Window.partitionBy(group, F.pmod(F.xxhash64(order), F.lit(spread))).orderBy(order)
     near = df.withColumn("_rn", F.row_number().over(slices)).filter(F.col("_rn") <= k)
     return near.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(

@@ -14,9 +14,6 @@ from ..operators.rollup import BASE, rollup_envelope
 from ..session import bounded
 
 MIN_PIXELS = 16
-# Points of all X-Y curves of a request, and the least per curve.
-XY_MAX_POINTS = 1_000_000
-XY_MIN_POINTS = 2_000
 
 
 def fetch_window(xa: float, xb: float, pixels: float, margin: float = 0.25) -> tuple[float, float, int]:
@@ -67,16 +64,11 @@ def plot_view(samples: DataFrame, buckets: DataFrame | None, channels: DataFrame
         "channel_id", "bucket", "ord", x_of("x_index").alias("x"), "y")
 
 
-def xy_points_per_curve(n_curves: int) -> int:
-    """Share of the point budget of each X-Y curve."""
-    return max(min(XY_MIN_POINTS, XY_MAX_POINTS), XY_MAX_POINTS // max(1, n_curves))
-
-
-def xy_plot(samples: DataFrame, pairs: DataFrame, n_curves: int, max_points: int | None = None) -> DataFrame:
-    """X-Y curves over the full range: aligned by position, then decimated to the shared budget."""
+def xy_plot(samples: DataFrame, pairs: DataFrame, n_curves: int, max_points: int) -> DataFrame:
+    """X-Y curves over the full range: aligned by position, then decimated to ``max_points`` per curve (chosen by the caller)."""
     points = xy_align(samples, pairs, n_curves)
     spans = pairs.filter("y_length = x_length").select("channel_id", F.lit(0).cast("bigint").alias("s"), F.col("y_length").alias("e"))
-    return xy_decimate(points, spans, max_points or xy_points_per_curve(n_curves), n_curves)
+    return xy_decimate(points, spans, max_points, n_curves)
 
 
 def sorted_curves(points: DataFrame) -> DataFrame:

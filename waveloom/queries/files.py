@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import EPOCH_1904_S
 from ..operators import catalog as cat
 from ..session import new_path, settle
 from ..sources import segments as sg
 from ..sources.encode import FILE_SAMPLES, SEGMENT_SAMPLES, write_files
-from .base import L, LC, lineitem_store
+from .base import L, LC, lineitem_store, rnd, rnd_sql
 
 QUERIES: dict = {}
 _SCANS: dict = {}
@@ -96,6 +101,49 @@ def file_scan_int(spark, sf_dir):
     return _placed(sg.read_samples(stored_runs(spark, sf_dir), "int", start=1000, stop=9000), "k")
 
 
+def _linear(slope: float, intercept: float) -> dict:
+    return {"NI_Number_Of_Scales": 1, "NI_Scaling_Status": "unscaled", "NI_Scale[0]_Scale_Type": "Linear", "NI_Scale[0]_Linear_Slope": slope,
+            "NI_Scale[0]_Linear_Y_Intercept": intercept, "NI_Scale[0]_Linear_Input_Source": -1}
+
+
+@query("file_scan_scaled", f"""WITH {L} SELECT channel_id, sample_idx, 'v' AS name, {rnd_sql("CASE WHEN channel_id LIKE 'A%' THEN v * 3.0 + 1.0 ELSE v * 1.5 + 10.0 END")} AS y FROM L
+  UNION ALL SELECT channel_id, sample_idx, 'k', {rnd_sql('k * 0.25 - 2.0')} FROM L""")
+def file_scan_scaled(spark, sf_dir):
+    """Scales on the channel (k), the group (v of N and R) and the file (v of A), applied on reading."""
+    folder = new_path(spark, "scaled")
+
+    def props(channel, group):
+        return {"/": _linear(3.0, 1.0), **({} if channel.startswith("A") else {group: _linear(1.5, 10.0)}), f"{group}/'k'": _linear(0.25, -2.0)}
+    settle(write_files(lineitem_store(spark, sf_dir).samples, folder, ["v", "k"], more_props=props), "written")
+    scan = settle(sg.scan_segments(spark, folder), "segments")
+    runs, scales = settle(sg.value_runs(scan), "runs"), settle(sg.channel_scales(scan), "scales")
+    both = [(name, sg.scaled_samples(sg.read_samples(runs, kind), scales)) for name, kind in (("v", "float"), ("k", "int"))]
+    return reduce(DataFrame.unionByName, [_placed(rows, "y").select("channel_id", "sample_idx", F.lit(name).alias("name"), rnd("y").alias("y")) for name, rows in both])
+
+
+@query("file_scan_typed", f"""WITH {L} SELECT channel_id, sample_idx, 'bool' AS kind, (k % 2 = 0)::BIGINT AS n, NULL::DOUBLE AS re, NULL::DOUBLE AS im FROM L
+  UNION ALL SELECT channel_id, sample_idx, 'uint64', k, NULL, NULL FROM L
+  UNION ALL SELECT channel_id, sample_idx, 'time', k * 1000000000 + (k % 4) * 250000000, NULL, NULL FROM L
+  UNION ALL SELECT channel_id, sample_idx, 'complex', NULL, v, q FROM L""")
+def file_scan_typed(spark, sf_dir):
+    """Boolean, unsigned, time and complex channels; the unsigned values lie beyond the signed range."""
+    folder = new_path(spark, "typed")
+
+    def encode(rows):
+        k = rows["k"].to_numpy()
+        return {"bool": k % 2 == 0, "uint64": k.astype("u8") + np.uint64(1 << 63), "complex": rows["v"].to_numpy() + 1j * rows["q"].to_numpy(),
+                "time": [(EPOCH_1904_S + int(x), (int(x) % 4) << 62) for x in k]}
+    settle(write_files(lineitem_store(spark, sf_dir).samples, folder, ["v", "k", "q"], encode), "written")
+    runs = settle(sg.value_runs(settle(sg.scan_segments(spark, folder), "segments")), "runs")
+    none = F.lit(None).cast("double")
+
+    def rows(kind, n, re=none, im=none):
+        return _placed(sg.read_samples(runs, kind), "x").select("channel_id", "sample_idx", F.lit(kind).alias("kind"), n.cast("bigint").alias("n"), re.alias("re"), im.alias("im"))
+    x = F.col("x")
+    return reduce(DataFrame.unionByName, [
+        rows("bool", x), rows("uint64", x - F.lit(str(1 << 63)).cast("decimal(20,0)")), rows("time", x), rows("complex", F.lit(None), F.col("x.re"), F.col("x.im"))])
+
+
 @query("file_properties", f"""WITH {L}, {LC}, F AS (SELECT channel_id, b FROM LC, (SELECT unnest(range(0, 100000)) AS b) t WHERE b * {FILE_SAMPLES} < length)
   SELECT channel_id || '-' || lpad(b::VARCHAR, 9, '0') || '.tdms' AS file, '/''' || channel_id || '''' AS object, 'block' AS name, b::VARCHAR AS value FROM F
   UNION ALL SELECT channel_id || '-' || lpad(b::VARCHAR, 9, '0') || '.tdms', '/', 'first', (b * {FILE_SAMPLES})::VARCHAR FROM F""")

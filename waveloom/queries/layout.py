@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import layout as lay
 from ..operators import rows as rw
-from ..session import new_path
 from ..sources.tables import table
-from .base import L, LC, S, event_store, lineitem_store, rnd, rnd_sql
+from .base import L, S, event_store, lineitem_store, rnd, rnd_sql
 
 QUERIES: dict = {}
 
@@ -94,17 +93,14 @@ def reconcile_catalog(spark, sf_dir):
     return lay.reconcile(declared, measured, ["file_id", "seg_no"], "file_id")
 
 
-@query("reconcile_probe", f"""WITH {L}, {LC}, X AS (SELECT channel_id, sample_idx, l_linenumber AS sig, v, CASE WHEN k % 3 = 0 THEN v + 1 ELSE v END AS w FROM L),
-  E AS (SELECT channel_id, min(sample_idx) AS a, max(sample_idx) AS b FROM X GROUP BY channel_id, sig),
-  T AS (SELECT channel_id, a AS sample_idx FROM E UNION SELECT channel_id, b FROM E UNION
-    SELECT channel_id, i * (length - 1) // 15 FROM LC, (SELECT unnest(range(0, 16)) AS i) r)
-  SELECT T.channel_id, count(*) AS n_probes, count(*) FILTER (WHERE v IS DISTINCT FROM w) AS n_diff
-  FROM T JOIN X ON T.channel_id = X.channel_id AND T.sample_idx = X.sample_idx GROUP BY T.channel_id""")
+@query("reconcile_probe", f"""WITH {L}, A AS (SELECT channel_id, sample_idx, v FROM L WHERE k % 50 <> 7),
+  B AS (SELECT channel_id, sample_idx, CASE WHEN k % 3 = 0 THEN v + 1 ELSE v END AS w FROM L)
+  SELECT B.channel_id, count(*) AS n_rows, count(*) FILTER (WHERE A.channel_id IS NULL OR v IS DISTINCT FROM w) AS n_diff
+  FROM B LEFT JOIN A ON A.channel_id = B.channel_id AND A.sample_idx = B.sample_idx GROUP BY B.channel_id""")
 def reconcile_probe(spark, sf_dir):
-    s = lineitem_store(spark, sf_dir)
-    points = lay.probe_points(s.samples.select("channel_id", "sample_idx", F.col("l_linenumber").alias("sig")), s.channels)
-    other = s.samples.withColumn("v", F.when(F.col("k") % 3 == 0, F.col("v") + 1).otherwise(F.col("v")))
-    return lay.reconcile_probe(s.samples, other, points, s.n_channels)
+    """All samples against altered ones; one side lacks some."""
+    rows = lineitem_store(spark, sf_dir).samples.select("channel_id", "sample_idx", "v", "k")
+    return lay.reconcile_values(rows.filter("k % 50 <> 7"), rows.withColumn("v", F.when(F.col("k") % 3 == 0, F.col("v") + 1).otherwise(F.col("v"))))
 
 
 @query("mixed_layout", """SELECT o_custkey AS file_id, bool_or((toc & 160) <> 0) AS mixed FROM (SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN 46 WHEN '2-HIGH' THEN 142
@@ -117,29 +113,33 @@ def mixed_layout(spark, sf_dir):
     return lay.mixed_layout(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), toc.alias("toc")))
 
 
-@query("source_drift")
+@query("source_drift", """WITH N AS (SELECT source AS path, sum(n_chars)::BIGINT AS size, max(doc_id) AS modified FROM documents GROUP BY source),
+  O AS (SELECT d.source AS path, sum(n_chars)::BIGINT AS size, max(d.doc_id) AS modified FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+    WHERE toxic IS DISTINCT FROM 1 AND d.doc_id % 5 <> 0 GROUP BY d.source)
+  SELECT coalesce(N.path, O.path) AS path, CASE WHEN O.path IS NULL THEN 'added' WHEN N.path IS NULL THEN 'removed' ELSE 'changed' END AS state
+  FROM N FULL OUTER JOIN O ON N.path = O.path WHERE (N.size, N.modified) IS DISTINCT FROM (O.size, O.modified)""")
 def source_drift(spark, sf_dir):
-    """The files of the given tables against a stored snapshot with another size of one and without another."""
-    now = lay.file_snapshot(spark, sf_dir, "*.parquet")
-    path = new_path(spark, "snapshot")
-    name = F.element_at(F.split("path", "/"), -1)
-    now.withColumn("size", F.when(name == "lineitem.parquet", F.col("size") + 1).otherwise(F.col("size"))).filter(
-        name != "region.parquet").write.parquet(path)
-    return lay.source_drift(spark.read.parquet(path), now)
-
-
-@query("linear_scale", f"""WITH {L}, K AS (SELECT *, channel_id = 'AO' AS scaled, CASE WHEN channel_id IN ('AF', 'AO') THEN 0.001::DOUBLE END AS cs,
-    CASE WHEN channel_id LIKE 'R%' THEN 0.5::DOUBLE END AS gs FROM L)
-  SELECT channel_id, sample_idx, {rnd_sql("CASE WHEN scaled THEN v WHEN cs IS NOT NULL THEN v * cs + -3.0 WHEN gs IS NOT NULL THEN v * gs + 1.0 ELSE v * 2.0 + 0.25 END")} AS v FROM K""")
+    """The sources of the documents as files; the snapshot is from before some documents came."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+
+    def as_files(d):
+        return d.groupBy(F.col("source").alias("path")).agg(F.sum("n_chars").alias("size"), F.max("doc_id").alias("modified"))
+    early = docs.join(labels, "doc_id", "left").filter(~F.col("toxic").eqNullSafe(F.lit(1)) & (F.col("doc_id") % 5 != 0))
+    return lay.source_drift(as_files(early), as_files(docs))
+
+
+@query("linear_scale", f"""WITH {L}, K AS (SELECT *, channel_id = 'AO' AS scaled, CASE WHEN channel_id IN ('AF', 'AO') THEN 0.0625::DOUBLE END AS cs,
+    CASE WHEN channel_id LIKE 'R%' THEN 1.75::DOUBLE END AS gs FROM L)
+  SELECT channel_id, sample_idx, {rnd_sql("CASE WHEN scaled THEN v WHEN cs IS NOT NULL THEN v * cs + 12.5 WHEN gs IS NOT NULL THEN v * gs + -8.0 ELSE v * 3.0 + 0.75 END")} AS v FROM K""")
 def linear_scale(spark, sf_dir):
     """Scales on channel, group and file level; one channel is already scaled."""
     s = lineitem_store(spark, sf_dir)
     own, group = F.col("channel_id").isin("AF", "AO"), F.col("channel_id").startswith("R")
     cat = s.channels.select(
         "channel_id", (F.col("channel_id") == "AO").alias("scaled"),
-        F.when(own, 0.001).alias("ch_slope"), F.when(own, -3.0).alias("ch_intercept"),
-        F.when(group, 0.5).alias("grp_slope"), F.when(group, 1.0).alias("grp_intercept"),
-        F.lit(2.0).alias("file_slope"), F.lit(0.25).alias("file_intercept"))
+        F.when(own, 0.0625).alias("ch_slope"), F.when(own, 12.5).alias("ch_intercept"),
+        F.when(group, 1.75).alias("grp_slope"), F.when(group, -8.0).alias("grp_intercept"),
+        F.lit(3.0).alias("file_slope"), F.lit(0.75).alias("file_intercept"))
     return lay.linear_scale(s.samples.select("channel_id", "sample_idx", "v"), cat, s.n_channels).withColumn("v", rnd("v"))
 
 

@@ -237,17 +237,15 @@ def int_relative(spark, sf_dir):
 
 
 @query("time_relative", f"""WITH {S}, T AS (SELECT channel_id, sample_idx, CASE WHEN sample_idx % 7 <> 0 THEN t_us * 1000 + sample_idx % 1000 END AS ns FROM S),
-    Z AS (SELECT channel_id, arg_min(ns, sample_idx) FILTER (WHERE ns IS NOT NULL AND sample_idx < 1024) AS z FROM T GROUP BY channel_id)
+    Z AS (SELECT channel_id, arg_min(ns, sample_idx) FILTER (WHERE ns IS NOT NULL) AS z FROM T GROUP BY channel_id)
   SELECT T.channel_id, sample_idx, (ns - coalesce(z, 0)) / 1e9 AS s FROM T JOIN Z ON T.channel_id = Z.channel_id""")
 def time_relative(spark, sf_dir):
-    """Nanosecond timestamps (every 7th missing) as seconds since the first valid one of the first 1,024."""
-    from ..functions.values import time_relative as rel
+    """Nanosecond timestamps (every 7th missing) as seconds since the first valid one."""
+    from ..functions.values import time_relative as rel, time_zero
     s = event_store(spark, sf_dir)
     ns = F.when(F.col("sample_idx") % 7 != 0, F.col("t_us") * 1000 + F.col("sample_idx") % 1000)
     t = s.samples.select("channel_id", "sample_idx", ns.alias("ns"))
-    first = t.filter("sample_idx < 1024 AND ns IS NOT NULL").groupBy("channel_id").agg(F.min_by("ns", "sample_idx").alias("z"))
-    zero = s.channels.select("channel_id").join(first, "channel_id", "left").select("channel_id", F.coalesce("z", F.lit(0)).alias("z"))
-    return t.join(bounded(zero, s.n_channels), "channel_id").select("channel_id", "sample_idx", rel("ns", "z").alias("s"))
+    return t.join(bounded(time_zero(t, "ns"), s.n_channels), "channel_id").select("channel_id", "sample_idx", rel("ns", "z").alias("s"))
 
 
 @query("magnitude", f"WITH {L} SELECT channel_id, sample_idx, {rnd_sql('sqrt(v * v + q * q)')} AS mag FROM L")

@@ -67,11 +67,11 @@ def ext80(spark, sf_dir):
 @query("iso_ns", """WITH T AS (SELECT event_id, CASE WHEN event_id % 100 = 3 THEN 'nan'::DOUBLE WHEN event_id % 100 = 4 THEN 1e13 ELSE 0.25::DOUBLE + (value * 1000.1::DOUBLE - 20000) END AS f FROM events),
   U AS (SELECT event_id, f, CASE WHEN isfinite(f) AND abs(f) < 9e9 THEN floor(f)::BIGINT END AS w FROM T),
   V AS (SELECT event_id, w, round_even((f - w) * 1e9, 0)::BIGINT AS ns FROM U)
-  SELECT event_id, CASE WHEN w IS NULL OR abs(w + 1785233136) >= 9000000000 THEN '' ELSE strftime(make_timestamp((1785233136 + w + ns // 1000000000) * 1000000), '%Y-%m-%dT%H:%M:%S') || '.' || lpad((ns % 1000000000)::VARCHAR, 9, '0') || 'Z' END AS t FROM V""")
+  SELECT event_id, CASE WHEN w IS NULL OR abs(w + 1400000321) >= 9000000000 THEN '' ELSE strftime(make_timestamp((1400000321 + w + ns // 1000000000) * 1000000), '%Y-%m-%dT%H:%M:%S') || '.' || lpad((ns % 1000000000)::VARCHAR, 9, '0') || 'Z' END AS t FROM V""")
 def iso_ns(spark, sf_dir):
     m = F.col("event_id") % 100
     x = F.when(m == 3, F.lit(float("nan"))).when(m == 4, F.lit(1e13)).otherwise(F.col("value") * 1000.1 - 20000)
-    return table(spark, sf_dir, "events").select("event_id", tx.iso_ns(F.lit(1785233136), F.lit(0.25), x).alias("t"))
+    return table(spark, sf_dir, "events").select("event_id", tx.iso_ns(F.lit(1400000321), F.lit(0.25), x).alias("t"))
 
 
 @query("fmt_duration", f"""WITH T AS (SELECT {_K}, l_extendedprice / 7 - 3000 AS s FROM lineitem), U AS (SELECT *, round_even(abs(s) * 1000, 0)::BIGINT AS k FROM T)

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A catalog side is broadcast only when it is known to have at most this many rows.
-MAX_BROADCAST_ROWS = 200_000
+# A catalog side is broadcast only when its known rows, at the width of its schema, have at most so many bytes.
+MAX_BROADCAST_BYTES = 32 << 20
 
 ROWS_PER_PART = 8_000_000  # of a range partitioning
 
@@ -57,10 +57,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/waveloom/{name}-{uuid.uuid4().hex}"
 
 
+def row_width(df: DataFrame) -> int:
+    """Bytes of a row by the optimizer's default sizes, text and nested values taken as 64 bytes at least."""
+    plain = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
+    return 16 + sum(plain.get(kind, 64) for _, kind in df.dtypes)
+
+
 def bounded(df: DataFrame, rows: int | None) -> DataFrame:
     """Broadcast hint for a side of known size; beyond the limit (or unknown) the join stays
     a shuffle join, where adaptive execution splits skewed keys."""
-    if rows is not None and rows <= MAX_BROADCAST_ROWS:
+    if rows is not None and rows * row_width(df) <= MAX_BROADCAST_BYTES:
         return F.broadcast(df)
     return df
 

@@ -94,11 +94,12 @@ def encode_segment(channels: dict, *, chunks: int = 1, interleaved: bool = False
     return tag + struct.pack("<i", toc) + struct.pack(order + "iQQ", 4713, nxt, len(head)), head, data
 
 
-def write_files(samples: DataFrame, folder: str, columns: list[str]) -> DataFrame:
+def write_files(samples: DataFrame, folder: str, columns: list[str], encode=None, more_props=None) -> DataFrame:
     """Write one file (and its index) per channel and block of FILE_SAMPLES samples; returns file name, first sample and count.
 
     The layout alternates: contiguous, interleaved, big-endian, several chunks. A task writes its
     file under a temporary name and renames it, so a repeated task leaves the same file.
+    encode(rows) gives the values of each channel (default: the columns), more_props(channel) further properties by path.
     """
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs as pafs
@@ -111,11 +112,14 @@ def write_files(samples: DataFrame, folder: str, columns: list[str]) -> DataFram
         group = "/'" + channel.replace("'", "''") + "'"
         props = {"/": {"first": first}, group: {"block": block},
                  **{f"{group}/'{c}'": {"wf_increment": 0.5, "wf_start_offset": float(first), "unit_string": "u" + c} for c in columns}}
+        for path, own in (more_props(channel, group) if more_props else {}).items():
+            props[path] = {**props.get(path, {}), **own}
         out = index = b""
         for k, lo in enumerate(range(0, len(pdf), SEGMENT_SAMPLES)):
             part = pdf.iloc[lo:lo + SEGMENT_SAMPLES]
             chunks = 4 if k % 3 == 2 and len(part) % 4 == 0 else 1
-            values = {f"{group}/'{c}'": part[c].to_numpy() for c in columns}
+            held = encode(part) if encode else {c: part[c].to_numpy() for c in columns}
+            values = {f"{group}/'{c}'": v for c, v in held.items()}
             seg = encode_segment(values, chunks=chunks, interleaved=(block + k) % 2 == 1, big=k % 5 == 3, props=props if k == 0 else None)
             out += b"".join(seg)
             index += b"TDSh" + seg[0][4:] + seg[1]

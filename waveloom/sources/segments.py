@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from functools import reduce
+from urllib.parse import quote
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,10 +59,13 @@ SAMPLE_TYPES = {"float": "double", "int": "bigint", "uint64": "decimal(20,0)", "
 
 
 def _open(uri: str):
-    """Random-access file on any file system Arrow knows."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    fs, path = pafs.FileSystem.from_uri(uri)
+    """Random-access file on any file system Arrow knows. Spark gives paths as they are, a URI wants them percent-encoded."""
+    scheme, _, rest = uri.partition(":")
+    authority, path = "", rest
+    if rest.startswith("//"):
+        authority, _, path = rest[2:].partition("/")
+        path = "/" + path
+    fs, path = pafs.FileSystem.from_uri(f"{scheme}://{authority}{quote(path)}")
     return fs.open_input_file(path)
 
 
@@ -326,9 +331,48 @@ def channel_catalog(scan: DataFrame) -> DataFrame:
     out = cat.check_increment(out)
     return out.select(
         F.col("file").alias("file_id"), "path", "grp", "name", cat.label_of().alias("label"), "type_code",
-        cat.kind_of("type_code", "length").alias("kind"), "length", cat.unit_of().alias("unit"), "wf_increment", "bad", "dx_text",
+        F.when(F.col("daqmx"), "raw").otherwise(cat.kind_of("type_code", "length")).alias("kind"), "length", cat.unit_of().alias("unit"), "wf_increment", "bad", "dx_text",
         F.when(rel != 0, F.coalesce(offset, F.lit(0.0)) + rel).otherwise(offset).alias("wf_start_offset"),
-        cat.start_ns("start_prop_ns").alias("wf_start_ns"), "daqmx", "props")
+        cat.start_ns("start_prop_ns").alias("wf_start_ns"), "daqmx", F.coalesce("n_types", F.lit(0)).alias("n_types"), "props")
+
+
+def channel_scales(scan: DataFrame) -> DataFrame:
+    """file, path, slope, intercept, scale of every channel.
+
+    The scale belongs to the channel, else to its group, else to the file. scale: none, linear, scaled (values are stored scaled)
+    or unsupported (another type, several scales, or a scale of another one's result); only linear ones are applied.
+    """
+    objects = object_catalog(scan).select("file", "path", "props")
+    chans = _layouts(scan).select("file", "path").distinct()
+
+    def entry(key: str) -> Column:
+        return F.try_element_at("props", F.lit(key))
+
+    count = F.coalesce(entry("NI_Number_Of_Scales").try_cast("int"), F.lit(0))
+    source = F.coalesce(entry("NI_Scale[0]_Linear_Input_Source").try_cast("bigint"), F.lit(-1))
+    plain = (count == 1) & (entry("NI_Scale[0]_Scale_Type") == "Linear") & source.isin(-1, 0xFFFFFFFF)
+    slope, intercept = cat.float_prop(entry("NI_Scale[0]_Linear_Slope")), cat.float_prop(entry("NI_Scale[0]_Linear_Y_Intercept"))
+    kind = F.when(F.lower(entry("NI_Scaling_Status")) == "scaled", "scaled").when(count == 0, F.lit(None)).when(
+        F.coalesce(plain & slope.isNotNull(), F.lit(False)), "linear").otherwise("unsupported")
+    own = objects.select("file", "path", F.struct(kind.alias("scale"), slope.alias("slope"), F.coalesce(intercept, F.lit(0.0)).alias("intercept")).alias("s"))
+    own = own.filter("s.scale IS NOT NULL")
+    levels = chans.select("file", "path", F.col("path").alias("p0"), F.regexp_extract("path", r"^(/'(?:[^']|'')*')/", 1).alias("p1"), F.lit("/").alias("p2"))
+    for k in range(3):
+        levels = levels.join(own.select("file", F.col("path").alias(f"p{k}"), F.col("s").alias(f"s{k}")), ["file", f"p{k}"], "left")
+    best = F.coalesce("s0", "s1", "s2")
+    out = levels.select("file", "path", F.coalesce(best["scale"], F.lit("none")).alias("scale"), best["slope"].alias("slope"), best["intercept"].alias("intercept"))
+    return out.select("file", "path", F.when(F.col("scale") == "linear", F.col("slope")).alias("slope"),
+                      F.when(F.col("scale") == "linear", F.col("intercept")).alias("intercept"), "scale")
+
+
+def scaled_samples(samples: DataFrame, scales: DataFrame) -> DataFrame:
+    """Numeric samples as doubles, with the linear scale of their channel. Channels of an unsupported scale are an error."""
+    odd = scales.filter("scale = 'unsupported'").select("path").first()
+    if odd is not None:
+        raise ValueError(f"the scale of {odd.path} is not linear")
+    v = F.col("v").cast("double")
+    return samples.join(scales.select("file", "path", "slope", "intercept"), ["file", "path"], "left").select(
+        "file", "path", "sample_idx", F.when(F.col("slope").isNull(), v).otherwise(v * F.col("slope") + F.col("intercept")).alias("v"))
 
 
 def value_runs(scan: DataFrame) -> DataFrame:
@@ -473,15 +517,18 @@ def _codes_of(kind: str) -> list[int]:
 
 
 def read_samples(runs: DataFrame, kind: str = "float", paths: list[str] | None = None, start: int = 0,
-                 stop: int | None = None) -> DataFrame:
+                 stop: int | None = None, partial: bool = False) -> DataFrame:
     """Samples of one kind: file, path, sample_idx, v (type: SAMPLE_TYPES).
 
     runs: `value_runs` (store it once for repeated reads). Only runs of the wanted channels that
-    overlap [start, stop) become pieces.
+    overlap [start, stop) become pieces. A channel whose values change their kind is refused, see `read_numbers`.
     """
-    wanted = runs.filter(F.col("type_code").isin(_codes_of(kind)))
-    if paths is not None:
-        wanted = wanted.filter(F.col("path").isin(paths))
+    asked = runs if paths is None else runs.filter(F.col("path").isin(paths))
+    mine = F.col("type_code").isin(_codes_of(kind))
+    mixed = None if partial else asked.groupBy("file", "path").agg(F.bool_or(mine).alias("a"), F.bool_or(~mine).alias("b")).filter("a AND b").first()
+    if mixed is not None:
+        raise ValueError(f"{mixed.path} holds values of several kinds")
+    wanted = asked.filter(mine)
     lo = F.greatest(F.lit(max(0, start)).cast("bigint") - F.col("start"), F.lit(0))
     hi = F.col("cnt") if stop is None else F.least(F.lit(stop).cast("bigint") - F.col("start"), F.col("cnt"))
     wanted = wanted.withColumn("_lo", lo).withColumn("_hi", hi).filter("_hi > _lo")
@@ -499,5 +546,11 @@ def read_samples(runs: DataFrame, kind: str = "float", paths: list[str] | None =
     return out.withColumn("v", epoch1904_ns("v.sec", "v.frac")) if kind == "time" else out
 
 
-__all__ = ["scan_segments", "segments", "ignored_tails", "index_check", "object_catalog", "channel_catalog", "value_runs",
+def read_numbers(runs: DataFrame, paths: list[str] | None = None, start: int = 0, stop: int | None = None) -> DataFrame:
+    """All numeric and boolean samples as doubles, also of channels whose type changes between segments."""
+    parts = [read_samples(runs, kind, paths, start, stop, partial=True) for kind in ("float", "int", "uint64", "bool")]
+    return reduce(DataFrame.unionByName, [p.withColumn("v", F.col("v").cast("double")) for p in parts])
+
+
+__all__ = ["read_numbers", "channel_scales", "scaled_samples", "scan_segments", "segments", "ignored_tails", "index_check", "object_catalog", "channel_catalog", "value_runs",
            "merge_runs", "read_samples"]
