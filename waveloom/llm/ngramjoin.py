@@ -308,16 +308,31 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     held = settle(tokens.join(shared.select("t", "pivot"), "t"), "ngram-tokens")
     ends = held.select("node").distinct()
     info = settle(whole.select("node", "p0", *cols).join(ends, "node", "left_semi").dropDuplicates(["node"]).join(nodes, "node"), "ngram-info")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Length filter and the other orders' prefixes."""
-        a = info.select(*[F.col(c).alias(f"{c}_a") for c in ("node", "n", *cols)])
-        b = info.select(*[F.col(c).alias(f"{c}_b") for c in ("node", "n", *cols)])
+    unsigned = F.element_at("p0", -1).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    facts = settle(info.select("node", "n", F.size("p0").alias("p"), unsigned.alias("last")).join(
+        held.groupBy("node").agg(F.count(F.lit(1)).alias("h")), "node"), "ngram-facts")
+
+    def likely(pairs: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
+        """Length, position and other orders' filters of pairs(a, b, c), c being the common tokens in uncrowded buckets, if known.
+
+        Of two prefixes, the one that ends first is known whole: each of its keys that is not common is no member of the other
+        set, so the common keys (c and the crowded ones, at most the shared ones of either) must leave the least overlap possible.
+        """
+        known = facts if crowded is None else facts.join(crowded, "node", "left")
+        known = known.withColumn("k", F.coalesce("k", F.lit(0)) if crowded is not None else F.lit(0))
+        a = known.select(*[F.col(c).alias(f"{c}_a") for c in known.columns])
+        b = known.select(*[F.col(c).alias(f"{c}_b") for c in known.columns])
         j = pairs.join(a, pairs.a == a.node_a).join(b, pairs.b == b.node_b)
         j = j.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
+        common = F.least("h_a", "h_b", F.col("c") + F.least("k_a", "k_b"))
+        least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+        fits = F.when(F.col("last_a") <= F.col("last_b"), F.col("p_a") - common <= F.col("n_a") - least).otherwise(
+            F.col("p_b") - common <= F.col("n_b") - least)
+        j = settle(j.where(fits).select("a", "b"), "ngram-pairs")
         for c in cols:
-            j = j.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
-        return settle(j.select("a", "b"), "ngram-pairs")
+            j = j.join(info.select(F.col("node").alias("a"), F.col(c).alias("x")), "a").join(info.select(F.col("node").alias("b"), F.col(c).alias("y")), "b")
+            j = j.where(F.arrays_overlap("x", "y")).select("a", "b")
+        return settle(j, "ngram-pairs")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         ids = settle(nodes.join(wanted, "node", "left_semi").select("doc_id", "node"), "ngram-wanted")
@@ -326,7 +341,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     def ends_of(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
-    star = likely(held.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    star = likely(held.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().withColumn("c", F.lit(None).cast("long")))
     sets = sets_of(ends_of(star).distinct())
     links = settle(verified(star, sets, percent), "ngram-links")
     labels = components(links, "ngram-labels")
@@ -338,6 +353,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     other = few.select("t", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     pairs = few.join(other, "t").where(near & F.expr("node < b and label <> label_b")).select(F.col("node").alias("a"), "b")
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
 
     crowd = rest.where(F.col("c") > FEW).select("t", "node", "n", "label")
     order = F.sort_array(F.collect_list(F.struct(F.xxhash64("t").alias("h"), "t")))
@@ -345,7 +361,9 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     crowd = settle(crowd.join(lead, "node"), "ngram-crowd")
     leading = crowd.where(F.array_contains("lead", F.col("t"))).select("t", "node", "n", "label")
     leading = settle(near_in_blocks(leading, info.select("node", "p0"), percent), "ngram-near")
-    pairs = likely(pairs.union(apart_in_blocks(crowd, percent)).distinct())
+    apart = apart_in_blocks(crowd, percent).withColumn("c", F.lit(None).cast("long"))
+    crowded = settle(crowd.groupBy("node").agg(F.count(F.lit(1)).alias("k")), "ngram-crowded")
+    pairs = likely(pairs.unionByName(apart), crowded).distinct()
     wanted = ends_of(pairs).union(leading.select("node")).distinct()
     sets = sets.unionByName(sets_of(wanted.join(sets.select("node"), "node", "left_anti")))
     more = verified(pairs, sets, percent).union(linked_in_blocks(leading, sets, percent))

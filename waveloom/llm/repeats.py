@@ -16,15 +16,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import scan_bytes, settle, table
+from .base import settle, table
 from .textbytes import _TABLE, _powers, blocks, mixed, text_bytes
 
 CHUNK = 1 << 20
 MIN_LENGTH = 50
 ANCHOR = 20                # bytes whose hash is compared for the minimizer
-GROUP_BYTES = 12 << 20     # stored bytes of documents in one group
+GROUP_BYTES = 16 << 20     # bytes of the texts of one group, about
+BATCH_BYTES = 6 << 20      # bytes of texts whose runs are sorted together
 SORT_BYTES = 1 << 20       # bytes of one suffix array, about
-FILTER_BITS = 24
 KEY = 7                    # bytes that fit one sorting key
 BIG = np.iinfo(np.int64).max
 
@@ -140,14 +140,13 @@ def bounded_classes(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     return order, np.cumsum(closed[:n]) - 1
 
 
-def least_docs(strings: list[np.ndarray], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string and each start in it, the smallest doc that has the ``length`` bytes there."""
-    sizes = np.array([len(s) for s in strings])
-    codes = np.zeros(int(sizes.sum()) + len(strings), np.uint16)  # byte + 1, and 0 after each string
+def least_docs(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For every start in every string (data holds them one after the other), the smallest doc that has the ``length`` bytes there."""
+    codes = np.zeros(int(sizes.sum()) + len(sizes), np.uint16)  # byte + 1, and 0 after each string
     begin = np.cumsum(sizes + 1) - sizes - 1
     inside = np.ones(len(codes), bool)
     inside[begin + sizes] = False
-    codes[inside] = np.concatenate(strings).astype(np.uint16) + 1
+    codes[inside] = data.astype(np.uint16) + 1
     order, group = bounded_classes(codes, length)
     owner = np.full(len(codes), BIG)
     starts = sizes - length + 1
@@ -156,7 +155,7 @@ def least_docs(strings: list[np.ndarray], docs: np.ndarray, length: int) -> list
     least = np.minimum.reduceat(owner[order], np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])))
     out = np.empty(len(codes), np.int64)
     out[order] = least[group]
-    return np.split(out[place], np.cumsum(starts)[:-1])
+    return out[place]
 
 
 def _spread(value: np.ndarray, n: int) -> np.ndarray:
@@ -168,36 +167,41 @@ def _shared_runs(docs: DataFrame, n_groups: int, length: int) -> DataFrame:
 
     Minimizers that two documents of one batch have are settled there; one of their runs goes on, so that others meet it.
     """
+    def settle_here(ids: np.ndarray, checks: np.ndarray, group: np.ndarray, data: np.ndarray, off: np.ndarray) -> list[tuple[int, bytes]]:
+        parts = []
+        for i, j in blocks(off, CHUNK):
+            r = Runs(data[off[i]:off[j]], off[i:j + 1] - off[i], length)
+            parts.append((r.value, r.row + i, r.pos.astype(np.uint32)))
+        if not sum(len(p[0]) for p in parts):
+            return []
+        value, row, pos = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(value, kind="stable")
+        value, row, pos = value[order], row[order], pos[order]
+        doc = ids[row]
+        head = np.concatenate([[True], value[1:] != value[:-1]])
+        at = np.flatnonzero(head)
+        hot = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+        settled = hot[np.cumsum(head) - 1]
+        out = []
+        goes = ~settled | head
+        bucket = _spread(value, n_groups)
+        cuts = np.searchsorted(bucket[goes], np.arange(n_groups + 1))
+        low = (value[goes] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        for p in range(n_groups):
+            s = slice(cuts[p], cuts[p + 1])
+            if s.stop > s.start:
+                rows, spot = np.unique(row[goes][s], return_inverse=True)
+                out.append((p, pack(low[s], spot.astype(np.uint32), pos[goes][s], settled[goes][s].astype(np.uint8), ids[rows], checks[rows], group[rows])))
+        out += [(n_groups + j, blob) for j, blob in _by_group(group[row[settled]], doc[settled], checks[row[settled]], pos[settled])]
+        return out
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, checks, group = (b.column(k).to_numpy() for k in range(3))
-            data, off = text_bytes(b.column(3))
-            parts = []
-            for i, j in blocks(off, CHUNK):
-                r = Runs(data[off[i]:off[j]], off[i:j + 1] - off[i], length)
-                parts.append((r.value, r.row + i, r.pos.astype(np.uint32)))
-            if not sum(len(p[0]) for p in parts):
-                continue
-            value, row, pos = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(value, kind="stable")
-            value, row, pos = value[order], row[order], pos[order]
-            doc = ids[row]
-            head = np.concatenate([[True], value[1:] != value[:-1]])
-            at = np.flatnonzero(head)
-            hot = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
-            settled = hot[np.cumsum(head) - 1]
-            out = []
-            goes = ~settled | head
-            bucket = _spread(value, n_groups)
-            cuts = np.searchsorted(bucket[goes], np.arange(n_groups + 1))
-            low = (value[goes] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            for p in range(n_groups):
-                s = slice(cuts[p], cuts[p + 1])
-                if s.stop > s.start:
-                    rows, spot = np.unique(row[goes][s], return_inverse=True)
-                    out.append((p, pack(low[s], spot.astype(np.uint32), pos[goes][s], settled[goes][s].astype(np.uint8), ids[rows], checks[rows], group[rows])))
-            out += [(n_groups + j, blob) for j, blob in _by_group(group[row[settled]], doc[settled], checks[row[settled]], pos[settled])]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], ["g", "blob"])
+            all_ids, all_checks, all_groups = (b.column(k).to_numpy() for k in range(3))
+            whole, ends = text_bytes(b.column(3))
+            for lo, hi in blocks(ends, BATCH_BYTES):
+                out = settle_here(all_ids[lo:hi], all_checks[lo:hi], all_groups[lo:hi], whole[ends[lo]:ends[hi]], ends[lo:hi + 1] - ends[lo])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], ["g", "blob"])
 
     def meet(t: pa.Table) -> pa.Table:
         g = t["g"][0].as_py()
@@ -237,7 +241,8 @@ class _Group:
         parts = [unpack(x) for x in refs] or [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)]]
         doc, check, pos = (np.concatenate([p[k] for p in parts]) for k in range(3))
         # Rows that repeat a document (id and check) share its runs; each row looks them up by its own number among the pairs.
-        _, pair = np.unique(np.stack([np.concatenate([self.ids, doc]), np.concatenate([self.checks, check])]), axis=1, return_inverse=True)
+        names = mixed(np.concatenate([self.ids, doc]).view(np.uint64)) ^ np.concatenate([self.checks, check]).view(np.uint64)
+        _, pair = np.unique(names, return_inverse=True)
         mine, wanted = pair[: len(self.ids)].astype(np.int64), np.unique((pair[len(self.ids):].astype(np.int64) << 32) | pos)
         rows = []
         for i, j in blocks(self.off, CHUNK):
@@ -274,9 +279,21 @@ class _Group:
         return np.cumsum(delta)[: len(self.data)] > 0
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    size = end - start
-    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    return data[_ranges(start, end - start)]
+
+
+def string_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit keys of the byte strings [start, end)."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,7 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
     smaller doc_id; strings are judged on the input. Rows that share a doc_id do not remove from each other. Rows with a null
     doc_id neither remove nor lose anything. Repeated rows give equal rows. An empty table gives an empty result.
     """
-    n = max(2, -(-scan_bytes(docs) // GROUP_BYTES))
+    n = max(2, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // GROUP_BYTES))
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text"), F.xxhash64(raw).alias("check"))
     base = base.withColumn("j", F.pmod(F.xxhash64("doc_id", "check"), F.lit(n)).cast("int"))
@@ -305,24 +322,24 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
     def classes(t: pa.Table) -> pa.Table:
         parts = [unpack(x.as_py()) for x in t["blob"]]
         least, value, size, data = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        begin = np.cumsum(size.astype(np.int64)) - size
-        part = (value & np.uint64(0xFFFFFFFF)) * np.uint64(max(1, len(data) // SORT_BYTES)) >> np.uint64(32)
-        answer: list = [None] * len(value)
+        size = size.astype(np.int64)
+        begin = np.cumsum(size) - size
+        # The same run from several groups counts once, with the smallest doc.
+        _, first, place = np.unique(string_keys(data, begin, begin + size), return_index=True, return_inverse=True)
+        docs_of = np.full(len(first), BIG)
+        np.minimum.at(docs_of, place, least)
+        own = size[first] - length + 1
+        at = np.cumsum(own) - own
+        answer = np.empty(int(own.sum()), np.int64)
+        part = (value[first] & np.uint64(0xFFFFFFFF)) * np.uint64(max(1, int(size[first].sum()) // SORT_BYTES)) >> np.uint64(32)
         for k in np.unique(part):
             rows = np.flatnonzero(part == k)
-            distinct: dict = {}
-            for r in rows.tolist():  # the same run from several groups counts once, with the smallest doc
-                s = data[begin[r]:begin[r] + size[r]].tobytes()
-                distinct.setdefault(s, []).append(r)
-            docs_of = np.array([least[v].min() for v in distinct.values()])
-            for (s, v), a in zip(distinct.items(), least_docs([np.frombuffer(s, np.uint8) for s in distinct], docs_of, length)):
-                for r in v:
-                    answer[r] = a
+            strings = _gather(data, begin[first[rows]], begin[first[rows]] + size[first[rows]])
+            answer[_ranges(at[rows], own[rows])] = least_docs(strings, size[first[rows]], docs_of[rows], length)
         ends = np.cumsum([len(p[0]) for p in parts])
-        blobs = [pack(np.concatenate(answer[e - len(p[0]):e])) for p, e in zip(parts, ends)]
+        blobs = [pack(answer[_ranges(at[place[e - len(p[0]):e]], own[place[e - len(p[0]):e]])]) for p, e in zip(parts, ends)]
         return pa.table({"j": t["j"], "p": t["p"], "blob": pa.array(blobs, pa.binary())})
 
-    # Only documents with shared runs are shuffled; the filter over their groups' hashes has a fixed size.
     asked = known.groupBy("j").cogroup(refs.groupBy("j"))
     answers = settle(asked.applyInArrow(strings, "p int, j int, blob binary").groupBy("p").applyInArrow(classes, "j int, p int, blob binary"), "repeat-answers")
 
