@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import bounded
+from ..session import bounded, settle
 from .envelope import bucket_of, finish_envelope
 from .stats import STATE, merge_once, merge_states, raw_states, with_pivot
 
@@ -87,7 +87,7 @@ def _within(level: int, spans: list[tuple[int, int]]) -> str:
 
 
 def range_states(samples: DataFrame, buckets: DataFrame, channels: DataFrame, ranges: DataFrame, base: int = BASE,
-                 n_channels: int | None = None) -> DataFrame:
+                 n_channels: int | None = None, levels: int | None = None) -> DataFrame:
     """State of [i0, i1) per key from the fewest stored buckets plus the raw edges.
 
     channels: channel_id, length, pivot. ranges: channel_id, i0, i1 and optionally `key` columns
@@ -95,13 +95,17 @@ def range_states(samples: DataFrame, buckets: DataFrame, channels: DataFrame, ra
     level 0, each level contributes the buckets that the level above cannot cover whole; the walk
     stops at the top level or where the level above has no whole bucket inside. At most
     2 * (FACTOR - 1) buckets per level, TOP_BUCKETS at the top and 2 * (base - 1) samples per range.
+    levels: how many levels the rollup has, if fewer than the lengths call for (then more buckets of its last one are read).
+
+    The rollup must hold every bucket of the ranges; `complete_range_states` answers from one that does not.
 
     One row of bounds over all ranges becomes literal filters of the two scans.
     """
     keys = [c for c in ranges.columns if c not in ("i0", "i1")]
     r = ranges.join(bounded(channels.select("channel_id", "length", "pivot"), n_channels), "channel_id").selectExpr(
         *keys, "length", "pivot", "greatest(i0, 0L) AS i0", "least(i1, length) AS i1").filter("i1 > i0")
-    r = r.selectExpr("*", f"ceil(i0 / {base}D) AS j0", f"floor(i1 / {base}D) AS j1", f"{level_count('length', base)} AS levels")
+    r = r.selectExpr("*", f"ceil(i0 / {base}D) AS j0", f"floor(i1 / {base}D) AS j1",
+                     f"{level_count('length', base)} AS levels" if levels is None else f"least({levels}, {level_count('length', base)}) AS levels")
     row = r.selectExpr("min(i0)", "max(i0)", "min(i1)", "max(i1)", "max(levels)").first()
     lo0, lo1, hi0, hi1, most = (0 if x is None else x for x in row)
     r = bounded(r, n_channels)
@@ -117,7 +121,7 @@ def range_states(samples: DataFrame, buckets: DataFrame, channels: DataFrame, ra
     spans = []
     for k in range(most):
         unit = base * FACTOR ** k
-        spans.append(_within(k, [(lo0 // unit, -(-lo1 // unit) + TOP_BUCKETS), (hi0 // unit - TOP_BUCKETS, hi1 // unit)]))
+        spans.append(_within(k, [(lo0 // unit, -(-lo1 // unit) + TOP_BUCKETS), (hi0 // unit - TOP_BUCKETS, hi1 // unit)] if levels is None or k + 1 < levels else [(lo0 // unit, hi1 // unit)]))
     stored = buckets.filter(" OR ".join(spans) or "false").withColumnRenamed("bucket", "_at")
     got = stored.join(r.drop("pivot"), "channel_id").selectExpr("*", f"power({FACTOR}D, level) AS _unit")
     got = got.filter("_at >= ceil(j0 / _unit) AND _at < floor(j1 / _unit)").filter(f"""NOT (level + 1 < levels
@@ -127,7 +131,30 @@ def range_states(samples: DataFrame, buckets: DataFrame, channels: DataFrame, ra
 
     # At most 2 + levels * 2 * (FACTOR - 1) + TOP_BUCKETS states per range.
     cols = [*keys, "start", *STATE]
-    return merge_once(edges.select(cols).unionByName(got.select(cols)), keys, "start")
+    # With fewer levels there may be any number of states: they are merged as a tree.
+    both = edges.select(cols).unionByName(got.select(cols))
+    return merge_once(both, keys, "start") if levels is None else merge_states(both, keys, "start", int(hi1) + 1)
+
+
+def complete_range_states(samples: DataFrame, buckets: DataFrame, channels: DataFrame, ranges: DataFrame, base: int = BASE,
+                          n_channels: int | None = None, levels: int | None = None) -> DataFrame:
+    """`range_states` while the rollup is being built: buckets as far as the complete leading ones go, raw samples beyond.
+
+    Adds ``from_rollup``: whether the whole range came from the rollup and its edges.
+    """
+    reach = covered_prefix(buckets, channels, base, n_channels).select("channel_id", "covered")
+    r = ranges.join(bounded(reach, n_channels), "channel_id")
+    keys = [c for c in ranges.columns if c not in ("i0", "i1")]
+    head = r.select(*keys, "i0", F.least("i1", "covered").alias("i1"))
+    rest = r.select(*keys, F.greatest("i0", "covered").alias("i0"), "i1").filter("i1 > i0")
+    rest = settle(rest.join(bounded(channels.select("channel_id", "pivot", "length"), n_channels), "channel_id").withColumn("i1", F.least("i1", "length")))
+    low = rest.agg(F.min("i0")).first()[0]
+    tail = samples.select("channel_id", "sample_idx", "v").filter(F.col("sample_idx") >= low if low is not None else F.lit(False))
+    tail = tail.join(bounded(rest, n_channels), "channel_id").filter("sample_idx >= i0 AND sample_idx < i1")
+    states = range_states(samples, buckets, channels, head, base, n_channels, levels).withColumn("_part", F.lit(0))
+    states = states.unionByName(raw_states(tail, keys).withColumn("_part", F.lit(1)).select(states.columns))
+    known = r.select(*keys, (F.col("i1") <= F.col("covered")).alias("from_rollup"))
+    return merge_once(states, keys, "_part").join(known, keys)
 
 
 def rollup_envelope(samples: DataFrame, buckets: DataFrame, channels: DataFrame, ranges: DataFrame,
@@ -187,5 +214,5 @@ def overrun(samples: DataFrame, channels: DataFrame, n_channels: int | None = No
         (F.col("sample_idx") >= F.col("length")) | (F.col("sample_idx") < 0)).drop("length")
 
 
-__all__ = ["BASE", "FACTOR", "TOP_BUCKETS", "build_rollup", "bucket_mean", "covered_prefix", "level0",
+__all__ = ["BASE", "FACTOR", "TOP_BUCKETS", "build_rollup", "bucket_mean", "complete_range_states", "covered_prefix", "level0",
            "merge_states", "n_levels", "next_level", "overrun", "range_states", "rollup_base", "rollup_envelope"]

@@ -44,15 +44,27 @@ def export_wide(rows: DataFrame, channel_ids: list, text: Column | None = None,
                                    for c in channel_ids for f in fields])
 
 
+def header_line(names: list[str], sep: str) -> str:
+    """The header under the quoting rule of the cells."""
+    def cell(name: str) -> str:
+        odd = any(c in name for c in (sep, '"', "\n", "\r"))
+        return '"' + name.replace('"', '""') + '"' if odd else name
+    return sep.join(map(cell, names))
+
+
+def _write(table: DataFrame, path: str, headers: list[str], sep: str) -> None:
+    """Parts in order without header lines, and one header in the folder ``<path>_header``: joined, they are one file."""
+    table.sparkSession.createDataFrame([(header_line(headers, sep),)], "line string").coalesce(1).write.text(f"{path}_header")
+    table.write.option("header", False).option("sep", sep).option("quote", '"').option("escape", '"') \
+        .option("emptyValue", "").option("nullValue", "").csv(path)
+
+
 def write_csv(wide: DataFrame, path: str, headers: list[str] | None = None, sep: str = ",") -> None:
     """Write an export ordered by row. The commit of the job makes the files visible only when complete."""
     out = wide.orderBy("row_no").drop("row_no")
-    if headers:
-        out = out.toDF(*headers)
-    out.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"') \
-        .option("emptyValue", "").option("nullValue", "").csv(path)
+    _write(out, path, headers or out.columns, sep)
 
 
 def write_tsv(table: DataFrame, path: str) -> None:
-    """Write a table (statistics, box selection) as tab-separated text."""
-    table.write.option("header", True).option("sep", "\t").option("emptyValue", "").option("nullValue", "").csv(path)
+    """Write a table (statistics, box selection) as tab-separated text, in the order of its first column."""
+    _write(table.orderBy(F.col(f"`{table.columns[0]}`")), path, table.columns, "\t")

@@ -137,6 +137,18 @@ def rollup_range_stats(spark, sf_dir):
     return _stats_cols(st.with_statistics(states), "channel_id")
 
 
+@query("partial_range_stats", f"{_IN_RANGE}, {moments('W', 'channel_id')} SELECT channel_id, {_STATS_SELECT}, false AS from_rollup FROM M")
+def partial_range_stats(spark, sf_dir):
+    """The same answer while only the first level of the first two fifths of each channel is stored."""
+    s = lineitem_store(spark, sf_dir)
+    sizes = s.channels.select("channel_id", "length")
+    done = lineitem_rollup(spark, sf_dir, BASE).filter("level = 0").join(bounded(sizes, s.n_channels), "channel_id").filter(
+        f"(bucket + 1) * {BASE} <= length * 0.4").drop("length")
+    states = roll.complete_range_states(gappy(s.samples), done, s.channels, ranges_of(s.channels), BASE, s.n_channels, levels=1)
+    flags = states.select("channel_id", "from_rollup")
+    return _stats_cols(st.with_statistics(states.drop("from_rollup")), "channel_id").join(flags, "channel_id")
+
+
 @query("rollup_envelope", f"WITH {L}, {LG}, {LC}, {rng('LC')} {_ENV_SQL.format(b=512, src='LG')}")
 def rollup_envelope(spark, sf_dir):
     s = lineitem_store(spark, sf_dir)
