@@ -6,7 +6,6 @@ from collections import Counter, defaultdict
 
 import odd
 import pytest
-from pyspark.sql import functions as F
 
 from waveloom.llm import mixing, sharding
 

@@ -6,7 +6,6 @@ import random
 import numpy as np
 import odd
 import pytest
-from pyspark.sql import functions as F
 
 from waveloom.llm import balltree, chat, ngramjoin, repeats, warc
 from waveloom.session import new_path

@@ -25,16 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """Bytes that the optimizer expects to scan (file sizes for stored tables)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def parts_by_bytes(df: DataFrame, per_part: int) -> int:
-    """Partition count that follows the stored size of a table, never below the session's parallelism."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-scan_bytes(df) // per_part))
-
-
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, so that no working column can clash with a column of the table."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
