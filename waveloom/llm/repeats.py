@@ -22,9 +22,9 @@ from .textbytes import _TABLE, _powers, blocks, mixed, text_bytes
 CHUNK = 1 << 20
 MIN_LENGTH = 50
 ANCHOR = 20                # bytes whose hash is compared for the minimizer
-GROUP_BYTES = 16 << 20     # bytes of the texts of one group, about
-BATCH_BYTES = 6 << 20      # bytes of texts whose runs are sorted together
-SORT_BYTES = 1 << 20       # bytes of one suffix array, about
+GROUP_BYTES = 8 << 20     # bytes of the texts of one group, about
+BATCH_BYTES = 4 << 20      # bytes of texts whose runs are sorted together
+SORT_BYTES = 1 << 19       # bytes of one suffix array, about
 KEY = 7                    # bytes that fit one sorting key
 BIG = np.iinfo(np.int64).max
 
@@ -263,20 +263,23 @@ class _Group:
 
     def removed(self, answers: list[tuple[int, np.ndarray]], n_buckets: int, length: int) -> np.ndarray:
         """Flags of the removed bytes. answers: bucket and the least docs of the runs sent to it, in order."""
-        starts = (self.end - self.start - length + 1)
-        own = starts[self.first]
+        own = self.end[self.first] - self.start[self.first] - length + 1
         begin = np.cumsum(own) - own
         least = np.full(int(own.sum()), BIG)
         found = dict(answers)
         for p, which in self.sent(n_buckets):
-            size = own[which]
-            least[np.repeat(begin[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())] = found[p]
-        inner = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
-        gone = least[np.repeat(begin[self.place], starts) + inner] < np.repeat(self.ids[self.row], starts)
-        at = (np.repeat(self.start, starts) + inner)[gone]
-        delta = np.bincount(at, minlength=len(self.data) + 1)[: len(self.data) + 1].astype(np.int32)
-        delta[length:] -= np.bincount(at, minlength=len(self.data) + 1)[: len(self.data) + 1 - length].astype(np.int32)
-        return np.cumsum(delta)[: len(self.data)] > 0
+            least[_ranges(begin[which], own[which])] = found[p]
+        gone = np.zeros(len(self.data), bool)
+        for i, j in blocks(self.off, CHUNK):  # runs are in the order of their rows
+            lo, base = slice(*np.searchsorted(self.row, [i, j])), self.off[i]
+            starts = self.end[lo] - self.start[lo] - length + 1
+            hit = least[_ranges(begin[self.place[lo]], starts)] < np.repeat(self.ids[self.row[lo]], starts)
+            at = _ranges(self.start[lo] - base, starts)[hit]
+            delta = np.bincount(at, minlength=int(self.off[j] - base) + 1)
+            covered = np.cumsum(delta)
+            covered[length:] -= np.cumsum(delta)[:-length]
+            gone[base:self.off[j]] = covered[:self.off[j] - base] > 0
+        return gone
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -324,8 +327,10 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
         least, value, size, data = (np.concatenate([p[k] for p in parts]) for k in range(4))
         size = size.astype(np.int64)
         begin = np.cumsum(size) - size
-        # The same run from several groups counts once, with the smallest doc.
-        _, first, place = np.unique(string_keys(data, begin, begin + size), return_index=True, return_inverse=True)
+        # The same run from several groups counts once, with the smallest doc. Keys are made group by group to bound the memory.
+        ends = np.cumsum([len(p[0]) for p in parts])
+        keys = [string_keys(p[3], np.cumsum(n) - n, np.cumsum(n)) for p in parts for n in [p[2].astype(np.int64)]]
+        _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         docs_of = np.full(len(first), BIG)
         np.minimum.at(docs_of, place, least)
         own = size[first] - length + 1
@@ -336,7 +341,6 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
             rows = np.flatnonzero(part == k)
             strings = _gather(data, begin[first[rows]], begin[first[rows]] + size[first[rows]])
             answer[_ranges(at[rows], own[rows])] = least_docs(strings, size[first[rows]], docs_of[rows], length)
-        ends = np.cumsum([len(p[0]) for p in parts])
         blobs = [pack(answer[_ranges(at[place[e - len(p[0]):e]], own[place[e - len(p[0]):e]])]) for p, e in zip(parts, ends)]
         return pa.table({"j": t["j"], "p": t["p"], "blob": pa.array(blobs, pa.binary())})
 

@@ -62,7 +62,8 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS, text
     base = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
                        F.when(F.col(text).isNotNull(), F.md5(raw)).alias("group"), F.monotonically_increasing_id().alias("uid"),
                        F.xxhash64("doc_id", text).alias("tie"), *([whole_row(docs).alias("row")] if carry else []))
-    base = settle(base, "shard-rows")
+    stored = settle(base, "shard-rows")
+    base = stored.drop("row") if carry else stored
     groups = base.where("group is not null").groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
     groups = settle(groups, "shard-groups")
     total = base.count()
@@ -86,9 +87,11 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS, text
     pool = ranked(placed.where("shard is null").drop("shard", "slot"), [], ["uid"], spread * n_shards, "turn")
     filled = pool.join(F.broadcast(free), (F.col("turn") >= F.col("lo")) & (F.col("turn") < F.col("hi")))
     filled = filled.withColumn("slot", F.col("used") + F.col("turn") - F.col("lo"))
-    out = ["doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
-           *(["row"] if carry else [])]
-    return fixed.select(*out).unionByName(filled.select(*out))
+    out = ["doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")]
+    if not carry:
+        return fixed.select(*out).unionByName(filled.select(*out))
+    decided = fixed.select("uid", *out).unionByName(filled.select("uid", *out))
+    return stored.select("uid", "row").join(decided, "uid").drop("uid")  # whole rows move once
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
