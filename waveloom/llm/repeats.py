@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from .base import settle, table
 from .textbytes import _TABLE, _powers, blocks, mixed, text_bytes
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 MIN_LENGTH = 50
 ANCHOR = 20                # bytes whose hash is compared for the minimizer
-GROUP_BYTES = 8 << 20     # bytes of the texts of one group, about
-BATCH_BYTES = 4 << 20      # bytes of texts whose runs are sorted together
-SORT_BYTES = 1 << 19       # bytes of one suffix array, about
+GROUP_BYTES = 6 << 20     # bytes of the texts of one group, about
+BATCH_BYTES = 3 << 20      # bytes of texts whose runs are sorted together
+SORT_BYTES = 1 << 18       # bytes of one suffix array, about
 KEY = 7                    # bytes that fit one sorting key
 BIG = np.iinfo(np.int64).max
 
@@ -326,10 +326,11 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
         parts = [unpack(x.as_py()) for x in t["blob"]]
         least, value, size, data = (np.concatenate([p[k] for p in parts]) for k in range(4))
         size = size.astype(np.int64)
+        counts = np.array([len(p[0]) for p in parts])
         begin = np.cumsum(size) - size
         # The same run from several groups counts once, with the smallest doc. Keys are made group by group to bound the memory.
-        ends = np.cumsum([len(p[0]) for p in parts])
         keys = [string_keys(p[3], np.cumsum(n) - n, np.cumsum(n)) for p in parts for n in [p[2].astype(np.int64)]]
+        del parts
         _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         docs_of = np.full(len(first), BIG)
         np.minimum.at(docs_of, place, least)
@@ -341,7 +342,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
             rows = np.flatnonzero(part == k)
             strings = _gather(data, begin[first[rows]], begin[first[rows]] + size[first[rows]])
             answer[_ranges(at[rows], own[rows])] = least_docs(strings, size[first[rows]], docs_of[rows], length)
-        blobs = [pack(answer[_ranges(at[place[e - len(p[0]):e]], own[place[e - len(p[0]):e]])]) for p, e in zip(parts, ends)]
+        blobs = [pack(answer[_ranges(at[w], own[w])]) for w in np.split(place, np.cumsum(counts)[:-1])]
         return pa.table({"j": t["j"], "p": t["p"], "blob": pa.array(blobs, pa.binary())})
 
     asked = known.groupBy("j").cogroup(refs.groupBy("j"))
