@@ -307,6 +307,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
     doc_id neither remove nor lose anything. Repeated rows give equal rows. An empty table gives an empty result.
     """
     n = max(2, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // GROUP_BYTES))
+    n_sorts = 4 * n  # a bucket of runs to sort is smaller than a group of documents
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text"), F.xxhash64(raw).alias("check"))
     base = base.withColumn("j", F.pmod(F.xxhash64("doc_id", "check"), F.lit(n)).cast("int"))
@@ -317,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
         out = []
         if len(left) and len(right):
             g = _Group(left, [x.as_py() for x in right["blob"]], length)
-            for p, which in g.sent(n):
+            for p, which in g.sent(n_sorts):
                 at = g.first[which]
                 out.append((p, pack(g.least[which], g.value[at], (g.end - g.start)[at].astype(np.uint32), _gather(g.data, g.start[at], g.end[at]))))
         return pa.table({"p": pa.array([p for p, _ in out], pa.int32()), "j": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array([v for _, v in out], pa.binary())})
@@ -355,7 +356,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
             g = _Group(left, [b.as_py() for b, p in zip(right["blob"], right["p"]) if not p.is_valid], length)
             if len(g.row):
                 found = [(p.as_py(), unpack(b.as_py())[0]) for b, p in zip(right["blob"], right["p"]) if p.is_valid]
-                gone = g.removed(found, n, length)
+                gone = g.removed(found, n_sorts, length)
                 before = np.concatenate([[0], np.cumsum(gone)])
                 for k in range(len(g.ids)):
                     i, j = g.off[k], g.off[k + 1]
