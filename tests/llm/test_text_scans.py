@@ -52,6 +52,30 @@ def test_overlaps_survive_substitutions(spark):
     assert decontam.overlaps(docs, bench.limit(0)).count() == 0 and decontam.clean(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.5, 0.8, 0.9, 1.0])
+def test_every_overlap_of_a_diagonal_is_found(share):
+    rng = np.random.default_rng(5)
+    for k in range(250):
+        n = int(rng.integers(5, 70))
+        item, same = [f"w{i}" for i in range(n)], rng.random(n) < rng.choice([0.6, 0.75, 0.8, 0.9])
+        seeds = decontam._Seeds([(1, " ".join(item))], decontam.MASKS, 9, share)
+        raw = np.frombuffer(" ".join(w if s else "x" for w, s in zip(item, same)).encode(), np.uint8)
+        found = seeds._verify(decontam.Words(raw, np.array([0, len(raw)]), decontam.plain_words()), 0, 0, 0)
+        right = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if (e := same[i:j].sum()) >= min(9, n) and e >= share * (j - i) - 1e-9]
+        assert (found is not None) == bool(right), same
+        assert found is None or ((found[0], found[0] + found[1]) in right and found[2] == same[found[0]:found[0] + found[1]].sum())
+
+
+def test_overlaps_beside_edited_words(spark):
+    item = [f"w{i}" for i in range(110)]
+    short = [f"v{i}" for i in range(10)]
+    texts = {1: short[:2] + ["x"] + short[3:], 2: item[:10] + ["x" if i % 9 in (3, 6) else w for i, w in enumerate(item[10:])], 3: ["x" if i % 4 == 3 else w for i, w in enumerate(short)]}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench).collect()) == [(1, 2), (2, 1)]
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [3]
+
+
 def test_overlaps_in_several_passes(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     want = decontam.overlaps(docs, bench).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -83,20 +84,44 @@ class _Seeds:
         return [(row, item, n, *f) for (row, item), (n, f) in sorted(best.items())]
 
     def _verify(self, w: Words, row: int, item: int, shift: int) -> tuple[int, int, int] | None:
-        """Ends of the best overlap on one diagonal: equal words count 1, different ones -MISMATCH."""
+        """Ends of the best overlap on one diagonal: equal words count 1, different ones -MISMATCH.
+
+        Where the best-scoring segment is no overlap, the one with most equal words of all segments that are one.
+        """
         i0, i1 = self.words.first[item], self.words.first[item + 1]
         d0, d1 = max(w.first[row], i0 + shift), min(w.first[row + 1], i1 + shift)
         equal = w.hash[d0:d1] == self.words.hash[d0 - shift:d1 - shift]
+        least = min(self.min_words, i1 - i0)
+        if equal.sum() < least:
+            return None
         sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
         low = np.minimum.accumulate(sums)
         end = int(np.argmax(sums - low))
         start = int(np.argmax(sums[: end + 1] == low[end]))
         n, same = end - start, int(equal[start:end].sum())
-        if same < min(self.min_words, i1 - i0) or same < self.min_identity * n:
-            return None
+        if same < least or same < self.min_identity * n:
+            start, end = _most_equal(equal, self.min_identity)
+            n, same = end - start, int(equal[start:end].sum())
+            if same < least:
+                return None
         return int(d0 + start - w.first[row]), n, same
 
 
+def _most_equal(equal: np.ndarray, min_identity: float) -> tuple[int, int]:
+    """Ends of a segment with most equal words among those with a share of ``min_identity`` of them.
+
+    A segment has the share if its prefix sum of (equal - share) does not fall. For each end the first start whose sum is not
+    above gives most equal words; the sums are whole numbers, so that a share that is just met is met.
+    """
+    share = Fraction(str(min_identity))
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, share.denominator - share.numerator, -share.numerator))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    start = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+    end = int(np.argmax(count - count[start]))
+    at = start[end] + np.flatnonzero(equal[start[end]:end])
+    return (int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0)
+
+
 def _passes(benchmark: DataFrame, text: str, id_col: str) -> list[list[tuple]]:
     """The items, a bounded number of words at a time (one pass over the documents for each)."""
     n = F.coalesce(F.regexp_count(text, F.lit(WORD_BREAK)), F.lit(0))
