@@ -100,3 +100,16 @@ def test_groups_stay_together_and_large_ones_fill_shards(spark):
     assert sharding.assign(docs.limit(0), 12).count() == 0
     stage = sharding.shard_stage(spark, odd.docs(spark), "")
     assert stage.columns == [*odd.docs(spark).columns, "shard_", "slot"] and stage.drop("shard_", "slot").schema == odd.docs(spark).schema
+
+
+@pytest.mark.parametrize("sizes", [[5] * 192, [80] * 12, [2] * 150 + [11] * 30 + [50] * 6 + [30]])
+def test_links_are_kept_without_single_texts(spark, sizes):
+    rows = [(1000 * g + k, f"g{g}") for g, n in enumerate(sizes) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    cells = Counter((r.doc_id // 1000, r.shard) for r in sharding.assign(docs, 12).collect())
+    shards = Counter()
+    for (_, s), n in cells.items():
+        shards[s] += n
+    assert sum(shards.values()) == len(rows) and max(shards.values()) - min(shards.values()) <= 1
+    # Links kept: pairs of one text in one shard.
+    assert sum(n * (n - 1) for n in cells.values()) >= 0.95 * sum(n * (n - 1) for n in sizes)

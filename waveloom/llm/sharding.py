@@ -16,44 +16,73 @@ def _spread(rows: int, n_shards: int) -> int:
     return max(4, -(-rows // (n_shards * SUB_ROWS)))
 
 
-def propagate(linked: DataFrame, capacity: int, n_shards: int, rounds: int) -> DataFrame:
-    """linked(uid, group, tie) -> with ``shard``.
+def _laid(cells: DataFrame, keys: list[str], weight: str, order: list[str], spread: int) -> DataFrame:
+    """``start``: the sum of ``weight`` over the earlier cells of the same keys, large communities first, without one task per key.
 
-    A community is a group of equal texts, or a hashed part of one that is larger than half a shard. All start at hashed shards.
-    In each round a row wants the shard that holds most of its community (ties by hash) if that is more than its own shard
-    holds; of those that want a shard, as many are let in as its quota has room, whole communities first.
+    Cells of one community follow each other: they are dealt by its size class and hash.
     """
-    sizes = linked.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
-    half = max(1, capacity // 2)
-    rows = linked.join(sizes, "group").withColumn("part", F.pmod("tie", F.ceil(F.col("members") / half)))
-    rows = rows.withColumn("com", F.xxhash64("group", "part")).drop("group", "part", "members")
-    rows = settle(rows.withColumn("shard", F.pmod(F.xxhash64("tie", F.lit(3)), F.lit(n_shards)).cast("int")), "labels")
-    spread = _spread(rows.count(), n_shards)
+    dealt = cells.withColumn("_c", -F.floor(F.log2("size")).cast("int")).withColumn("_s", F.pmod(F.xxhash64("com"), F.lit(spread)).cast("int"))
+    sums = dealt.groupBy(*keys, "_c", "_s").agg(F.sum(weight).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_c", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_c", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy(*keys, "_c", "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("_i", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
+    return rows.join(starts, [*keys, "_c", "_s"]).withColumn("start", F.col("_start") + F.col("_i")).drop("_c", "_s", "_start", "_i")
+
+
+def propagate(linked: DataFrame, capacity: int, n_shards: int, rounds: int) -> tuple[DataFrame, int]:
+    """linked(uid, group, tie) -> uid, ``shard``, ``turn``; and the number of rows without a shard.
+
+    A community is a group of equal texts, or a part of one that is larger than a shard. All rows start at hashed shards. In each
+    round a community wants the shard that holds most of its rows (ties by hash) among those with room for all of it. Rows that
+    leave a shard give their room to those that come: only communities that have their shard for good count against its
+    quota, and of those that want it, as many whole ones are let in as fit, large ones first. It ends when none is let in.
+    Communities that fit nowhere have a null shard, and a turn in which the rows of each follow each other.
+    """
+    spread = _spread(linked.count(), n_shards) * n_shards
+    full = max(1, capacity)
+    # Fewer than n_shards groups (all rows, if these are fewer) are larger than a shard: the bound of this broadcast is the parameter.
+    large = linked.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > full).select("group", F.lit(True).alias("large"))
+    rows = settle(linked.join(F.broadcast(large), "group", "left"), "label-rows")
+    parts = ranked(rows.where("large"), ["group"], ["uid"], spread, "part").withColumn("part", F.floor(F.col("part") / full))
+    rows = rows.where("large is null").withColumn("part", F.lit(0).cast("long")).unionByName(parts)
+    rows = rows.select("uid", F.xxhash64("group", "part").alias("com"), F.pmod(F.xxhash64("tie", F.lit(3)), F.lit(n_shards)).cast("int").alias("start_shard"))
+    rows = settle(rows, "labels")
+    cells = rows.groupBy("com", "start_shard").agg(F.count(F.lit(1)).alias("n"))
+    cells = settle(cells.join(cells.groupBy("com").agg(F.sum("n").alias("size")), "com"), "label-cells")
+    room, left, seated, waiting = [capacity] * n_shards, rows.count(), None, cells
     for _ in range(rounds):
-        tally = rows.groupBy("com", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = tally.groupBy("com").agg(F.max(F.struct("n", F.xxhash64("com", "shard").alias("t"), "shard")).alias("b"))
-        own = tally.join(best, "com").select("com", "shard", F.when(
-            F.struct("n", F.xxhash64("com", "shard").alias("t")) < F.struct("b.n", "b.t"), F.col("b.shard")).alias("want"))
-        asked = rows.join(own, ["com", "shard"])
-        stay = asked.where("want is null").drop("want")
-        room = rows.groupBy("shard").agg((F.lit(capacity) - F.count(F.lit(1))).alias("room")).withColumnRenamed("shard", "want")
-        go = ranked(asked.where("want is not null"), ["want"], ["com", "tie", "uid"], spread, "turn").join(room, "want", "left")
-        moved = F.col("turn") < F.coalesce("room", F.lit(capacity))
-        new = go.withColumn("shard", F.when(moved, F.col("want")).otherwise(F.col("shard"))).withColumn("moved", moved)
-        rows_next = settle(stay.withColumn("moved", F.lit(False)).unionByName(new.select(*stay.columns, "moved")), "labels")
-        done = rows_next.where("moved").isEmpty()
-        rows = rows_next.drop("moved")
-        if done:
+        if not left:
+            break
+        has = lambda shard: F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), shard + 1)  # noqa: E731, B023
+        best = F.max(F.struct("n", F.xxhash64("com", "start_shard").alias("t"), "start_shard"))["start_shard"].alias("want")
+        wants = waiting.where(has(F.col("start_shard")) >= F.col("size")).groupBy("com").agg(best, F.first("size").alias("size"))
+        laid = _laid(wants, ["want"], "size", ["com"], spread)
+        let_in = settle(laid.where(F.col("start") + F.col("size") <= has(F.col("want"))).select("com", "want", "size"), "label-seats")
+        got = {r.want: r.n for r in let_in.groupBy("want").agg(F.sum("size").alias("n")).collect()}  # n_shards rows
+        if not got:
             break
-    return rows
+        room, left = [r - got.get(k, 0) for k, r in enumerate(room)], left - sum(got.values())
+        seats = let_in.select("com", "want")
+        seated = seats if seated is None else seated.unionByName(seats)
+        waiting = settle(waiting.join(seats, "com", "left_anti"), "label-cells")
+    kept = cells.select("com", "start_shard")
+    kept = kept.withColumn("want", F.lit(None).cast("int")) if seated is None else kept.join(seated, "com", "left")
+    turns = _laid(waiting, [], "n", ["com", "start_shard"], spread).select("com", "start_shard", F.col("start").alias("turn"))
+    placed = rows.join(kept.join(turns, ["com", "start_shard"], "left"), ["com", "start_shard"])
+    open_rows = placed.where("want is null").withColumn(
+        "turn", F.col("turn") + F.row_number().over(Window.partitionBy("com", "start_shard").orderBy("uid")) - 1)
+    done = placed.where("want is not null").unionByName(open_rows)
+    return done.select("uid", F.col("want").alias("shard"), "turn"), left
 
 
 def assign(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS, text: str = "text", carry: bool = False) -> DataFrame:
     """Shard and slot of each row of docs(doc_id, text, ...), shard sizes at most one row apart.
 
     Rows with equal texts are linked (null texts with nothing). Linked rows get their shard from label propagation within the
-    capacities; rows without links, and those that found no room, fill up the shards, so that shard k has one row more than the
-    smallest only if k < rows % n_shards. Slots are gapless from 0 in each shard.
+    capacities; then other rows fill up the shards, so that shard k has one row more than the smallest only if k < rows %
+    n_shards: first communities that fitted nowhere, one after the other from the emptiest shard on, then rows without links.
+    Slots are gapless from 0 in each shard.
 
     Returns doc_id, size, text_crc32, shard, slot; with ``carry`` also ``row``, a struct of all columns. Repeated rows are rows of
     their own (they are linked, their texts are equal); null doc_ids are allowed; empty input gives an empty result.
@@ -71,20 +100,24 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS, text
     capacity = total // n_shards
     # The row number is stored with the rows, so decisions can be joined back to one row even where rows repeat.
     links = base.select("uid", "group", "tie").join(groups, "group", "left_semi")
-    labels = propagate(links, capacity, n_shards, rounds)
-    labels = ranked(labels, ["shard"], ["com", "tie", "uid"], spread, "slot").where(F.col("slot") < capacity)
-    labels = settle(labels.select("uid", "shard", "slot"), "shard-linked")
+    labels, waiting = propagate(links, capacity, n_shards, rounds)
+    labels = settle(labels, "shard-labels")
+    seated = ranked(labels.where("shard is not null").drop("turn"), ["shard"], ["uid"], spread, "slot").withColumn("turn", F.lit(None).cast("long"))
+    labels = settle(seated.unionByName(labels.where("shard is null").withColumn("slot", F.lit(None).cast("long"))).select(
+        "uid", "shard", "slot", "turn"), "shard-linked")
     placed = base.join(labels, "uid", "left")
     fixed = placed.where("shard is not null")
 
-    used = labels.groupBy("shard").agg(F.count(F.lit(1)).alias("used"))
+    used = labels.where("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("used"))
     every = docs.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard")).join(used, "shard", "left")
     free = every.select("shard", F.coalesce("used", F.lit(0)).alias("used"),
                         (F.lit(capacity) + (F.col("shard") < total % n_shards).cast("int") - F.coalesce("used", F.lit(0))).alias("free"))
-    upto = F.sum("free").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("free").over(Window.orderBy(F.desc("free"), "shard").rowsBetween(Window.unboundedPreceding, 0))
     free = free.select("shard", "used", (upto - F.col("free")).alias("lo"), upto.alias("hi"))
     # n_shards rows: the bound of this broadcast is the parameter.
-    pool = ranked(placed.where("shard is null").drop("shard", "slot"), [], ["uid"], spread * n_shards, "turn")
+    rest = placed.where("shard is null").drop("shard", "slot")
+    single = ranked(rest.where("turn is null").drop("turn"), [], ["uid"], spread * n_shards, "turn").withColumn("turn", F.col("turn") + waiting)
+    pool = rest.where("turn is not null").unionByName(single)
     filled = pool.join(F.broadcast(free), (F.col("turn") >= F.col("lo")) & (F.col("turn") < F.col("hi")))
     filled = filled.withColumn("slot", F.col("used") + F.col("turn") - F.col("lo"))
     out = ["doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")]
