@@ -67,6 +67,17 @@ def test_components_of_nothing_and_the_stage(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want) and kept.where("doc_id is null").count() == 2
 
 
+def test_stage_joins_five_word_near_copies(spark, monkeypatch):
+    base = [f"w{i}" for i in range(100)]
+    copy = " ".join("x" if i in (30, 60) else w for i, w in enumerate(base))  # 5 words: 86 / 106; 3 words: 92 / 104
+    rows = [(-2, " ".join(base)), (-1, copy), *near_rows()]
+    kept = ngramjoin.dedup_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), "")
+    three = shingles
+    monkeypatch.setitem(globals(), "shingles", lambda text: three(text, 5))
+    want = {c for _, _, c in brute_groups(rows, 80)}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and -2 in want and -1 not in want
+
+
 def brute_repeats(rows, length):
     first, out = {}, []
     for d, t in rows:

@@ -22,8 +22,10 @@ FEW = 8      # texts of a token that are compared as pairs
 BLOCK = 128  # texts of a block of a crowded token
 LEAD = 4     # crowded tokens of a text in whose buckets its prefix is compared with the others'
 FILTER_BITS = 24
-PERCENT = 90
+PERCENT = 90        # of op9
 SHINGLE = 3
+STAGE_PERCENT = 80  # of the pipeline's stage
+STAGE_SHINGLE = 5
 
 
 def _sets(text: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -384,8 +386,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the group's smallest doc_id (of rows that repeat it, one).
 
-    Rows without doc_id stay.
+    Texts link at STAGE_PERCENT on STAGE_SHINGLE-word shingles. Rows without doc_id stay.
     """
-    keep = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keep = groups(docs, STAGE_PERCENT, STAGE_SHINGLE).where("doc_id = component_id").select("doc_id").distinct()
     ranked = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return ranked.unionByName(docs.where("doc_id is null"))
