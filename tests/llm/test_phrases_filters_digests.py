@@ -55,10 +55,11 @@ def brute_phrases(rows, least=10, cover=50, top=2000):
     return sorted(ranked)
 
 
-@pytest.mark.parametrize("unit, share, top", [(6 << 20, 1 << 12, 2000), (64, 1 << 12, 3), (50, 1 << 40, 2000)])
-def test_collocations(spark, monkeypatch, unit, share, top):
-    """In whole units, in units that cut every text, and with every pair dealt over many tasks."""
+@pytest.mark.parametrize("unit, held, share, top", [(2 << 20, 1 << 22, 1 << 12, 2000), (64, 20, 1 << 12, 3), (50, 1 << 22, 1 << 40, 2000)])
+def test_collocations(spark, monkeypatch, unit, held, share, top):
+    """In whole units, in units that cut every text and are sent at once, and with every pair dealt over many tasks."""
     monkeypatch.setattr(collocations, "UNIT", unit)
+    monkeypatch.setattr(collocations, "HELD", held)
     monkeypatch.setattr(collocations, "SHARE", share)
     rows = phrase_docs()
     got = collocations.collocations(spark.createDataFrame(rows, DOCS).repartition(3), top=top)

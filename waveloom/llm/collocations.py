@@ -24,16 +24,18 @@ MIN_COUNT = 10
 COVER_PERCENT = 50
 TOP = 2000
 
-UNIT = 6 << 20  # bytes of text counted together before anything is shuffled
+UNIT = 2 << 20  # bytes of text taken apart together
+WORDS = 1 << 21  # words a task numbers before it sends what it has
+HELD = 1 << 22  # windows a task counts before it sends what it has
 CELLS = 1 << 14  # word pairs are watched by the cell of their hash
-SHARE = 1 << 12  # the pairs of a cell with more than this part of all window rows are dealt over SPREAD tasks each
+SHARE = 1 << 12  # the pairs of a cell with more than this part of all words are dealt over SPREAD tasks each
 SPREAD = 64
 
 _INSIDE, _ENDS = np.ones(256, bool), np.zeros(256, bool)
 _INSIDE[list(PIECE_ENDS + BLANKS)] = False
 _ENDS[list(PIECE_ENDS)] = True
 
-ROWS = "lang string, pair string, third string, salt int, c bigint"
+ROWS = "window string, salt int, c bigint"
 
 
 def _slices(text: np.ndarray):
@@ -84,83 +86,134 @@ def _joined(held):
     return np.concatenate([d for d, _, _ in held]), off, [x for _, _, langs in held for x in langs], False
 
 
-class _Counted:
-    """Distinct windows of a unit: numbers of their three words (0: padding) and counts; words and languages by number."""
+class _Opened:
+    """The windows of a unit: words by number (0: padding) in three columns; word, language and hash of each number."""
 
     def __init__(self, data, offsets, langs, more):
         words = Words(data, offsets, _INSIDE)
-        size = len(words)
-        self.rows = 0
+        self.words, size = words, len(words)
+        self.opens = size - 2 if more else size  # the last two words of a part open windows in the next one
         if size == 0:
             return
         piece = np.cumsum(_ENDS[words.low], dtype=np.int32)[words.start]
-        on = (words.doc[1:] == words.doc[:-1]) & (piece[1:] == piece[:-1])
+        self.on = (words.doc[1:] == words.doc[:-1]) & (piece[1:] == piece[:-1])
+        named = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+        self.langs = list(named)
+        self.lang = np.array([named[x] for x in langs])[words.doc]
+        self.hash = words.hash + np.array([zlib.crc32(x.encode()) for x in self.langs], np.uint64)[self.lang]
+
+    def numbered(self):
+        """(language number, word) of each different one, its first place, and the number from 0 of every word."""
+        words = self.words
         ends = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int64)
-        text = pa.Array.from_buffers(pa.large_string(), size, [None, pa.py_buffer(ends), pa.py_buffer(words.low[_INSIDE[words.low]])])
+        text = pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(words.low[_INSIDE[words.low]])])
         coded = text.dictionary_encode()
-        named = {x: k for k, x in enumerate(dict.fromkeys(langs))}
-        lang = np.array([named[x] for x in langs])[words.doc]
         width = len(coded.dictionary)
-        both, first, ids = np.unique(lang * width + coded.indices.to_numpy(), return_index=True, return_inverse=True)
-        ids = ids + 1
-        # The windows: each word with the next two as columns, padded at the end of its piece.
-        second, third = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        second[:-1] = np.where(on, ids[1:], 0)
-        third[:-1] = np.where(second[:-1] > 0, second[1:], 0)
-        opens = size - 2 if more else size
-        base = len(both) + 1
-        pairs, pair = np.unique(ids[:opens] * base + second[:opens], return_inverse=True)
-        keys, self.c = np.unique(pair * base + third[:opens], return_counts=True)
-        at = pairs[keys // base]
-        self.a, self.b, self.t = at // base, at % base, keys % base
-        self.rows = len(keys)
-        self.words = pa.concat_arrays([pa.array([""], pa.large_string()), coded.dictionary.take(pa.array(both % width))])
-        self.langs = list(named)
-        self.lang = np.concatenate([[0], both // width])
-        seed = np.array([zlib.crc32(x.encode()) for x in self.langs], np.uint64)[self.lang]
-        self.hash = np.concatenate([np.zeros(1, np.uint64), words.hash[first]]) + seed
-        self.cell = (mixed(self.hash[self.a] * np.uint64(0x9E3779B97F4A7C15) + self.hash[self.b]) % np.uint64(CELLS)).astype(np.int64)
+        both, first, ids = np.unique(self.lang * width + coded.indices.to_numpy(), return_index=True, return_inverse=True)
+        return zip((both // width).tolist(), coded.dictionary.take(pa.array(both % width)).to_pylist()), first, ids
+
+    def leads(self, x: np.ndarray, none) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """x of the words that open a window, and of the next word and the one after inside the piece (else none)."""
+        second, third = np.full(len(x), none, x.dtype), np.full(len(x), none, x.dtype)
+        second[:-1] = np.where(self.on, x[1:], none)
+        third[:-1] = np.where(self.on, second[1:], none)
+        return x[:self.opens], second[:self.opens], third[:self.opens]
+
+
+def _cell(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (mixed(first * np.uint64(0x9E3779B97F4A7C15) + second) % np.uint64(CELLS)).astype(np.int64)
 
 
 def _cells(batches):
-    """Window rows of each cell of word pairs."""
+    """Windows of each cell of word pairs."""
     seen = np.zeros(CELLS, np.int64)
     for unit in _units(batches):
-        got = _Counted(*unit)
-        if got.rows:
-            seen += np.bincount(got.cell, minlength=CELLS)
+        got = _Opened(*unit)
+        if len(got.words):
+            first, second, _ = got.leads(got.hash, np.uint64(0))
+            seen += np.bincount(_cell(first, second), minlength=CELLS)
     some = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["cell", "rows"])
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["cell", "n"])
+
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(counts[order], at)
+
+
+class _Counts:
+    """Windows counted over the units of a task: words get numbers, three of them are one 63-bit key."""
+
+    def __init__(self, spread: np.ndarray):
+        self.spread = spread
+        self.clear()
+
+    def clear(self):
+        self.ids: dict = {}
+        self.names, self.hash, self.parts, self.pending = [""], [0], [], 0
+
+    def add(self, got: _Opened):
+        """Rows to send first, if the unit would not fit; then the unit is counted."""
+        found, first, ids = got.numbered()
+        if len(self.ids) + len(first) >= WORDS or self.pending > HELD:
+            yield from self.rows()
+        here = np.empty(len(first), np.int64)
+        for k, (lang, word) in enumerate(found):
+            key = (got.langs[lang], word)
+            here[k] = self.ids.setdefault(key, len(self.names))
+            if here[k] == len(self.names):
+                self.names.append(word)
+                self.hash.append(int(got.hash[first[k]]))
+        a, b, c = got.leads(here[ids], 0)
+        keys, counts = np.unique(a << 42 | b << 21 | c, return_counts=True)
+        self.parts.append((keys, counts))
+        self.pending += len(keys)
+        if self.pending > HELD and len(self.parts) > 1:
+            self.parts = [_merged(self.parts)]
+            self.pending = len(self.parts[0][0])
+
+    def rows(self):
+        """window (`first second third language`, a missing word is empty), salt, c."""
+        if self.parts:
+            keys, counts = _merged(self.parts)
+            words, langs = pa.array(self.names, pa.large_string()), pa.array([""] + [lang for lang, _ in self.ids], pa.large_string())
+            hashes = np.array(self.hash, np.uint64)
+            for k in range(0, len(keys), 1 << 17):
+                s = slice(k, k + (1 << 17))
+                a, b, c = keys[s] >> 42, keys[s] >> 21 & (WORDS - 1), keys[s] & (WORDS - 1)
+                text = pc.binary_join_element_wise(*[words.take(pa.array(x)) for x in (a, b, c)], langs.take(pa.array(a)), pa.scalar(" ", pa.large_string()))
+                salt = np.where(self.spread[_cell(hashes[a], hashes[b])], (mixed(hashes[c]) % np.uint64(SPREAD)).astype(np.int32), np.int32(-1))
+                yield pa.RecordBatch.from_arrays([text.cast(pa.string()), pa.array(salt.astype(np.int32)), pa.array(counts[s].astype(np.int64))], ["window", "salt", "c"])
+        self.clear()
 
 
 def _window_rows(hot: list[int]):
-    spread = np.zeros(CELLS, bool)
-    spread[hot] = True
-
     def rows(batches):
+        spread = np.zeros(CELLS, bool)
+        spread[hot] = True
+        held = _Counts(spread)
         for unit in _units(batches):
-            got = _Counted(*unit)
-            for k in range(0, got.rows, 1 << 18):
-                s = slice(k, k + (1 << 18))
-                pair = pc.binary_join_element_wise(got.words.take(pa.array(got.a[s])), got.words.take(pa.array(got.b[s])), pa.scalar(" ", pa.large_string()))
-                salt = np.where(spread[got.cell[s]], (mixed(got.hash[got.t[s]]) % np.uint64(SPREAD)).astype(np.int32), np.int32(-1))
-                lang = pa.array(got.langs).take(pa.array(got.lang[got.a[s]]))
-                yield pa.RecordBatch.from_arrays([lang, pair.cast(pa.string()), got.words.take(pa.array(got.t[s])).cast(pa.string()),
-                                                  pa.array(salt.astype(np.int32)), pa.array(got.c[s].astype(np.int64))], ["lang", "pair", "third", "salt", "c"])
+            got = _Opened(*unit)
+            if len(got.words):
+                yield from held.add(got)
+        yield from held.rows()
     return rows
 
 
 def window_counts(docs: DataFrame) -> DataFrame:
-    """Counts of windows by unit of text: lang, pair (first and second word), third, salt, c.
+    """Counts of windows by task: window (`first second third language`), salt, c.
 
-    Units of UNIT bytes are counted before anything leaves their task. salt is -1, or one of SPREAD numbers by the third word for the
-    pairs of the (at most SHARE) cells that hold too many rows; a window always has the same salt.
+    A task counts as far as its two bounds go before anything is shuffled. salt is -1, or one of SPREAD numbers by the third word for the
+    pairs of the (at most SHARE) cells that hold too many words; a window always has the same salt.
     """
     texts = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    cells = texts.mapInArrow(_cells, "cell bigint, rows bigint").groupBy("cell").agg(F.sum("rows").alias("rows"))
-    cells = settle(cells, "cells")
-    total = cells.agg(F.sum("rows")).first()[0] or 0
-    hot = [r.cell for r in cells.filter(F.col("rows") > total // SHARE).select("cell").collect()]  # at most SHARE cells
+    cells = settle(texts.mapInArrow(_cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    hot = [r.cell for r in cells.filter(F.col("n") > total // SHARE).select("cell").collect()]  # at most SHARE cells
     return texts.mapInArrow(_window_rows(hot), ROWS)
 
 
@@ -170,14 +223,17 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     Where a window is too rare its third word is padded, where a pair is too rare its second, before the ROLLUP: their occurrences go
     on counting in the shorter prefixes. A pair that is dealt over several tasks is left as it is.
     """
-    key = ["lang", "pair", "salt"]
-    windows = window_counts(docs).repartition(*key).groupBy(*key, "third").agg(F.sum("c").alias("c"))
-    third = F.when(F.col("c") >= min_count, F.col("third")).otherwise(F.lit("")).alias("w3")
-    short = windows.select(*key, third, "c").groupBy(*key, "w3").agg(F.sum("c").alias("c"))
-    known = (F.sum("c").over(Window.partitionBy(*key)) >= min_count) | (F.col("salt") >= 0)
+    pair = F.substring_index("window", " ", 2)
+    windows = window_counts(docs).repartition(pair, "salt").groupBy(pair.alias("pair"), "salt", "window").agg(F.sum("c").alias("c"))
+    head = F.substring_index("window", " ", 3)
+    lang = F.substr("window", F.length(head) + 2)
+    third = F.when(F.col("c") >= min_count, F.substring_index(head, " ", -1)).otherwise(F.lit(""))
+    short = windows.select("pair", "salt", lang.alias("lang"), third.alias("w3"), "c").groupBy("pair", "salt", "lang", "w3").agg(F.sum("c").alias("c"))
+    known = (F.sum("c").over(Window.partitionBy("pair", "salt", "lang")) >= min_count) | (F.col("salt") >= 0)
     padded = short.select("lang", F.substring_index("pair", " ", 1).alias("w1"),
                           F.when(known, F.substring_index("pair", " ", -1)).otherwise(F.lit("")).alias("w2"), "w3", "c")
-    summed = padded.rollup("lang", "w1", "w2", "w3").agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
+    counted = padded.groupBy("lang", "w1", "w2", "w3").agg(F.sum("c").alias("c"))
+    summed = counted.rollup("lang", "w1", "w2", "w3").agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
     level = F.when(F.col("g") == 0, 3).when(F.col("g") == 1, 2).when(F.col("g") == 3, 1).when(F.col("g") == 7, 0)
     full = "level = 0 OR (f >= {0} AND (level = 1 OR (level = 2 AND w2 <> '') OR (level = 3 AND w3 <> '')))".format(int(min_count))
     return summed.select("lang", "w1", "w2", "w3", level.alias("level"), "f").filter(full)
