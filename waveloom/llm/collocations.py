@@ -24,9 +24,9 @@ MIN_COUNT = 10
 COVER_PERCENT = 50
 TOP = 2000
 
-UNIT = 2 << 20  # bytes of text taken apart together
+UNIT = 1 << 20  # bytes of text taken apart together
 WORDS = 1 << 21  # words a task numbers before it sends what it has
-HELD = 1 << 22  # windows a task counts before it sends what it has
+HELD = 1 << 21  # windows a task counts before it sends what it has
 CELLS = 1 << 14  # word pairs are watched by the cell of their hash
 SHARE = 1 << 12  # the pairs of a cell with more than this part of all words are dealt over SPREAD tasks each
 SPREAD = 64
@@ -136,15 +136,6 @@ def _cells(batches):
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["cell", "n"])
 
 
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys and the sums of their counts."""
-    keys, counts = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts[order], at)
-
-
 class _Counts:
     """Windows counted over the units of a task: words get numbers, three of them are one 63-bit key."""
 
@@ -159,7 +150,7 @@ class _Counts:
     def add(self, got: _Opened):
         """Rows to send first, if the unit would not fit; then the unit is counted."""
         found, first, ids = got.numbered()
-        if len(self.ids) + len(first) >= WORDS or self.pending > HELD:
+        if len(self.ids) + len(first) >= WORDS or self.pending + len(ids) > HELD:
             yield from self.rows()
         here = np.empty(len(first), np.int64)
         for k, (lang, word) in enumerate(found):
@@ -169,17 +160,17 @@ class _Counts:
                 self.names.append(word)
                 self.hash.append(int(got.hash[first[k]]))
         a, b, c = got.leads(here[ids], 0)
-        keys, counts = np.unique(a << 42 | b << 21 | c, return_counts=True)
-        self.parts.append((keys, counts))
-        self.pending += len(keys)
-        if self.pending > HELD and len(self.parts) > 1:
-            self.parts = [_merged(self.parts)]
-            self.pending = len(self.parts[0][0])
+        self.parts.append(a << 42 | b << 21 | c)
+        self.pending += len(a)
 
     def rows(self):
         """window (`first second third language`, a missing word is empty), salt, c."""
-        if self.parts:
-            keys, counts = _merged(self.parts)
+        if self.pending:
+            keys = np.concatenate(self.parts)
+            self.parts = []
+            keys.sort()
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            counts, keys = np.diff(at, append=len(keys)), keys[at]
             words, langs = pa.array(self.names, pa.large_string()), pa.array([""] + [lang for lang, _ in self.ids], pa.large_string())
             hashes = np.array(self.hash, np.uint64)
             for k in range(0, len(keys), 1 << 17):
