@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.values import EPOCH_1904_S
 from ..operators import catalog as cat
 from ..session import new_path, settle
+from ..sources import families as fam
 from ..sources import segments as sg
+from ..sources.datasource import source_samples, store_plan
 from ..sources.encode import FILE_SAMPLES, SEGMENT_SAMPLES, write_files
 from .base import L, LC, lineitem_store, rnd, rnd_sql
 
@@ -101,6 +103,34 @@ def file_scan_int(spark, sf_dir):
     return _placed(sg.read_samples(stored_runs(spark, sf_dir), "int", start=1000, stop=9000), "k")
 
 
+_PLANS: dict = {}
+
+
+def stored_plan(spark, sf_dir):
+    """Layout families of the encoded files, stored once."""
+    key = lineitem_store(spark, sf_dir).path
+    if key not in _PLANS:
+        _PLANS[key] = store_plan(scanned(spark, sf_dir))
+    return _PLANS[key]
+
+
+@query("file_scan_family", f"WITH {L} SELECT channel_id, sample_idx, 'float' AS kind, v, NULL::BIGINT AS k FROM L UNION ALL SELECT channel_id, sample_idx, 'int', NULL, k FROM L")
+def file_scan_family(spark, sf_dir):
+    """Both channels of every file from one read of its bytes."""
+    rows = fam.read_families(spark.read.parquet(stored_plan(spark, sf_dir)), kinds=("float", "int"))
+    return _placed(rows.withColumn("v", F.struct("kind", "float", "int")), "x").select(
+        "channel_id", "sample_idx", "x.kind", F.col("x.float").alias("v"), F.col("x.int").alias("k"))
+
+
+@query("file_source", f"""WITH {L} SELECT channel_id, sample_idx, k FROM L
+    WHERE channel_id IN ('AF', 'RF') AND sample_idx % {FILE_SAMPLES} >= 1000 AND sample_idx % {FILE_SAMPLES} < 9000""")
+def file_source(spark, sf_dir):
+    """A window of two channels through the data source: the filters reach the reader."""
+    wanted = F.col("path").isin("/'AF'/'k'", "/'RF'/'k'") & (F.col("kind") == "int") & (F.col("sample_idx") >= 1000) & (F.col("sample_idx") < 9000)
+    rows = source_samples(spark, stored_plan(spark, sf_dir), wanted, ("float", "int"))
+    return _placed(rows.withColumn("v", F.col("int")), "k")
+
+
 def _linear(slope: float, intercept: float) -> dict:
     return {"NI_Number_Of_Scales": 1, "NI_Scaling_Status": "unscaled", "NI_Scale[0]_Scale_Type": "Linear", "NI_Scale[0]_Linear_Slope": slope,
             "NI_Scale[0]_Linear_Y_Intercept": intercept, "NI_Scale[0]_Linear_Input_Source": -1}

@@ -28,6 +28,7 @@ from ..operators.layout import (TOC_BIG_ENDIAN, TOC_DAQMX, TOC_INTERLEAVED, TOC_
                                 run_compress)
 from ..operators.scan import running
 from ..session import task_count
+from .readahead import ReadAhead
 
 # Fixed values of the file format.
 LEAD_IN = 28
@@ -58,14 +59,19 @@ SAMPLE_TYPES = {"float": "double", "int": "bigint", "uint64": "decimal(20,0)", "
                 "complex": "struct<re: double, im: double>", "string": "string"}
 
 
-def _open(uri: str):
-    """Random-access file on any file system Arrow knows. Spark gives paths as they are, a URI wants them percent-encoded."""
-    scheme, _, rest = uri.partition(":")
+def filesystem_of(uri: str):
+    """(file system, path in it) of any file system Arrow knows. Spark gives paths as they are, a URI wants them percent-encoded."""
+    scheme, _, rest = ("file", ":", uri) if uri.startswith("/") else uri.partition(":")
     authority, path = "", rest
     if rest.startswith("//"):
         authority, _, path = rest[2:].partition("/")
         path = "/" + path
-    fs, path = pafs.FileSystem.from_uri(f"{scheme}://{authority}{quote(path)}")
+    return pafs.FileSystem.from_uri(f"{scheme}://{authority}{quote(path)}")
+
+
+def _open(uri: str):
+    """Random-access file."""
+    fs, path = filesystem_of(uri)
     return fs.open_input_file(path)
 
 
@@ -200,7 +206,8 @@ def _walk(uri: str, size: int, index: bool) -> Iterator[dict]:
     listed: dict = {}
     last: dict = {}
     pos = at = seg_no = 0  # pos: place in the data file; at: place in the file that is read
-    with _open(uri) as f:
+    with _open(uri) as raw:
+        f = ReadAhead(raw)  # the headers of small segments share reads
         while at + LEAD_IN <= size:
             lead = f.read_at(LEAD_IN, at)
             toc = struct.unpack_from("<i", lead, 4)[0]
