@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.values import floor_pow2 as pow2
 from ..operators import axis as ax
 from ..operators import envelope as env
+from ..operators import lookup
+from ..operators.rollup import build_rollup
 from ..plans import plot, readout
-from ..session import bounded
+from ..session import bounded, new_path, settle
+from ..sources.store import measure_channels
 from .base import A, C, L, LC, S, axes_of, event_store, lineitem_store, moments, rnd, rnd_sql
 from .stats import _STATS_SELECT, _stats_cols
 
@@ -87,13 +90,38 @@ def xy_align(spark, sf_dir):
     return ax.xy_align(both, pairs, n)
 
 
-@query("xarr_range", f"""WITH {S}, {P}, N AS (SELECT channel_id, count(*) AS e, count(*) FILTER (WHERE x < {TA}) AS i0,
+_XARR_RANGE = f"""WITH {S}, {P}, N AS (SELECT channel_id, count(*) AS e, count(*) FILTER (WHERE x < {TA}) AS i0,
     count(*) FILTER (WHERE x <= {TB}) AS i1 FROM P GROUP BY channel_id)
-  SELECT channel_id, i0, greatest(i0, i1) AS i1, greatest(0, i0 - 1) AS v0, least(e, i1 + 1) AS v1 FROM N""")
+  SELECT channel_id, i0, greatest(i0, i1) AS i1, greatest(0, i0 - 1) AS v0, least(e, i1 + 1) AS v1 FROM N"""
+
+
+@query("xarr_range", _XARR_RANGE)
 def xarr_range(spark, sf_dir):
     return ax.sorted_range(time_points(event_store(spark, sf_dir).samples), TA, TB)
 
 
+TIME_BASE = 16
+_TIME_ROLLUPS: dict = {}
+
+
+def time_rollup(spark, sf_dir):
+    """Points, rollup and catalog of the event channels' times, the rollup and catalog stored once."""
+    s = event_store(spark, sf_dir)
+    points = time_points(s.samples)
+    if s.path not in _TIME_ROLLUPS:
+        x = points.select("channel_id", "sample_idx", F.col("x").alias("v"))
+        channels = settle(measure_channels(x), "time-channels")
+        _TIME_ROLLUPS[s.path] = (build_rollup(spark, x, channels, new_path(spark, "time-buckets"), TIME_BASE, s.n_channels), channels)
+    return points, *_TIME_ROLLUPS[s.path], s.n_channels
+
+
+@query("xarr_range_rollup", _XARR_RANGE)
+def xarr_range_rollup(spark, sf_dir):
+    """The same ranges by descent through the rollup of the X channel."""
+    points, buckets, channels, n = time_rollup(spark, sf_dir)
+    return lookup.sorted_range_rollup(points, buckets, channels, TA, TB, TIME_BASE, n)
+
+
 @query("xy_filter", f"WITH {L} SELECT channel_id, sample_idx, v AS x, q AS y FROM L WHERE v BETWEEN 20000.5 AND 70000.0")
 def xy_filter(spark, sf_dir):
     return ax.xy_filter(_price_points(lineitem_store(spark, sf_dir)), 20000.5, 70000.0)
@@ -150,6 +178,16 @@ def nearest_xarr(spark, sf_dir):
     return near.unionByName(other.select(F.lit("any").alias("kind"), "channel_id", "cursor_no", "cx", "sample_idx", "x"))
 
 
+@query("nearest_xarr_rollup", f"""WITH {S}, {P}, {_TCUR}, D AS (SELECT channel_id, cursor_no, cx, sample_idx, x,
+    row_number() OVER (PARTITION BY channel_id, cursor_no ORDER BY abs(x - cx), x >= cx, CASE WHEN x < cx THEN -sample_idx ELSE sample_idx END) AS rk
+    FROM P, U) SELECT channel_id, cursor_no, cx, sample_idx, x FROM D WHERE rk = 1""")
+def nearest_xarr_rollup(spark, sf_dir):
+    """Nearest samples by descent through the rollup of the X channel."""
+    points, buckets, channels, n = time_rollup(spark, sf_dir)
+    near = lookup.nearest_sorted_rollup(points, buckets, channels, T_CURSORS, TIME_BASE, n)
+    return near.select("channel_id", "cursor_no", "cx", "sample_idx", "x")
+
+
 @query("covers", f"""WITH {S}, {C}, {A}, {P}, {_TCUR}, V AS (SELECT unnest([1, 2, 3]) AS cursor_no, unnest([2.3::DOUBLE, 700.0, 1e7]) AS cx),
   O AS (SELECT channel_id, count(*) AS n, min(x) AS lo, max(x) AS hi, max(x) FILTER (WHERE sample_idx = 1) AS x1 FROM P GROUP BY channel_id),
   O2 AS (SELECT O.*, P.x AS x2 FROM O JOIN P ON P.channel_id = O.channel_id AND P.sample_idx = O.n - 2)
