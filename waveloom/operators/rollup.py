@@ -6,12 +6,12 @@ channel has at most TOP_BUCKETS buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import bounded, settle
 from .envelope import bucket_of, finish_envelope
-from .stats import STATE, merge_once, merge_states, raw_states, with_pivot
+from .stats import STATE, close_state, merge_once, merge_states, raw_states, state_columns, with_pivot
 
 BASE = 256
 # Size ratio between levels, and the bucket count at which a level is the top.
@@ -19,10 +19,26 @@ FACTOR = 8
 TOP_BUCKETS = 64
 
 
-def level0(samples: DataFrame, channels: DataFrame, base: int = BASE, n_channels: int | None = None) -> DataFrame:
-    """Bucket states of `base` samples: one pass with partial aggregation, no raw shuffle."""
-    rows = with_pivot(samples.select("channel_id", "sample_idx", "v"), channels, n_channels)
-    return raw_states(rows.withColumn("bucket", bucket_of("sample_idx", base)), ["channel_id", "bucket"])
+def word_names(base: int) -> list[str]:
+    """Columns of a bucket's mask of received positions, 64 in each."""
+    return [f"w{k}" for k in range(-(-base // 64))]
+
+
+def seen_words(base: int) -> list[Column]:
+    """Aggregates of the mask: bit p of word k is set if position 64 k + p of the bucket was received."""
+    pos = f"(sample_idx - bucket * {base})"
+    return [F.expr(f"bit_or(CASE WHEN {pos} div 64 = {k} THEN shiftleft(1L, int({pos} % 64)) ELSE 0L END) AS {w}") for k, w in enumerate(word_names(base))]
+
+
+def level0(samples: DataFrame, channels: DataFrame, base: int = BASE, n_channels: int | None = None, positions: bool = False) -> DataFrame:
+    """Bucket states of `base` samples: one pass with partial aggregation, no raw shuffle.
+
+    positions: add the masks of received positions, for samples that may repeat (`covered_prefix` then counts each once).
+    """
+    rows = with_pivot(samples.select("channel_id", "sample_idx", "v"), channels, n_channels).withColumn("bucket", bucket_of("sample_idx", base))
+    if not positions:
+        return raw_states(rows, ["channel_id", "bucket"])
+    return close_state(rows.groupBy("channel_id", "bucket").agg(*state_columns(), *seen_words(base)), ["channel_id", "bucket", *word_names(base)])
 
 
 def next_level(states: DataFrame) -> DataFrame:
@@ -190,14 +206,16 @@ def rollup_envelope(samples: DataFrame, buckets: DataFrame, channels: DataFrame,
 def covered_prefix(buckets: DataFrame, channels: DataFrame, base: int = BASE, n_channels: int | None = None) -> DataFrame:
     """Samples of each channel covered by complete leading level-0 buckets.
 
-    The final partial bucket counts only when it closes the declared length. No window over the
+    The final partial bucket counts only when it closes the declared length. Where the buckets carry masks (`level0` with positions,
+    the streamed levels) different positions are counted, else samples, which must then be different. No window over the
     buckets of a channel: the prefix ends at the smallest bucket that is not complete although it
     is the first one or follows a complete one.
     """
     level = buckets.filter("level = 0") if "level" in buckets.columns else buckets
     sizes = bounded(channels.select("channel_id", "length"), n_channels)
-    done = level.select("channel_id", "bucket", "total").join(sizes, "channel_id").filter(
-        f"total >= least({base}, length - bucket * {base})")
+    masked = set(word_names(base)) <= set(level.columns)
+    there = F.expr(" + ".join(f"bit_count({w})" for w in word_names(base)) if masked else "total").alias("there")
+    done = level.select("channel_id", "bucket", there).join(sizes, "channel_id").filter(f"there >= least({base}, length - bucket * {base})")
     marks = done.selectExpr("channel_id", """inline(array(
         named_struct('b', bucket, 'done', 1, 'next', 0), named_struct('b', bucket + 1, 'done', 0, 'next', 1)))""")
     marks = marks.unionByName(channels.selectExpr("channel_id", "0L AS b", "0 AS done", "1 AS next"))

@@ -9,6 +9,7 @@ from ..operators import envelope as env
 from ..operators import rollup as roll
 from ..operators import stats as st
 from ..session import bounded, new_path
+from ..streaming.levels import LevelTable, level_coverage, read_levels, start_levels
 from ..streaming.rollup import read_rollup, start_rollup
 from .base import (C, L, LC, LG, S, SG, event_store, gappy, lineitem_rollup, lineitem_store, moments, rnd, rnd_sql, ranges_of, rng,
                    spiky)
@@ -199,6 +200,39 @@ def stream_rollup(spark, sf_dir):
     return states.select("channel_id", "bucket", "n", "total", "mn", "mx", "pv", rnd("mean").alias("mean"), rnd("std").alias("std"))
 
 
+@query("stream_levels", f"""{_LEVELS} SELECT channel_id, CAST(level AS BIGINT) AS level, bucket, n, total, mn, mx,
+  coalesce(pv, 0) AS pv, {_MEAN} AS mean, {_STD} AS std FROM M""")
+def stream_levels(spark, sf_dir):
+    """All levels of the rollup kept up to date while the line items arrive in micro-batches."""
+    s = lineitem_store(spark, sf_dir)
+    stream = gappy(spark.readStream.schema(s.samples.schema).option("maxFilesPerTrigger", 3).parquet(f"{s.path}/samples"))
+    table = LevelTable(spark, new_path(spark, "levels"), BASE)
+    start_levels(stream, s.channels, table, new_path(spark, "levels_ckpt")).awaitTermination()
+    out = st.with_statistics(read_levels(table))
+    return out.select("channel_id", F.col("level").cast("bigint").alias("level"), "bucket", "n", "total", "mn", "mx", "pv",
+                      rnd("mean").alias("mean"), rnd("std").alias("std"))
+
+
+@query("stream_duplicates", f"""WITH {L}, {LC}, D AS (SELECT * FROM L WHERE channel_id <> 'NO' OR sample_idx // {BASE} <> 3 OR sample_idx % {BASE} <> 1),
+    M AS (SELECT channel_id, count(*) AS n, sum(v) AS total_v FROM D GROUP BY channel_id)
+  SELECT M.channel_id, n, {rnd_sql("total_v / n")} AS mean, length, CASE WHEN M.channel_id = 'NO' THEN 3 * {BASE} ELSE length END AS covered, M.channel_id <> 'NO' AS complete
+  FROM M JOIN LC ON LC.channel_id = M.channel_id""")
+def stream_duplicates(spark, sf_dir):
+    """Every third sample arrives twice, every seventh once more later, and a sample that is missing is not made up by a repeat."""
+    s = lineitem_store(spark, sf_dir)
+    there = s.samples.select("channel_id", "sample_idx", "v").filter(f"channel_id <> 'NO' OR sample_idx div {BASE} <> 3 OR sample_idx % {BASE} <> 1")
+    folder = new_path(spark, "repeated")
+    there.unionByName(there.filter("sample_idx % 3 = 0")).write.parquet(folder)
+    there.filter("sample_idx % 7 = 0").withColumn("v", F.col("v") + 1).write.mode("append").parquet(folder)
+    there.filter("sample_idx = 5").withColumn("sample_idx", F.lit(1 << 40)).write.mode("append").parquet(folder)
+    declared = s.channels.select("channel_id", "length", "pivot")
+    table, checkpoint = LevelTable(spark, new_path(spark, "levels"), BASE), new_path(spark, "levels_ckpt")
+    stream = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", 8).option("latestFirst", "false").parquet(folder)
+    start_levels(stream, declared, table, checkpoint).awaitTermination()
+    states = st.with_statistics(st.merge_states(table.rows(0), ["channel_id"], "bucket", 1 << 40))
+    return states.join(level_coverage(table, declared), "channel_id").select("channel_id", "n", rnd("mean").alias("mean"), "length", "covered", "complete")
+
+
 _PART = "(channel_id <> 'NO' OR sample_idx // 16 <> (length // 16) // 2) AND (channel_id <> 'RF' OR sample_idx < length - 5)"
 
 
