@@ -60,13 +60,13 @@ def test_equals_the_scan(spark, stored, monkeypatch):
 def test_a_lookup_reads_one_parent_a_level(spark, stored, monkeypatch):
     chans, points, buckets, cat = stored
     seen = []
-    plain = lookup._pruned
+    plain = lookup.pruned
 
     def counted(rows, state, at, more=None):
         out = plain(rows, state, at, more)
         seen.append((out.count(), out._jdf.queryExecution().executedPlan().toString()))
         return out
-    monkeypatch.setattr(lookup, "_pruned", counted)
+    monkeypatch.setattr(lookup, "pruned", counted)
     queries = spark.createDataFrame([("tall", 1, 700.3, False)], "channel_id string, key int, q double, strict boolean")
     got = lookup.sorted_positions(points, buckets, cat, queries, 2, 8, 1).first()
     assert got["pos"] == np.searchsorted(chans["tall"], 700.3)

@@ -11,7 +11,7 @@ from waveloom.operators import layout as lay
 from waveloom.operators import rollup as roll
 from waveloom.operators import rows as rw
 from waveloom.operators import stats as st
-from waveloom.operators.scan import running
+from waveloom.operators.scan import running, running_rows
 from waveloom.plans import export, readout
 from waveloom.queries.base import axes_of, event_store, lineitem_rollup, lineitem_store, ranges_of
 from waveloom.session import MAX_BROADCAST_BYTES, bounded, row_width, new_path, shared_dir
@@ -99,6 +99,27 @@ def test_running_matches_a_plain_window(spark):
             assert got.select("g", "o", "v", "r").exceptAll(want).count() == 0
 
 
+def test_running_rows_of_sparse_starts(spark, monkeypatch):
+    """Nanosecond starts, one key with most rows, ties: no window over more than a partition's rows."""
+    rows = spark.range(0, 4000).selectExpr("IF(id % 10 < 8, 'hot', 'cold') AS g", "(hash(id) % 1000) * 1000000007L AS o", "hash(id, 1) % 50 AS v", "id")
+    for how, fn in (("sum", "sum"), ("max", "max")):
+        got = running_rows(rows, ["g"], ["o", "id"], F.col("v"), how, "r")
+        want = rows.selectExpr("*", f"{fn}(v) OVER (PARTITION BY g ORDER BY o, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r")
+        assert got.select("g", "o", "v", "id", "r").exceptAll(want).count() == 0 and got.count() == 4000
+        for line in plan(got).splitlines():
+            if "Window [" in line and "_tot" not in line:
+                assert "_part" in line
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running_rows(rows, ["g"], ["o", "id"], F.col("v"), "sum", "r")
+        files = spark.read.parquet(*[f for f in got.inputFiles() if "/running-" in f and "totals" not in f]).filter("g = 'hot'").groupBy(F.input_file_name()).count().collect()
+        assert len(files) >= 5 and max(r["count"] for r in files) < 1500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    wide = spark.createDataFrame([("k", i * 10**15, i * 10**15 + (10**15 if i % 3 else 5)) for i in range(300)], "k string, r0 bigint, r1 bigint")
+    assert rw.interval_merge(wide, "k").count() == 100 + 1
+
+
 def _greedy_runs(pos, layout):
     """Sequential definition of the runs: first index, length and stride."""
     out, i = [], 0
@@ -127,7 +148,7 @@ def test_intervals_merge_across_blocks(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2000, 300)
     df = spark.createDataFrame([("k", int(x), int(x + y)) for x, y in zip(a, rng.integers(1, 9, 300))], "k string, r0 bigint, r1 bigint")
-    got = sorted((r["r0"], r["r1"]) for r in rw.interval_merge(df, "k", block=32).collect())
+    got = sorted((r["r0"], r["r1"]) for r in rw.interval_merge(df, "k").collect())
     want = []
     for r in sorted((r["r0"], r["r1"]) for r in df.collect()):
         if want and r[0] <= want[-1][1]:

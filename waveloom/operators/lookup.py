@@ -16,7 +16,7 @@ from .rollup import BASE, FACTOR, level_count, n_levels
 MAX_SPANS = 256  # lookups whose places become literal filters of a scan; beyond, the scan is bounded as a whole and joined
 
 
-def _pruned(rows: DataFrame, state: DataFrame, at: str, more: str | None = None) -> DataFrame:
+def pruned(rows: DataFrame, state: DataFrame, at: str, more: str | None = None) -> DataFrame:
     """The rows whose (channel_id, at) lies in some [lo, hi) of state, as far as pushed filters can tell."""
     if more:
         rows = rows.filter(more)
@@ -54,7 +54,7 @@ def sorted_positions(points: DataFrame, buckets: DataFrame, channels: DataFrame,
             "channel_id", "key", "q", "strict", "length", F.lit(0).cast("bigint").alias("lo"), F.expr(f"bigint(ceil(length / {size}D))").alias("hi"))
         here = starts if low is None else low.unionByName(starts)
         here = settle(here, "lookup") if low is not None else here
-        rows = _pruned(buckets.select("channel_id", "level", "bucket", "mx"), here, "bucket", f"level = {level}")
+        rows = pruned(buckets.select("channel_id", "level", "bucket", "mx"), here, "bucket", f"level = {level}")
         near = rows.join(bounded(here, n_queries), "channel_id").filter("bucket >= lo AND bucket < hi")
         found = near.filter(_reaches("mx")).groupBy("channel_id", "key").agg(F.min("bucket").alias("at"))
         all_ = settle(here.join(bounded(found, n_queries), ["channel_id", "key"], "left"), "lookup")
@@ -63,7 +63,7 @@ def sorted_positions(points: DataFrame, buckets: DataFrame, channels: DataFrame,
         limit = F.col("length") if level == 0 else F.expr(f"bigint(ceil(length / {size // FACTOR}D))")
         low = all_.filter("at IS NOT NULL").select("channel_id", "key", "q", "strict", "length", (F.col("at") * width).alias("lo"),
                                                    F.least((F.col("at") + 1) * width, limit).alias("hi"))
-    rows = _pruned(points.select("channel_id", "sample_idx", "x"), low, "sample_idx")
+    rows = pruned(points.select("channel_id", "sample_idx", "x"), low, "sample_idx")
     near = rows.join(bounded(low, n_queries), "channel_id").filter("sample_idx >= lo AND sample_idx < hi").filter(_reaches("x"))
     out = near.groupBy("channel_id", "key", "q").agg(F.min("sample_idx").alias("pos"))
     for end in ends:
@@ -98,7 +98,7 @@ def nearest_sorted_rollup(points: DataFrame, buckets: DataFrame, channels: DataF
     at = sorted_positions(points, buckets, channels, _asked(channels, [(i + 1, q, False) for i, q in enumerate(cursors)]), base, n_channels, n)
     at = at.join(bounded(channels.select("channel_id", "length"), n_channels), "channel_id")
     at = settle(at.selectExpr("channel_id", "key AS cursor_no", "q AS cx", "pos", "length", "greatest(0L, pos - 1) AS lo", "least(length, pos + 1) AS hi"), "lookup")
-    near = _pruned(points.select("channel_id", "sample_idx", "x"), at, "sample_idx").join(bounded(at, n), "channel_id").filter("sample_idx >= lo AND sample_idx < hi")
+    near = pruned(points.select("channel_id", "sample_idx", "x"), at, "sample_idx").join(bounded(at, n), "channel_id").filter("sample_idx >= lo AND sample_idx < hi")
     sides = near.groupBy("channel_id", "cursor_no", "cx", "pos", "length").agg(
         F.max(F.when(F.col("sample_idx") < F.col("pos"), F.col("x"))).alias("low"), F.max(F.when(F.col("sample_idx") == F.col("pos"), F.col("x"))).alias("high"))
     lower = F.expr("low IS NOT NULL AND (high IS NULL OR abs(low - cx) <= abs(high - cx))")

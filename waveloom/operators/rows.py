@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .scan import running
+from .scan import running_rows
 
 
 def sample_window(samples: DataFrame, channel_ids: list, start: int, stop: int) -> DataFrame:
@@ -18,16 +18,16 @@ def sample_window(samples: DataFrame, channel_ids: list, start: int, stop: int)
                           & (F.col("sample_idx") < stop))
 
 
-def interval_merge(intervals: DataFrame, key: str, block: int = 1 << 16) -> DataFrame:
-    """Merge overlapping or touching intervals [r0, r1) (integers) per key.
+def interval_merge(intervals: DataFrame, key: str) -> DataFrame:
+    """Merge overlapping or touching intervals [r0, r1) (of any ordered type) per key, however far apart the starts lie.
 
-    Equal starts are combined first, so a block of starts never holds more rows than its width.
+    Equal starts are combined first; a key with very many intervals is spread over tasks by its starts.
     """
     starts = settle(intervals.groupBy(key, "r0").agg(F.max("r1").alias("r1")))
-    seen = running(starts, [key], "r0", F.col("r1"), "max", "_seen", inclusive=False, block=block)
+    seen = running_rows(starts, [key], ["r0"], F.col("r1"), "max", "_seen", inclusive=False)
     opens = F.col("_seen").isNull() | (F.col("r0") > F.col("_seen"))
     seen = settle(seen.select(key, "r0", "r1", opens.cast("int").alias("_open")))
-    marked = running(seen, [key], "r0", F.col("_open"), "sum", "island", block=block)
+    marked = running_rows(seen, [key], ["r0"], F.col("_open"), "sum", "island")
     return marked.groupBy(key, "island").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).drop("island")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded, range_parts, settle
 from .envelope import bucket_of
 
 BLOCK = 1 << 16
@@ -34,6 +35,25 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, how: str,
     return joined.withColumn(out, both).drop("_blk", "_val", "_local", "_carry")
 
 
+def running_rows(df: DataFrame, keys: list[str], order: list[str], value: Column, how: str, out: str, inclusive: bool = True) -> DataFrame:
+    """Running sum or max like `running`, for an order of any type and any gaps (nanosecond starts).
+
+    Two passes over rows: they are range-partitioned by (keys, order) and written with their place, each key has a total in each of its
+    partitions, and the totals of earlier partitions are carried in. Windows cover a partition's rows of a key, or a key's partitions.
+    Rows that are equal in keys and order lie in one partition.
+    """
+    agg = {"sum": F.sum, "max": F.max}[how]
+    placed = range_parts(df.withColumn("_val", value), df.count(), *keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    rows = settle(placed, "running").withColumn("_part", F.shiftright("_at", 33))
+    totals = settle(rows.groupBy(*keys, "_part").agg(agg("_val").alias("_tot")), "running-totals")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "_part", agg("_tot").over(earlier).alias("_carry"))
+    local = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    joined = rows.withColumn("_local", agg("_val").over(local)).join(bounded(carry, totals.count()), [*keys, "_part"])
+    both = (F.coalesce("_local", F.lit(0)) + F.coalesce("_carry", F.lit(0))) if how == "sum" else F.greatest("_local", "_carry")
+    return joined.withColumn(out, both).drop("_at", "_part", "_val", "_local", "_carry")
+
+
 def first_rows(df: DataFrame, group: str, order: str, k: int, spread: int | None = None) -> DataFrame:
     """First k rows per group in two rounds: per slice of a hot group, then over the slices.
 

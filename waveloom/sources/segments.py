@@ -26,7 +26,7 @@ from ..functions.values import EPOCH_1904_S, NS_MAX_S, NS_MIN_S, NS_PER_S, decod
 from ..operators import catalog as cat
 from ..operators.layout import (TOC_BIG_ENDIAN, TOC_DAQMX, TOC_INTERLEAVED, TOC_META, TOC_NEW_LIST, TOC_RAW, file_snapshot,
                                 run_compress)
-from ..operators.scan import running
+from ..operators.scan import running, running_rows
 from ..session import task_count
 from .readahead import ReadAhead
 
@@ -403,7 +403,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
     A file written as thousands of equal segments becomes a few strided runs per channel.
     """
-    numbered = running(runs.withColumn("_one", F.lit(1)), ["file", "path"], "start", F.col("_one"), "sum", "_no", inclusive=False)
+    numbered = running_rows(runs.withColumn("_one", F.lit(1)), ["file", "path"], ["start"], F.col("_one"), "sum", "_no", inclusive=False)
     # A run of several chunks stays alone: its position is part of its layout.
     alone = F.when(F.col("n_chunks") > 1, F.col("base"))
     lay = F.struct("type_code", "big", "item", "blob", F.col("stride").alias("step"), "npc", "chunk", "n_chunks", alone.alias("alone"))
