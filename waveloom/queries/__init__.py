@@ -1,8 +1,8 @@
 """Named queries over the given tables, each with SQL that computes the same result."""
 
-from . import axis, catalog, files, layout, stats, text, views
+from . import axis, catalog, files, layout, mapped, stats, text, views
 
-MODULES = (stats, axis, views, layout, catalog, text, files)
+MODULES = (stats, axis, views, mapped, layout, catalog, text, files)
 
 
 def all_queries() -> dict:
