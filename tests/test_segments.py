@@ -169,6 +169,10 @@ def test_scales_of_channel_group_and_file(spark, tmp_path):
     scan = sg.scan_segments(spark, str(tmp_path / "e"))
     with pytest.raises(ValueError):
         sg.scaled_samples(sg.read_numbers(sg.value_runs(scan)), sg.channel_scales(scan))
+    write(tmp_path / "f", "f.tdms", [encode_segment({paths[0]: raw[paths[0]], paths[2]: raw[paths[2]]}, props={**odd, "/'g'": _scale(0.5, 20.0)})])
+    scan = sg.scan_segments(spark, str(tmp_path / "f"))
+    rows = sg.scaled_samples(sg.read_numbers(sg.value_runs(scan), paths[2:3]), sg.channel_scales(scan), paths[2:3]).orderBy("sample_idx").collect()
+    assert [r["v"] for r in rows] == list(i / 2 + 20)
 
 
 def test_a_channel_that_changes_its_type(spark, tmp_path):
@@ -191,7 +195,7 @@ def test_bytes_after_the_last_segment(spark, tmp_path, tail):
     data = write(tmp_path / "d", "f.tdms", [encode_segment({A: v[:50]}), encode_segment({A: v[50:]}, meta=False)], tail=TAILS[tail], index=True)
     scan = sg.scan_segments(spark, str(tmp_path / "d")).persist()
     assert sg.segments(scan).count() == 2
-    assert sg.ignored_tails(scan).first()["message"] == f"{len(TAILS[tail])} bytes after offset {len(data)} are not TDMS data and were ignored."
+    assert sg.ignored_tails(scan).first()["message"] == f"No segment begins at byte {len(data)}: the last {len(TAILS[tail])} bytes of the file were left out."
     same([r["v"] for r in sg.read_samples(sg.value_runs(scan)).orderBy("sample_idx").collect()], v)
 
 

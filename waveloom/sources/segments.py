@@ -284,7 +284,7 @@ def segments(scan: DataFrame) -> DataFrame:
 def ignored_tails(scan: DataFrame) -> DataFrame:
     """One warning per file with bytes after its last segment."""
     return scan.filter("status = 'tail'").select("file", F.format_string(
-        "%d bytes after offset %d are not TDMS data and were ignored.", F.col("size") - F.col("pos"), F.col("pos")).alias("message"))
+        "No segment begins at byte %d: the last %d bytes of the file were left out.", F.col("pos"), F.col("size") - F.col("pos")).alias("message"))
 
 
 def index_check(data: DataFrame, index: DataFrame) -> DataFrame:
@@ -372,8 +372,12 @@ def channel_scales(scan: DataFrame) -> DataFrame:
                       F.when(F.col("scale") == "linear", F.col("intercept")).alias("intercept"), "scale")
 
 
-def scaled_samples(samples: DataFrame, scales: DataFrame) -> DataFrame:
-    """Numeric samples as doubles, with the linear scale of their channel. Channels of an unsupported scale are an error."""
+def scaled_samples(samples: DataFrame, scales: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Numeric samples as doubles, with the linear scale of their channel.
+
+    paths: the channels that samples holds (None: all of scales). One of these with an unsupported scale is an error, others do not matter.
+    """
+    scales = scales if paths is None else scales.filter(F.col("path").isin(paths))
     odd = scales.filter("scale = 'unsupported'").select("path").first()
     if odd is not None:
         raise ValueError(f"the scale of {odd.path} is not linear")
