@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import components, settle, table
+from .base import components, settle, table, whole_row
 from .textbytes import Words, blocks, grams, mixed, spaced_words, text_bytes
 
 CHUNK = 1 << 20
@@ -384,10 +384,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the group's smallest doc_id (of rows that repeat it, one).
+    """One document of each group stays: the one with the group's smallest doc_id; of rows that repeat it with the same text, one.
 
-    Texts link at STAGE_PERCENT on STAGE_SHINGLE-word shingles. Rows without doc_id stay.
+    Texts link at STAGE_PERCENT on STAGE_SHINGLE-word shingles. Rows of one doc_id with different texts are documents of their own, told
+    apart by the SHA-256 of their texts (the smaller digest goes first); only if there are such rows does the join carry both. Rows without
+    doc_id stay.
     """
-    keep = groups(docs, STAGE_PERCENT, STAGE_SHINGLE).where("doc_id = component_id").select("doc_id").distinct()
-    ranked = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return ranked.unionByName(docs.where("doc_id is null"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    short = F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("long")  # 60 bits
+    some = docs.where("doc_id is not null")
+    spread = some.groupBy("doc_id").agg(F.min(short).alias("a"), F.max(short).alias("b")).where("a <> b")
+    if spread.isEmpty():
+        keep = groups(docs, STAGE_PERCENT, STAGE_SHINGLE).where("doc_id = component_id").select("doc_id").distinct()
+        ranked = some.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return ranked.unionByName(docs.where("doc_id is null"))
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), F.unhex(digest).alias("digest")))
+    found = groups(docs.select(key.alias("doc_id"), "text"), STAGE_PERCENT, STAGE_SHINGLE).where("doc_id = component_id")
+    keep = found.select("doc_id.id", "doc_id.digest").distinct()
+    rows = some.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"), F.unhex(digest).alias("digest"))
+    kept = rows.join(keep, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
+    return kept.unionByName(docs.where("doc_id is null"))
