@@ -6,6 +6,7 @@ import random
 import numpy as np
 import odd
 import pytest
+from pyspark.sql import functions as F
 
 from waveloom.llm import balltree, chat, ngramjoin, repeats, warc
 from waveloom.session import new_path
@@ -57,6 +58,13 @@ def test_components(spark, monkeypatch, which, few):
     assert got == brute_groups(rows)
 
 
+def test_thue_morse_words_stay_apart(spark):
+    bit = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [(1, "".join("ab"[v] for v in bit)), (2, "".join("ba"[v] for v in bit))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, ngramjoin.groups(docs).collect())) == [(1, 1, 1), (2, 1, 2)]
+
+
 def test_components_of_nothing_and_the_stage(spark):
     assert ngramjoin.groups(odd.no_docs(spark)).count() == 0
     docs = odd.docs(spark)
@@ -167,6 +175,23 @@ def test_warc_read_back_and_index(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0), new_path(spark, "warc"))).count() == 0
 
 
+@pytest.mark.parametrize("bundles", [1, 4, 9])
+def test_read_back_is_spread_over_tasks(spark, monkeypatch, bundles):
+    monkeypatch.setattr(warc, "READ_FRAMES", 8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    pages = spark.createDataFrame([(k, "u", f"{k} " * 40) for k in range(360)], "page_id bigint, url string, html string").repartition(bundles)
+    index = warc.write_archives(pages, new_path(spark, "warc"), frame_bytes=1500)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", index.select("path").distinct().count())
+        frames = index.select("path", "frame").distinct().count()
+        dealt = warc.dealt_frames(index)
+        per_task = [r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert sum(per_task) == frames and len(per_task) > frames // 16 and max(per_task) <= 24
+        assert warc.read_archives(index).count() == 360
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_prefix_trees(spark):
     turns = lambda c, *texts: [(c, k, r, t, "x") for k, (r, t) in enumerate(texts)]
     u, a = "user", "assistant"

@@ -1,11 +1,14 @@
 """License scan, decontamination and language ID."""
 
+import itertools
+
 import numpy as np
 import odd
 import pytest
 from pyspark.sql import functions as F
 
 from waveloom.llm import decontam, langid, licenses
+from waveloom.llm.textbytes import LONG, byte_hashes
 
 
 def test_license_places_and_labels(spark):
@@ -66,6 +69,82 @@ def test_every_overlap_of_a_diagonal_is_found(share):
         assert found is None or ((found[0], found[0] + found[1]) in right and found[2] == same[found[0]:found[0] + found[1]].sum())
 
 
+def unhit_overlap(masks, least, equal_share):
+    """An overlap of the rule, of any length, that no mask hits (None: there is none).
+
+    Walks all sequences of equal and different words that no mask hits, kept by their last words and the best score of each: an
+    equal word counts 1, a different one what the share costs, so that a score of 0 meets it. A start below -least - 3 can
+    go, for what follows it is then an overlap by itself.
+    """
+    span = max(map(len, masks))
+    cost, seeds = round(equal_share / (1 - equal_share)), [int(m, 2) for m in masks]
+    best, front = {(0, 0): 0}, [(0, 0, 0)]
+    while front:
+        new = {}
+        for tail, count, score in front:
+            for equal in (1, 0):
+                now = tail * 2 + equal
+                if equal and any(now & m == m for m in seeds):
+                    continue
+                key, total = (now % (1 << (span - 1)), min(least, count + equal)), score + (1 if equal else -cost)
+                if key[1] == least and total >= 0:
+                    return now
+                if total >= -least - 3 and total > best.get(key, -99):
+                    best[key] = new[key] = total
+        front = [(*k, v) for k, v in new.items()]
+    return None
+
+
+def test_masks_hit_every_overlap_of_the_rule():
+    assert unhit_overlap(decontam.MASKS, decontam.MIN_WORDS, decontam.MIN_IDENTITY) is None
+    assert unhit_overlap(decontam.MASKS[1:], decontam.MIN_WORDS, decontam.MIN_IDENTITY) is not None
+
+
+def test_short_overlaps_with_every_choice_of_substitutions(spark):
+    rows = []
+    for n in range(9, 16):
+        for miss in itertools.combinations(range(1, n - 1), n - max(9, -(-4 * n // 5))):
+            rows.append((len(rows), f"before {' '.join('x' if i in miss else f'w{i}' for i in range(n))} after"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(15)))], "item_id bigint, text string")
+    assert {r.doc_id for r in decontam.overlaps(docs, bench).collect()} == set(range(len(rows)))
+    assert decontam.clean(docs, bench).count() == 0
+
+
+def test_several_passes_give_what_one_gives(spark, monkeypatch):
+    items = [(k, odd.prose(500 + k, 30)) for k in range(12)]
+    docs = spark.createDataFrame([(k, odd.prose(700 + k, 50) + " " + items[k][1]) for k in range(0, 12, 2)] + [(99, "z " * 30)], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted(map(tuple, decontam.overlaps(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "PASS_WORDS", 100)
+    assert sorted(map(tuple, decontam.overlaps(docs, bench).collect())) == one and {(r[0], r[1]) for r in one} == {(k, k) for k in range(0, 12, 2)}
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [99]
+
+
+def test_a_text_longer_than_a_block(spark, monkeypatch):
+    item = odd.prose(800, 40)
+    docs = spark.createDataFrame([(1, odd.prose(801, 4000) + " " + item + " " + odd.prose(802, 4000)), (2, "short"), (3, odd.prose(803, 4000))], "doc_id bigint, text string")
+    monkeypatch.setattr(decontam, "CHUNK", 1000)
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert [(r.doc_id, r.start_word, r.n_words) for r in decontam.overlaps(docs, bench).collect()] == [(1, 4000, 40)]
+
+
+def test_hashes_of_structured_strings_differ():
+    rng = np.random.default_rng(11)
+    for n in (64, 256, 504, 511, LONG, 1024, 4096):
+        bit = np.array([bin(i).count("1") % 2 for i in range(n)], np.uint8)
+        for letters in (b"ab", b"xy"):
+            a, b = (np.frombuffer(letters, np.uint8)[v] for v in (bit, 1 - bit))
+            pair = byte_hashes(np.concatenate([a, b]), np.array([0, n]), np.array([n, 2 * n]))
+            assert pair[0] != pair[1]
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    start = rng.integers(0, 2400, 4000)
+    end = start + rng.integers(0, 600, 4000)
+    strings = [data[s:e].tobytes() for s, e in zip(start, end)]
+    named = dict(zip(strings, byte_hashes(data, start, end).tolist()))
+    assert [named[s] for s in strings] == byte_hashes(data, start, end).tolist() and len(set(named.values())) == len(named)
+
+
 def test_overlaps_beside_edited_words(spark):
     item = [f"w{i}" for i in range(110)]
     short = [f"v{i}" for i in range(10)]

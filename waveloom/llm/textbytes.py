@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -11,6 +13,8 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+LONG = 512  # bytes of a string from which its hash is taken of the whole at once
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -72,6 +76,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings [start, end): eight bytes at a time, each scrambled together with what came before.
+
+    No sum over positions, so no structured pair of strings (such as a Thue-Morse word and its complement) meets by algebra.
+    """
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    size = (end - start).astype(np.int64)
+    out = mixed(size.astype(np.uint64) * _STEP)
+    for k in np.flatnonzero(size >= LONG):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k]:end[k]].tobytes(), digest_size=8).digest(), "little")
+    live = np.flatnonzero((size > 0) & (size < LONG))
+    at, left = start[live].astype(np.int64), size[live]
+    while len(live):
+        block = eight[at]
+        part = left < 8
+        block[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live] = mixed(out[live] * _STEP + block)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
 class Words:
     """Words of a run of texts: start, end, doc (row of each word), first (words before each row), hash of each."""
 
@@ -92,10 +118,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         if hashed:
-            up, down = _powers(len(low) + 1)
-            sums = np.zeros(len(low) + 1, np.uint64)
-            np.cumsum(_TABLE[low] * up[: len(low)], out=sums[1:])
-            self.hash = mixed((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+            self.hash = byte_hashes(low, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -104,11 +127,10 @@ class Words:
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every n-word shingle; a text with 1 to n-1 words gives its whole sequence as one."""
     h = words.hash
-    mul = np.uint64(0xD6E8FEB86659FD93)
     count = len(h)
     acc = np.zeros(max(count - n + 1, 0), np.uint64)
     for k in range(n):
-        acc = mixed(acc * mul + h[k: k + len(acc)]) if len(acc) else acc
+        acc = mixed(acc * _STEP + h[k: k + len(acc)]) if len(acc) else acc
     doc = words.doc[: len(acc)]
     whole = doc == words.doc[n - 1: n - 1 + len(acc)] if len(acc) else np.zeros(0, bool)
     out, rows = acc[whole], doc[whole]
@@ -118,7 +140,7 @@ def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         extra = np.zeros(len(short), np.uint64)
         for k in range(n - 1):
             has = sizes[short] > k
-            extra[has] = mixed(extra[has] * mul + h[words.first[short[has]] + k])
+            extra[has] = mixed(extra[has] * _STEP + h[words.first[short[has]] + k])
         extra = mixed(extra + sizes[short].astype(np.uint64))
         out, rows = np.concatenate([out, extra]), np.concatenate([rows, short])
     return out, rows

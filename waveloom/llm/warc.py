@@ -22,6 +22,7 @@ SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 
 FRAME_BYTES = 1 << 20     # records of a frame, about (a larger record has a frame of its own)
 BUNDLE_BYTES = 64 << 20   # records of a bundle before compression, about
+READ_FRAMES = 16          # frames that one task reads back, about
 LEVEL = 3
 INDEX = "page_id {}, path string, frame int, offset long, length long"
 RECORD = "page_id {}, payload_bytes long, payload_digest string, record_type string, refers_to {}"
@@ -180,27 +181,37 @@ def read_archives(index: DataFrame) -> DataFrame:
     convert = str if pa.types.is_string(arrow_id) else int
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, bundle = None, None
         for b in batches:
-            for path in b.column(0).to_pylist():
-                bundle = opened(path)
-                for k in range(len(bundle.frames)):
-                    data, at, out = bundle.frame(k), 0, []
-                    while at < len(data):
-                        head, block, at = parse(data, at)
-                        digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
-                        if head["WARC-Type"] == "response":
-                            payload = block[block.index(b"\r\n\r\n") + 4:]
-                            if (len(payload), payload_digest(payload)) != (size, digest):
-                                raise ValueError(f"payload of {head['WARC-Record-ID']} in {path} is damaged")
-                        own, other = (head.get(x, "<urn:page:>")[len("<urn:page:"):-1] for x in ("WARC-Record-ID", "WARC-Refers-To"))
-                        out.append((convert(own) if own else None, size, digest, head["WARC-Type"], convert(other) if other else None))
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (arrow_id, pa.int64(), pa.string(), pa.string(), arrow_id))],
-                                                     ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    paths = index.select("path").distinct()
-    n = max(1, paths.count())
-    return paths.repartition(n, "path").mapInArrow(read, RECORD.format(id_type, id_type))
+            for name, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if name != path:
+                    path, bundle = name, opened(name)
+                data, at, out = bundle.frame(k), 0, []
+                while at < len(data):
+                    head, block, at = parse(data, at)
+                    digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
+                    if head["WARC-Type"] == "response":
+                        payload = block[block.index(b"\r\n\r\n") + 4:]
+                        if (len(payload), payload_digest(payload)) != (size, digest):
+                            raise ValueError(f"payload of {head['WARC-Record-ID']} in {path} is damaged")
+                    own, other = (head.get(x, "<urn:page:>")[len("<urn:page:"):-1] for x in ("WARC-Record-ID", "WARC-Refers-To"))
+                    out.append((convert(own) if own else None, size, digest, head["WARC-Type"], convert(other) if other else None))
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (arrow_id, pa.int64(), pa.string(), pa.string(), arrow_id))],
+                                                 ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    return dealt_frames(index).mapInArrow(read, RECORD.format(id_type, id_type))
+
+
+def dealt_frames(index: DataFrame) -> DataFrame:
+    """path, frame of every frame, in ranges of about READ_FRAMES frames a task: a large bundle is read by several tasks.
+
+    By range and not by hash: a hash of the path would deal few bundles unevenly, and Spark leaves it out where distinct has
+    already dealt the rows over as many partitions, which adaptive execution then joins to one.
+    """
+    frames = index.select("path", "frame").distinct()
+    n = max(1, -(-frames.count() // READ_FRAMES))
+    return frames.repartitionByRange(n, "path", "frame").sortWithinPartitions("path", "frame")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
