@@ -58,6 +58,20 @@ def test_components(spark, monkeypatch, which, few):
     assert got == brute_groups(rows)
 
 
+def test_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    for sizes in ((1, 1, 2, 3), (80, 90, 100, 200), (340, 343, 700, 9000)):
+        sets = [np.sort(rng.choice(pool, n, replace=False)) for n in sizes]
+        bits = ngramjoin._differing([ngramjoin._sketch(s) for s in sets])
+        for i, x in enumerate(sets):
+            assert bits[i, i] == 0
+            assert all(bits[i, j] <= len(set(x.tolist()) ^ set(y.tolist())) for j, y in enumerate(sets))
+    near = [pool[:300], pool[10:310], pool[4000:4300]]
+    bits = ngramjoin._differing([ngramjoin._sketch(s) for s in near])
+    assert bits[0, 1] <= 20 < 60 < bits[0, 2]
+
+
 def test_thue_morse_words_stay_apart(spark):
     bit = [bin(i).count("1") % 2 for i in range(2048)]
     rows = [(1, "".join("ab"[v] for v in bit)), (2, "".join("ba"[v] for v in bit))]

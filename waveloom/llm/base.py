@@ -17,7 +17,16 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.settled_path = path
+    return stored
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``settle`` once everything made from them is stored itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.settled_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -48,16 +57,19 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     """Connected components of edges (a, b): rows (node, label), label = smallest node of the component.
 
     Labels spread to neighbours and are then shortened through the label's own label, which halves long chains.
-    Every round is a partially aggregated minimum and one join and is written to the shared folder.
+    Every round is a partially aggregated minimum and one join and is written to the shared folder; the round before is deleted.
+    Labels that still change after ``most`` rounds are an error, not a partial result.
     """
     both = settle(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), name)
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name)
+    stored = labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name)
     for _ in range(most):
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
         new = settle(spread.join(up, "label", "left").select("node", "old", F.least("label", "top").alias("label")), name)
-        labels = new.select("node", "label")
+        forget(stored)
+        stored, labels = new, new.select("node", "label")
         if new.where("label <> old").isEmpty():
+            forget(both)
             return labels
     raise RuntimeError("labels still change; raise the round limit")

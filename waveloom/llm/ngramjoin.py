@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import components, settle, table, whole_row
+from .base import components, forget, settle, table, whole_row
 from .textbytes import Words, blocks, grams, mixed, spaced_words, text_bytes
 
 CHUNK = 1 << 20
@@ -20,8 +20,9 @@ CELL_BITS, SLICE_BITS = 22, 8
 N_ORDERS = 2
 FEW = 8      # texts of a token that are compared as pairs
 BLOCK = 128  # texts of a block of a crowded token
-LEAD = 4     # crowded tokens of a text in whose buckets its prefix is compared with the others'
+LEAD = 4     # crowded tokens of a text in whose buckets it meets the others that have one of them
 FILTER_BITS = 24
+SKETCH_BITS = (64, 2048)  # least and most bits of a set's parity sketch
 PERCENT = 90        # of op9
 SHINGLE = 3
 STAGE_PERCENT = 80  # of the pipeline's stage
@@ -92,25 +93,46 @@ def _order(s: np.ndarray, classes: np.ndarray, k: int, length: int) -> np.ndarra
     return np.sort(key)[:length] if length < len(s) else np.sort(key)
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Parity of the shingles in each of some cells, a power of two near their number: what two sets share cancels out, so the
+    sketches differ in at most as many bits as the sets differ in shingles. The halves of a sketch add up to the next smaller one."""
+    least, most = SKETCH_BITS
+    cells = min(max(least, 1 << max(0, (3 * len(s) // 4 - 1).bit_length())), most)
+    return np.packbits(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
+
+
+def _differing(sketches: list[bytes]) -> np.ndarray:
+    """Bits in which each two sketches differ, all folded to the size of the smallest."""
+    least, rows = min(map(len, sketches)), []
+    for x in sketches:
+        v = np.frombuffer(x, np.uint8)
+        while len(v) > least:
+            v = v[: len(v) // 2] ^ v[len(v) // 2:]
+        rows.append(v)
+    words = np.stack(rows).view(np.uint64)
+    return np.bitwise_count(words[:, None, :] ^ words[None, :, :]).sum(2, dtype=np.int64)
+
+
 def prefixes(docs: DataFrame, classes: np.ndarray, percent: int, size: int, orders: int, text: str, id_col: str) -> DataFrame:
-    """doc_id, n (shingles), node (digest of the set, null without shingles), p0..: prefix tokens under each order."""
+    """doc_id, n (shingles), node (digest of the set, null without shingles), bits (sketch), p0..: prefix tokens under each order."""
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, found = [], [], [[] for _ in range(orders)]
+            n, node, bits, found = [], [], [], [[] for _ in range(orders)]
             for s in _sets(b.column(1), size):
                 n.append(len(s))
                 node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
+                bits.append(_sketch(s))
                 length = len(s) - -(-percent * len(s) // 100) + 1
                 for k in range(orders):
                     found[k].append(_order(s, classes, k, length).view(np.int64))
             lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in f])]).astype(np.int32),
                                               np.concatenate([*f, np.zeros(0, np.int64)])) for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), *lists],
-                                             ["doc_id", "n", "node", *[f"p{k}" for k in range(orders)]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), *lists],
+                                             ["doc_id", "n", "node", "bits", *[f"p{k}" for k in range(orders)]])
 
-    schema = f"doc_id {id_type}, n int, node long, " + ", ".join(f"p{k} array<long>" for k in range(orders))
+    schema = f"doc_id {id_type}, n int, node long, bits binary, " + ", ".join(f"p{k} array<long>" for k in range(orders))
     return docs.select(id_col, text).mapInArrow(make, schema)
 
 
@@ -191,24 +213,24 @@ def _linked_in_block(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarra
     return out
 
 
-def _packed(crowd: DataFrame, columns: list[str], percent: int, wide: DataFrame | None = None) -> DataFrame:
+def _packed(crowd: DataFrame, columns: list[str], percent: int, wide: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of bounded blocks (x, y; y is null for a block with itself) in which the texts of each token meet.
 
     crowd(t, node, n, ...): linked texts have near sizes, so each goes into its size class and the next one. Long columns come
-    from wide(node, ...) only after the narrow rows are dealt, for tokens and classes with two texts at least.
+    from wide(node, ...) only after the narrow rows are dealt, for tokens and classes with two labels at least. Also returns the
+    stored blocks, which can go when the pairs are done with.
     """
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
     near = crowd.withColumn("near", size_class).withColumn("near", F.explode(F.array(F.col("near"), F.col("near") + 1)))
     sizes = near.groupBy("t", "near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("c"),
                                           F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1 and lo <> hi")
     dealt = near.join(sizes.drop("c", "lo", "hi"), ["t", "near"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    if wide is not None:
-        dealt = dealt.join(wide, "node")
+    dealt = dealt.join(wide, "node")
     packed = settle(dealt.groupBy("t", "near", "block", "blocks").agg(F.collect_list(F.struct(*columns)).alias("x")), "ngram-blocks")
     single = packed.select("x", F.lit(None).cast(packed.schema["x"].dataType).alias("y"))
     many = packed.where("blocks > 1").select("t", "near", "block", "x")
     cross = many.join(many.select("t", "near", F.col("block").alias("other"), F.col("x").alias("y")), ["t", "near"])
-    return single.union(cross.where("block < other").select("x", "y"))
+    return single.union(cross.where("block < other").select("x", "y")), packed
 
 
 def _rows_of(b: pa.RecordBatch) -> Iterator[list[dict]]:
@@ -229,58 +251,79 @@ def linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFra
                                         [np.frombuffer(v["s"], np.uint64) for v in rows], percent)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], ["a", "b"])
 
-    return _packed(crowd, ["node", "label", "s"], percent, sets).mapInArrow(compare, "a long, b long").distinct()
+    pairs, packed = _packed(crowd, ["node", "label", "s"], percent, sets)
+    links = settle(pairs.mapInArrow(compare, "a long, b long").distinct(), "ngram-links")
+    forget(packed)
+    return links
 
 
-def near_in_blocks(crowd: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
-    """The rows of crowd(t, node, n, label), with prefix(node, p0), that may link to another label's text of their token.
+def _selected(crowd: DataFrame, wide: DataFrame, percent: int, fits) -> DataFrame:
+    """The rows of crowd(t, node, n, label), with the columns of wide, that fit another label's text of their token.
 
-    Position filter: up to the smaller of two prefixes' last keys, every key that only one of them has is a difference of the
-    sets, and linked sets may only have n + m - 2 * least overlap of these.
+    ``fits`` gives a matrix over the rows of two blocks. What comes out are rows, at most twice for each block met, never pairs.
     """
+    names, kinds = ["t", "node", "n", "label"], [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for rows in _rows_of(b):
-                label, n = (np.array([v[c] for v in rows]) for c in ("label", "n"))
-                keys = [np.array(v["p0"], np.int64).view(np.uint64) for v in rows]
-                last = np.array([k[-1] for k in keys])
-                upto = np.stack([np.searchsorted(k, last, "right") for k in keys])
-                _, column, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-                row = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-                use = times[column] > 1
-                row, column = row[use], (np.cumsum(times > 1) - 1)[column[use]]
-                m = np.zeros((len(rows), int((times > 1).sum())), np.float32)
-                m[row, column] = 1
-                both = n[:, None] + n[None, :]
-                allowed = both - 2 * -(-percent * both // (100 + percent))
-                ok = (upto + upto.T - 2 * (m @ m.T) <= allowed) & (label[:, None] != label[None, :])
+                label = np.array([v["label"] for v in rows])
+                ok = fits(rows) & (label[:, None] != label[None, :])
                 out += [rows[i] for i in np.flatnonzero(ok.any(1))]
             yield pa.RecordBatch.from_arrays([pa.array([v[c] for v in out], kind) for c, kind in zip(names, kinds)], names)
 
-    names, kinds = ["t", "node", "n", "label"], [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    return _packed(crowd, [*names, "p0"], percent, prefix).mapInArrow(select, "t long, node long, n int, label long").distinct()
+    pairs, packed = _packed(crowd, [*names, *[c for c in wide.columns if c != "node"]], percent, wide)
+    found = settle(pairs.mapInArrow(select, "t long, node long, n int, label long").distinct(), "ngram-near")
+    forget(packed)
+    return found
 
 
-def apart_in_blocks(crowd: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a crowded token that have no leading token in common (those that have one meet there with their sets)."""
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = [], []
-            for rows in _rows_of(b):
-                node, label, n = (np.array([v[c] for v in rows]) for c in ("node", "label", "n"))
-                flat = np.concatenate([np.array(v["lead"], np.int64) for v in rows])
-                row = np.repeat(np.arange(len(rows)), [len(v["lead"]) for v in rows])
-                tokens, column = np.unique(flat, return_inverse=True)
-                m = np.zeros((len(rows), len(tokens)), np.float32)
-                m[row, column] = 1
-                near = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-                x, y = np.nonzero(np.triu((m @ m.T == 0) & near & (label[:, None] != label[None, :]), 1))
-                left.append(np.minimum(node[x], node[y]))
-                right.append(np.maximum(node[x], node[y]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) if v else pa.array([], pa.int64()) for v in (left, right)], ["a", "b"])
+def _shares(lists: list[np.ndarray]) -> np.ndarray:
+    """Whether each two of some lists of distinct keys have one in common."""
+    _, column, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    use = times[column] > 1
+    row, column = row[use], (np.cumsum(times > 1) - 1)[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(lists), len(lists)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((len(lists), 4096), np.float32)
+        m[row[i:j], column[i:j] - lo] = 1
+        common += m @ m.T
+    return common > 0
+
+
+def near_by_sketch(crowd: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Rows of crowd(t, node, n, label), with wide(node, lead, bits), whose sets may be near enough to another one's.
+
+    Two texts count in the buckets of the leading tokens that they share, or in any common bucket if they share none. Linked
+    sets of n and m shingles differ in n + m - 2 * least overlap of them at most, and their sketches in no more bits.
+    """
+    def fits(rows: list[dict]) -> np.ndarray:
+        n = np.array([v["n"] for v in rows])
+        lead = [np.array(v["lead"], np.int64) for v in rows]
+        leads = np.array([v["t"] in v["lead"] for v in rows])
+        meet = (leads[:, None] & leads[None, :]) | ~_shares(lead)
+        both = n[:, None] + n[None, :]
+        return meet & (_differing([v["bits"] for v in rows]) <= both - 2 * -(-percent * both // (100 + percent)))
+
+    return _selected(crowd, wide, percent, fits)
+
+
+def near_by_orders(crowd: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Rows of crowd(t, node, n, label), with wide(node, p1, ...), that share a prefix token with another one under every order."""
+    orders = [c for c in wide.columns if c != "node"]
+
+    def fits(rows: list[dict]) -> np.ndarray:
+        ok = np.ones((len(rows), len(rows)), bool)
+        for c in orders:
+            ok &= _shares([np.array(v[c], np.int64) for v in rows])
+        return ok
 
-    return _packed(crowd, ["node", "label", "n", "lead"], percent).mapInArrow(pair, "a long, b long").distinct()
+    return _selected(crowd, wide, percent, fits)
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders: int = N_ORDERS, text: str = "text",
@@ -295,9 +338,9 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     Tokens are ordered ``orders`` times: shingles of cells with small counts over all texts first, by another scrambling within
     a class in each order. Linked sets share a token of their prefixes under every order. Tokens of the first order are joined. First each
     token's texts are compared with one of them only, so a large group of near copies costs one pair per member. Then the texts
-    of a token that are still in different components are compared: as pairs up to FEW texts; beyond, in bounded blocks of the
-    buckets of a text's LEAD first crowded tokens (prefixes first, whole sets where these leave a link possible), and as pairs
-    where no such token is shared.
+    of a token that are still in different components are compared: as pairs up to FEW texts; beyond, in bounded blocks, from
+    which rows that still have a candidate go on, never pairs: first by a sketch of the sets, then by the prefixes under the other
+    orders, then by the whole sets, whose links come out as a spanning forest. Working tables are deleted when they are used up.
     """
     classes = commonness(cell_counts(docs, text, size))
     pre = settle(prefixes(docs, classes, percent, size, orders, text, id_col), "ngram-prefixes")
@@ -309,7 +352,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).where("c > 1")
     held = settle(tokens.join(shared.select("t", "pivot"), "t"), "ngram-tokens")
     ends = held.select("node").distinct()
-    info = settle(whole.select("node", "p0", *cols).join(ends, "node", "left_semi").dropDuplicates(["node"]).join(nodes, "node"), "ngram-info")
+    info = settle(whole.select("node", "bits", "p0", *cols).join(ends, "node", "left_semi").dropDuplicates(["node"]).join(nodes, "node"), "ngram-info")
     unsigned = F.element_at("p0", -1).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
     facts = settle(info.select("node", "n", F.size("p0").alias("p"), unsigned.alias("last")).join(
         held.groupBy("node").agg(F.count(F.lit(1)).alias("h")), "node"), "ngram-facts")
@@ -331,14 +374,19 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
         fits = F.when(F.col("last_a") <= F.col("last_b"), F.col("p_a") - common <= F.col("n_a") - least).otherwise(
             F.col("p_b") - common <= F.col("n_b") - least)
         j = settle(j.where(fits).select("a", "b"), "ngram-pairs")
+        filtered = j
         for c in cols:
-            j = j.join(info.select(F.col("node").alias("a"), F.col(c).alias("x")), "a").join(info.select(F.col("node").alias("b"), F.col(c).alias("y")), "b")
-            j = j.where(F.arrays_overlap("x", "y")).select("a", "b")
-        return settle(j, "ngram-pairs")
+            filtered = filtered.join(info.select(F.col("node").alias("a"), F.col(c).alias("x")), "a").join(info.select(F.col("node").alias("b"), F.col(c).alias("y")), "b")
+            filtered = filtered.where(F.arrays_overlap("x", "y")).select("a", "b")
+        filtered = settle(filtered, "ngram-pairs")
+        forget(j)
+        return filtered
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         ids = settle(nodes.join(wanted, "node", "left_semi").select("doc_id", "node"), "ngram-wanted")
-        return settle(_text_sets(docs, ids, size, text, id_col), "ngram-sets")
+        sets = settle(_text_sets(docs, ids, size, text, id_col), "ngram-sets")
+        forget(ids)
+        return sets
 
     def ends_of(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
@@ -346,6 +394,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     star = likely(held.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().withColumn("c", F.lit(None).cast("long")))
     sets = sets_of(ends_of(star).distinct())
     links = settle(verified(star, sets, percent), "ngram-links")
+    forget(star)
     labels = components(links, "ngram-labels")
 
     marked = held.drop("pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -357,19 +406,21 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     pairs = few.join(other, "t").where(near & F.expr("node < b and label <> label_b")).select(F.col("node").alias("a"), "b")
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
 
-    crowd = rest.where(F.col("c") > FEW).select("t", "node", "n", "label")
+    crowd = settle(rest.where(F.col("c") > FEW).select("t", "node", "n", "label"), "ngram-crowd")
     order = F.sort_array(F.collect_list(F.struct(F.xxhash64("t").alias("h"), "t")))
-    lead = crowd.groupBy("node").agg(F.slice(order, 1, LEAD)["t"].alias("lead"))
-    crowd = settle(crowd.join(lead, "node"), "ngram-crowd")
-    leading = crowd.where(F.array_contains("lead", F.col("t"))).select("t", "node", "n", "label")
-    leading = settle(near_in_blocks(leading, info.select("node", "p0"), percent), "ngram-near")
-    apart = apart_in_blocks(crowd, percent).withColumn("c", F.lit(None).cast("long"))
-    crowded = settle(crowd.groupBy("node").agg(F.count(F.lit(1)).alias("k")), "ngram-crowded")
-    pairs = likely(pairs.unionByName(apart), crowded).distinct()
-    wanted = ends_of(pairs).union(leading.select("node")).distinct()
-    sets = sets.unionByName(sets_of(wanted.join(sets.select("node"), "node", "left_anti")))
-    more = verified(pairs, sets, percent).union(linked_in_blocks(leading, sets, percent))
-    labels = components(settle(links.union(more), "ngram-links"), "ngram-labels")
+    lead = crowd.groupBy("node").agg(F.slice(order, 1, LEAD)["t"].alias("lead"), F.count(F.lit(1)).alias("k"))
+    crowded = settle(lead.join(info.select("node", "bits"), "node"), "ngram-crowded")
+    by_sketch = near_by_sketch(crowd, crowded.select("node", "lead", "bits"), percent)
+    near_rows = near_by_orders(by_sketch, info.select("node", *cols), percent) if cols else by_sketch
+    pairs = likely(pairs, crowded.select("node", "k"))
+    new_sets = sets_of(ends_of(pairs).union(near_rows.select("node")).distinct().join(sets.select("node"), "node", "left_anti"))
+    both_sets = sets.unionByName(new_sets)
+    inside = linked_in_blocks(near_rows, both_sets, percent)
+    more = settle(links.union(verified(pairs, both_sets, percent)).union(inside), "ngram-links")
+    labels = components(more, "ngram-labels")
+    forget(held, info, facts, rest, crowd, crowded, by_sketch, pairs, sets, new_sets, links, inside, more)
+    if cols:
+        forget(near_rows)
 
     best = nodes.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("least"))
     own = nodes.select("node", F.col("doc_id").alias("first_id")).join(labels.join(best, "label"), "node", "left").select(
