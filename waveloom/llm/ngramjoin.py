@@ -190,9 +190,10 @@ def _linked_in_block(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarra
     inter = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+    width = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, width, 4096):
         i, j = np.searchsorted(column, [lo, lo + 4096])
-        m = np.zeros((len(sets), 4096), np.float32)
+        m = np.zeros((len(sets), min(4096, width - lo)), np.float32)
         m[row[i:j], column[i:j] - lo] = 1
         inter += m @ m.T
     union = sizes[:, None] + sizes[None, :] - inter
@@ -288,9 +289,10 @@ def _shares(lists: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     common = np.zeros((len(lists), len(lists)), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+    width = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, width, 4096):
         i, j = np.searchsorted(column, [lo, lo + 4096])
-        m = np.zeros((len(lists), 4096), np.float32)
+        m = np.zeros((len(lists), min(4096, width - lo)), np.float32)
         m[row[i:j], column[i:j] - lo] = 1
         common += m @ m.T
     return common > 0
