@@ -295,3 +295,11 @@ def test_every_bad_increment_has_a_warning(spark):
     assert [r["seq"] for r in rows] == list(range(len(texts))) and all(f"g/c{r['seq']} " in r["message"] for r in rows)
     many = spark.range(0, 900).selectExpr("'f' AS file_id", "concat('m', id % 300) AS message", "id AS seq")
     assert cat.warn_dedupe(many).filter("n = 3").count() == 300
+
+
+def test_time_fields_are_written_like_pairs():
+    from waveloom.sources.encode import encode_values
+    pairs = [(2_082_844_800, 0), (-5, 1 << 63), (7, (3 << 62) + 1)]
+    fields = np.array(pairs, [("s", "i8"), ("f", "u8")])
+    for order in "<>":
+        assert encode_values(fields, order) == encode_values(pairs, order)

@@ -162,7 +162,7 @@ def file_scan_typed(spark, sf_dir):
     def encode(rows):
         k = rows["k"].to_numpy()
         return {"bool": k % 2 == 0, "uint64": k.astype("u8") + np.uint64(1 << 63), "complex": rows["v"].to_numpy() + 1j * rows["q"].to_numpy(),
-                "time": [(EPOCH_1904_S + int(x), (int(x) % 4) << 62) for x in k]}
+                "time": np.rec.fromarrays([k + EPOCH_1904_S, (k % 4).astype("u8") << np.uint64(62)], [("s", "i8"), ("f", "u8")])}
     settle(write_files(lineitem_store(spark, sf_dir).samples, folder, ["v", "k", "q"], encode), "written")
     runs = settle(sg.value_runs(settle(sg.scan_segments(spark, folder), "segments")), "runs")
     none = F.lit(None).cast("double")
