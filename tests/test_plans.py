@@ -252,3 +252,11 @@ def test_first_rows_of_a_hot_group(spark):
     got = first_rows(df, "g", "o", 7).select("g", "o", "id")
     want = df.selectExpr("*", "row_number() OVER (PARTITION BY g ORDER BY o) AS rn").filter("rn <= 7").select("g", "o", "id")
     assert got.count() == 14 and got.exceptAll(want).count() == 0
+
+
+def test_windows_get_more_partitions_with_more_rows(spark):
+    from waveloom.session import ROWS_PER_PART, hash_parts
+    df = spark.range(10).selectExpr("id", "id % 3 AS k")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(hash_parts(df, 10, "k")) and "hashpartitioning(k" in plan(hash_parts(df, 99 * ROWS_PER_PART + 1, "k"))
+    assert ", 100)" in plan(hash_parts(df, 99 * ROWS_PER_PART + 1, "k"))

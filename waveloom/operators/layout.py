@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded, settle
+from ..session import bounded, hash_parts, settle
 from .envelope import bucket_of
 from .scan import BLOCK, running
 
@@ -30,6 +30,7 @@ def run_compress(parts: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> Data
     halo = F.when(F.col("seg_no") % BLOCK >= BLOCK - 2, F.array(blk, blk + 1)).otherwise(F.array(blk))
     w = Window.partitionBy(*ks, "_blk").orderBy("seg_no")
     d = parts.select(*ks, "seg_no", "pos", "layout", "cnt", F.explode(halo).alias("_blk"))
+    d = hash_parts(d, parts.count(), *ks, "_blk")
     d = d.withColumn("_new", ~F.lag("layout").over(w).eqNullSafe(F.col("layout")))
     d = d.withColumn("_step", F.col("pos") - F.lag("pos").over(w))
     d = d.withColumn("_changed", ~F.col("_new") & ~F.col("_step").eqNullSafe(F.lag("_step").over(w)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded, range_parts, settle
+from ..session import bounded, hash_parts, range_parts, settle
 from .envelope import bucket_of
 
 BLOCK = 1 << 16
@@ -20,7 +20,7 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, how: str,
             inclusive: bool = True, block: int = BLOCK) -> DataFrame:
     """Add the running sum or max of `value` in `order` (unique integers within a key).
 
-    df is read twice (totals and rows): settle it first unless it is a plain scan.
+    df is read three times (its count, totals and rows): settle it first unless it is a plain scan.
     """
     agg = {"sum": F.sum, "max": F.max}[how]
     rows = df.withColumn("_blk", bucket_of(order, block)).withColumn("_val", value)
@@ -29,7 +29,7 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, how: str,
     carry = totals.select(*keys, "_blk", agg("_tot").over(earlier).alias("_carry"))
     local = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = rows.withColumn("_local", agg("_val").over(local)).join(carry, [*keys, "_blk"])
+    joined = hash_parts(rows, df.count(), *keys, "_blk").withColumn("_local", agg("_val").over(local)).join(carry, [*keys, "_blk"])
     zero = F.lit(0)
     both = (F.coalesce("_local", zero) + F.coalesce("_carry", zero)) if how == "sum" else F.greatest("_local", "_carry")
     return joined.withColumn(out, both).drop("_blk", "_val", "_local", "_carry")

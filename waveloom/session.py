@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # A catalog side is broadcast only when its known rows, at the width of its schema, have at most so many bytes.
 MAX_BROADCAST_BYTES = 32 << 20
 
-ROWS_PER_PART = 8_000_000  # of a range partitioning
+ROWS_PER_PART = 4_000_000  # of a range or hash partitioning
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -82,6 +82,15 @@ def range_parts(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
+def hash_parts(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """Hash-partition by columns for windows over them, with about ROWS_PER_PART rows per partition.
+
+    Small data is left to the session's shuffle partitions; a fixed number of them would make a task's sort grow with the data.
+    """
+    need = -(-rows // ROWS_PER_PART)
+    return df.repartition(need, *by) if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def task_count(spark: SparkSession, items: int, per_task: int) -> int:
     """Tasks for work whose rows are small but costly (files to open, pieces to decode).
 
