@@ -95,3 +95,9 @@ def test_reading_does_not_grow_with_the_batches(spark):
 def test_slices_hold_whole_families(spark):
     with pytest.raises(ValueError):
         lv.LevelTable(spark, "/tmp/never", 4, 12)
+
+
+def test_default_slices_span_positions_whatever_the_base(spark):
+    """Buckets of 16 samples must not make a file of every 8,192 samples."""
+    sizes = {base: lv.LevelTable(spark, "/tmp/never", base).slice_buckets for base in (3, 16, 256, 1 << 22)}
+    assert all(n % lv.FACTOR == 0 for n in sizes.values()) and sizes[16] * 16 == sizes[256] * 256 == 1 << 20 and sizes[1 << 22] == lv.FACTOR

@@ -18,19 +18,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.values import finite
 from ..operators.envelope import bucket_of
-from ..operators.rollup import BASE, FACTOR, covered_prefix, level_count, n_levels, next_level, seen_words, word_names
+from ..operators.rollup import BASE, FACTOR, covered_prefix, level_count, next_level, seen_words, word_names
 from ..operators.stats import STATE, close_state, merge_once, state_columns
 from ..session import bounded, settle
 
-SLICE_BUCKETS = 512
+SLICE_SAMPLES = 1 << 20  # of a level-0 slice, unless a table is made with its own slice_buckets
 _TYPES = "n bigint, total bigint, mn double, mx double, pv double, dl double, m2 double"
 _VERSIONS = "level int, slice bigint, v bigint, version bigint"
 
 
 class LevelTable:
-    """The slices and versions of a maintained rollup. slice_buckets: a multiple of FACTOR, the same over the life of the table."""
+    """The slices and versions of a maintained rollup. slice_buckets: a multiple of FACTOR, the same over the life of the table.
 
-    def __init__(self, spark: SparkSession, path: str, base: int = BASE, slice_buckets: int = SLICE_BUCKETS):
+    By default a level-0 slice spans SLICE_SAMPLES positions whatever the base, so that small buckets do not make a file of every few
+    thousand samples.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, base: int = BASE, slice_buckets: int | None = None):
+        if slice_buckets is None:
+            slice_buckets = max(1, SLICE_SAMPLES // (base * FACTOR)) * FACTOR
         if slice_buckets % FACTOR:
             raise ValueError(f"slice_buckets must be a multiple of {FACTOR}")
         self.spark, self.path, self.base, self.slice_buckets = spark, path.rstrip("/"), base, slice_buckets
@@ -52,15 +58,21 @@ class LevelTable:
         """level, slice, v of a version."""
         return self._log().filter(F.col("version") == (self.version() if version is None else version)).select("level", "slice", "v")
 
+    def places(self, version: int | None = None) -> dict[int, dict[int, int]]:
+        """The slices of a version on the driver: level -> slice -> v, one entry per slice."""
+        out: dict[int, dict[int, int]] = {}
+        for r in self.slices(version).collect():
+            out.setdefault(r.level, {})[r.slice] = r.v
+        return out
+
     def schema(self, level: int) -> str:
         marks = "".join(f", {w} bigint" for w in word_names(self.base)) if level == 0 else ""
         return f"channel_id string, bucket bigint, start bigint, {_TYPES}{marks}"
 
-    def rows(self, level: int, slices: list[int] | None = None, version: int | None = None) -> DataFrame:
-        """States of a level, of the given slices only if there are any."""
-        found = self.slices(version).filter(F.col("level") == level)
-        found = found if slices is None else found.filter(F.col("slice").isin(slices))
-        paths = [f"{self.path}/data/v={r.v}/level={level}/slice={r.slice}" for r in found.collect()]  # a name per slice
+    def rows(self, level: int, slices: list[int] | None = None, version: int | None = None, places: dict | None = None) -> DataFrame:
+        """States of a level, of the given slices only if there are any. places: of the version, where they are known."""
+        found = (self.places(version) if places is None else places).get(level, {})
+        paths = [f"{self.path}/data/v={found[s]}/level={level}/slice={s}" for s in (found if slices is None else slices) if s in found]
         if not paths:
             return self.spark.createDataFrame([], self.schema(level))
         return self.spark.read.schema(self.schema(level)).parquet(*paths)
@@ -70,15 +82,16 @@ class LevelTable:
         path = f"{self.path}/data/v={batch}/level={level}"
         names = [c.split(" ")[0] for c in self.schema(level).split(", ")]
         rows = states.select(*names, bucket_of("bucket", self.slice_buckets).alias("slice"))
-        rows.repartitionByRange("slice", "channel_id", "bucket").sortWithinPartitions("slice", "channel_id", "bucket").write.mode("overwrite").partitionBy(
-            "slice").parquet(path)
+        # A task gets slices of single channels: bounded, and the states are not computed a second time to sample their ranges.
+        rows.repartition("slice", "channel_id").sortWithinPartitions("slice", "channel_id", "bucket").write.mode("overwrite").partitionBy("slice").parquet(path)
         return self.spark.read.schema(self.schema(level)).parquet(path)
 
-    def commit(self, touched: list[tuple[int, int]], batch: int) -> None:
-        """Make the slices that a batch wrote part of a new version: one small file that appears as a whole."""
-        new = self.spark.createDataFrame([(level, s, batch) for level, s in touched], "level int, slice bigint, v bigint")
-        kept = self.slices().join(new.select("level", "slice"), ["level", "slice"], "left_anti")
-        kept.unionByName(new).withColumn("version", F.lit(batch).cast("bigint")).coalesce(1).write.mode("append").partitionBy("version").parquet(
+    def commit(self, touched: list[tuple[int, int]], batch: int, places: dict | None = None) -> None:
+        """Make the slices that a batch wrote part of a new version: one small file that appears as a whole. places: of the version before."""
+        before = self.places() if places is None else places
+        all_slices = {(level, s): v for level, held in before.items() for s, v in held.items()} | {place: batch for place in touched}
+        new = self.spark.createDataFrame([(*place, v) for place, v in all_slices.items()], "level int, slice bigint, v bigint")
+        new.withColumn("version", F.lit(batch).cast("bigint")).coalesce(1).write.mode("append").partitionBy("version").parquet(
             f"{self.path}/versions")
 
     def vacuum(self, keep: int = 2) -> int:
@@ -108,15 +121,15 @@ def _new_states(rows: DataFrame, base: int) -> DataFrame:
     return close_state(agg, ["channel_id", "bucket", "start", *words])
 
 
-def _unseen(states: DataFrame, rows: DataFrame, table: LevelTable) -> DataFrame:
-    """States of the positions of a batch that are new. states: `_new_states` of its rows, stored.
+def _unseen(states: DataFrame, rows: DataFrame, table: LevelTable, places: dict) -> DataFrame:
+    """States of the positions of a batch that are new. states: `_new_states` of its rows, stored. places: of the version before.
 
     Where a bucket's count equals its mask and the mask is new, the state stands as it is: only the buckets that hold a repeat are made
     again from their samples. Of a position that a batch repeats, the smallest value counts.
     """
     words = word_names(table.base)
     slices = _numbers(states, bucket_of("bucket", table.slice_buckets))
-    before = table.rows(0, slices).select("channel_id", "bucket", *[F.col(w).alias(f"old_{w}") for w in words])
+    before = table.rows(0, slices, places=places).select("channel_id", "bucket", *[F.col(w).alias(f"old_{w}") for w in words])
     both = states.join(before, ["channel_id", "bucket"], "left")
     held = " + ".join(f"bit_count({w})" for w in words)
     again = f"total <> {held} OR " + " OR ".join(f"({w} & coalesce(old_{w}, 0L)) <> 0" for w in words)
@@ -139,8 +152,10 @@ def apply_batch(table: LevelTable, batch: DataFrame, number: int, declared: Data
     `<path>/overrun/v=<number>`. A number that is a version already is a replay and changes nothing.
     """
     spark, base = table.spark, table.base
-    if table.version() >= number:
+    version = table.version()
+    if version >= number:
         return
+    places = table.places(version)
     n = declared.count()
     known = declared.select("channel_id", "length", *[c for c in ("pivot",) if c in declared.columns])
     marked = batch.select("channel_id", "sample_idx", F.col("v").cast("double").alias("v")).join(bounded(known, n), "channel_id", "left")
@@ -152,32 +167,35 @@ def apply_batch(table: LevelTable, batch: DataFrame, number: int, declared: Data
         ok = finite("v")
         first = rows.groupBy("channel_id").agg(F.min_by(F.when(ok, F.col("v")), F.when(ok, F.col("sample_idx"))).alias("pivot"))
         rows = rows.join(bounded(first, n), "channel_id")
-    fresh = settle(_unseen(settle(_new_states(rows, base), "batch-states"), rows, table), "batch-states")
+    fresh = settle(_unseen(settle(_new_states(rows, base), "batch-states"), rows, table, places), "batch-states")
     touched: list[tuple[int, int]] = []
 
     slices = _numbers(fresh, bucket_of("bucket", table.slice_buckets))
     words = word_names(base)
-    both = table.rows(0, slices).unionByName(fresh)
+    both = table.rows(0, slices, places=places).unionByName(fresh)
     masks = both.groupBy("channel_id", "bucket").agg(F.min("start").alias("start"), *[F.bit_or(w).alias(w) for w in words])
     below = table.write(merge_once(both, ["channel_id", "bucket"], "start").join(masks, ["channel_id", "bucket"]), 0, number) if slices else None
     touched += [(0, s) for s in slices]
 
-    dirty = fresh.select("channel_id", "bucket")
-    sizes = declared.select("channel_id", F.expr(level_count("length", base)).alias("levels"))
-    most = n_levels(declared.agg(F.max("length")).first()[0] or 0, base)
-    for level in range(1, most if slices else 1):
-        tall = bounded(sizes.filter(F.col("levels") > level).select("channel_id"), n)
-        dirty = settle(dirty.join(tall, "channel_id", "left_semi").select("channel_id", bucket_of("bucket", FACTOR).alias("bucket")).distinct(), "dirty")
-        slices = _numbers(dirty, bucket_of("bucket", table.slice_buckets))
-        if not slices:
-            break
+    # What changes on the levels above, in one table and one list: the number of an ancestor is the bucket's without its last bits.
+    bits = FACTOR.bit_length() - 1
+    sizes = declared.select("channel_id", F.expr(level_count("length", base)).alias("levels")).filter("levels > 1")
+    marks = fresh.select("channel_id", F.shiftright("bucket", bits).alias("bucket")).distinct().join(bounded(sizes, n), "channel_id")
+    marks = settle(marks, "dirty")
+    above = marks.select(F.explode(F.expr("sequence(1, levels - 1)")).alias("level"), "bucket").select(
+        "level", bucket_of(F.expr(f"shiftright(bucket, {bits} * (level - 1))"), table.slice_buckets).alias("slice"))
+    changed: dict[int, list[int]] = {}
+    for r in above.distinct().orderBy("level", "slice").collect():  # a number per slice
+        changed.setdefault(r.level, []).append(r.slice)
+    for level, slices in changed.items():
+        dirty = marks.filter(F.col("levels") > level).select("channel_id", F.shiftright("bucket", bits * (level - 1)).alias("bucket")).distinct()
         # The FACTOR children of a dirty bucket lie in one slice, which this batch has just written.
         children = below.join(dirty.withColumnRenamed("bucket", "_parent"), (below.channel_id == dirty.channel_id) & (bucket_of(below.bucket, FACTOR) == F.col("_parent")), "left_semi")
         made = next_level(children.select("channel_id", "bucket", *STATE)).withColumn("start", F.lit(None).cast("bigint"))
-        rest = table.rows(level, slices).join(dirty, ["channel_id", "bucket"], "left_anti")
+        rest = table.rows(level, slices, places=places).join(dirty, ["channel_id", "bucket"], "left_anti")
         below = table.write(rest.unionByName(made), level, number)
         touched += [(level, s) for s in slices]
-    table.commit(touched, number)
+    table.commit(touched, number, places)
 
 
 def start_levels(samples: DataFrame, declared: DataFrame, table: LevelTable, checkpoint: str, **trigger) -> StreamingQuery:
@@ -193,8 +211,8 @@ def start_levels(samples: DataFrame, declared: DataFrame, table: LevelTable, che
 def read_levels(table: LevelTable, version: int | None = None) -> DataFrame:
     """The rollup (channel_id, level, bucket, states) of the last or an earlier version, as `build_rollup` gives it."""
     version = table.version() if version is None else version
-    levels = [r[0] for r in table.slices(version).select("level").distinct().orderBy("level").collect()] or [0]
-    parts = [table.rows(k, None, version).select("channel_id", F.lit(k).alias("level"), "bucket", *STATE) for k in levels]
+    places = table.places(version)
+    parts = [table.rows(k, places=places).select("channel_id", F.lit(k).alias("level"), "bucket", *STATE) for k in sorted(places) or [0]]
     return reduce(DataFrame.unionByName, parts)
 
 
