@@ -286,3 +286,23 @@ def test_search_prunes_what_it_may(monkeypatch):
         best = sorted((-score[j], j) for j in range(len(vecs)) if j != i)[:10]
         assert list(zip(-s.score[k], s.found[k])) == best
     assert s.visited < 0.5 * len(q) * (nodes[:, 2] < 0).sum()
+
+
+def test_a_task_sends_a_row_of_a_crowd_once(spark, monkeypatch):
+    """Rows that fit in many blocks come out once for a task, not once for each two blocks."""
+    import numpy as np
+    from waveloom.llm import ngramjoin as nj
+    crowd = spark.createDataFrame([(1, k, 50, k) for k in range(96)], "t long, node long, n int, label long")
+    compared = spark.sparkContext.accumulator(0)
+    packed = nj._packed
+
+    def blocks(*args):
+        pairs, stored = packed(*args)
+        return pairs.coalesce(1), stored
+
+    monkeypatch.setattr(nj, "BLOCK", 8)
+    monkeypatch.setattr(nj, "_packed", blocks)
+    fits = lambda rows: (compared.add(1), np.ones((len(rows), len(rows)), bool))[1]
+    wide = spark.range(96).selectExpr("id AS node", "id AS extra")
+    found = nj._selected(crowd, wide, 80, fits)
+    assert found.count() == 96 and compared.value < 60  # 12 blocks in each of two size classes meet 156 times

@@ -20,6 +20,7 @@ CELL_BITS, SLICE_BITS = 22, 8
 N_ORDERS = 2
 FEW = 8      # texts of a token that are compared as pairs
 BLOCK = 128  # texts of a block of a crowded token
+SENT = 1 << 17  # rows that a task remembers to have sent
 LEAD = 4     # crowded tokens of a text in whose buckets it meets the others that have one of them
 FILTER_BITS = 24
 SKETCH_BITS = (64, 2048)  # least and most bits of a set's parity sketch
@@ -261,17 +262,26 @@ def linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFra
 def _selected(crowd: DataFrame, wide: DataFrame, percent: int, fits) -> DataFrame:
     """The rows of crowd(t, node, n, label), with the columns of wide, that fit another label's text of their token.
 
-    ``fits`` gives a matrix over the rows of two blocks. What comes out are rows, at most twice for each block met, never pairs.
+    ``fits`` gives a matrix over the rows of two blocks. What comes out are rows, never pairs, and a task sends a row once however
+    many blocks it meets (beyond SENT rows it forgets the ones before). Blocks whose rows have all been sent are not compared again.
     """
     names, kinds = ["t", "node", "n", "label"], [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
         for b in batches:
             out = []
             for rows in _rows_of(b):
+                new = np.array([(v["t"], v["node"]) not in sent for v in rows])
+                if not new.any():
+                    continue
                 label = np.array([v["label"] for v in rows])
                 ok = fits(rows) & (label[:, None] != label[None, :])
-                out += [rows[i] for i in np.flatnonzero(ok.any(1))]
+                if len(sent) > SENT:
+                    sent.clear()
+                for i in np.flatnonzero(ok.any(1) & new):
+                    out.append(rows[i])
+                    sent.add((rows[i]["t"], rows[i]["node"]))
             yield pa.RecordBatch.from_arrays([pa.array([v[c] for v in out], kind) for c, kind in zip(names, kinds)], names)
 
     pairs, packed = _packed(crowd, [*names, *[c for c in wide.columns if c != "node"]], percent, wide)
