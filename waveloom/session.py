@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # A catalog side is broadcast only when its known rows, at the width of its schema, have at most so many bytes.
 MAX_BROADCAST_BYTES = 32 << 20
 
-ROWS_PER_PART = 4_000_000  # of a range or hash partitioning
+ROWS_PER_PART = 1_000_000  # of a range or hash partitioning: about 100 MB in a task's sort, so that it does not spill
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -71,24 +71,32 @@ def bounded(df: DataFrame, rows: int | None) -> DataFrame:
     return df
 
 
+def _part_count(df: DataFrame, rows: int) -> int | None:
+    """Partitions for so many rows; None leaves a single partition's worth to the session.
+
+    An explicit number: adaptive execution coalesces by compressed bytes, which lets a task's sort outgrow its memory as rows grow.
+    """
+    need = -(-rows // ROWS_PER_PART)
+    return max(need, df.sparkSession.sparkContext.defaultParallelism) if need > 1 else None
+
+
 def range_parts(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """Range-partition and sort by columns, with at most about ROWS_PER_PART rows per partition.
 
     Small data keeps the session's shuffle partitions, which adaptive execution may coalesce.
     """
-    need = -(-rows // ROWS_PER_PART)
-    if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        return df.repartitionByRange(need, *by).sortWithinPartitions(*by)
-    return df.repartitionByRange(*by).sortWithinPartitions(*by)
+    need = _part_count(df, rows)
+    parts = df.repartitionByRange(*by) if need is None else df.repartitionByRange(need, *by)
+    return parts.sortWithinPartitions(*by)
 
 
 def hash_parts(df: DataFrame, rows: int, *by: str) -> DataFrame:
-    """Hash-partition by columns for windows over them, with about ROWS_PER_PART rows per partition.
+    """Hash-partition by columns for windows, joins or groups over them, with about ROWS_PER_PART rows per partition.
 
     Small data is left to the session's shuffle partitions; a fixed number of them would make a task's sort grow with the data.
     """
-    need = -(-rows // ROWS_PER_PART)
-    return df.repartition(need, *by) if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    need = _part_count(df, rows)
+    return df if need is None else df.repartition(need, *by)
 
 
 def task_count(spark: SparkSession, items: int, per_task: int) -> int:
