@@ -271,3 +271,14 @@ def test_partitions_are_bounded_below_the_session_number(spark):
         p = full_plan(made)
         assert "REPARTITION_BY_NUM" in p and ", 8)" in p
     assert "REPARTITION_BY_NUM" not in full_plan(range_parts(df, 10, "id"))
+
+
+def test_aligned_curves_meet_in_bounded_partitions(spark):
+    from waveloom.operators.axis import xy_align
+    from waveloom.session import ROWS_PER_PART
+    samples = spark.createDataFrame([("x", i, float(i)) for i in range(5)] + [("y", i, float(-i)) for i in range(5)], "channel_id string, sample_idx bigint, v double")
+    pairs = spark.createDataFrame([("y", "x", 10 * ROWS_PER_PART, 10 * ROWS_PER_PART)], "channel_id string, x_channel_id string, y_length bigint, x_length bigint")
+    out = xy_align(samples, pairs, 1)
+    p = full_plan(out)
+    assert p.count(", 20), REPARTITION_BY_NUM") == 2
+    assert sorted(map(tuple, out.collect())) == [("y", "x", i, float(i), float(-i)) for i in range(5)]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import INF, finite
-from ..session import bounded
+from ..session import bounded, hash_parts
 from .envelope import bucket_of
 
 ORDER_BLOCK = 1 << 20  # samples per block of the two-level order check
@@ -99,12 +99,15 @@ def xy_align(samples: DataFrame, pairs: DataFrame, n_pairs: int | None = None) -
     """Pair y with an X channel by sample position, only where both have the same length.
 
     pairs: channel_id, x_channel_id, y_length, x_length. One equi-join on (X channel, sample_idx),
-    which spreads a hot channel by its samples.
+    which spreads a hot channel by its samples; the partitions grow with the declared lengths.
     """
-    same = pairs.filter("y_length = x_length").select("channel_id", "x_channel_id")
+    same = pairs.filter("y_length = x_length").select("channel_id", "x_channel_id", "y_length")
+    rows = 2 * (same.agg(F.sum("y_length")).first()[0] or 0)
+    same = same.drop("y_length")
     y = samples.select("channel_id", "sample_idx", F.col("v").alias("y")).join(bounded(same, n_pairs), "channel_id")
     x = samples.select(F.col("channel_id").alias("x_channel_id"), "sample_idx", F.col("v").alias("x"))
     x = x.join(bounded(same.select("x_channel_id").distinct(), n_pairs), "x_channel_id", "left_semi")
+    y, x = (hash_parts(side, rows, "x_channel_id", "sample_idx") for side in (y, x))
     return y.join(x, ["x_channel_id", "sample_idx"]).select("channel_id", "x_channel_id", "sample_idx", "x", "y")
 
 
