@@ -15,7 +15,7 @@ from ..functions.values import finite
 from ..operators.envelope import bucket_of
 from ..operators.rollup import BASE, covered_prefix
 from ..operators.stats import close_state, merge_once, state_columns
-from ..session import bounded
+from ..session import bounded, hash_parts
 
 
 def batch_states(batch: DataFrame, base: int = BASE, pivots: DataFrame | None = None, n_channels: int | None = None) -> DataFrame:
@@ -60,7 +60,8 @@ def start_rollup(samples: DataFrame, declared: DataFrame | None, path: str, chec
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     """Level-0 states so far: the partials of a bucket (at most one per sample) merged in sample order."""
-    return merge_once(spark.read.parquet(path).drop("batch_id"), ["channel_id", "bucket"], "start")
+    partials = spark.read.parquet(path).drop("batch_id")
+    return merge_once(hash_parts(partials, partials.count(), "channel_id", "bucket"), ["channel_id", "bucket"], "start")
 
 
 def stream_coverage(states: DataFrame, channels: DataFrame, base: int = BASE) -> DataFrame:
