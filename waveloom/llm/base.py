@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from ..session import new_path
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD_BREAK = "[^\\x20\\x09-\\x0D]+"
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """Write df to the shared folder and read it back, so that its input is not computed again.
 
-    zstd frees its buffers with each file; the direct buffers of snappy wait for a garbage collection of the heap.
+    zstd frees its buffers with each file; the direct buffers of snappy wait for a garbage collection of the heap. The write's shuffle
+    files go when it ends: nothing reads them again, and otherwise they would stay until the driver's heap is collected.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
+    stored = spark.read.schema(df.schema).parquet(path)
     stored.settled_path = path
     return stored
 

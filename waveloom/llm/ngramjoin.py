@@ -6,6 +6,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ CELL_BITS, SLICE_BITS = 22, 8
 N_ORDERS = 2
 FEW = 8      # texts of a token that are compared as pairs
 BLOCK = 128  # texts of a block of a crowded token
+PASS_BYTES, PASS_SHARE = 1 << 28, 4  # sets shipped to blocks in one pass: so many bytes, or this part of the bytes of all sets
 SENT = 1 << 17  # rows that a task remembers to have sent
 LEAD = 4     # crowded tokens of a text in whose buckets it meets the others that have one of them
 FILTER_BITS = 24
@@ -240,10 +242,12 @@ def _rows_of(b: pa.RecordBatch) -> Iterator[list[dict]]:
         yield [v for side in (x, y) if side.is_valid for v in side.values.to_pylist()]
 
 
-def linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the texts of each crowded token. crowd(t, node, n, label).
+def linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int, most_bytes: int | None = None) -> DataFrame:
+    """Links (a, b) among the texts of each crowded token. crowd(t, node, n, label), rows distinct.
 
-    What is shipped and held is bounded by two blocks of sets, and only links that connect different labels come out.
+    What is shipped and held is bounded by two blocks of sets, and only links that connect different labels come out. Of tokens with
+    the same texts one is enough. A set is shipped for each of its tokens: beyond ``most_bytes`` the tokens go in several passes,
+    so that the disk holds the copies of one pass.
     """
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,9 +257,18 @@ def linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFra
                                         [np.frombuffer(v["s"], np.uint64) for v in rows], percent)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], ["a", "b"])
 
-    pairs, packed = _packed(crowd, ["node", "label", "s"], percent, sets)
-    links = settle(pairs.mapInArrow(compare, "a long, b long").distinct(), "ngram-links")
-    forget(packed)
+    same = crowd.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    crowd = settle(crowd.join(same.groupBy("c", "x", "y").agg(F.min("t").alias("t")), "t", "left_semi"), "ngram-crowd")
+    shipped = 16 * (crowd.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0)  # two size classes, 8 bytes a shingle
+    passes = 1 if most_bytes is None else max(1, -(-shipped // most_bytes))
+    parts = []
+    for k in range(passes):
+        mine = crowd.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == k) if passes > 1 else crowd
+        pairs, packed = _packed(mine, ["node", "label", "s"], percent, sets)
+        parts.append(settle(pairs.mapInArrow(compare, "a long, b long").distinct(), "ngram-links"))
+        forget(packed)
+    links = parts[0] if passes == 1 else settle(reduce(DataFrame.union, parts).distinct(), "ngram-links")
+    forget(crowd, *(parts if passes > 1 else []))
     return links
 
 
@@ -360,9 +373,10 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     whole = pre.where("node is not null")
     nodes = settle(whole.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "ngram-nodes")
 
-    tokens = whole.groupBy("node").agg(F.first("n").alias("n"), F.first("p0").alias("p0")).select("node", "n", F.explode("p0").alias("t"))
+    # One shuffle of (node, t) serves the counts and the join; n comes back for the few rows that are left.
+    tokens = whole.groupBy("node").agg(F.first("p0").alias("p0")).select("node", F.explode("p0").alias("t")).repartition("t")
     shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).where("c > 1")
-    held = settle(tokens.join(shared.select("t", "pivot"), "t"), "ngram-tokens")
+    held = settle(tokens.join(shared.select("t", "pivot"), "t").join(nodes.select("node", "n"), "node"), "ngram-tokens")
     ends = held.select("node").distinct()
     info = settle(whole.select("node", "bits", "p0", *cols).join(ends, "node", "left_semi").dropDuplicates(["node"]).join(nodes, "node"), "ngram-info")
     unsigned = F.element_at("p0", -1).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
@@ -427,7 +441,8 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, orders:
     pairs = likely(pairs, crowded.select("node", "k"))
     new_sets = sets_of(ends_of(pairs).union(near_rows.select("node")).distinct().join(sets.select("node"), "node", "left_anti"))
     both_sets = sets.unionByName(new_sets)
-    inside = linked_in_blocks(near_rows, both_sets, percent)
+    all_bytes = 8 * (nodes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0)
+    inside = linked_in_blocks(near_rows, both_sets, percent, max(PASS_BYTES, all_bytes // PASS_SHARE))
     more = settle(links.union(verified(pairs, both_sets, percent)).union(inside), "ngram-links")
     labels = components(more, "ngram-labels")
     forget(held, info, facts, rest, crowd, crowded, by_sketch, pairs, sets, new_sets, links, inside, more)
