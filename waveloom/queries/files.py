@@ -84,12 +84,12 @@ def index_check(spark, sf_dir):
     return got.select(file_name().alias("name"), "matches", "n_rows", "n_diff")
 
 
-def _placed(df, col):
+def _placed(df, col, *more):
     """Channel name and sample index in the whole channel (the file's first sample is in its name)."""
     name = file_name()
     block = F.regexp_extract(name, r"-(\d+)\.tdms$", 1).cast("bigint")
     return df.select(F.regexp_extract(name, r"^(.*)-\d+\.tdms$", 1).alias("channel_id"),
-                     (block * FILE_SAMPLES + F.col("sample_idx")).alias("sample_idx"), F.col("v").alias(col))
+                     (block * FILE_SAMPLES + F.col("sample_idx")).alias("sample_idx"), F.col("v").alias(col), *more)
 
 
 @query("file_scan_float", f"WITH {L} SELECT channel_id, sample_idx, v FROM L")
@@ -147,8 +147,11 @@ def file_scan_scaled(spark, sf_dir):
     settle(write_files(lineitem_store(spark, sf_dir).samples, folder, ["v", "k"], more_props=props), "written")
     scan = settle(sg.scan_segments(spark, folder), "segments")
     runs, scales = settle(sg.value_runs(scan), "runs"), settle(sg.channel_scales(scan), "scales")
-    both = [(name, sg.scaled_samples(sg.read_samples(runs, kind), scales)) for name, kind in (("v", "float"), ("k", "int"))]
-    return reduce(DataFrame.unionByName, [_placed(rows, "y").select("channel_id", "sample_idx", F.lit(name).alias("name"), rnd("y").alias("y")) for name, rows in both])
+    # The place in the whole channel is the same for all samples of a run: found once a run, not once a sample.
+    placed = _placed(runs.select("*", F.lit(0).alias("sample_idx"), F.lit(0).alias("v")), "v", *runs.columns).withColumnRenamed("sample_idx", "first").drop("v")
+    both = [(name, sg.read_scaled(placed, scales, kind, ("channel_id", "first"))) for name, kind in (("v", "float"), ("k", "int"))]
+    return reduce(DataFrame.unionByName, [rows.select("channel_id", (F.col("first") + F.col("sample_idx")).alias("sample_idx"), F.lit(name).alias("name"),
+                                                      rnd("v").alias("y")) for name, rows in both])
 
 
 @query("file_scan_typed", f"""WITH {L} SELECT channel_id, sample_idx, 'bool' AS kind, (k % 2 = 0)::BIGINT AS n, NULL::DOUBLE AS re, NULL::DOUBLE AS im FROM L

@@ -27,7 +27,7 @@ from ..operators import catalog as cat
 from ..operators.layout import (TOC_BIG_ENDIAN, TOC_DAQMX, TOC_INTERLEAVED, TOC_META, TOC_NEW_LIST, TOC_RAW, file_snapshot,
                                 run_compress)
 from ..operators.scan import running, running_rows
-from ..session import task_count
+from ..session import settle, task_count
 from .readahead import ReadAhead
 
 # Fixed values of the file format.
@@ -386,6 +386,20 @@ def scaled_samples(samples: DataFrame, scales: DataFrame, paths: list[str] | Non
         "file", "path", "sample_idx", F.when(F.col("slope").isNull(), v).otherwise(v * F.col("slope") + F.col("intercept")).alias("v"))
 
 
+def read_scaled(runs: DataFrame, scales: DataFrame, kind: str = "float", keep: tuple[str, ...] = ("file", "path")) -> DataFrame:
+    """The columns ``keep`` of runs, sample_idx and v: numeric samples as doubles, with the linear scale of their channel.
+
+    The same as `scaled_samples` of `read_samples`, but scales meet the few runs, not every sample. An unsupported scale is an error.
+    """
+    odd = runs.filter(F.col("type_code").isin(_codes_of(kind))).join(scales.filter("scale = 'unsupported'"), ["file", "path"], "left_semi").select("path").first()
+    if odd is not None:
+        raise ValueError(f"the scale of {odd.path} is not linear")
+    scaled = settle(runs.join(scales.select("file", "path", "slope", "intercept"), ["file", "path"], "left"), "scaled-runs")
+    v = F.col("v").cast("double")
+    return read_samples(scaled, kind, keep=(*keep, "slope", "intercept")).select(
+        *keep, "sample_idx", F.when(F.col("slope").isNull(), v).otherwise(v * F.col("slope") + F.col("intercept")).alias("v"))
+
+
 def value_runs(scan: DataFrame) -> DataFrame:
     """Runs of values of each channel with their first sample index.
 
@@ -485,7 +499,7 @@ def _piece_rows(f, p: dict) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _piece_reader(kind: str, ddl: str):
+def _piece_reader(kind: str, ddl: str, keep: tuple[str, ...] = ("file", "path")):
     schema = _arrow_schema(ddl)
 
     def joined(held: list) -> pa.RecordBatch:
@@ -507,7 +521,8 @@ def _piece_reader(kind: str, ddl: str):
                 else:
                     values = _values(_piece_rows(f, p), p["type_code"], p["big"], kind)
                 idx = pa.array(p["start"] + np.arange(p["a"], p["b"], dtype=np.int64))
-                held.append((pa.repeat(p["file"], n), pa.repeat(p["path"], n), idx, values.cast(schema.field(3).type)))
+                same = [pa.repeat(pa.scalar(p[c], schema.field(c).type), n) for c in keep]
+                held.append((*same, idx, values.cast(schema.field("v").type)))
                 rows += n
                 if rows >= BATCH_ROWS:
                     yield joined(held)
@@ -528,8 +543,8 @@ def _codes_of(kind: str) -> list[int]:
 
 
 def read_samples(runs: DataFrame, kind: str = "float", paths: list[str] | None = None, start: int = 0,
-                 stop: int | None = None, partial: bool = False) -> DataFrame:
-    """Samples of one kind: file, path, sample_idx, v (type: SAMPLE_TYPES).
+                 stop: int | None = None, partial: bool = False, keep: tuple[str, ...] = ("file", "path")) -> DataFrame:
+    """Samples of one kind: file, path, sample_idx, v (type: SAMPLE_TYPES). keep: other columns of runs that each sample repeats instead.
 
     runs: `value_runs` (store it once for repeated reads). Only runs of the wanted channels that
     overlap [start, stop) become pieces. A channel whose values change their kind is refused, see `read_numbers`.
@@ -548,12 +563,13 @@ def read_samples(runs: DataFrame, kind: str = "float", paths: list[str] | None =
     tasks = max(task_count(spark, pieces or 0, PIECES_PER_TASK), -(-(values or 0) // VALUES_PER_TASK))
     pieces = wanted.withColumn("a", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1, F.lit(PIECE_VALUES).cast("bigint"))))
     pieces = pieces.withColumn("b", F.least(F.col("a") + PIECE_VALUES, F.col("_hi"))).select(
-        "file", "path", "type_code", "big", "base", "item", "stride", "npc", "chunk", "blob", "start", "a", "b")
+        "file", "path", "type_code", "big", "base", "item", "stride", "npc", "chunk", "blob", "start", "a", "b",
+        *[c for c in keep if c not in ("file", "path")])
     stored = "struct<sec: bigint, frac: decimal(20,0)>" if kind == "time" else SAMPLE_TYPES[kind]
-    ddl = f"file string, path string, sample_idx bigint, v {stored}"
+    ddl = ", ".join(f"{c} {runs.schema[c].dataType.simpleString()}" for c in keep) + f", sample_idx bigint, v {stored}"
     # Range partitioning keeps neighbouring bytes in one task and splits a large file over many.
     out = pieces.repartitionByRange(tasks, "file", "base", "a").sortWithinPartitions("file", "base", "a").mapInArrow(
-        _piece_reader(kind, ddl), ddl)
+        _piece_reader(kind, ddl, keep), ddl)
     return out.withColumn("v", epoch1904_ns("v.sec", "v.frac")) if kind == "time" else out
 
 
@@ -563,5 +579,5 @@ def read_numbers(runs: DataFrame, paths: list[str] | None = None, start: int = 0
     return reduce(DataFrame.unionByName, [p.withColumn("v", F.col("v").cast("double")) for p in parts])
 
 
-__all__ = ["read_numbers", "channel_scales", "scaled_samples", "scan_segments", "segments", "ignored_tails", "index_check", "object_catalog", "channel_catalog", "value_runs",
+__all__ = ["read_numbers", "channel_scales", "scaled_samples", "read_scaled", "scan_segments", "segments", "ignored_tails", "index_check", "object_catalog", "channel_catalog", "value_runs",
            "merge_runs", "read_samples"]
