@@ -22,7 +22,7 @@ N_ORDERS = 2
 FEW = 8      # texts of a token that are compared as pairs
 BLOCK = 128  # texts of a block of a crowded token
 PASS_BYTES, PASS_SHARE = 1 << 28, 4  # sets shipped to blocks in one pass: so many bytes, or this part of the bytes of all sets
-SENT = 1 << 17  # rows that a task remembers to have sent
+KNOWN = 1 << 17  # labels whose links a task remembers
 LEAD = 4     # crowded tokens of a text in whose buckets it meets the others that have one of them
 FILTER_BITS = 24
 SKETCH_BITS = (64, 2048)  # least and most bits of a set's parity sketch
@@ -182,8 +182,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(check, "a long, b long")
 
 
-def _linked_in_block(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of a bounded block between different labels, as a spanning forest: all pairs are compared by one matrix product."""
+def _root(top: dict[int, int], v: int) -> int:
+    while top.setdefault(v, v) != v:
+        top[v] = top[top[v]]
+        v = top[v]
+    return v
+
+
+def _linked_in_block(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int, top: dict[int, int]) -> list[tuple[int, int]]:
+    """Links of a bounded block between labels that ``top`` does not join yet, as a spanning forest: all pairs are compared by one
+    matrix product. ``top`` learns them."""
     sizes = np.array([len(s) for s in sets])
     tokens, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -201,16 +209,9 @@ def _linked_in_block(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarra
         inter += m @ m.T
     union = sizes[:, None] + sizes[None, :] - inter
     x, y = np.nonzero(np.triu(100 * inter >= percent * union, 1) & (labels[:, None] != labels[None, :]))
-    top = {int(v): int(v) for v in labels}
-
-    def root(v: int) -> int:
-        while top[v] != v:
-            top[v] = top[top[v]]
-            v = top[v]
-        return v
     out = []
     for i, j in zip(x, y):
-        u, v = root(int(labels[i])), root(int(labels[j]))
+        u, v = _root(top, int(labels[i])), _root(top, int(labels[j]))
         if u != v:
             top[max(u, v)] = min(u, v)
             out.append((int(nodes[i]), int(nodes[j])))
@@ -218,11 +219,13 @@ def _linked_in_block(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarra
 
 
 def _packed(crowd: DataFrame, columns: list[str], percent: int, wide: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of bounded blocks (x, y; y is null for a block with itself) in which the texts of each token meet.
+    """Pairs of bounded blocks (x, y, k, a, b) in which the texts of each token meet: every block with every one of its token and
+    class k, in both orders; a and b are their numbers, y is null for a block with itself.
 
     crowd(t, node, n, ...): linked texts have near sizes, so each goes into its size class and the next one. Long columns come
-    from wide(node, ...) only after the narrow rows are dealt, for tokens and classes with two labels at least. Also returns the
-    stored blocks, which can go when the pairs are done with.
+    from wide(node, ...) only after the narrow rows are dealt, for tokens and classes with two labels at least. An outer join is
+    split on its left side only, so one task meets all pairs of a block x, one after the other. Also returns the stored blocks, which
+    can go when the pairs are done with.
     """
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
     near = crowd.withColumn("near", size_class).withColumn("near", F.explode(F.array(F.col("near"), F.col("near") + 1)))
@@ -231,30 +234,30 @@ def _packed(crowd: DataFrame, columns: list[str], percent: int, wide: DataFrame)
     dealt = near.join(sizes.drop("c", "lo", "hi"), ["t", "near"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.join(wide, "node")
     packed = settle(dealt.groupBy("t", "near", "block", "blocks").agg(F.collect_list(F.struct(*columns)).alias("x")), "ngram-blocks")
-    single = packed.select("x", F.lit(None).cast(packed.schema["x"].dataType).alias("y"))
-    many = packed.where("blocks > 1").select("t", "near", "block", "x")
-    cross = many.join(many.select("t", "near", F.col("block").alias("other"), F.col("x").alias("y")), ["t", "near"])
-    return single.union(cross.where("block < other").select("x", "y")), packed
-
-
-def _rows_of(b: pa.RecordBatch) -> Iterator[list[dict]]:
-    for x, y in zip(b.column(0), b.column(1)):
-        yield [v for side in (x, y) if side.is_valid for v in side.values.to_pylist()]
+    keys = ["t", "near"]
+    right = packed.select(*keys, F.col("block").alias("b"), F.col("x").alias("y"))
+    pairs = packed.select(*keys, F.col("block").alias("a"), "x").join(right, keys, "left")
+    return pairs.select("x", F.expr("if(a = b, null, y)").alias("y"), F.struct(*keys).alias("k"), "a", "b"), packed
 
 
 def linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int, most_bytes: int | None = None) -> DataFrame:
     """Links (a, b) among the texts of each crowded token. crowd(t, node, n, label), rows distinct.
 
-    What is shipped and held is bounded by two blocks of sets, and only links that connect different labels come out. Of tokens with
-    the same texts one is enough. A set is shipped for each of its tokens: beyond ``most_bytes`` the tokens go in several passes,
+    What is shipped and held is bounded by two blocks of sets, and only links that connect different labels come out, those that a
+    task has already joined only once (beyond KNOWN labels it forgets them). Of tokens with the same texts one is enough. A set is shipped for each of its tokens: beyond ``most_bytes`` the tokens go in several passes,
     so that the disk holds the copies of one pass.
     """
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[int, int] = {}
         for b in batches:
             out = []
-            for rows in _rows_of(b):
-                out += _linked_in_block(np.array([v["node"] for v in rows]), np.array([v["label"] for v in rows]),
-                                        [np.frombuffer(v["s"], np.uint64) for v in rows], percent)
+            for x, y in zip(b.column(0), b.column(1)):
+                rows = [v for side in (x, y) if side.is_valid for v in side.values.to_pylist()]
+                if len(top) > KNOWN:
+                    top.clear()
+                if len({_root(top, v["label"]) for v in rows}) > 1:
+                    out += _linked_in_block(np.array([v["node"] for v in rows]), np.array([v["label"] for v in rows]),
+                                            [np.frombuffer(v["s"], np.uint64) for v in rows], percent, top)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], ["a", "b"])
 
     same = crowd.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
@@ -265,7 +268,7 @@ def linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int, most_bytes
     for k in range(passes):
         mine = crowd.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == k) if passes > 1 else crowd
         pairs, packed = _packed(mine, ["node", "label", "s"], percent, sets)
-        parts.append(settle(pairs.mapInArrow(compare, "a long, b long").distinct(), "ngram-links"))
+        parts.append(settle(pairs.where("a <= b").select("x", "y").mapInArrow(compare, "a long, b long").distinct(), "ngram-links"))
         forget(packed)
     links = parts[0] if passes == 1 else settle(reduce(DataFrame.union, parts).distinct(), "ngram-links")
     forget(crowd, *(parts if passes > 1 else []))
@@ -275,30 +278,32 @@ def linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int, most_bytes
 def _selected(crowd: DataFrame, wide: DataFrame, percent: int, fits) -> DataFrame:
     """The rows of crowd(t, node, n, label), with the columns of wide, that fit another label's text of their token.
 
-    ``fits`` gives a matrix over the rows of two blocks. What comes out are rows, never pairs, and a task sends a row once however
-    many blocks it meets (beyond SENT rows it forgets the ones before). Blocks whose rows have all been sent are not compared again.
+    ``fits`` gives a matrix over rows. What comes out are rows, never pairs: a task meets all pairs of a block x in turn and sends
+    only rows of x, each once, so a row comes out once for each of its tokens and two classes, however many blocks it fits. Only
+    the rows of x that are still open are compared.
     """
     names, kinds = ["t", "node", "n", "label"], [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
-        for b in batches:
+        block, rows = None, []
+        for batch in batches:
             out = []
-            for rows in _rows_of(b):
-                new = np.array([(v["t"], v["node"]) not in sent for v in rows])
-                if not new.any():
+            for x, y, k, a in zip(*(batch.column(i) for i in range(4))):
+                if (this := (*k.as_py().values(), a.as_py())) != block:
+                    block, rows = this, x.values.to_pylist()
+                if not rows:
+                    continue
+                both = rows + (y.values.to_pylist() if y.is_valid else [])
+                label = np.array([v["label"] for v in both])
+                if (label == label[0]).all():
                     continue
-                label = np.array([v["label"] for v in rows])
-                ok = fits(rows) & (label[:, None] != label[None, :])
-                if len(sent) > SENT:
-                    sent.clear()
-                for i in np.flatnonzero(ok.any(1) & new):
-                    out.append(rows[i])
-                    sent.add((rows[i]["t"], rows[i]["node"]))
+                ok = (fits(both) & (label[:, None] != label[None, :]))[: len(rows)].any(1)
+                out += [rows[i] for i in np.flatnonzero(ok)]
+                rows = [rows[i] for i in np.flatnonzero(~ok)]
             yield pa.RecordBatch.from_arrays([pa.array([v[c] for v in out], kind) for c, kind in zip(names, kinds)], names)
 
     pairs, packed = _packed(crowd, [*names, *[c for c in wide.columns if c != "node"]], percent, wide)
-    found = settle(pairs.mapInArrow(select, "t long, node long, n int, label long").distinct(), "ngram-near")
+    found = settle(pairs.select("x", "y", "k", "a").mapInArrow(select, "t long, node long, n int, label long").distinct(), "ngram-near")
     forget(packed)
     return found
 
