@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ CHUNK = 1 << 18
 MIN_LENGTH = 50
 ANCHOR = 20                # bytes whose hash is compared for the minimizer
 GROUP_BYTES = 6 << 20     # bytes of the texts of one group, about
-BATCH_BYTES = 3 << 20      # bytes of texts whose runs are sorted together
+BATCH_BYTES = 12 << 20     # bytes of texts whose runs are sorted together
 SORT_BYTES = 1 << 18       # bytes of one suffix array, about
 KEY = 7                    # bytes that fit one sorting key
 BIG = np.iinfo(np.int64).max
@@ -48,6 +49,22 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _cut(column: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """One binary value for the entries before each end and after the end before: no call and no buffer for each value."""
+    offsets = (np.concatenate([[0], ends]) * column.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(column))])
+
+
+def _whole(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The entries of all binary values, one after the other."""
+    return text_bytes(column)[0].view(kind)
+
+
+def _ends(ordered: np.ndarray) -> np.ndarray:
+    """The ends of the stretches of equal values."""
+    return np.flatnonzero(np.concatenate([ordered[1:] != ordered[:-1], np.ones(min(1, len(ordered)), bool)])) + 1
+
+
 class Runs:
     """Runs of neighbouring strings of ``length`` bytes with the same minimizer: row, pos (in its text), start, end, value, key."""
 
@@ -173,11 +190,15 @@ def least_docs(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: in
 
 
 def _spread(value: np.ndarray, n: int) -> np.ndarray:
-    return ((value >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Buckets of minimizers. They are mixed again: the smallest of many hashes crowd at the low end."""
+    return ((mixed(value) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+REFS = "j int, doc binary, check binary, pos binary"
 
 
 def _shared_runs(docs: DataFrame, n_groups: int, length: int) -> DataFrame:
-    """refs(j, kind, blob): the runs whose minimizer is in two documents, for the group j of their document.
+    """refs(j, doc, check, pos): the runs whose minimizer is in two documents, for the group j of their document. n_groups is for minimizers.
 
     Minimizers that two documents of one batch have are settled there; one of their runs goes on, so that others meet it.
     """
@@ -197,15 +218,15 @@ def _shared_runs(docs: DataFrame, n_groups: int, length: int) -> DataFrame:
         hot = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
         settled = hot[np.cumsum(head) - 1]
         out = []
-        goes = ~settled | head
-        bucket = _spread(value, n_groups)
-        cuts = np.searchsorted(bucket[goes], np.arange(n_groups + 1))
-        low = (value[goes] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        for p in range(n_groups):
-            s = slice(cuts[p], cuts[p + 1])
-            if s.stop > s.start:
-                rows, spot = np.unique(row[goes][s], return_inverse=True)
-                out.append((p, pack(low[s], spot.astype(np.uint32), pos[goes][s], settled[goes][s].astype(np.uint8), ids[rows], checks[rows], group[rows])))
+        goes = np.flatnonzero(~settled | head)
+        bucket = _spread(value[goes], n_groups)
+        by_bucket = np.argsort(bucket, kind="stable")
+        goes, bucket = goes[by_bucket], bucket[by_bucket]
+        low, owner, spots, done = (value[goes] & np.uint64(0xFFFFFFFF)).astype(np.uint32), row[goes], pos[goes], settled[goes].astype(np.uint8)
+        ends = _ends(bucket)
+        for i, j in zip([0, *ends[:-1]], ends):
+            rows, spot = np.unique(owner[i:j], return_inverse=True)
+            out.append((int(bucket[i]), pack(low[i:j], spot.astype(np.uint32), spots[i:j], done[i:j], ids[rows], checks[rows], group[rows])))
         out += [(n_groups + j, blob) for j, blob in _by_group(group[row[settled]], doc[settled], checks[row[settled]], pos[settled])]
         return out
 
@@ -219,9 +240,10 @@ def _shared_runs(docs: DataFrame, n_groups: int, length: int) -> DataFrame:
 
     def meet(t: pa.Table) -> pa.Table:
         g = t["g"][0].as_py()
-        if g >= n_groups:
-            return pa.table({"j": pa.array([g - n_groups] * len(t), pa.int32()), "blob": t["blob"]})
         parts = [unpack(x.as_py()) for x in t["blob"]]
+        if g >= n_groups:
+            doc, check, pos = (np.concatenate(x) for x in zip(*parts))
+            return pa.table({"j": pa.array([g - n_groups], pa.int32()), "doc": [doc.tobytes()], "check": [check.tobytes()], "pos": [pos.tobytes()]})
         value = np.concatenate([p[0] for p in parts])
         spot = np.concatenate([p[1] + base for p, base in zip(parts, np.cumsum([0] + [len(p[4]) for p in parts[:-1]]))])
         pos, settled = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
@@ -232,10 +254,12 @@ def _shared_runs(docs: DataFrame, n_groups: int, length: int) -> DataFrame:
         hot = (np.minimum.reduceat(ids[spot], at) != np.maximum.reduceat(ids[spot], at)) | np.logical_or.reduceat(settled, at)
         send = np.repeat(hot, np.diff(np.append(at, len(value)))) & ~settled
         spot, pos = spot[send], pos[send]
-        out = list(_by_group(group[spot], ids[spot], checks[spot], pos))
-        return pa.table({"j": pa.array([j for j, _ in out], pa.int32()), "blob": pa.array([v for _, v in out], pa.binary())})
+        order = np.lexsort((pos, ids[spot], group[spot]))
+        spot, pos = spot[order], pos[order]
+        ends = _ends(group[spot])
+        return pa.table({"j": pa.array(group[spot][ends - 1], pa.int32()), "doc": _cut(ids[spot], ends), "check": _cut(checks[spot], ends), "pos": _cut(pos, ends)})
 
-    return docs.select("doc_id", "check", "j", "text").mapInArrow(find, "g int, blob binary").groupBy("g").applyInArrow(meet, "j int, blob binary")
+    return docs.select("doc_id", "check", "j", "text").mapInArrow(find, "g int, blob binary").groupBy("g").applyInArrow(meet, REFS)
 
 
 def _by_group(group: np.ndarray, doc: np.ndarray, check: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -255,10 +279,10 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 class _Group:
     """Documents of one group with their shared runs: distinct runs in order of their key, and every run's place among them."""
 
-    def __init__(self, docs: pa.Table, refs: list[bytes], length: int):
+    def __init__(self, docs: pa.Table, refs: list[bytes | tuple], length: int):
         self.ids, self.checks = docs["doc_id"].to_numpy(), docs["check"].to_numpy()
         self.data, self.off = text_bytes(docs["text"])
-        parts = [unpack(x) for x in refs] or [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)]]
+        parts = [unpack(x) if isinstance(x, bytes) else x for x in refs] or [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)]]
         doc, check, pos = (np.concatenate([p[k] for p in parts]) for k in range(3))
         # Rows that repeat a document (id and check) share its runs; each row looks them up by its own number among the pairs.
         names = mixed(np.concatenate([self.ids, doc]).view(np.uint64)) ^ np.concatenate([self.checks, check]).view(np.uint64)
@@ -275,20 +299,20 @@ class _Group:
         self.least = np.full(len(self.first), BIG)
         np.minimum.at(self.least, self.place, self.ids[self.row])
 
-    def sent(self, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Bucket and the distinct runs that go to it."""
+    def sent(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets, the distinct runs in the order of their buckets, and the end of each bucket's runs among them."""
         bucket = _spread(self.value[self.first], n_buckets)
-        for p in np.unique(bucket):
-            yield int(p), np.flatnonzero(bucket == p)
+        order = np.argsort(bucket, kind="stable")
+        ends = _ends(bucket[order])
+        return bucket[order][ends - 1], order, ends
 
-    def removed(self, answers: list[tuple[int, np.ndarray]], n_buckets: int, length: int) -> np.ndarray:
-        """Flags of the removed bytes. answers: bucket and the least docs of the runs sent to it, in order."""
+    def removed(self, answers: np.ndarray, n_buckets: int, length: int) -> np.ndarray:
+        """Flags of the removed bytes. answers: the least docs of all runs that were sent, in that order."""
         own = self.end[self.first] - self.start[self.first] - length + 1
         begin = np.cumsum(own) - own
         least = np.full(int(own.sum()), BIG)
-        found = dict(answers)
-        for p, which in self.sent(n_buckets):
-            least[_ranges(begin[which], own[which])] = found[p]
+        order = self.sent(n_buckets)[1]
+        least[_ranges(begin[order], own[order])] = answers
         gone = np.zeros(len(self.data), bool)
         for i, j in blocks(self.off, CHUNK):  # runs are in the order of their rows
             lo, base = slice(*np.searchsorted(self.row, [i, j])), self.off[i]
@@ -308,7 +332,9 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return data[_ranges(start, end - start)]
+    """The entries of each range, some ranges at a time: their places take eight bytes an entry."""
+    off = np.concatenate([[0], np.cumsum(end - start)])
+    return np.concatenate([data[_ranges(start[i:j], end[i:j] - start[i:j])] for i, j in blocks(off, 4 * CHUNK)] or [data[:0]])
 
 
 def string_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -327,56 +353,67 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
     doc_id neither remove nor lose anything. Repeated rows give equal rows. An empty table gives an empty result.
     """
     n = max(2, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // GROUP_BYTES))
-    n_sorts = 4 * n  # a bucket of runs to sort is smaller than a group of documents
+    n_meets, n_sorts = max(2, n // 4), max(2, n // 2)  # buckets of places and of distinct runs, which are small beside a group's texts
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text"), F.xxhash64(raw).alias("check"))
     base = base.withColumn("j", F.pmod(F.xxhash64("doc_id", "check"), F.lit(n)).cast("int"))
     known = base.where(F.col("doc_id").isNotNull() & (F.length("text") >= length))
-    refs = settle(_shared_runs(known, n, length), "repeat-runs")
+    refs = settle(_shared_runs(known, n_meets, length), "repeat-runs")
+
+    def with_refs(docs: pa.Table, refs: pa.Table) -> _Group:
+        return _Group(docs, [(_whole(refs["doc"], np.int64), _whole(refs["check"], np.int64), _whole(refs["pos"], np.uint32))], length)
 
     def strings(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if len(left) and len(right):
-            g = _Group(left, [x.as_py() for x in right["blob"]], length)
-            for p, which in g.sent(n_sorts):
-                at = g.first[which]
-                out.append((p, pack(g.least[which], g.value[at], (g.end - g.start)[at].astype(np.uint32), _gather(g.data, g.start[at], g.end[at]))))
-        return pa.table({"p": pa.array([p for p, _ in out], pa.int32()), "j": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array([v for _, v in out], pa.binary())})
+        if not (len(left) and len(right)):
+            return pa.table([[]] * 6, pa.schema([("p", pa.int32()), ("j", pa.int32()), *((c, pa.binary()) for c in ("least", "value", "size", "data"))]))
+        g = with_refs(left, right)
+        p, order, ends = g.sent(n_sorts)
+        at = g.first[order]
+        size = (g.end - g.start)[at]
+        value = (g.value[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return pa.table({"p": pa.array(p, pa.int32()), "j": pa.array(np.full(len(p), key[0].as_py()), pa.int32()), "least": _cut(g.least[order], ends),
+                         "value": _cut(value, ends), "size": _cut(size.astype(np.uint32), ends),
+                         "data": _cut(_gather(g.data, g.start[at], g.end[at]), np.cumsum(size)[ends - 1])})
 
     def classes(t: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py()) for x in t["blob"]]
-        least, value, size, data = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        size = size.astype(np.int64)
-        counts = np.array([len(p[0]) for p in parts])
-        begin = np.cumsum(size) - size
-        # The same run from several groups counts once, with the smallest doc. Keys are made group by group to bound the memory.
-        keys = [string_keys(p[3], np.cumsum(n) - n, np.cumsum(n)) for p in parts for n in [p[2].astype(np.int64)]]
-        del parts
+        rows = np.cumsum(pc.binary_length(t["least"]).to_numpy()) // 8
+        least, value, data = _whole(t["least"], np.int64), _whole(t["value"], np.uint32).astype(np.uint64), _whole(t["data"], np.uint8)
+        size = _whole(t["size"], np.uint32).astype(np.int64)
+        off = np.concatenate([[0], np.cumsum(size)])
+        begin = off[:-1]
+        # The same run from several groups counts once, with the smallest doc. Keys are made block by block to bound the memory.
+        keys = [string_keys(data[off[i]:off[j]], off[i:j] - off[i], off[i + 1:j + 1] - off[i]) for i, j in blocks(off, CHUNK)]
         _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         docs_of = np.full(len(first), BIG)
         np.minimum.at(docs_of, place, least)
         own = size[first] - length + 1
         at = np.cumsum(own) - own
         answer = np.empty(int(own.sum()), np.int64)
-        part = (value[first] & np.uint64(0xFFFFFFFF)) * np.uint64(max(1, int(size[first].sum()) // SORT_BYTES)) >> np.uint64(32)
+        # All strings of a minimizer that has one distinct run are in copies of that run: nothing is left to compare.
+        _, same, n_same = np.unique(value[first], return_inverse=True, return_counts=True)
+        alone = n_same[same] == 1
+        answer[_ranges(at[alone], own[alone])] = np.repeat(docs_of[alone], own[alone])
+        rest = np.flatnonzero(~alone)
+        part = value[first[rest]] * np.uint64(max(1, int(size[first[rest]].sum()) // SORT_BYTES)) >> np.uint64(32)
         for k in np.unique(part):
-            rows = np.flatnonzero(part == k)
-            strings = _gather(data, begin[first[rows]], begin[first[rows]] + size[first[rows]])
-            answer[_ranges(at[rows], own[rows])] = least_docs(strings, size[first[rows]], docs_of[rows], length)
-        blobs = [pack(answer[_ranges(at[w], own[w])]) for w in np.split(place, np.cumsum(counts)[:-1])]
-        return pa.table({"j": t["j"], "p": t["p"], "blob": pa.array(blobs, pa.binary())})
+            rows_of = rest[part == k]
+            strings = _gather(data, begin[first[rows_of]], begin[first[rows_of]] + size[first[rows_of]])
+            answer[_ranges(at[rows_of], own[rows_of])] = least_docs(strings, size[first[rows_of]], docs_of[rows_of], length)
+        ends = np.cumsum(own[place])[rows - 1]
+        return pa.table({"j": t["j"], "p": t["p"], "blob": _cut(_gather(answer, at[place], at[place] + own[place]), ends)})
 
     asked = known.groupBy("j").cogroup(refs.groupBy("j"))
-    answers = settle(asked.applyInArrow(strings, "p int, j int, blob binary").groupBy("p").applyInArrow(classes, "j int, p int, blob binary"), "repeat-answers")
+    answers = settle(asked.applyInArrow(strings, "p int, j int, least binary, value binary, size binary, data binary").groupBy("p").applyInArrow(classes, "j int, p int, blob binary"), "repeat-answers")
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "check", "n_removed", "n_spans", "kept_sha256"]
         rows: list = []
         if len(left) and len(right):
-            g = _Group(left, [b.as_py() for b, p in zip(right["blob"], right["p"]) if not p.is_valid], length)
+            found = pc.is_valid(right["p"])
+            g = with_refs(left, right.filter(pc.invert(found)))
             if len(g.row):
-                found = [(p.as_py(), unpack(b.as_py())[0]) for b, p in zip(right["blob"], right["p"]) if p.is_valid]
-                gone = g.removed(found, n_sorts, length)
+                answers = right.filter(found).sort_by("p")
+                gone = g.removed(_whole(answers["blob"], np.int64), n_sorts, length)
                 before = np.concatenate([[0], np.cumsum(gone)])
                 for k in range(len(g.ids)):
                     i, j = g.off[k], g.off[k + 1]
@@ -387,7 +424,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc
         cols = list(zip(*rows)) or [[]] * 5
         return pa.table({c: pa.array(v, t) for c, v, t in zip(names, cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))})
 
-    both = refs.select("j", F.lit(None).cast("int").alias("p"), "blob").unionByName(answers.select("j", "p", "blob"))
+    both = refs.unionByName(answers, allowMissingColumns=True)
     schema = "doc_id long, check long, n_removed long, n_spans long, kept_sha256 string"
     changed = known.groupBy("j").cogroup(both.groupBy("j")).applyInArrow(cut, schema).dropDuplicates(["doc_id", "check"])
     rows = base.select("doc_id", "check", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
